@@ -284,3 +284,79 @@ FROM lv"""
 
 
 SQL["forecast_baseline"] = _rollup_sql(_baseline_campaign_sql())
+
+
+# ---------------------------------------------------------------------------
+# response curves
+# ---------------------------------------------------------------------------
+
+CURVES = """
+cdy AS (SELECT channel, date, CAST(SUM(spend) AS DOUBLE) AS s, CAST(SUM(revenue) AS DOUBLE) AS r FROM ads_long GROUP BY channel, date),
+cst AS (SELECT channel, COUNT(*) AS n, MAX(s) AS smax, MAX(r) AS rmax, SUM(s) AS ssum, SUM(r) AS rsum FROM cdy GROUP BY channel),
+cgrid AS (SELECT channel, t.i AS i,
+            CASE WHEN t.i = 59 THEN smax * 5.0 ELSE t.i * ((smax * 5.0 - smax * 0.05) / 59) + smax * 0.05 END AS k
+          FROM cst, range(0, 60) t(i) WHERE n >= 5 AND smax > 0 AND rmax > 0),
+cxr AS (SELECT g.channel, g.i, g.k, c.r, c.s / (g.k + c.s + 1e-9) AS x FROM cdy c JOIN cgrid g ON c.channel = g.channel),
+cp1 AS (SELECT channel, i, k, SUM(x * r) / SUM(x * x) AS vmax FROM cxr GROUP BY channel, i, k HAVING SUM(x * x) > 0),
+csse AS (SELECT x.channel, x.i, x.k, p.vmax, SUM(pow(p.vmax * x.x - x.r, 2)) AS sse
+         FROM cxr x JOIN cp1 p ON p.channel = x.channel AND p.i = x.i WHERE p.vmax > 0 GROUP BY x.channel, x.i, x.k, p.vmax),
+cbest AS (SELECT channel, vmax, k FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY sse, i) AS rn FROM csse) WHERE rn = 1),
+curves AS (
+  SELECT st.channel,
+    COALESCE(b.vmax, (CASE WHEN ssum > 0 THEN rsum / ssum ELSE 1.0 END) * (CASE WHEN smax > 0 THEN GREATEST(smax * 10.0, 1.0) ELSE 1.0 END)) AS vmax,
+    GREATEST(COALESCE(b.k, CASE WHEN smax > 0 THEN GREATEST(smax * 10.0, 1.0) ELSE 1.0 END), 1e-9) AS k,
+    CASE WHEN b.k IS NULL THEN 'linear' ELSE 'hill' END AS method
+  FROM cst st LEFT JOIN cbest b ON b.channel = st.channel),
+cmean AS (SELECT AVG(vmax) AS mv, AVG(k) AS mk FROM curves)
+"""
+
+
+def _hill(v: str, k: str, s: str) -> str:
+    return f"({v} * GREATEST({s}, 0.0) / (GREATEST({k}, 1e-9) + GREATEST({s}, 0.0) + 1e-9))"
+
+
+SQL["channel_curves"] = "WITH " + CURVES.strip() + "\nSELECT channel, vmax, k, method FROM curves"
+
+SQL["curve_points"] = "WITH " + CURVES.strip() + f""",
+pts AS (
+  SELECT channel, t.i AS i, CASE WHEN t.i = 29 THEN hi ELSE t.i * (hi / 29) END AS spend FROM (
+    SELECT channel, GREATEST((CAST(SUM(spend) AS DOUBLE) / COUNT(*)) * 30.0 * 2.5, 1000.0) AS hi
+    FROM (SELECT channel, date, SUM(spend) AS spend FROM ads_long GROUP BY channel, date) GROUP BY channel
+  ), range(0, 30) t(i))
+SELECT p.channel, p.i, p.spend, {_hill("COALESCE(c.vmax, m.mv, 1.0)", "COALESCE(c.k, m.mk, 1.0)", "p.spend")} AS revenue
+FROM pts p LEFT JOIN curves c ON c.channel = p.channel CROSS JOIN cmean m
+"""
+
+
+def _scenario_sql(final: str) -> str:
+    fo = _rollup_sql(_baseline_campaign_sql())
+    return "WITH " + CURVES.strip() + f""",
+fo AS ({fo}),
+cur AS (SELECT channel, CAST(floor(revenue_p50 / CASE WHEN roas_p50 <> 0 THEN roas_p50 ELSE 1.0 END + 0.5) AS DOUBLE) AS budget
+        FROM fo WHERE level = 'channel' AND window_days = 30),
+mult AS (SELECT * FROM (VALUES ('x0.5', 0.5), ('x1.0', 1.0), ('x1.5', 1.5), ('x2.0', 2.0)) t(scenario_id, multiplier)),
+scen AS (SELECT m.scenario_id, c.channel, c.budget * m.multiplier AS budget FROM cur c CROSS JOIN mult m
+         UNION ALL SELECT 'current', channel, budget FROM cur),
+sc AS (
+  SELECT s.scenario_id, s.channel, s.budget,
+    {_hill("COALESCE(c.vmax, m.mv, 1.0)", "COALESCE(c.k, m.mk, 1.0)", "s.budget")} AS revenue,
+    {_hill("COALESCE(c.vmax, m.mv, 1.0)", "COALESCE(c.k, m.mk, 1.0)", "s.budget + 1000.0")} AS revenue_more
+  FROM scen s LEFT JOIN curves c ON c.channel = s.channel CROSS JOIN cmean m),
+scored AS (
+  SELECT scenario_id, channel, budget, revenue,
+    CASE WHEN budget > 0 THEN revenue / budget ELSE 0.0 END AS roas,
+    CASE WHEN budget > 0 THEN (revenue_more - revenue) / 1000.0 ELSE 0.0 END AS marginal_roas FROM sc),
+tot AS (SELECT scenario_id, SUM(budget) AS budget, SUM(revenue) AS revenue,
+          CASE WHEN SUM(budget) > 0 THEN SUM(revenue) / SUM(budget) ELSE 0.0 END AS roas FROM scored GROUP BY scenario_id)
+{final}"""
+
+
+SQL["budget_scenarios"] = _scenario_sql(
+    "SELECT scenario_id, channel, budget, revenue, roas, marginal_roas FROM scored WHERE scenario_id <> 'current'")
+SQL["scenario_totals"] = _scenario_sql("SELECT scenario_id, budget, revenue, roas FROM tot WHERE scenario_id <> 'current'")
+SQL["scenario_deltas"] = _scenario_sql("""
+SELECT s.scenario_id, s.channel, c.budget AS current_budget, s.budget, s.revenue, s.roas, s.marginal_roas,
+  s.budget - COALESCE(c.budget, 0.0) AS delta_spend, t.revenue - b.revenue AS delta_revenue, t.roas - b.roas AS delta_roas
+FROM scored s LEFT JOIN cur c ON c.channel = s.channel JOIN tot t ON t.scenario_id = s.scenario_id
+CROSS JOIN (SELECT revenue, roas FROM tot WHERE scenario_id = 'current') b
+WHERE s.scenario_id <> 'current'""")

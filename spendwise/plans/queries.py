@@ -14,6 +14,7 @@ from ..operators import features as FE
 from ..sources import fixtures as X
 from . import forecast as P
 from .registry import register
+from .workspace import workspace
 
 OUT_SPEC = [("level", "str"), ("channel", "str"), ("campaign_type", "str"), ("campaign", "str"),
             ("window_days", "int")] + [(c, "num") for c in S.REVENUE_Q + S.ROAS_Q]
@@ -25,14 +26,18 @@ FEATURE_SPEC = [("channel", "str"), ("campaign_type", "str"), ("campaign", "str"
 TRAIN_CUT_STEP = 28
 
 
+def W(spark, sf_dir):
+    return workspace(spark, sf_dir)
+
+
 def long_of(spark, sf_dir):
-    return X.ads_long(spark, sf_dir)
+    return W(spark, sf_dir).long
 
 
 @register("forecast_baseline", OUT_SPEC)
 def q_forecast_baseline(spark, sf_dir):
     """Flagship: M2 → M6/G8 (with P20) → A9 + P28."""
-    return P.baseline_forecast(long_of(spark, sf_dir))
+    return W(spark, sf_dir).forecast
 
 
 @register("to_long", LONG_SPEC)
@@ -63,8 +68,7 @@ def q_seasonal_index(spark, sf_dir):
 
 @register("prediction_table", FEATURE_SPEC)
 def q_prediction_table(spark, sf_dir):
-    long = long_of(spark, sf_dir)
-    return FE.prediction_table(long, S.WINDOWS, C.seasonal_index(long))
+    return W(spark, sf_dir).prediction_table
 
 
 @register(
@@ -72,8 +76,57 @@ def q_prediction_table(spark, sf_dir):
     FEATURE_SPEC + [("budget_input_ex", "num"), ("target_revenue", "num"), ("target_spend", "num")],
 )
 def q_training_table(spark, sf_dir):
-    long = long_of(spark, sf_dir)
-    return FE.training_table(long, S.WINDOWS, TRAIN_CUT_STEP, C.seasonal_index(long))
+    return W(spark, sf_dir).training_table
 
 
 __all__ = ["F"]
+
+
+# ---------------------------------------------------------------------------
+# response curves and budget scenarios
+# ---------------------------------------------------------------------------
+from ..operators import curves as CV  # noqa: E402
+
+SCENARIO_MULTIPLIERS = (("x0.5", 0.5), ("x1.0", 1.0), ("x1.5", 1.5), ("x2.0", 2.0))
+
+
+@register("channel_curves", [("channel", "str"), ("vmax", "num"), ("k", "num"), ("method", "str")])
+def q_channel_curves(spark, sf_dir):
+    return W(spark, sf_dir).curves
+
+
+@register("curve_points", [("channel", "str"), ("i", "int"), ("spend", "num"), ("revenue", "num")])
+def q_curve_points(spark, sf_dir):
+    ws = W(spark, sf_dir)
+    return CV.curve_points(ws.long, ws.curves)
+
+
+def _scenarios(spark, sf_dir):
+    ws = W(spark, sf_dir)
+    long, curves = ws.long, ws.curves
+    current = CV.current_plan(ws.forecast, 30)
+    mult = spark.createDataFrame(list(SCENARIO_MULTIPLIERS), "scenario_id string, multiplier double")
+    scen = current.crossJoin(F.broadcast(mult)).select(
+        "scenario_id", "channel", (F.col("budget") * F.col("multiplier")).alias("budget"))
+    return long, curves, current, mult, scen
+
+
+@register("budget_scenarios", [("scenario_id", "str"), ("channel", "str"), ("budget", "num"), ("revenue", "num"),
+                               ("roas", "num"), ("marginal_roas", "num")])
+def q_budget_scenarios(spark, sf_dir):
+    _, curves, _, _, scen = _scenarios(spark, sf_dir)
+    return CV.score_scenarios(scen, curves)
+
+
+@register("scenario_totals", [("scenario_id", "str"), ("budget", "num"), ("revenue", "num"), ("roas", "num")])
+def q_scenario_totals(spark, sf_dir):
+    _, curves, _, _, scen = _scenarios(spark, sf_dir)
+    return CV.scenario_totals(CV.score_scenarios(scen, curves))
+
+
+@register("scenario_deltas", [("scenario_id", "str"), ("channel", "str"), ("current_budget", "num"), ("budget", "num"),
+                              ("revenue", "num"), ("roas", "num"), ("marginal_roas", "num"), ("delta_spend", "num"),
+                              ("delta_revenue", "num"), ("delta_roas", "num")])
+def q_scenario_deltas(spark, sf_dir):
+    _, curves, current, mult, _ = _scenarios(spark, sf_dir)
+    return CV.scenario_deltas(current, mult, curves)
