@@ -130,3 +130,151 @@ def q_scenario_totals(spark, sf_dir):
 def q_scenario_deltas(spark, sf_dir):
     _, curves, current, mult, _ = _scenarios(spark, sf_dir)
     return CV.scenario_deltas(current, mult, curves)
+
+
+# ---------------------------------------------------------------------------
+# scale guard
+# ---------------------------------------------------------------------------
+from ..operators import guard as G  # noqa: E402
+
+PROFILE_CUTOFF = "1999-12-31"
+_Q3 = ("monthly_spend", "monthly_revenue", "campaign_monthly_spend", "campaign_monthly_revenue", "roas")
+PROFILE_SPEC = [("channels", "str"), ("campaign_types", "str"), ("n_campaigns", "int")] + [
+    (f"{k}_{p}", "num") for k in _Q3 for p in ("p10", "p50", "p90")] + [("other_channel_share", "num")]
+
+
+def _flat_profile(prof):
+    return prof.select(
+        F.array_join("channels", ",").alias("channels"), F.array_join("campaign_types", ",").alias("campaign_types"),
+        "n_campaigns", *[F.col(f"{k}.{p}").alias(f"{k}_{p}") for k in _Q3 for p in ("p10", "p50", "p90")],
+        "other_channel_share",
+    )
+
+
+def _training_profile(spark, sf_dir):
+    return G.training_profile(long_of(spark, sf_dir).where(F.col("date") <= F.lit(PROFILE_CUTOFF).cast("date")))
+
+
+@register("training_profile", [("date_min", "str"), ("date_max", "str")] + PROFILE_SPEC)
+def q_training_profile(spark, sf_dir):
+    p = _training_profile(spark, sf_dir)
+    return p.select("date_min", "date_max").crossJoin(_flat_profile(p))
+
+
+@register("profile_by_channel", [("channel", "str")] + [(f"{k}_{p}", "num") for k in ("monthly_spend", "monthly_revenue")
+                                                       for p in ("p10", "p50", "p90")] + [("roas", "num")])
+def q_profile_by_channel(spark, sf_dir):
+    p = _training_profile(spark, sf_dir).select(F.explode("by_channel").alias("channel", "v"))
+    return p.select("channel", *[F.col(f"v.{k}.{q}").alias(f"{k}_{q}") for k in ("monthly_spend", "monthly_revenue")
+                                 for q in ("p10", "p50", "p90")], F.col("v.roas").alias("roas"))
+
+
+@register("upload_profile", PROFILE_SPEC)
+def q_upload_profile(spark, sf_dir):
+    return _flat_profile(G.profile_from_table(W(spark, sf_dir).prediction_table))
+
+
+def _scaled_campaign_forecast(spark, sf_dir, factor):
+    ws = W(spark, sf_dir)
+    if factor == 1:
+        return ws.baseline_campaign
+    long = ws.long.withColumn("spend", F.col("spend") * factor).withColumn("revenue", F.col("revenue") * factor)
+    table = FE.prediction_table(long, S.WINDOWS, C.seasonal_index(long))
+    return G.with_baseline_quantiles(table, 1.0, prefix="")
+
+
+ASSESS_SPEC = [("confidence", "str"), ("ood_score", "num"), ("reasons", "str"), ("model_weight", "num"),
+               ("baseline_weight", "num"), ("interval_widening", "num"), ("fallback_used", "int")]
+
+
+def _assess(spark, sf_dir, factor):
+    pred = _scaled_campaign_forecast(spark, sf_dir, factor)
+    out, a = G.run_guardrail(pred, _training_profile(spark, sf_dir))
+    return out, a.select("confidence", "ood_score", F.array_join("reasons", " | ").alias("reasons"), "model_weight",
+                         "baseline_weight", "interval_widening", F.col("fallback_used").cast("int").alias("fallback_used"))
+
+
+@register("guard_assess", ASSESS_SPEC)
+def q_guard_assess(spark, sf_dir):
+    """G10 on the in-distribution upload: expected High, untouched."""
+    return _assess(spark, sf_dir, 1)[1]
+
+
+@register("guard_assess_x100", ASSESS_SPEC)
+def q_guard_assess_x100(spark, sf_dir):
+    """G10 on the same rows with spend and revenue × 100: expected Low."""
+    return _assess(spark, sf_dir, 100)[1]
+
+
+@register("guarded_forecast_x100", OUT_SPEC)
+def q_guarded_forecast_x100(spark, sf_dir):
+    """G9 blend + widen on the 100× upload, then the A9 roll-up."""
+    out, _ = _assess(spark, sf_dir, 100)
+    return R.reconcile(out)
+
+
+# ---------------------------------------------------------------------------
+# calibration and prediction post-processing
+# ---------------------------------------------------------------------------
+from ..operators import calibrate as CA  # noqa: E402
+from ..operators import predict as PR  # noqa: E402
+from ..operators import rollup as R  # noqa: E402
+
+
+def _calibration_rows(spark, sf_dir):
+    """Training rows in the predict regime (extrapolated budget) with G8's
+    quantiles as the stand-in model and the M6 seasonal baseline."""
+    tt = W(spark, sf_dir).training_table
+    ex = tt.drop("budget_input").withColumnRenamed("budget_input_ex", "budget_input")
+    q = G.with_baseline_quantiles(ex, 1.0, prefix="m_")
+    return q.select("window_days", "window_start", F.col("target_revenue").alias("y"),
+                    F.col("m_revenue_p10").alias("lo"), F.col("m_revenue_p50").alias("mid"),
+                    F.col("m_revenue_p90").alias("hi"), G.seasonal_roas_baseline(q).alias("base"))
+
+
+@register("calibration", [("window_days", "int"), ("n_cal", "int"), ("blend_weight", "num"), ("width_factor", "num")])
+def q_calibration(spark, sf_dir):
+    return CA.calibrate(_calibration_rows(spark, sf_dir))
+
+
+@register("global_median_roas", [("global_median_roas", "num")])
+def q_global_median_roas(spark, sf_dir):
+    return CA.global_median_roas(W(spark, sf_dir).training_table)
+
+
+def _calibrated_campaign(spark, sf_dir):
+    ws = W(spark, sf_dir)
+    params = CA.calibrate(_calibration_rows(spark, sf_dir))
+    q = G.with_baseline_quantiles(ws.prediction_table, 1.0, prefix="m_")
+    q = q.withColumnRenamed("m_revenue_p10", "q10").withColumnRenamed("m_revenue_p50", "q50").withColumnRenamed("m_revenue_p90", "q90")
+    return PR.postprocess(q, params)
+
+
+@register("forecast_calibrated", OUT_SPEC)
+def q_forecast_calibrated(spark, sf_dir):
+    """M5 with calibrated per-window blend/width, rolled up."""
+    return R.reconcile(_calibrated_campaign(spark, sf_dir))
+
+
+@register("forecast_override", OUT_SPEC)
+def q_forecast_override(spark, sf_dir):
+    """Channel budgets overridden to 1.5 × the current 30-day plan, then
+    the baseline forecast and roll-up."""
+    ws = W(spark, sf_dir)
+    plan = CV.current_plan(ws.forecast, 30).select("channel", (F.col("budget") * 1.5).alias("budget"))
+    t = PR.apply_budget_overrides(ws.prediction_table, plan)
+    return R.reconcile(G.with_baseline_quantiles(t, 1.0, prefix=""))
+
+
+@register("budget_sweep", [("campaign", "str"), ("window_days", "int"), ("budget_input", "num")]
+          + [(q, "num") for q in S.REVENUE_Q])
+def q_budget_sweep(spark, sf_dir):
+    """M7 + W9: each campaign's row at 0.5×…2× its planned budget through the
+    calibrated post-processing, made monotone by a cumulative max."""
+    ws = W(spark, sf_dir)
+    mult = spark.createDataFrame([(m,) for m in (0.5, 0.75, 1.0, 1.5, 2.0)], "multiplier double")
+    grid = PR.budget_grid(ws.prediction_table, mult)
+    q = G.with_baseline_quantiles(grid, 1.0, prefix="m_")
+    q = q.withColumnRenamed("m_revenue_p10", "q10").withColumnRenamed("m_revenue_p50", "q50").withColumnRenamed("m_revenue_p90", "q90")
+    out = PR.isotonic_sweep(PR.postprocess(q, None))
+    return out.select("campaign", "window_days", "budget_input", *S.REVENUE_Q)
