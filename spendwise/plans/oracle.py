@@ -360,3 +360,68 @@ SELECT s.scenario_id, s.channel, c.budget AS current_budget, s.budget, s.revenue
 FROM scored s LEFT JOIN cur c ON c.channel = s.channel JOIN tot t ON t.scenario_id = s.scenario_id
 CROSS JOIN (SELECT revenue, roas FROM tot WHERE scenario_id = 'current') b
 WHERE s.scenario_id <> 'current'""")
+
+
+# ---------------------------------------------------------------------------
+# backtest: the fixture CTEs re-pointed at the training period
+# ---------------------------------------------------------------------------
+
+def with_train_fixtures(body: str) -> str:
+    fx = FIXTURES.strip().replace("FROM ads_long", "FROM ads_train")
+    fx = fx.replace("\ndaily AS (", "\nads_train AS (SELECT * FROM ads_long WHERE date <= (SELECT MAX(date) - 90 FROM ads_long)),\ndaily AS (", 1)
+    body = body.strip()
+    assert body.upper().startswith("WITH ")
+    return "WITH " + fx + ",\n" + body[5:]
+
+
+TRAIN_FIXTURE_QUERIES = {"backtest_metrics"}
+
+_ACTUALS = """
+act AS (
+  SELECT c.campaign, w.window_days,
+    GREATEST(CAST(COALESCE(SUM(CASE WHEN d.date > o.origin AND d.date <= o.origin + w.window_days THEN d.revenue END), 0) AS DOUBLE), 0.0) AS actual_revenue,
+    GREATEST(CAST(COALESCE(SUM(CASE WHEN d.date > o.origin AND d.date <= o.origin + w.window_days THEN d.spend END), 0) AS DOUBLE), 0.0) AS actual_spend
+  FROM (SELECT DISTINCT campaign FROM ads_long) c
+  CROSS JOIN wins w
+  CROSS JOIN (SELECT MAX(date) AS gmax, MAX(date) - 90 AS origin FROM ads_long) o
+  LEFT JOIN (SELECT campaign, date, SUM(spend) AS spend, SUM(revenue) AS revenue FROM ads_long GROUP BY campaign, date) d
+    ON d.campaign = c.campaign
+  WHERE o.origin + w.window_days <= o.gmax
+  GROUP BY c.campaign, w.window_days)
+"""
+
+SQL["backtest_actuals"] = "WITH " + _ACTUALS.strip() + "\nSELECT * FROM act"
+
+
+def _backtest_metrics_sql() -> str:
+    camp = _baseline_campaign_sql().strip()
+    head, _, tail = camp.rpartition("\nSELECT ")
+    return head + ",\ncp AS (SELECT " + tail + "),\n" + _ACTUALS.strip() + """,
+bp AS (SELECT cp.*, GREATEST((CASE WHEN tr28_roas > 0 THEN tr28_roas ELSE tr14_roas END) * GREATEST(budget_input, 0.0) * seasonal_index, 0.0) AS m6 FROM cp),
+m AS (
+  SELECT bp.channel, bp.window_days, a.actual_revenue AS a, 'model' AS variant, revenue_p10 AS q10, revenue_p50 AS q50, revenue_p90 AS q90
+  FROM bp JOIN act a ON a.campaign = bp.campaign AND a.window_days = bp.window_days WHERE a.actual_spend > 0
+  UNION ALL
+  SELECT bp.channel, bp.window_days, a.actual_revenue, 'baseline', m6 * 0.55, m6 * 1.0, m6 * 1.65
+  FROM bp JOIN act a ON a.campaign = bp.campaign AND a.window_days = bp.window_days WHERE a.actual_spend > 0
+  UNION ALL
+  SELECT bp.channel, bp.window_days, a.actual_revenue, 'blend', 0.25 * revenue_p10 + 0.75 * (m6 * 0.55),
+    0.25 * revenue_p50 + 0.75 * (m6 * 1.0), 0.25 * revenue_p90 + 0.75 * (m6 * 1.65)
+  FROM bp JOIN act a ON a.campaign = bp.campaign AND a.window_days = bp.window_days WHERE a.actual_spend > 0),
+g AS (
+  SELECT variant, 'all' AS grouping, '' AS key, * EXCLUDE (variant, channel, window_days) FROM m
+  UNION ALL SELECT variant, 'window', CAST(window_days AS VARCHAR), * EXCLUDE (variant, channel, window_days) FROM m
+  UNION ALL SELECT variant, 'channel', channel, * EXCLUDE (variant, channel, window_days) FROM m)
+SELECT variant, grouping, key, COUNT(*) AS n,
+  AVG(CASE WHEN a >= q10 AND a <= q90 THEN 1.0 ELSE 0.0 END) AS coverage,
+  CASE WHEN SUM(abs(a)) > 0 THEN SUM(abs(a - q50)) / SUM(abs(a)) END AS wape,
+  AVG(CASE WHEN a > 0 THEN abs(a - q50) / a END) AS mape,
+  AVG(GREATEST(0.1 * (a - q10), -0.9 * (a - q10))) AS pinball_p10,
+  AVG(GREATEST(0.5 * (a - q50), -0.5 * (a - q50))) AS pinball_p50,
+  AVG(GREATEST(0.9 * (a - q90), -0.09999999999999998 * (a - q90))) AS pinball_p90,
+  (AVG(GREATEST(0.1 * (a - q10), -0.9 * (a - q10))) + AVG(GREATEST(0.5 * (a - q50), -0.5 * (a - q50)))
+   + AVG(GREATEST(0.9 * (a - q90), -0.09999999999999998 * (a - q90)))) / 3.0 AS pinball_mean
+FROM g GROUP BY variant, grouping, key"""
+
+
+SQL["backtest_metrics"] = _backtest_metrics_sql()

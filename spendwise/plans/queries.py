@@ -15,6 +15,7 @@ from ..sources import fixtures as X
 from . import forecast as P
 from .registry import register
 from .workspace import workspace
+from ..session import cut_lineage
 
 OUT_SPEC = [("level", "str"), ("channel", "str"), ("campaign_type", "str"), ("campaign", "str"),
             ("window_days", "int")] + [(c, "num") for c in S.REVENUE_Q + S.ROAS_Q]
@@ -188,8 +189,9 @@ ASSESS_SPEC = [("confidence", "str"), ("ood_score", "num"), ("reasons", "str"),
 
 
 def _assess(spark, sf_dir, factor):
-    pred = _scaled_campaign_forecast(spark, sf_dir, factor)
-    out, a = G.run_guardrail(pred, _training_profile(spark, sf_dir))
+    # both inputs are referenced several times by the guard plan: cut them
+    pred = cut_lineage(_scaled_campaign_forecast(spark, sf_dir, factor))
+    out, a = G.run_guardrail(pred, cut_lineage(_training_profile(spark, sf_dir)))
     return out, a.select("confidence", "ood_score", F.array_join("reasons", " | ").alias("reasons"), "model_weight",
                          "baseline_weight", "interval_widening", F.col("fallback_used").cast("int").alias("fallback_used"))
 
@@ -278,3 +280,42 @@ def q_budget_sweep(spark, sf_dir):
     q = q.withColumnRenamed("m_revenue_p10", "q10").withColumnRenamed("m_revenue_p50", "q50").withColumnRenamed("m_revenue_p90", "q90")
     out = PR.isotonic_sweep(PR.postprocess(q, None))
     return out.select("campaign", "window_days", "budget_input", *S.REVENUE_Q)
+
+
+# ---------------------------------------------------------------------------
+# backtest (F3, F4, J1, M12, A18, A19, M13 with the SQL-expressible stand-in)
+# ---------------------------------------------------------------------------
+from ..operators import backtest as BT  # noqa: E402
+
+HOLDOUT = 90
+METRIC_SPEC = [("variant", "str"), ("grouping", "str"), ("key", "str"), ("n", "int"), ("coverage", "num"),
+               ("wape", "num"), ("mape", "num"), ("pinball_p10", "num"), ("pinball_p50", "num"),
+               ("pinball_p90", "num"), ("pinball_mean", "num")]
+
+
+@register("backtest_actuals", [("campaign", "str"), ("window_days", "int"), ("actual_revenue", "num"),
+                               ("actual_spend", "num")])
+def q_backtest_actuals(spark, sf_dir):
+    long = long_of(spark, sf_dir)
+    return BT.forward_actuals(long, BT.origin_of(long, HOLDOUT))
+
+
+def _backtest_scored(spark, sf_dir):
+    long = long_of(spark, sf_dir)
+    origin = BT.origin_of(long, HOLDOUT)
+    train = BT.train_split(long, origin)
+    table = cut_lineage(FE.prediction_table(train, S.WINDOWS, C.seasonal_index(train)))
+    pred = G.with_baseline_quantiles(table, 1.0, prefix="")
+    base = G.seasonal_roas_baseline(pred)
+    pred = pred.select("*", *[(base * m).alias(f"base_{q}") for m, q in zip(G.BASELINE_BAND, S.REVENUE_Q)])
+    wm, wb = G.BLEND_WEIGHTS["Low"]
+    pred = pred.select("*", *[(F.lit(wm) * F.col(q) + F.lit(wb) * F.col(f"base_{q}")).alias(f"blend_{q}") for q in S.REVENUE_Q])
+    return BT.scored_rows(pred, BT.forward_actuals(long, origin))
+
+
+@register("backtest_metrics", METRIC_SPEC)
+def q_backtest_metrics(spark, sf_dir):
+    """Stand-in model = G8 quantiles from the training-period state; variants
+    model / baseline (M6 × band) / Low-confidence blend."""
+    merged = _backtest_scored(spark, sf_dir)
+    return BT.metrics(merged, {"model": "revenue", "baseline": "base_revenue", "blend": "blend_revenue"})
