@@ -425,3 +425,58 @@ FROM g GROUP BY variant, grouping, key"""
 
 
 SQL["backtest_metrics"] = _backtest_metrics_sql()
+
+
+# ---------------------------------------------------------------------------
+# data quality
+# ---------------------------------------------------------------------------
+
+SQL["csv_ingest"] = SQL["to_long"]
+
+SQL["channel_summary"] = """
+SELECT channel, SUM(spend) AS spend, SUM(revenue) AS revenue, COUNT(DISTINCT campaign) AS campaigns, COUNT(*) AS rows
+FROM ads_long GROUP BY channel"""
+
+SQL["campaign_consistency"] = """
+WITH per AS (
+  SELECT l.campaign, MAX(is_brand) AS is_brand, COUNT(DISTINCT date) AS active_days,
+    date_diff('day', MIN(date), MAX(date)) + 1 AS span_days, SUM(spend) AS spend, SUM(revenue) AS revenue
+  FROM ads_long l GROUP BY l.campaign)
+SELECT p.campaign, a.channel, a.campaign_type, p.is_brand, p.active_days, p.span_days,
+  round(CAST(p.active_days AS DOUBLE) / p.span_days, 3) AS coverage, p.spend, p.revenue
+FROM per p JOIN attrs a ON a.campaign = p.campaign"""
+
+SQL["top_campaigns_by_spend"] = """
+SELECT campaign, spend, row_number() OVER (ORDER BY spend DESC, campaign) AS rank FROM (
+  SELECT campaign, SUM(spend) AS spend FROM ads_long GROUP BY campaign ORDER BY spend DESC, campaign LIMIT 25)"""
+
+
+def _contract_sql() -> str:
+    fo = _rollup_sql(_baseline_campaign_sql())
+    return f"""WITH fo AS ({fo})
+SELECT 1 AS columns_ok, COUNT(*) AS rows,
+  SUM(CASE WHEN level NOT IN ('blended', 'channel', 'campaign_type', 'campaign') THEN 1 ELSE 0 END) AS bad_level,
+  SUM(CASE WHEN window_days NOT IN (30, 60, 90) THEN 1 ELSE 0 END) AS bad_window,
+  SUM(CASE WHEN NOT (isfinite(revenue_p10) AND isfinite(revenue_p50) AND isfinite(revenue_p90)
+                 AND isfinite(roas_p10) AND isfinite(roas_p50) AND isfinite(roas_p90)) THEN 1 ELSE 0 END) AS non_finite,
+  SUM(CASE WHEN LEAST(revenue_p10, revenue_p50, revenue_p90, roas_p10, roas_p50, roas_p90) < 0 THEN 1 ELSE 0 END) AS negative,
+  SUM(CASE WHEN revenue_p10 > revenue_p50 + 1e-9 OR revenue_p50 > revenue_p90 + 1e-9 THEN 1 ELSE 0 END) AS crossing_revenue,
+  SUM(CASE WHEN roas_p10 > roas_p50 + 1e-9 OR roas_p50 > roas_p90 + 1e-9 THEN 1 ELSE 0 END) AS crossing_roas,
+  CASE WHEN COUNT(*) > 0 AND SUM(CASE WHEN revenue_p10 > revenue_p50 + 1e-9 OR revenue_p50 > revenue_p90 + 1e-9
+       OR roas_p10 > roas_p50 + 1e-9 OR roas_p50 > roas_p90 + 1e-9 THEN 1 ELSE 0 END) = 0 THEN 1 ELSE 0 END AS valid
+FROM fo"""
+
+
+SQL["output_contract"] = _contract_sql()
+
+SQL["quality_issues"] = """
+WITH c AS (SELECT COUNT(*) AS n, SUM(CASE WHEN channel = 'other' THEN 1 ELSE 0 END) AS other_ch,
+                  SUM(CASE WHEN campaign_type = 'Other' THEN 1 ELSE 0 END) AS other_type FROM ads_long),
+per AS (SELECT campaign, COUNT(DISTINCT date) AS active_days, date_diff('day', MIN(date), MAX(date)) + 1 AS span_days,
+               COUNT(DISTINCT channel) AS n_channels FROM ads_long GROUP BY campaign)
+SELECT 'error' AS severity, 'no_data' AS code, '' AS entity, 'No parseable rows found in the uploaded files.' AS message FROM c WHERE n = 0
+UNION ALL SELECT 'warning', 'unmapped_channel', '', printf('%d rows could not be mapped to a known channel (fell back to ''other'').', other_ch) FROM c WHERE other_ch > 0
+UNION ALL SELECT 'info', 'other_type', '', printf('%d rows mapped to campaign_type ''Other'' (name did not match a known pattern).', other_type) FROM c WHERE other_type > 0
+UNION ALL SELECT 'warning', 'channel_drift', campaign, printf('Campaign ''%s'' appears under multiple channels.', campaign) FROM per WHERE n_channels > 1
+UNION ALL SELECT 'info', 'sparse_history', campaign, printf('Campaign ''%s'' has sparse history (%d/%d active days).', campaign, active_days, span_days)
+  FROM per WHERE CAST(active_days AS DOUBLE) / span_days < 0.5 AND span_days > 14"""

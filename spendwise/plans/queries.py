@@ -319,3 +319,98 @@ def q_backtest_metrics(spark, sf_dir):
     model / baseline (M6 × band) / Low-confidence blend."""
     merged = _backtest_scored(spark, sf_dir)
     return BT.metrics(merged, {"model": "revenue", "baseline": "base_revenue", "blend": "blend_revenue"})
+
+
+# ---------------------------------------------------------------------------
+# data quality and contracts
+# ---------------------------------------------------------------------------
+from ..operators import quality as QA  # noqa: E402
+from ..sources import exports as EX  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+
+@register("channel_summary", [("channel", "str"), ("spend", "num"), ("revenue", "num"), ("campaigns", "int"), ("rows", "int")])
+def q_channel_summary(spark, sf_dir):
+    return QA.channel_summary(long_of(spark, sf_dir))
+
+
+@register("ingest_checks", [("check", "str"), ("ok", "int"), ("detail", "str")])
+def q_ingest_checks(spark, sf_dir):
+    return QA.ingest_checks(long_of(spark, sf_dir), True).select("check", F.col("ok").cast("int").alias("ok"), "detail")
+
+
+@register("output_contract", [("columns_ok", "int"), ("rows", "int"), ("bad_level", "int"), ("bad_window", "int"),
+                              ("non_finite", "int"), ("negative", "int"), ("crossing_revenue", "int"),
+                              ("crossing_roas", "int"), ("valid", "int")])
+def q_output_contract(spark, sf_dir):
+    out = QA.output_contract(W(spark, sf_dir).forecast)
+    return out.select(*[F.col(c).cast("int").alias(c) for c in out.columns])
+
+
+@register("data_quality", [("check", "str"), ("ok", "int"), ("detail", "str")])
+def q_data_quality(spark, sf_dir):
+    """Q3 validator on the baseline forecast; required channels = channels
+    present in the long table (J14)."""
+    ws = W(spark, sf_dir)
+    req = ws.long.select("channel").where(F.col("channel") != "other").distinct()
+    return QA.validate_output(ws.forecast, req).select("check", F.col("ok").cast("int").alias("ok"), "detail")
+
+
+@register("campaign_consistency", [("campaign", "str"), ("channel", "str"), ("campaign_type", "str"), ("is_brand", "int"),
+                                   ("active_days", "int"), ("span_days", "int"), ("coverage", "num"), ("spend", "num"),
+                                   ("revenue", "num")])
+def q_campaign_consistency(spark, sf_dir):
+    return QA.campaign_consistency(long_of(spark, sf_dir))[0]
+
+
+@register("quality_issues", [("severity", "str"), ("code", "str"), ("entity", "str"), ("message", "str")])
+def q_quality_issues(spark, sf_dir):
+    return QA.campaign_consistency(long_of(spark, sf_dir))[1]
+
+
+@register("top_campaigns_by_spend", [("campaign", "str"), ("spend", "num"), ("rank", "int")])
+def q_top_campaigns_by_spend(spark, sf_dir):
+    """T4: campaigns by spend, first 25 (the report's display limit)."""
+    camps = QA.campaign_consistency(long_of(spark, sf_dir))[0]
+    top = camps.orderBy(F.col("spend").desc(), "campaign").limit(25)
+    w = __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.col("spend").desc(), "campaign")
+    return top.select("campaign", "spend", F.row_number().over(w).alias("rank"))
+
+
+@register("readiness", [("label", "str"), ("status", "str"), ("detail", "str")])
+def q_readiness(spark, sf_dir):
+    return QA.readiness(long_of(spark, sf_dir))
+
+
+def _csv_dir(spark, sf_dir):
+    """The three exports written as CSV with headers under the checkpoint
+    folder (one directory per platform file name)."""
+    ws = W(spark, sf_dir)
+    if "csv_dir" not in ws.__dict__:
+        names = ("google_ads_campaign_stats", "bing_campaign_stats", "meta_ads_campaign_stats")
+        base = SK.scratch_dir(spark, "exports")
+        for name, df in zip(names, X.exports(spark, sf_dir)):
+            SK.write_csv(df, f"{base}/{name}")
+        ws.__dict__["csv_dir"] = base
+    return ws.__dict__["csv_dir"]
+
+
+@register("csv_ingest", LONG_SPEC)
+def q_csv_ingest(spark, sf_dir):
+    """CSV directory scan grouped by header signature → long table."""
+    return EX.load_long(spark, _csv_dir(spark, sf_dir))
+
+
+@register("file_report", [("source_file", "str"), ("raw_rows", "int"), ("parsed_rows", "int"), ("invalid_rows", "int"),
+                          ("zero_spend_share", "num"), ("zero_revenue_share", "num"), ("spend", "num"),
+                          ("revenue", "num"), ("campaign_types", "str"), ("channels", "str")])
+def q_file_report(spark, sf_dir):
+    """Per-file parse report over the written exports."""
+    d = _csv_dir(spark, sf_dir)
+    long = EX.load_long(spark, d, with_file=True)
+    raw = spark.read.option("recursiveFileLookup", "true").text(d).where(~F.col("value").startswith(F.lit(""))
+                                                                         | F.lit(True))
+    raw = raw.select(F.col("_metadata.file_path").alias("source_file"), "value")
+    # header lines are not data rows
+    counts = raw.groupBy("source_file").agg((F.count("*") - 1).alias("raw_rows"))
+    return QA.file_report(long, counts)
