@@ -36,3 +36,36 @@ def contract_ok(out: DataFrame) -> DataFrame:
 
 
 __all__ = ["baseline_forecast", "baseline_campaign_forecast", "contract_ok", "F"]
+
+
+def forest_forecast(training_table: DataFrame, prediction_table: DataFrame, training_profile: DataFrame | None = None,
+                    **forest_params):
+    """M14 with the learned model: time-split calibration of a forest fitted
+    on the earlier 80 % (M4, predicting the later 20 % under the extrapolated
+    budget), a refit on all rows (M3), post-processing (M5), the scale guard
+    (G10) when a training profile is given, and the four-level roll-up (A9).
+
+    Returns (output, campaign predictions, calibration params, forest)."""
+    from ..operators import calibrate as CA
+    from ..operators import forest as QF
+    from ..operators import predict as PR
+    from ..session import cut_lineage
+
+    key_t = ("campaign", "window_start", "window_days")
+    split = CA.time_split(training_table)
+    fit_rows = split.where(~F.col("is_cal")).select(*training_table.columns)
+    early = QF.QuantileForest(**forest_params).fit(fit_rows)
+    ex = training_table.drop("budget_input").withColumnRenamed("budget_input_ex", "budget_input")
+    pc = early.predict(ex, key=key_t)
+    lo, mid, hi = G.sort3(F.col("q10"), F.col("q50"), F.col("q90"))
+    cal_rows = pc.select("window_days", "window_start", F.col("target_revenue").alias("y"), lo.alias("lo"),
+                         mid.alias("mid"), hi.alias("hi"), G.seasonal_roas_baseline(pc).alias("base"))
+    params = cut_lineage(CA.calibrate(cal_rows))
+    full = QF.QuantileForest(**forest_params).fit(training_table)
+    groas = CA.global_median_roas(training_table).first()["global_median_roas"]  # one scalar
+    raw = full.predict(prediction_table)
+    camp = PR.postprocess(raw, params, global_roas=float(groas) if groas is not None else 1.0).drop("q10", "q50", "q90")
+    camp = cut_lineage(camp)
+    if training_profile is not None:
+        camp, _ = G.run_guardrail(camp, training_profile)
+    return R.reconcile(camp), camp, params, full

@@ -414,3 +414,28 @@ def q_file_report(spark, sf_dir):
     # header lines are not data rows
     counts = raw.groupBy("source_file").agg((F.count("*") - 1).alias("raw_rows"))
     return QA.file_report(long, counts)
+
+
+# ---------------------------------------------------------------------------
+# learned model: quantile regression forest
+# ---------------------------------------------------------------------------
+def _forest(spark, sf_dir):
+    ws = W(spark, sf_dir)
+    if "forest" not in ws.__dict__:
+        prof = cut_lineage(G.training_profile(ws.long))
+        out, camp, params, model = P.forest_forecast(ws.training_table, ws.prediction_table, prof)
+        ws.__dict__["forest"] = (cut_lineage(out), camp, params, model)
+    return ws.__dict__["forest"]
+
+
+@register("quantile_forest_forecast", OUT_SPEC)
+def q_quantile_forest_forecast(spark, sf_dir):
+    """End-to-end forecast with the learned quantile model (rows-only check:
+    a fitted forest has no SQL twin)."""
+    return _forest(spark, sf_dir)[0]
+
+
+@register("feature_drivers", [("feature", "str"), ("importance", "num")])
+def q_feature_drivers(spark, sf_dir):
+    """T5: top-8 feature importances of the full-data forest."""
+    return _forest(spark, sf_dir)[3].drivers(spark, 8)
