@@ -439,3 +439,46 @@ def q_quantile_forest_forecast(spark, sf_dir):
 def q_feature_drivers(spark, sf_dir):
     """T5: top-8 feature importances of the full-data forest."""
     return _forest(spark, sf_dir)[3].drivers(spark, 8)
+
+
+# ---------------------------------------------------------------------------
+# grounded insights
+# ---------------------------------------------------------------------------
+from ..operators import insights as IN  # noqa: E402
+
+
+@register("insight_context", [("window_days", "int"), ("n_numbers", "int"), ("names", "str"),
+                              ("allowed_channels", "str"), ("allowed_campaigns", "str")])
+def q_insight_context(spark, sf_dir):
+    c = IN.context(W(spark, sf_dir).forecast)
+    return c.select("window_days", F.size("numbers").alias("n_numbers"), F.array_join(F.array_sort("names"), ",").alias("names"),
+                    F.array_join("allowed_channels", ",").alias("allowed_channels"),
+                    F.array_join("allowed_campaigns", ",").alias("allowed_campaigns"))
+
+
+@register("rule_insights", [("window_days", "int"), ("section", "str"), ("ordinal", "int"), ("text", "str"), ("evidence", "str")])
+def q_rule_insights(spark, sf_dir):
+    r = IN.rule_insights(W(spark, sf_dir).forecast)
+    return r.select("window_days", "section", "ordinal", "text", F.array_join("evidence", ",").alias("evidence"))
+
+
+def _validated(spark, sf_dir):
+    out = W(spark, sf_dir).forecast
+    return IN.validate_claims(IN.claims_from_forecast(out), IN.context(out))
+
+
+@register("claim_validation", [("window_days", "int"), ("kind", "str"), ("text", "str"), ("accepted", "int"), ("reason", "str")])
+def q_claim_validation(spark, sf_dir):
+    v = _validated(spark, sf_dir)
+    return v.select("window_days", "kind", "text", F.col("accepted").cast("int").alias("accepted"), "reason")
+
+
+@register("insight_status", [("window_days", "int"), ("status", "str"), ("claims", "int"), ("rejected", "int"), ("items_used", "int")])
+def q_insight_status(spark, sf_dir):
+    out = W(spark, sf_dir).forecast
+    return IN.choose(_validated(spark, sf_dir), IN.rule_insights(out))
+
+
+@register("insight_narrative", [("window_days", "int"), ("narrative", "str")])
+def q_insight_narrative(spark, sf_dir):
+    return IN.narrative(IN.rule_insights(W(spark, sf_dir).forecast))
