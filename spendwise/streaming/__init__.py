@@ -1,0 +1,8 @@
+"""Streaming.
+
+The forecasting workload has no streaming semantics: every stage reads a whole
+table and writes a whole table (no event-time windows, watermarks or state).
+The 30/60/90-day "windows" are forecast horizons, not stream windows.  No
+streaming operator is provided; new export files are picked up by re-running
+the batch plans over the export directory (``sources.exports.load_long``).
+"""
