@@ -69,20 +69,21 @@ def to_long(
     bud = col_of("budget")
     budget = F.lit(0).cast(S.MONEY) if bud is None else N.to_metric(bud)
 
+    # Staged projections: the normalised keys are computed once as columns and
+    # the rule chains reference them, which keeps each generated projection
+    # small enough for whole-stage codegen.
     out = df.select(
         (N.to_date(date_c) if date_c is not None else F.lit(None).cast("date")).alias("date"),
         channel.alias("channel"),
         campaign.alias("campaign"),
-        raw_type.alias("_raw_type"),
-        adset.alias("_adset"),
+        N.match_key(raw_type).alias("_t"),
+        N.match_key(F.concat_ws(" ", campaign, adset)).alias("_nb"),
         *[v.alias(k) for k, v in metrics.items()],
         budget.alias("daily_budget"),
         *[F.col(k) for k in keep],
-    )
-    ctype = N.campaign_type(F.col("channel"), F.col("_raw_type"), F.col("campaign"), F.col("_adset"))
-    out = out.withColumn("campaign_type", ctype)
-    out = out.withColumn("is_brand", N.is_brand(F.col("campaign_type"), F.col("campaign"), F.col("_adset")))
-    out = out.where(F.col("date").isNotNull())
+    ).where(F.col("date").isNotNull())
+    out = out.withColumn("campaign_type", N.campaign_type_from_keys(F.col("channel"), F.col("_t"), F.col("_nb")))
+    out = out.withColumn("is_brand", N.is_brand_from_key(F.col("campaign_type"), F.col("_nb")))
     return out.select(*S.LONG_COLUMNS, *keep)
 
 
