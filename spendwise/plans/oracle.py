@@ -480,3 +480,81 @@ UNION ALL SELECT 'info', 'other_type', '', printf('%d rows mapped to campaign_ty
 UNION ALL SELECT 'warning', 'channel_drift', campaign, printf('Campaign ''%s'' appears under multiple channels.', campaign) FROM per WHERE n_channels > 1
 UNION ALL SELECT 'info', 'sparse_history', campaign, printf('Campaign ''%s'' has sparse history (%d/%d active days).', campaign, active_days, span_days)
   FROM per WHERE CAST(active_days AS DOUBLE) / span_days < 0.5 AND span_days > 14"""
+
+
+# ---------------------------------------------------------------------------
+# guard profiles, A10, Q1
+# ---------------------------------------------------------------------------
+
+def _q3(expr: str, name: str) -> str:
+    return ", ".join(f"COALESCE(quantile_cont({expr}, {p}) FILTER (WHERE isfinite({expr})), 0.0) AS {name}_p{int(p * 100)}"
+                     for p in (0.1, 0.5, 0.9))
+
+
+_PROFILE_SRC = "(SELECT * FROM ads_long WHERE date <= DATE '1999-12-31')"
+
+SQL["training_profile"] = f"""
+WITH src AS {_PROFILE_SRC},
+mo AS (SELECT strftime(date, '%Y-%m') AS month, CAST(SUM(spend) AS DOUBLE) AS s, CAST(SUM(revenue) AS DOUBLE) AS r FROM src GROUP BY 1),
+cm AS (SELECT campaign, strftime(date, '%Y-%m') AS month, CAST(SUM(spend) AS DOUBLE) AS s, CAST(SUM(revenue) AS DOUBLE) AS r
+       FROM src GROUP BY 1, 2 HAVING SUM(spend) > 0),
+ct AS (SELECT campaign, LEAST(GREATEST(CAST(SUM(revenue) AS DOUBLE) / CAST(SUM(spend) AS DOUBLE), 0.0), 100.0) AS roas
+       FROM src GROUP BY 1 HAVING SUM(spend) > 0),
+o AS (SELECT strftime(MIN(date), '%Y-%m-%d') AS date_min, strftime(MAX(date), '%Y-%m-%d') AS date_max,
+        array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels,
+        array_to_string(list_sort(list_distinct(list(campaign_type))), ',') AS campaign_types,
+        COUNT(DISTINCT campaign) AS n_campaigns, AVG(CASE WHEN channel = 'other' THEN 1.0 ELSE 0.0 END) AS other_channel_share FROM src)
+SELECT o.date_min, o.date_max, o.channels, o.campaign_types, o.n_campaigns, a.*, b.*, c.*, o.other_channel_share
+FROM o,
+ (SELECT {_q3('s', 'monthly_spend')}, {_q3('r', 'monthly_revenue')} FROM mo) a,
+ (SELECT {_q3('s', 'campaign_monthly_spend')}, {_q3('r', 'campaign_monthly_revenue')} FROM cm) b,
+ (SELECT {_q3('roas', 'roas')} FROM ct) c
+"""
+
+SQL["profile_by_channel"] = f"""
+WITH src AS {_PROFILE_SRC},
+chm AS (SELECT channel, strftime(date, '%Y-%m') AS month, CAST(SUM(spend) AS DOUBLE) AS s, CAST(SUM(revenue) AS DOUBLE) AS r
+        FROM src GROUP BY 1, 2)
+SELECT channel, {_q3('s', 'monthly_spend')}, {_q3('r', 'monthly_revenue')},
+  CASE WHEN SUM(s) > 0 THEN LEAST(GREATEST(SUM(r) / SUM(s), 0.0), 100.0) ELSE 0.0 END AS roas
+FROM chm GROUP BY channel
+"""
+
+
+def _upload_profile_sql() -> str:
+    pt = _PRED_TABLE.strip()
+    head, _, tail = pt.rpartition("\nSELECT ")
+    return head + ",\npt AS (SELECT " + tail + f"""),
+t AS (SELECT channel, campaign_type, tr28_spend * (30.0 / 28.0) AS s, tr28_revenue * (30.0 / 28.0) AS r
+      FROM pt WHERE window_days = (SELECT MIN(window_days) FROM pt)),
+ta AS (SELECT *, LEAST(GREATEST(CASE WHEN s > 0 THEN r / s ELSE 0.0 END, 0.0), 100.0) AS roas FROM t)
+SELECT array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels,
+  array_to_string(list_sort(list_distinct(list(campaign_type))), ',') AS campaign_types,
+  COUNT(*) AS n_campaigns,
+  0.0 AS monthly_spend_p10, SUM(s) AS monthly_spend_p50, 0.0 AS monthly_spend_p90,
+  0.0 AS monthly_revenue_p10, SUM(r) AS monthly_revenue_p50, 0.0 AS monthly_revenue_p90,
+  {", ".join(f"COALESCE(quantile_cont(s, {p}) FILTER (WHERE s > 0), 0.0) AS campaign_monthly_spend_p{int(p * 100)}" for p in (0.1, 0.5, 0.9))},
+  {", ".join(f"COALESCE(quantile_cont(r, {p}) FILTER (WHERE s > 0), 0.0) AS campaign_monthly_revenue_p{int(p * 100)}" for p in (0.1, 0.5, 0.9))},
+  {", ".join(f"COALESCE(quantile_cont(roas, {p}) FILTER (WHERE s > 0), 0.0) AS roas_p{int(p * 100)}" for p in (0.1, 0.5, 0.9))},
+  AVG(CASE WHEN channel = 'other' THEN 1.0 ELSE 0.0 END) AS other_channel_share
+FROM ta"""
+
+
+SQL["upload_profile"] = _upload_profile_sql()
+
+
+def _train_cte() -> str:
+    """The training table as a nested CTE ``tt``."""
+    return f"tt AS ({_TRAIN_TABLE.strip()})"
+
+
+SQL["global_median_roas"] = "WITH " + _train_cte() + """
+SELECT quantile_cont(LEAST(GREATEST(target_revenue / GREATEST(budget_input, 1e-9), 0.0), 100.0), 0.5) AS global_median_roas FROM tt"""
+
+SQL["ingest_checks"] = """
+WITH one AS (SELECT AVG(CASE WHEN channel = 'other' THEN 1.0 ELSE 0.0 END) AS other_share, SUM(revenue) AS rev,
+                    MAX(spend) AS max_spend, COUNT(*) AS n FROM ads_long)
+SELECT 'rows_parsed' AS "check", CASE WHEN n > 0 THEN 1 ELSE 0 END AS ok, CAST(n AS VARCHAR) AS detail FROM one
+UNION ALL SELECT 'other_channel_share', CASE WHEN COALESCE(other_share, 0) <= 0.05 THEN 1 ELSE 0 END, CAST(other_share AS VARCHAR) FROM one
+UNION ALL SELECT 'revenue_parsed', CASE WHEN COALESCE(rev, 0) > 0 THEN 1 ELSE 0 END, CAST(CAST(rev AS DECIMAL(38,6)) AS VARCHAR) FROM one
+UNION ALL SELECT 'spend_scale', CASE WHEN COALESCE(max_spend, 0) <= 10000000 THEN 1 ELSE 0 END, CAST(CAST(max_spend AS DECIMAL(18,6)) AS VARCHAR) FROM one"""
