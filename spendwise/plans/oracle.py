@@ -257,24 +257,20 @@ SELECT *, p50 * 0.55 AS revenue_p10, p50 AS revenue_p50, p50 * 1.65 AS revenue_p
 """
 
 
-def _rollup_sql(campaign_sql: str, spend: str = "budget_input") -> str:
-    body = campaign_sql.strip()
-    assert body.upper().startswith("WITH ")
-    head, _, tail = body.rpartition("\nSELECT ")
-    return f"""{head},
-cp AS (SELECT {tail}),
-lv AS (
+def _rollup_tail(cp: str, spend: str = "budget_input") -> str:
+    """``lv`` CTE + final SELECT of the four-level roll-up over CTE ``cp``."""
+    return f"""lv AS (
   SELECT 'campaign' AS level, channel, campaign_type, campaign, window_days,
-         revenue_p10 AS r10, revenue_p50 AS r50, revenue_p90 AS r90, {spend} AS sp FROM cp
+         revenue_p10 AS r10, revenue_p50 AS r50, revenue_p90 AS r90, {spend} AS sp FROM {cp}
   UNION ALL
   SELECT 'campaign_type', channel, campaign_type, '', window_days, SUM(revenue_p10), SUM(revenue_p50), SUM(revenue_p90), SUM({spend})
-  FROM cp GROUP BY channel, campaign_type, window_days
+  FROM {cp} GROUP BY channel, campaign_type, window_days
   UNION ALL
   SELECT 'channel', channel, '', '', window_days, SUM(revenue_p10), SUM(revenue_p50), SUM(revenue_p90), SUM({spend})
-  FROM cp GROUP BY channel, window_days
+  FROM {cp} GROUP BY channel, window_days
   UNION ALL
   SELECT 'blended', '', '', '', window_days, SUM(revenue_p10), SUM(revenue_p50), SUM(revenue_p90), SUM({spend})
-  FROM cp GROUP BY window_days)
+  FROM {cp} GROUP BY window_days)
 SELECT level, channel, campaign_type, campaign, window_days,
   r10 AS revenue_p10, r50 AS revenue_p50, r90 AS revenue_p90,
   CASE WHEN sp > 0 THEN r10 / sp ELSE 0.0 END AS roas_p10,
@@ -283,6 +279,15 @@ SELECT level, channel, campaign_type, campaign, window_days,
 FROM lv"""
 
 
+def _rollup_sql(campaign_sql: str, spend: str = "budget_input") -> str:
+    body = campaign_sql.strip()
+    assert body.upper().startswith("WITH ")
+    head, _, tail = body.rpartition("\nSELECT ")
+    return f"""{head},
+cp AS (SELECT {tail}),
+{_rollup_tail("cp", spend)}"""
+
+
 SQL["forecast_baseline"] = _rollup_sql(_baseline_campaign_sql())
 
 
@@ -558,3 +563,78 @@ SELECT 'rows_parsed' AS "check", CASE WHEN n > 0 THEN 1 ELSE 0 END AS ok, CAST(n
 UNION ALL SELECT 'other_channel_share', CASE WHEN COALESCE(other_share, 0) <= 0.05 THEN 1 ELSE 0 END, CAST(other_share AS VARCHAR) FROM one
 UNION ALL SELECT 'revenue_parsed', CASE WHEN COALESCE(rev, 0) > 0 THEN 1 ELSE 0 END, CAST(CAST(rev AS DECIMAL(38,6)) AS VARCHAR) FROM one
 UNION ALL SELECT 'spend_scale', CASE WHEN COALESCE(max_spend, 0) <= 10000000 THEN 1 ELSE 0 END, CAST(CAST(max_spend AS DECIMAL(18,6)) AS VARCHAR) FROM one"""
+
+
+# ---------------------------------------------------------------------------
+# G8 / M5 building blocks over an arbitrary feature-table CTE
+# ---------------------------------------------------------------------------
+
+def _g8(src: str, out: str, budget: str = "budget_input", fallback: str = "1.0") -> str:
+    """CTEs computing G8 baseline quantiles (q10/q50/q90) and the M6 baseline
+    (m6) over the table ``src``; result CTE ``out``."""
+    return f"""{out}_ch AS (SELECT channel, CASE WHEN SUM(tr28_spend) > 0 THEN SUM(tr28_revenue) / SUM(tr28_spend) ELSE 0.0 END AS ch_roas
+        FROM {src} GROUP BY channel),
+{out}_r AS (SELECT s.*, CASE WHEN tr28_roas > 0 THEN tr28_roas ELSE tr14_roas END AS _r1, COALESCE(c.ch_roas, 0.0) AS _chr
+        FROM {src} s LEFT JOIN {out}_ch c ON c.channel = s.channel),
+{out}_p AS (SELECT *, GREATEST(LEAST(GREATEST(CASE WHEN _r1 > 0 THEN _r1 WHEN _chr > 0 THEN _chr ELSE {fallback} END, 0.0), 100.0)
+                 * GREATEST({budget}, 0.0) * seasonal_index, 0.0) AS _p50,
+                 GREATEST(_r1 * GREATEST({budget}, 0.0) * seasonal_index, 0.0) AS m6 FROM {out}_r),
+{out} AS (SELECT * EXCLUDE (_r1, _chr, _p50), _p50 * 0.55 AS q10, _p50 * 1.0 AS q50, _p50 * 1.65 AS q90 FROM {out}_p)"""
+
+
+def _clean(x: str) -> str:
+    return f"(CASE WHEN isfinite({x}) THEN GREATEST({x}, 0.0) ELSE 0.0 END)"
+
+
+def _m5(src: str, out: str, params: str | None) -> str:
+    """CTEs for M5 post-processing of q10/q50/q90 in ``src`` (with m6 and
+    budget_input); ``params`` = CTE (window_days, blend_weight, width_factor)
+    with window 0 = pooled, or None."""
+    if params is None:
+        join = f"SELECT *, 1.0 AS bw, 1.0 AS wf FROM {src}"
+    else:
+        join = f"""SELECT s.*, COALESCE(p.blend_weight, g.blend_weight, 1.0) AS bw, COALESCE(p.width_factor, g.width_factor, 1.0) AS wf
+        FROM {src} s LEFT JOIN (SELECT * FROM {params} WHERE window_days <> 0) p ON p.window_days = s.window_days
+        LEFT JOIN (SELECT * FROM {params} WHERE window_days = 0) g ON TRUE"""
+    return f"""{out}_a AS ({join}),
+{out}_s AS (SELECT *, list_sort([{_clean('q10')}, {_clean('q50')}, {_clean('q90')}]) AS _s0,
+        isfinite(q10) AND isfinite(q50) AND isfinite(q90) AS _ok FROM {out}_a),
+{out}_b AS (SELECT *, CASE WHEN bw < 1.0 THEN bw * _s0[2] + (1.0 - bw) * m6 ELSE _s0[2] END AS _mid FROM {out}_s),
+{out}_c AS (SELECT *, LEAST(_s0[1], _mid) AS _lo, GREATEST(_s0[3], _mid) AS _hi FROM {out}_b),
+{out}_d AS (SELECT *, list_sort([{_clean('_mid - wf * (_mid - _lo)')}, {_clean('_mid')}, {_clean('_mid + wf * (_hi - _mid)')}]) AS _s1,
+        GREATEST(budget_input * 1.0, 0.0) AS _fb FROM {out}_c),
+{out} AS (SELECT * EXCLUDE (_s0, _s1, _ok, _mid, _lo, _hi, _fb, bw, wf),
+        CASE WHEN _ok THEN _s1[1] ELSE _fb * 0.6 END AS revenue_p10,
+        CASE WHEN _ok THEN _s1[2] ELSE _fb * 1.0 END AS revenue_p50,
+        CASE WHEN _ok THEN _s1[3] ELSE _fb * 1.5 END AS revenue_p90 FROM {out}_d)"""
+
+
+def _pt_cte() -> str:
+    return f"pt AS ({_PRED_TABLE.strip()})"
+
+
+def _fo_cte() -> str:
+    return f"fo AS ({_rollup_sql(_baseline_campaign_sql())})"
+
+
+def _with(*ctes: str, final: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + final.strip()
+
+
+SQL["forecast_override"] = _with(_pt_cte(), _fo_cte(), """
+plan AS (SELECT channel, CAST(floor(revenue_p50 / CASE WHEN roas_p50 <> 0 THEN roas_p50 ELSE 1.0 END + 0.5) AS DOUBLE) * 1.5 AS target
+         FROM fo WHERE level = 'channel' AND window_days = 30),
+tot AS (SELECT window_days, channel, SUM(budget_input) AS cur FROM pt GROUP BY window_days, channel),
+sc AS (SELECT t.window_days, t.channel, CASE WHEN t.cur > 0 AND p.target IS NOT NULL THEN p.target / t.cur END AS scale
+       FROM tot t JOIN plan p ON p.channel = t.channel),
+po AS (SELECT pt.* REPLACE (pt.budget_input * COALESCE(sc.scale, 1.0) AS budget_input) FROM pt
+       LEFT JOIN sc ON sc.window_days = pt.window_days AND sc.channel = pt.channel)""", _g8("po", "g"),
+    "camp AS (SELECT * EXCLUDE (q10, q50, q90), q10 AS revenue_p10, q50 AS revenue_p50, q90 AS revenue_p90 FROM g)",
+    final=", " + _rollup_tail("camp"))
+
+SQL["budget_sweep"] = _with(_pt_cte(), """
+grid AS (SELECT pt.* REPLACE (pt.budget_input * m.multiplier AS budget_input) FROM pt
+         CROSS JOIN (VALUES (0.5), (0.75), (1.0), (1.5), (2.0)) m(multiplier))""", _g8("grid", "g"), _m5("g", "m5", None),
+    final="""SELECT campaign, window_days, budget_input,
+  MAX(revenue_p10) OVER w AS revenue_p10, MAX(revenue_p50) OVER w AS revenue_p50, MAX(revenue_p90) OVER w AS revenue_p90
+FROM m5 WINDOW w AS (PARTITION BY campaign, window_days ORDER BY budget_input ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
