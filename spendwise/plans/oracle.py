@@ -638,3 +638,55 @@ grid AS (SELECT pt.* REPLACE (pt.budget_input * m.multiplier AS budget_input) FR
     final="""SELECT campaign, window_days, budget_input,
   MAX(revenue_p10) OVER w AS revenue_p10, MAX(revenue_p50) OVER w AS revenue_p50, MAX(revenue_p90) OVER w AS revenue_p90
 FROM m5 WINDOW w AS (PARTITION BY campaign, window_days ORDER BY budget_input ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+
+
+# ---------------------------------------------------------------------------
+# calibration (A11–A14) and the calibrated forecast (M5 + A9)
+# ---------------------------------------------------------------------------
+_GRID = (1.0, 0.85, 0.7, 0.5)
+
+
+def _calibration_ctes() -> list[str]:
+    wapes = ", ".join(f"SUM(abs(y - ({w!r} * mid + {1.0 - w!r} * base))) AS w{i}" for i, w in enumerate(_GRID))
+    pick_w, pick_v = "1.0", "w0 / den"
+    steps = []
+    for i, w in enumerate(_GRID[1:], start=1):
+        cond = f"w{i} / den < ({pick_v}) - 1e-9"
+        pick_w, pick_v = f"CASE WHEN {cond} THEN {w!r} ELSE {pick_w} END", f"CASE WHEN {cond} THEN w{i} / den ELSE {pick_v} END"
+        steps.append((pick_w, pick_v))
+    inf = "CAST('inf' AS DOUBLE)"
+    return [
+        f"tt AS ({_TRAIN_TABLE.strip()})",
+        "ex AS (SELECT tt.* REPLACE (budget_input_ex AS budget_input) FROM tt)",
+        _g8("ex", "g"),
+        "cr AS (SELECT window_days, window_start, target_revenue AS y, q10 AS lo, q50 AS mid, q90 AS hi, m6 AS base FROM g)",
+        "st AS (SELECT quantile_cont(CAST(date_diff('day', DATE '1970-01-01', window_start) AS DOUBLE), 0.8) AS cut, COUNT(*) AS n FROM cr)",
+        "xs AS (SELECT cr.*, date_diff('day', DATE '1970-01-01', window_start) > st.cut AS is_cal, st.n FROM cr, st)",
+        "cnt AS (SELECT SUM(CASE WHEN is_cal THEN 1 ELSE 0 END) AS ncal, SUM(CASE WHEN is_cal THEN 0 ELSE 1 END) AS nfit, MAX(n) AS n FROM xs)",
+        "cal AS (SELECT 0 AS grp, y, lo, mid, hi, base FROM xs WHERE is_cal UNION ALL SELECT window_days, y, lo, mid, hi, base FROM xs WHERE is_cal)",
+        f"agg AS (SELECT grp, COUNT(*) AS n_cal, SUM(abs(y)) AS den0, {wapes} FROM cal GROUP BY grp)",
+        f"wts AS (SELECT grp, n_cal, {pick_w.replace('den', '(CASE WHEN den0 > 0 THEN den0 ELSE 1.0 END)')} AS bw FROM agg)",
+        f"""fr AS (SELECT c.grp, w.bw, c.y, LEAST(c.lo, w.bw * c.mid + (1.0 - w.bw) * c.base) AS lo_b,
+               w.bw * c.mid + (1.0 - w.bw) * c.base AS mid_b, GREATEST(c.hi, w.bw * c.mid + (1.0 - w.bw) * c.base) AS hi_b
+             FROM cal c JOIN wts w ON w.grp = c.grp)""",
+        f"""fq AS (SELECT grp, CASE WHEN y = mid_b THEN 0.0
+                 WHEN y > mid_b THEN (CASE WHEN hi_b > mid_b THEN (y - mid_b) / (hi_b - mid_b) ELSE {inf} END)
+                 ELSE (CASE WHEN mid_b > lo_b THEN (mid_b - y) / (mid_b - lo_b) ELSE {inf} END) END AS f FROM fr)""",
+        """fk AS (SELECT grp, MIN(f) FILTER (WHERE CAST(rn AS DOUBLE) / cnt >= 0.8) AS f_k FROM (
+               SELECT grp, f, row_number() OVER (PARTITION BY grp ORDER BY f) AS rn, COUNT(*) OVER (PARTITION BY grp) AS cnt FROM fq)
+             GROUP BY grp)""",
+        """per AS (SELECT w.grp, w.n_cal, w.bw AS blend_weight,
+               CASE WHEN f_k > 8.0 THEN 8.0 ELSE GREATEST(f_k, 1.0) END AS width_factor FROM wts w JOIN fk ON fk.grp = w.grp)""",
+        """params AS (SELECT p.grp AS window_days, p.n_cal,
+               CASE WHEN NOT (c.n >= 40 AND c.ncal >= 10 AND c.nfit >= 20) THEN 1.0
+                    WHEN p.grp <> 0 AND p.n_cal < 15 THEN q.blend_weight ELSE p.blend_weight END AS blend_weight,
+               CASE WHEN NOT (c.n >= 40 AND c.ncal >= 10 AND c.nfit >= 20) THEN 1.0
+                    WHEN p.grp <> 0 AND p.n_cal < 15 THEN q.width_factor ELSE p.width_factor END AS width_factor
+             FROM per p CROSS JOIN cnt c CROSS JOIN (SELECT * FROM per WHERE grp = 0) q)""",
+    ]
+
+
+SQL["calibration"] = _with(*_calibration_ctes(), final="SELECT window_days, n_cal, blend_weight, width_factor FROM params")
+
+SQL["forecast_calibrated"] = _with(*_calibration_ctes(), _pt_cte(), _g8("pt", "pg"), _m5("pg", "m5", "params"),
+                                   final=", " + _rollup_tail("m5"))
