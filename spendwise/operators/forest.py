@@ -24,7 +24,7 @@ from .guard import finite
 SKETCH_PROBS = [round((i + 0.5) / 25, 4) for i in range(25)]  # 25 evenly spaced
 QUANTILES = (0.1, 0.5, 0.9)
 FOREST = dict(numTrees=30, maxDepth=9, minInstancesPerNode=20, featureSubsetStrategy="all",
-              subsamplingRate=0.7, seed=42)
+              subsamplingRate=0.7, seed=42, maxMemoryInMB=1024, cacheNodeIds=True)
 
 
 def design(df: DataFrame) -> DataFrame:

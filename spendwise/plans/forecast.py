@@ -55,11 +55,18 @@ def forest_forecast(training_table: DataFrame, prediction_table: DataFrame, trai
     split = CA.time_split(training_table)
     fit_rows = split.where(~F.col("is_cal")).select(*training_table.columns)
     early = QF.QuantileForest(**forest_params).fit(fit_rows)
-    ex = training_table.drop("budget_input").withColumnRenamed("budget_input_ex", "budget_input")
-    pc = early.predict(ex, key=key_t)
+    # only the later slice is scored (under the extrapolated budget); the
+    # earlier rows enter the calibration frame for the split counts only
+    ex = split.drop("budget_input").withColumnRenamed("budget_input_ex", "budget_input")
+    pc = early.predict(ex.where(F.col("is_cal")).select(*[c for c in ex.columns if not c.startswith("_") and c != "is_cal"]),
+                       key=key_t)
     lo, mid, hi = G.sort3(F.col("q10"), F.col("q50"), F.col("q90"))
-    cal_rows = pc.select("window_days", "window_start", F.col("target_revenue").alias("y"), lo.alias("lo"),
-                         mid.alias("mid"), hi.alias("hi"), G.seasonal_roas_baseline(pc).alias("base"))
+    scored = pc.select("window_days", "window_start", F.col("target_revenue").alias("y"), lo.alias("lo"),
+                       mid.alias("mid"), hi.alias("hi"), G.seasonal_roas_baseline(pc).alias("base"))
+    none = F.lit(None).cast("double")
+    unscored = ex.where(~F.col("is_cal")).select("window_days", "window_start", F.col("target_revenue").alias("y"),
+                                                  none.alias("lo"), none.alias("mid"), none.alias("hi"), none.alias("base"))
+    cal_rows = cut_lineage(scored.unionByName(unscored))  # scored once, read by several aggregates
     params = cut_lineage(CA.calibrate(cal_rows))
     full = QF.QuantileForest(**forest_params).fit(training_table)
     groas = CA.global_median_roas(training_table).first()["global_median_roas"]  # one scalar
