@@ -112,19 +112,21 @@ def validate_claims(claims: DataFrame, ctx: DataFrame) -> DataFrame:
 
 def claims_from_forecast(out: DataFrame) -> DataFrame:
     """Test claims derived from forecast rows: summary claims for blended /
-    channel rows and watch items for top campaigns; about every third number
+    channel rows and watch items for the top campaigns; by position within the
+    window (a bounded set: blended + channels + top 8) every third number is
     perturbed by 10 %, every fifth evidence list removed and every seventh
-    claim given a banned phrase (selection by a stable hash)."""
+    claim given a banned phrase."""
     rows = out.where(F.col("level").isin("blended", "channel")).withColumn("kind", F.lit("summary")).unionByName(
         top_campaigns(out).drop("rank").withColumn("kind", F.lit("watch")))
-    h = F.abs(F.xxhash64("level", "channel", "campaign", "window_days"))
-    p50 = F.when(h % 3 == 0, F.col("revenue_p50") * 1.1).otherwise(F.col("revenue_p50"))
+    pos = F.row_number().over(Window.partitionBy("window_days").orderBy("level", "channel", "campaign"))
+    rows = rows.withColumn("pos", pos)
+    p50 = F.when(F.col("pos") % 3 == 0, F.col("revenue_p50") * 1.1).otherwise(F.col("revenue_p50"))
     who = F.when(F.col("level") == "blended", F.lit("Blended revenue")).when(
         F.col("level") == "channel", F.initcap("channel")).otherwise(F.col("campaign"))
     text = F.concat(who, F.lit(" is forecast at "), _money(p50), F.lit(" (P50) over the next "),
                     F.col("window_days").cast("string"), F.lit(" days"),
-                    F.when(h % 7 == 0, F.lit(", and will definitely grow")).otherwise(F.lit("")), F.lit("."))
-    evidence = F.when(h % 5 == 0, F.array().cast("array<string>")).otherwise(
+                    F.when(F.col("pos") % 7 == 0, F.lit(", and will definitely grow")).otherwise(F.lit("")), F.lit("."))
+    evidence = F.when(F.col("pos") % 5 == 0, F.array().cast("array<string>")).otherwise(
         F.array(F.concat(F.col("level"), F.lit("["), who, F.lit("].revenue_p50"))))
     return rows.select(
         "window_days", "kind", text.alias("text"), evidence.alias("evidence"),

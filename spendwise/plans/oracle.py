@@ -690,3 +690,138 @@ SQL["calibration"] = _with(*_calibration_ctes(), final="SELECT window_days, n_ca
 
 SQL["forecast_calibrated"] = _with(*_calibration_ctes(), _pt_cte(), _g8("pt", "pg"), _m5("pg", "m5", "params"),
                                    final=", " + _rollup_tail("m5"))
+
+
+# ---------------------------------------------------------------------------
+# insights: context, claims, validation, status
+# ---------------------------------------------------------------------------
+_BANNED = ("will definitely", "guaranteed", "certainly", "without a doubt", "because of competitor", "competitor activity",
+           "because of inflation", "inflation", "algorithm update", "algorithm change",
+           "customers are changing behavior", "market crash")
+_FIXED_NAMES = ("google", "meta", "microsoft", "bing", "microsoft/bing", "blended")
+
+
+def _insight_ctes() -> list[str]:
+    banned = " OR ".join(f"contains(lower(text), '{b}')" for b in _BANNED)
+    fixed = ", ".join(f"'{n}'" for n in _FIXED_NAMES)
+    return [
+        _fo_cte(),
+        """top AS (SELECT * FROM (SELECT fo.*, row_number() OVER (PARTITION BY window_days ORDER BY revenue_p50 DESC, campaign) AS rank
+                 FROM fo WHERE level = 'campaign') WHERE rank <= 8)""",
+        """crow AS (SELECT level, channel, campaign_type, campaign, window_days, revenue_p10, revenue_p50, revenue_p90, roas_p10, roas_p50, roas_p90
+                  FROM fo WHERE level IN ('blended', 'channel', 'campaign_type')
+                  UNION ALL SELECT level, channel, campaign_type, campaign, window_days, revenue_p10, revenue_p50, revenue_p90, roas_p10, roas_p50, roas_p90 FROM top)""",
+        f"""ctx AS (SELECT window_days,
+               list_distinct(flatten(list([CAST(window_days AS DOUBLE), revenue_p10, revenue_p50, revenue_p90, roas_p10, roas_p50, roas_p90]))) AS numbers,
+               list_distinct(list_concat(list_filter(flatten(list([lower(trim(channel)), lower(trim(campaign_type)), lower(trim(campaign))])), lambda n: n <> ''),
+                                         [{fixed}])) AS names,
+               list_sort(list_distinct(list(CASE WHEN level = 'channel' AND channel <> '' THEN channel END))) AS allowed_channels,
+               list_sort(list_distinct(list(CASE WHEN level = 'campaign' THEN campaign END))) AS allowed_campaigns
+             FROM crow GROUP BY window_days)""",
+        """cl0 AS (SELECT *, row_number() OVER (PARTITION BY window_days ORDER BY level, channel, campaign) AS pos FROM (
+               SELECT level, channel, campaign, window_days, revenue_p50, 'summary' AS kind FROM fo WHERE level IN ('blended', 'channel')
+               UNION ALL SELECT level, channel, campaign, window_days, revenue_p50, 'watch' FROM top))""",
+        """cl AS (SELECT window_days, kind,
+               (CASE WHEN level = 'blended' THEN 'Blended revenue' WHEN level = 'channel' THEN upper(substr(channel, 1, 1)) || lower(substr(channel, 2))
+                     ELSE campaign END) || ' is forecast at $' ||
+               format('{:,.0f}', CASE WHEN pos % 3 = 0 THEN revenue_p50 * 1.1 ELSE revenue_p50 END) || ' (P50) over the next ' ||
+               CAST(window_days AS VARCHAR) || ' days' || (CASE WHEN pos % 7 = 0 THEN ', and will definitely grow' ELSE '' END) || '.' AS text,
+               CASE WHEN pos % 5 = 0 THEN 0 ELSE 1 END AS n_evidence,
+               CASE WHEN kind = 'watch' THEN campaign END AS ref_name FROM cl0)""",
+        f"""cv AS (SELECT cl.window_days, cl.kind, cl.text,
+               CASE WHEN n_evidence <= 0 THEN 'dropped item without evidence references'
+                    WHEN {banned} THEN 'dropped item with deterministic/unsupported-causality language'
+                    WHEN len(list_filter(list_transform(regexp_extract_all(text, '-?\\$?\\d[\\d,]*\\.?\\d*'),
+                             lambda t: TRY_CAST(replace(replace(t, ',', ''), '$', '') AS DOUBLE)),
+                             lambda v: NOT (v IS NULL OR v IN (10.0, 50.0, 90.0, 30.0, 60.0, 80.0) OR abs(v) <= 12.0
+                                       OR len(list_filter(ctx.numbers, lambda a: a <> 0 AND abs(v - a) <= GREATEST(0.015 * abs(a), 0.51))) > 0))) > 0
+                      THEN 'dropped item citing a number not present in the context'
+                    WHEN kind = 'watch' AND NOT (lower(trim(COALESCE(ref_name, ''))) <> '' AND len(list_filter(ctx.names,
+                             lambda n: n = lower(trim(COALESCE(ref_name, ''))) OR contains(n, lower(trim(COALESCE(ref_name, ''))))
+                                  OR contains(lower(trim(COALESCE(ref_name, ''))), n))) > 0)
+                      THEN 'dropped watch item: unknown campaign or group' END AS reason
+             FROM cl LEFT JOIN ctx ON ctx.window_days = cl.window_days)""",
+    ]
+
+
+SQL["insight_context"] = _with(*_insight_ctes(), final="""SELECT window_days, len(numbers) AS n_numbers,
+  array_to_string(list_sort(names), ',') AS names, array_to_string(allowed_channels, ',') AS allowed_channels,
+  array_to_string(allowed_campaigns, ',') AS allowed_campaigns FROM ctx""")
+
+SQL["claim_validation"] = _with(*_insight_ctes(), final="""SELECT window_days, kind, text,
+  CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS accepted, reason FROM cv""")
+
+_RULE_CTES = [
+    """ri AS (SELECT window_days,
+        SUM(CASE WHEN level = 'blended' THEN 4 ELSE 0 END)
+        + CASE WHEN SUM(CASE WHEN level = 'channel' THEN 1 ELSE 0 END) > 0 THEN 3 ELSE 0 END
+        + CASE WHEN SUM(wide) > 0 THEN SUM(wide) ELSE SUM(CASE WHEN level = 'blended' THEN 1 ELSE 0 END) END
+        + LEAST(3, SUM(CASE WHEN level = 'campaign' THEN 1 ELSE 0 END)) AS rule_items
+      FROM (SELECT *, CASE WHEN level = 'channel' AND revenue_p50 > 0 AND (revenue_p90 - revenue_p10) > 4.0 * revenue_p50
+                           THEN 1 ELSE 0 END AS wide FROM fo) GROUP BY window_days)""",
+    """vd AS (SELECT window_days, SUM(CASE WHEN reason IS NULL AND kind = 'summary' THEN 1 ELSE 0 END) AS summaries,
+        SUM(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) AS rejected, COUNT(*) AS claims FROM cv GROUP BY window_days)""",
+]
+
+SQL["insight_status"] = _with(*_insight_ctes(), *_RULE_CTES, final="""
+SELECT COALESCE(vd.window_days, ri.window_days) AS window_days,
+  CASE WHEN vd.summaries > 0 THEN 'passed' ELSE 'fallback' END AS status,
+  COALESCE(vd.claims, 0) AS claims, COALESCE(vd.rejected, 0) AS rejected,
+  CASE WHEN vd.summaries > 0 THEN vd.summaries ELSE ri.rule_items END AS items_used
+FROM vd FULL JOIN ri ON ri.window_days = vd.window_days""")
+
+
+def _cap(x: str) -> str:
+    return f"(upper(substr({x}, 1, 1)) || lower(substr({x}, 2)))"
+
+
+def _usd(x: str) -> str:
+    return f"('$' || format('{{:,.0f}}', {x}))"
+
+
+SQL["rule_insights"] = _with(_fo_cte(), f"""
+b AS (SELECT * FROM fo WHERE level = 'blended'),
+ch AS (SELECT * FROM fo WHERE level = 'channel'),
+best AS (SELECT window_days, arg_max(channel, revenue_p50) AS top_ch, MAX(revenue_p50) AS top_p50,
+           arg_max(channel, roas_p50) AS best_ch, MAX(roas_p50) AS best_roas,
+           arg_min(channel, roas_p50) AS worst_ch, MIN(roas_p50) AS worst_roas, COUNT(*) AS n_ch FROM ch GROUP BY window_days),
+wide AS (SELECT * FROM ch WHERE revenue_p50 > 0 AND (revenue_p90 - revenue_p10) > 4.0 * revenue_p50),
+top3 AS (SELECT * FROM (SELECT fo.*, row_number() OVER (PARTITION BY window_days ORDER BY revenue_p50 DESC, campaign) AS rank
+         FROM fo WHERE level = 'campaign') WHERE rank <= 3)""", final=f"""
+SELECT window_days, 'forecast_summary' AS section, 0 AS ordinal,
+  'Over the next ' || CAST(window_days AS VARCHAR) || ' days, blended revenue is forecast at ' || {_usd('revenue_p50')}
+  || ' expected (P50), with a range of ' || {_usd('revenue_p10')} || ' (P10) to ' || {_usd('revenue_p90')}
+  || ' (P90) and an expected ROAS of ' || printf('%.2f', roas_p50) || 'x (P50).' AS text,
+  'blended.revenue_p10,blended.revenue_p50,blended.revenue_p90,blended.roas_p50' AS evidence FROM b
+UNION ALL SELECT window_days, 'forecast_summary', 1,
+  {_cap('top_ch')} || ' contributes the largest share of forecast revenue at ' || {_usd('top_p50')} || ' (P50), so changes in '
+  || {_cap('top_ch')} || ' spend may have the largest blended impact.', 'channels[' || top_ch || '].revenue_p50' FROM best
+UNION ALL SELECT window_days, 'budget_recommendations', 0,
+  {_cap('best_ch')} || ' shows the highest expected ROAS (' || printf('%.2f', best_roas)
+  || 'x P50) among detected channels; incremental budget appears most efficient there, subject to diminishing returns.',
+  'channels[' || best_ch || '].roas_p50' FROM best
+UNION ALL SELECT window_days, 'risks', 1,
+  {_cap('channel')} || ' has a wide P10-P90 revenue range (' || {_usd('revenue_p10')} || ' to ' || {_usd('revenue_p90')}
+  || '), so forecast confidence for this channel may be lower.',
+  'channels[' || channel || '].revenue_p10,channels[' || channel || '].revenue_p90' FROM wide
+UNION ALL SELECT window_days, 'risks', 0, 'No channel-level anomaly flags in the current forecast output.', 'channels'
+  FROM b WHERE window_days NOT IN (SELECT window_days FROM wide)
+UNION ALL SELECT window_days, 'campaigns_to_watch', rank,
+  campaign || ': Top forecast contributor at ' || {_usd('revenue_p50')} || ' expected revenue (P50) over '
+  || CAST(window_days AS VARCHAR) || ' days.', 'top_campaigns[' || campaign || '].revenue_p50' FROM top3
+UNION ALL SELECT window_days, 'suggested_budget_shift', 0,
+  CASE WHEN n_ch >= 2 AND worst_ch <> best_ch THEN 'Based on the forecast output, shifting incremental budget from '
+    || {_cap('worst_ch')} || ' (' || printf('%.2f', worst_roas) || 'x expected ROAS) toward ' || {_cap('best_ch')} || ' ('
+    || printf('%.2f', best_roas) || 'x expected ROAS) may improve blended efficiency, subject to diminishing returns.'
+    ELSE 'Not enough evidence in the provided data.' END,
+  CASE WHEN n_ch >= 2 AND worst_ch <> best_ch THEN 'channels[' || worst_ch || '].roas_p50,channels[' || best_ch || '].roas_p50'
+    ELSE 'channels' END FROM best
+UNION ALL SELECT window_days, 'limitations', t.i - 1, t.txt, '' FROM b CROSS JOIN (VALUES
+  (1, 'Forecast assumes budgets and attribution remain as observed in the input data.'),
+  (2, 'P10-P90 intervals are calibrated on historical backtests (~80% target coverage).'),
+  (3, 'Not enough evidence in the provided data to attribute changes to external market events.')) t(i, txt)""")
+
+SQL["insight_narrative"] = f"""WITH rl AS ({SQL["rule_insights"]})
+SELECT window_days, string_agg('- ' || text, chr(10) ORDER BY list_position(['forecast_summary', 'risks', 'budget_recommendations',
+  'campaigns_to_watch', 'suggested_budget_shift', 'limitations'], section), ordinal, '- ' || text) AS narrative
+FROM rl GROUP BY window_days"""
