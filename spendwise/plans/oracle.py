@@ -825,3 +825,90 @@ SQL["insight_narrative"] = f"""WITH rl AS ({SQL["rule_insights"]})
 SELECT window_days, string_agg('- ' || text, chr(10) ORDER BY list_position(['forecast_summary', 'risks', 'budget_recommendations',
   'campaigns_to_watch', 'suggested_budget_shift', 'limitations'], section), ordinal, '- ' || text) AS narrative
 FROM rl GROUP BY window_days"""
+
+
+# ---------------------------------------------------------------------------
+# scale guard: assessment (G2–G7a) and guarded forecast (G8–G10) on uploads
+# ---------------------------------------------------------------------------
+
+def with_scaled_fixtures(body: str, factor: int = 100) -> str:
+    fx = FIXTURES.strip().replace("FROM ads_long", "FROM ads_scaled")
+    fx = fx.replace("\ndaily AS (", f"\nads_scaled AS (SELECT * REPLACE (spend * {factor} AS spend, revenue * {factor} AS revenue) FROM ads_long),\ndaily AS (", 1)
+    body = body.strip()
+    assert body.upper().startswith("WITH ")
+    return "WITH " + fx + ",\n" + body[5:]
+
+
+WRAPPERS = {"guard_assess_x100": with_scaled_fixtures, "guarded_forecast_x100": with_scaled_fixtures}
+
+
+def _ratio(up: str, tr: str) -> str:
+    u, t = f"COALESCE({up}, 0.0)", f"COALESCE({tr}, 0.0)"
+    return f"(CASE WHEN {t} <= 0 THEN (CASE WHEN {u} > 0 THEN CAST('inf' AS DOUBLE) ELSE 1.0 END) ELSE {u} / {t} END)"
+
+
+def _guard_ctes() -> list[str]:
+    tp = SQL["training_profile"].strip()
+    upl = _upload_profile_sql().strip()
+    sig = []
+    reasons = []
+    for name, w in (("monthly_revenue", 0.25), ("monthly_spend", 0.25), ("campaign_monthly_revenue", 0.15),
+                    ("campaign_monthly_spend", 0.15)):
+        r90 = _ratio(f"u.{name}_p50", f"t.{name}_p90")
+        r50 = _ratio(f"u.{name}_p50", f"t.{name}_p50")
+        fire = f"({r90} > 5.0 OR ({r50} > 5.0 AND {r90} > 1.0))"
+        sig.append(f"CASE WHEN {fire} THEN {w} * LEAST(1.0, 0.5 + GREATEST({r90} / 25.0, {r50} / 50.0)) ELSE 0.0 END")
+        label = name.replace("_", " ")
+        reasons.append(f"CASE WHEN {fire} THEN 'Uploaded {label} is ' || (CASE WHEN {r50} = CAST('inf' AS DOUBLE) THEN 'inf' "
+                       f"ELSE format('{{:,.1f}}', {r50}) END) || 'x higher than the training median' END")
+    up_roas, t10, t90 = "COALESCE(u.roas_p50, 0.0)", "COALESCE(t.roas_p10, 0.0)", "COALESCE(t.roas_p90, 0.0)"
+    roas_fire = f"({t90} * 3.0 > 0 AND {up_roas} > 0 AND NOT ({t10} / 3.0 <= {up_roas} AND {up_roas} <= {t90} * 3.0))"
+    sig.append(f"CASE WHEN {roas_fire} THEN 0.15 ELSE 0.0 END")
+    reasons.append(f"CASE WHEN {roas_fire} THEN printf('Uploaded median campaign ROAS (%.2fx) is far outside the training range (%.2fx-%.2fx)', "
+                   f"{up_roas}, {t10}, {t90}) END")
+    up_t = "string_split(u.campaign_types, ',')"
+    tr_t = "string_split(t.campaign_types, ',')"
+    unseen = f"list_filter({up_t}, lambda x: NOT list_contains({tr_t}, x))"
+    t_fire = f"(len({tr_t}) > 0 AND len({up_t}) > 0 AND CAST(len({unseen}) AS DOUBLE) / len({up_t}) > 0.3)"
+    sig.append(f"CASE WHEN {t_fire} THEN 0.10 ELSE 0.0 END")
+    reasons.append(f"CASE WHEN {t_fire} THEN printf('%d/%d campaign types were never seen in training', len({unseen}), len({up_t})) END")
+    other = "COALESCE(u.other_channel_share, 0.0)"
+    sig.append(f"CASE WHEN {other} > 0.20 THEN 0.10 ELSE 0.0 END")
+    reasons.append(f"CASE WHEN {other} > 0.20 THEN format('{{:,.0f}}', {other} * 100) || '% of rows could not be mapped to a known channel' END")
+    dv = "d.divergence"
+    d_fire = f"(isfinite({dv}) AND {dv} > 0 AND ({dv} < 1.0 / 3.0 OR {dv} > 3.0))"
+    sig.append(f"CASE WHEN {d_fire} THEN 0.40 * LEAST(1.0, (CASE WHEN {dv} < 1 THEN (1.0 / 3.0) / {dv} ELSE {dv} / 3.0 END) / 5.0) ELSE 0.0 END")
+    reasons.append(f"CASE WHEN {d_fire} THEN 'Model P50 revenue diverges from the trailing-ROAS baseline by ' || "
+                   f"format('{{:,.1f}}', CASE WHEN {dv} < 1 THEN 1.0 / {dv} ELSE {dv} END) || 'x — symptomatic of out-of-scale inputs' END")
+    total = " + ".join(f"({p})" for p in sig)
+    return [
+        f"tp AS ({tp})",
+        f"up AS ({upl})",
+        _pt_cte(),
+        _g8("pt", "gp"),
+        "dv AS (SELECT CASE WHEN SUM(q50) > 0 THEN SUM(q50) / SUM(q50) END AS divergence FROM gp)",
+        f"""sc AS (SELECT LEAST(1.0, {total}) AS score,
+               list_filter([{", ".join(reasons)}], lambda r: r IS NOT NULL) AS reasons FROM up u, tp t, dv d)""",
+        """asmt AS (SELECT CASE WHEN score < 0.30 THEN 'High' WHEN score < 0.60 THEN 'Medium' ELSE 'Low' END AS confidence,
+               round_even(score, 3) AS ood_score, array_to_string(reasons, ' | ') AS reasons FROM sc)""",
+        """asw AS (SELECT *, CASE confidence WHEN 'High' THEN 1.0 WHEN 'Medium' THEN 0.6 ELSE 0.25 END AS model_weight,
+               CASE confidence WHEN 'High' THEN 0.0 WHEN 'Medium' THEN 0.4 ELSE 0.75 END AS baseline_weight FROM asmt)""",
+    ]
+
+
+_ASSESS_FINAL = """SELECT confidence, ood_score, reasons, model_weight, baseline_weight,
+  CASE WHEN baseline_weight > 0 THEN round_even(1.0 + ood_score, 3) ELSE 1.0 END AS interval_widening,
+  CASE WHEN baseline_weight > 0 THEN 1 ELSE 0 END AS fallback_used FROM asw"""
+
+SQL["guard_assess"] = _with(*_guard_ctes(), final=_ASSESS_FINAL)
+SQL["guard_assess_x100"] = _with(*_guard_ctes(), final=_ASSESS_FINAL)
+
+SQL["guarded_forecast_x100"] = _with(*_guard_ctes(), """
+gb AS (SELECT gp.*, a.model_weight AS wm, a.baseline_weight AS wb, a.ood_score,
+         a.model_weight * gp.q10 + a.baseline_weight * gp.q10 AS b10, a.model_weight * gp.q50 + a.baseline_weight * gp.q50 AS b50,
+         a.model_weight * gp.q90 + a.baseline_weight * gp.q90 AS b90 FROM gp CROSS JOIN asw a)""", f"""
+gw AS (SELECT *, list_sort([{_clean('b50 - (1.0 + ood_score) * (b50 - b10)')}, {_clean('b50')}, {_clean('b50 + (1.0 + ood_score) * (b90 - b50)')}]) AS s FROM gb)""",
+    """camp AS (SELECT channel, campaign_type, campaign, window_days, budget_input,
+         CASE WHEN wb > 0 THEN s[1] ELSE q10 END AS revenue_p10, CASE WHEN wb > 0 THEN s[2] ELSE q50 END AS revenue_p50,
+         CASE WHEN wb > 0 THEN s[3] ELSE q90 END AS revenue_p90 FROM gw)""",
+    final=", " + _rollup_tail("camp"))

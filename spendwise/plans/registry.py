@@ -83,6 +83,6 @@ def oracle_sql() -> dict[str, str]:
     for name, (_, spec) in _REGISTRY.items():
         body = O.SQL.get(name)
         if body is not None:
-            wrap = O.with_train_fixtures if name in O.TRAIN_FIXTURE_QUERIES else O.with_fixtures
+            wrap = O.with_train_fixtures if name in O.TRAIN_FIXTURE_QUERIES else O.WRAPPERS.get(name, O.with_fixtures)
             out[name] = present_sql(wrap(body), spec)
     return out
