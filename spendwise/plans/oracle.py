@@ -912,3 +912,61 @@ gw AS (SELECT *, list_sort([{_clean('b50 - (1.0 + ood_score) * (b50 - b10)')}, {
          CASE WHEN wb > 0 THEN s[1] ELSE q10 END AS revenue_p10, CASE WHEN wb > 0 THEN s[2] ELSE q50 END AS revenue_p50,
          CASE WHEN wb > 0 THEN s[3] ELSE q90 END AS revenue_p90 FROM gw)""",
     final=", " + _rollup_tail("camp"))
+
+
+# ---------------------------------------------------------------------------
+# Q3 validator and Q6 readiness
+# ---------------------------------------------------------------------------
+SQL["data_quality"] = _with(_fo_cte(), """
+c AS (SELECT COUNT(*) AS rows,
+  SUM(CASE WHEN NOT (isfinite(revenue_p10) AND isfinite(revenue_p50) AND isfinite(revenue_p90) AND isfinite(roas_p10)
+                     AND isfinite(roas_p50) AND isfinite(roas_p90)) THEN 1 ELSE 0 END) AS non_finite,
+  SUM(CASE WHEN LEAST(revenue_p10, revenue_p50, revenue_p90, roas_p10, roas_p50, roas_p90) < 0 THEN 1 ELSE 0 END) AS negative,
+  SUM(CASE WHEN revenue_p10 > revenue_p50 + 1e-9 OR revenue_p50 > revenue_p90 + 1e-9 THEN 1 ELSE 0 END) AS crossing_revenue,
+  SUM(CASE WHEN roas_p10 > roas_p50 + 1e-9 OR roas_p50 > roas_p90 + 1e-9 THEN 1 ELSE 0 END) AS crossing_roas,
+  SUM(CASE WHEN channel = '' AND campaign_type = '' AND campaign = '' AND level = '' THEN 1 ELSE 0 END) AS empty_rows,
+  array_to_string(list_sort(list_distinct(list(level))), ',') AS levels,
+  array_to_string(list_transform(list_sort(list_distinct(list(window_days))), lambda x: CAST(x AS VARCHAR)), ',') AS wins FROM fo),
+dup AS (SELECT COALESCE(SUM(n - 1), 0) AS dupes FROM (SELECT COUNT(*) AS n FROM fo GROUP BY level, window_days, channel, campaign_type, campaign)),
+req AS (SELECT DISTINCT channel FROM ads_long WHERE channel <> 'other'),
+miss AS (SELECT COUNT(*) AS missing, COALESCE(array_to_string(list_sort(list(channel)), ','), '') AS missing_list
+         FROM req WHERE channel NOT IN (SELECT channel FROM fo WHERE level = 'channel')),
+pw AS (SELECT window_days, SUM(CASE WHEN level = 'channel' THEN revenue_p50 END) AS ch,
+         MAX(CASE WHEN level = 'blended' THEN revenue_p50 END) AS bl, COUNT(CASE WHEN level = 'blended' THEN 1 END) AS nb,
+         list_filter([MAX(CASE WHEN level = 'blended' AND roas_p10 > 0 THEN revenue_p10 / roas_p10 END),
+                      MAX(CASE WHEN level = 'blended' AND roas_p50 > 0 THEN revenue_p50 / roas_p50 END),
+                      MAX(CASE WHEN level = 'blended' AND roas_p90 > 0 THEN revenue_p90 / roas_p90 END)], lambda x: x IS NOT NULL) AS sp
+       FROM fo GROUP BY window_days),
+coh AS (SELECT SUM(CASE WHEN nb = 0 OR ch IS NULL OR abs(ch - bl) > 1e-3 * GREATEST(bl, 1.0)
+                         OR (len(sp) > 0 AND list_max(sp) - list_min(sp) > 0.01 * list_max(sp)) THEN 1 ELSE 0 END) AS incoherent FROM pw)""",
+    final="""
+SELECT 'columns_exact' AS "check", 1 AS ok, 'level,channel,campaign_type,campaign,window_days,revenue_p10,revenue_p50,revenue_p90,roas_p10,roas_p50,roas_p90' AS detail
+UNION ALL SELECT 'more_than_one_row', CASE WHEN rows > 1 THEN 1 ELSE 0 END, CAST(rows AS VARCHAR) FROM c
+UNION ALL SELECT 'no_empty_rows', CASE WHEN empty_rows = 0 THEN 1 ELSE 0 END, CAST(empty_rows AS VARCHAR) FROM c
+UNION ALL SELECT 'no_nan_or_inf', CASE WHEN non_finite = 0 THEN 1 ELSE 0 END, CAST(non_finite AS VARCHAR) FROM c
+UNION ALL SELECT 'non_negative', CASE WHEN negative = 0 THEN 1 ELSE 0 END, CAST(negative AS VARCHAR) FROM c
+UNION ALL SELECT 'windows_exact', CASE WHEN wins = '30,60,90' THEN 1 ELSE 0 END, wins FROM c
+UNION ALL SELECT 'all_levels', CASE WHEN len(list_filter(['blended', 'channel', 'campaign_type', 'campaign'],
+    lambda x: NOT list_contains(string_split(levels, ','), x))) = 0 THEN 1 ELSE 0 END, levels FROM c
+UNION ALL SELECT 'revenue_ordered', CASE WHEN crossing_revenue = 0 THEN 1 ELSE 0 END, CAST(crossing_revenue AS VARCHAR) FROM c
+UNION ALL SELECT 'roas_ordered', CASE WHEN crossing_roas = 0 THEN 1 ELSE 0 END, CAST(crossing_roas AS VARCHAR) FROM c
+UNION ALL SELECT 'required_channels', CASE WHEN missing = 0 THEN 1 ELSE 0 END, missing_list FROM miss
+UNION ALL SELECT 'no_duplicates', CASE WHEN dupes = 0 THEN 1 ELSE 0 END, CAST(dupes AS VARCHAR) FROM dup
+UNION ALL SELECT 'coherent', CASE WHEN incoherent = 0 THEN 1 ELSE 0 END, CAST(incoherent AS VARCHAR) FROM coh""")
+
+SQL["readiness"] = _with("""
+bc AS (SELECT channel, CAST(SUM(spend) AS DOUBLE) AS spend, SUM(revenue) AS rev, COUNT(DISTINCT campaign) AS camps FROM ads_long GROUP BY channel),
+tot AS (SELECT SUM(spend) AS ts, SUM(revenue) AS tr FROM ads_long)""", final="""
+SELECT 'Google data detected' AS label, CASE WHEN EXISTS (SELECT 1 FROM bc WHERE channel = 'google') THEN 'Pass' ELSE 'Warning' END AS status,
+  COALESCE((SELECT printf('%.0f spend parsed', spend) FROM bc WHERE channel = 'google'), 'No google rows found') AS detail
+UNION ALL SELECT 'Microsoft/Bing data detected', CASE WHEN EXISTS (SELECT 1 FROM bc WHERE channel = 'microsoft') THEN 'Pass' ELSE 'Warning' END,
+  COALESCE((SELECT printf('%.0f spend parsed', spend) FROM bc WHERE channel = 'microsoft'), 'No microsoft rows found')
+UNION ALL SELECT 'Meta data detected', CASE WHEN EXISTS (SELECT 1 FROM bc WHERE channel = 'meta') THEN 'Pass' ELSE 'Warning' END,
+  COALESCE((SELECT printf('%.0f spend parsed', spend) FROM bc WHERE channel = 'meta'), 'No meta rows found')
+UNION ALL SELECT 'Unmapped channel rows (channel = other)', CASE WHEN EXISTS (SELECT 1 FROM bc WHERE channel = 'other') THEN 'Warning' ELSE 'Pass' END,
+  COALESCE((SELECT printf('%d campaign(s) unmapped', camps) FROM bc WHERE channel = 'other'), 'None')
+UNION ALL SELECT 'Revenue fields present', CASE WHEN COALESCE(tr, 0) > 0 THEN 'Pass' ELSE 'Error' END, CAST(CAST(COALESCE(tr, 0) AS DECIMAL(38,6)) AS VARCHAR) FROM tot
+UNION ALL SELECT 'Spend fields present', CASE WHEN COALESCE(ts, 0) > 0 THEN 'Pass' ELSE 'Error' END, CAST(CAST(COALESCE(ts, 0) AS DECIMAL(38,6)) AS VARCHAR) FROM tot
+UNION ALL SELECT c || ' parsed rows', CASE WHEN rev = 0 THEN 'Warning' ELSE 'Pass' END,
+  CASE WHEN rev = 0 THEN 'Channel present but revenue is zero' ELSE 'Rows and revenue parsed' END
+FROM (VALUES ('google'), ('meta'), ('microsoft')) v(c) JOIN bc ON bc.channel = v.c""")
