@@ -482,3 +482,29 @@ def q_insight_status(spark, sf_dir):
 @register("insight_narrative", [("window_days", "int"), ("narrative", "str")])
 def q_insight_narrative(spark, sf_dir):
     return IN.narrative(IN.rule_insights(W(spark, sf_dir).forecast))
+
+
+@register("backtest_forest", METRIC_SPEC)
+def q_backtest_forest(spark, sf_dir):
+    """M13 with the learned model: forest + calibration fitted on data up to
+    origin = gmax − 90, forecast at the origin, scored on the realised forward
+    windows; variants model / trailing-ROAS baseline (G8 with the global median
+    ROAS fallback) / Low-confidence blend (rows-only: depends on the fit)."""
+    ws = W(spark, sf_dir)
+    if "backtest_forest" not in ws.__dict__:
+        long = ws.long
+        origin = BT.origin_of(long, HOLDOUT)
+        train = cut_lineage(BT.train_split(long, origin))
+        season = cut_lineage(C.seasonal_index(train))
+        tt = cut_lineage(FE.training_table(train, S.WINDOWS, TRAIN_CUT_STEP, season))
+        pt = cut_lineage(FE.prediction_table(train, S.WINDOWS, season))
+        _, camp, _, _ = P.forest_forecast(tt, pt, None)
+        groas = CA.global_median_roas(tt).first()["global_median_roas"]
+        based = G.with_baseline_quantiles(camp, float(groas) if groas is not None else 1.0)
+        wm, wb = G.BLEND_WEIGHTS["Low"]
+        based = based.select("*", *[(F.lit(wm) * F.col(q) + F.lit(wb) * F.col(f"base_{q}")).alias(f"blend_{q}")
+                                    for q in S.REVENUE_Q])
+        merged = BT.scored_rows(based, BT.forward_actuals(long, origin))
+        ws.__dict__["backtest_forest"] = cut_lineage(
+            BT.metrics(merged, {"model": "revenue", "baseline": "base_revenue", "blend": "blend_revenue"}))
+    return ws.__dict__["backtest_forest"]
