@@ -36,11 +36,23 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def quantile3(c: Column) -> Column:
-    """A5: exact P10/P50/P90 (linear interpolation) over finite values; an
+# Exact percentiles keep a value→count map of the group's distinct values in
+# one task.  That is bounded for month- or date-keyed inputs, but campaign-month
+# sums and per-campaign ROAS grow with the data: set EXACT_QUANTILES = False to
+# use a bounded-memory sketch (relative rank error 1e-4) for very large
+# profiles.  The guard's thresholds (5× ratios) are insensitive to it.
+EXACT_QUANTILES = True
+SKETCH_ACCURACY = 10_000
+
+
+def quantile3(c: Column, exact: bool | None = None) -> Column:
+    """A5: P10/P50/P90 (exact: linear interpolation) over finite values; an
     empty group gives zeros."""
+    exact = EXACT_QUANTILES if exact is None else exact
     v = c.cast("double")
-    arr = F.percentile(F.when(finite(v), v), F.array(*[F.lit(p) for p in _PROBS]))
+    probs = F.array(*[F.lit(p) for p in _PROBS])
+    arr = (F.percentile(F.when(finite(v), v), probs) if exact
+           else F.percentile_approx(F.when(finite(v), v), probs, SKETCH_ACCURACY))
     return F.struct(*[F.coalesce(arr[i], F.lit(0.0)).alias(f"p{int(p * 100)}") for i, p in enumerate(_PROBS)])
 
 
