@@ -970,3 +970,38 @@ UNION ALL SELECT 'Spend fields present', CASE WHEN COALESCE(ts, 0) > 0 THEN 'Pas
 UNION ALL SELECT c || ' parsed rows', CASE WHEN rev = 0 THEN 'Warning' ELSE 'Pass' END,
   CASE WHEN rev = 0 THEN 'Channel present but revenue is zero' ELSE 'Rows and revenue parsed' END
 FROM (VALUES ('google'), ('meta'), ('microsoft')) v(c) JOIN bc ON bc.channel = v.c""")
+
+
+# ---------------------------------------------------------------------------
+# breakdown views
+# ---------------------------------------------------------------------------
+_BREAKDOWN = """bd AS (
+  SELECT f.window_days, f.level, f.channel, f.campaign_type, f.campaign, f.revenue_p10, f.revenue_p50, f.revenue_p90, f.roas_p50,
+    CASE WHEN f.roas_p50 > 0 THEN f.revenue_p50 / f.roas_p50 ELSE 0.0 END AS implied_spend,
+    f.revenue_p50 / (CASE WHEN COALESCE(b.revenue_p50, 0.0) <> 0 THEN b.revenue_p50 ELSE 1.0 END) AS contribution,
+    CASE WHEN COALESCE(f.roas_p50, 0.0) < 1.0 THEN 'Watch'
+         WHEN f.revenue_p50 > 0 AND (f.revenue_p90 - f.revenue_p10) > 5.0 * f.revenue_p50 THEN 'Watch' ELSE 'OK' END AS risk
+  FROM fo f LEFT JOIN (SELECT window_days, revenue_p50 FROM fo WHERE level = 'blended') b ON b.window_days = f.window_days
+  WHERE f.level <> 'blended')"""
+
+SQL["breakdown"] = _with(_fo_cte(), _BREAKDOWN, final="SELECT * FROM bd")
+SQL["breakdown_search"] = _with(_fo_cte(), _BREAKDOWN, final="""SELECT * FROM bd WHERE window_days = 30
+  AND contains(lower(concat_ws(' ', channel, campaign_type, campaign, level)), 'search')""")
+SQL["top_campaign_rows"] = _with(_fo_cte(), final="""SELECT * FROM fo WHERE level = 'campaign' AND campaign IN (
+  SELECT campaign FROM fo WHERE level = 'campaign' GROUP BY campaign ORDER BY MAX(revenue_p50) DESC, campaign LIMIT 10)""")
+
+
+def _conf(guard_low: str) -> str:
+    return f"""CASE WHEN {guard_low} THEN 'Low' WHEN NOT (revenue_p50 > 0) THEN 'Low'
+      WHEN (revenue_p90 - revenue_p10) / revenue_p50 < 1.5 THEN 'High'
+      WHEN (revenue_p90 - revenue_p10) / revenue_p50 < 3.5 THEN 'Medium' ELSE 'Low' END"""
+
+
+SQL["confidence_labels"] = _with(_fo_cte(), final=f"""SELECT level, channel, campaign_type, campaign, window_days,
+  {_conf('FALSE')} AS confidence FROM fo WHERE level = 'channel'""")
+
+WRAPPERS["confidence_labels_x100"] = with_scaled_fixtures
+SQL["confidence_labels_x100"] = f"""WITH gfo AS ({SQL["guarded_forecast_x100"]}),
+ga AS ({SQL["guard_assess_x100"]})
+SELECT level, channel, campaign_type, campaign, window_days,
+  {_conf("(SELECT fallback_used = 1 AND confidence = 'Low' FROM ga)")} AS confidence FROM gfo WHERE level = 'channel'"""

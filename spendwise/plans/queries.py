@@ -508,3 +508,49 @@ def q_backtest_forest(spark, sf_dir):
         ws.__dict__["backtest_forest"] = cut_lineage(
             BT.metrics(merged, {"model": "revenue", "baseline": "base_revenue", "blend": "blend_revenue"}))
     return ws.__dict__["backtest_forest"]
+
+
+# ---------------------------------------------------------------------------
+# breakdown views
+# ---------------------------------------------------------------------------
+from ..operators import breakdown as BD  # noqa: E402
+
+BREAKDOWN_SPEC = [("window_days", "int"), ("level", "str"), ("channel", "str"), ("campaign_type", "str"),
+                  ("campaign", "str"), ("revenue_p10", "num"), ("revenue_p50", "num"), ("revenue_p90", "num"),
+                  ("roas_p50", "num"), ("implied_spend", "dollars"), ("contribution", "num"), ("risk", "str")]
+SEARCH_TEXT = "Search"
+
+
+@register("breakdown", BREAKDOWN_SPEC)
+def q_breakdown(spark, sf_dir):
+    return BD.breakdown(W(spark, sf_dir).forecast)
+
+
+@register("breakdown_search", BREAKDOWN_SPEC)
+def q_breakdown_search(spark, sf_dir):
+    """F5 + F7: the 30-day window, rows matching a free-text query."""
+    return BD.search(BD.breakdown(BD.slice_windows(W(spark, sf_dir).forecast, windows=[30])), SEARCH_TEXT)
+
+
+CONF_SPEC = [("level", "str"), ("channel", "str"), ("campaign_type", "str"), ("campaign", "str"),
+             ("window_days", "int"), ("confidence", "str")]
+
+
+@register("confidence_labels", CONF_SPEC)
+def q_confidence_labels(spark, sf_dir):
+    """P30 + F6: interval-width confidence of the channel rows."""
+    return BD.confidence_label(BD.slice_windows(W(spark, sf_dir).forecast, levels=["channel"]))
+
+
+@register("confidence_labels_x100", CONF_SPEC)
+def q_confidence_labels_x100(spark, sf_dir):
+    """P30 on the 100× upload's guarded forecast: the guard fell back at Low
+    confidence, so every channel row is Low."""
+    out, a = _assess(spark, sf_dir, 100)
+    return BD.confidence_label(BD.slice_windows(R.reconcile(out), levels=["channel"]),
+                               a.select((F.col("fallback_used") == 1).alias("fallback_used"), "confidence"))
+
+
+@register("top_campaign_rows", OUT_SPEC)
+def q_top_campaign_rows(spark, sf_dir):
+    return BD.top_campaign_rows(W(spark, sf_dir).forecast, 10)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Spec = list[tuple[str, str]]  # (column, kind) with kind in str|num|int|date
+Spec = list[tuple[str, str]]  # (column, kind) with kind in str|num|dollars|int|date
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Spec]] = {}
 
 
@@ -34,6 +34,8 @@ def present(df: DataFrame, spec: Spec) -> DataFrame:
             # Spark and DuckDB for the same input double (no decimal-expansion
             # tie differences)
             c = F.round(c.cast("double") * 10000.0, 0) / 10000.0
+        elif kind == "dollars":
+            c = F.round(c.cast("double"), 0)
         elif kind == "int":
             c = c.cast("bigint")
         elif kind == "date":
@@ -50,6 +52,8 @@ def present_sql(body: str, spec: Spec) -> str:
         q = f'q."{name}"'
         if kind == "num":
             e = f"ROUND(CAST({q} AS DOUBLE) * 10000.0) / 10000.0"
+        elif kind == "dollars":
+            e = f"ROUND(CAST({q} AS DOUBLE))"
         elif kind == "int":
             e = f"CAST({q} AS BIGINT)"
         elif kind == "date":

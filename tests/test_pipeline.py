@@ -155,3 +155,23 @@ def test_required_factor_closed_form():
             expect = hi_f
         closed = min(max(need[k - 1], 1.0), 8.0)
         assert abs(closed - expect) < 1e-9
+
+
+def test_breakdown_views(spark):
+    from spendwise.operators import breakdown as BD
+
+    ws = workspace(spark, SF_SMALL)
+    bd = BD.breakdown(ws.forecast).toPandas()
+    assert "blended" not in set(bd["level"])
+    for w in S.WINDOWS:
+        ch = bd[(bd["window_days"] == w) & (bd["level"] == "channel")]
+        assert abs(ch["contribution"].sum() - 1.0) < 1e-6  # channel shares add up
+    assert set(bd["risk"]) <= {"OK", "Watch"}
+    found = BD.search(BD.breakdown(ws.forecast), "  SEARCH ").toPandas()
+    assert len(found) > 0 and all("search" in " ".join(map(str, r)).lower() for r in
+                                  found[["channel", "campaign_type", "campaign", "level"]].values)
+    assert BD.search(BD.breakdown(ws.forecast), "").count() == len(bd)
+    top = BD.top_campaign_rows(ws.forecast, 3).toPandas()
+    assert top["campaign"].nunique() == 3 and len(top) == 3 * len(S.WINDOWS)
+    labels = {r.confidence for r in BD.confidence_label(ws.forecast).collect()}
+    assert labels <= {"High", "Medium", "Low"}
