@@ -237,3 +237,27 @@ def training_table(long: DataFrame, windows=S.WINDOWS, cut_step: int = 7, season
         budget_input(F.col("daily_spend_rate"), F.col("window_days"), F.col("target_spend")),
         extra=("budget_input_ex", "target_revenue", "target_spend"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Defensive fill
+# ---------------------------------------------------------------------------
+
+
+def fill_defensive(table: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """±inf → null, then nulls filled with the (channel, type) mean, then the
+    channel mean, then the global mean, then 0 — each mean taken after the
+    previous fill.  Means are grouped aggregates broadcast back (bounded by the
+    channel × type vocabulary), not windows over hot groups.  The tables built
+    above are null-free by construction, so this is for external tables."""
+    cols = cols or [c for c in S.NUMERIC_FEATURES if c in table.columns and c != "window_days"]
+    x = table.select(*[c for c in table.columns if c not in cols],
+                     *[F.when(F.abs(F.col(c).cast("double")) == float("inf"), None)
+                       .otherwise(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in cols])
+    for keys in (["channel", "campaign_type"], ["channel"], []):
+        means = (x.groupBy(*keys) if keys else x.groupBy()).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
+        x = (x.join(F.broadcast(means), keys, "left") if keys else x.crossJoin(F.broadcast(means)))
+        x = x.select(*[c for c in x.columns if not c.startswith("_m_") and c not in cols],
+                     *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in cols])
+    x = x.select(*[c for c in x.columns if c not in cols], *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
+    return x.select(*table.columns)

@@ -175,3 +175,16 @@ def test_breakdown_views(spark):
     assert top["campaign"].nunique() == 3 and len(top) == 3 * len(S.WINDOWS)
     labels = {r.confidence for r in BD.confidence_label(ws.forecast).collect()}
     assert labels <= {"High", "Medium", "Low"}
+
+
+def test_fill_defensive_hierarchy(spark):
+    from spendwise.operators import features as FE
+
+    rows = [("google", "Search", 1.0), ("google", "Search", None), ("google", "Video", None), ("google", "Video", float("inf")),
+            ("meta", "DPA", 7.0), ("meta", "Brand", None), ("other", "Other", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, channel string, campaign_type string, tr28_roas double")
+    got = [r.tr28_roas for r in FE.fill_defensive(df, ["tr28_roas"]).orderBy("id").collect()]
+    # (google, Search) mean 1.0; (google, Video) → channel google mean 1.0; (meta, Brand) → meta mean 7.0;
+    # (other) → global mean over the filled values
+    assert got[:6] == [1.0, 1.0, 1.0, 1.0, 7.0, 7.0]
+    assert abs(got[6] - (1.0 + 1.0 + 1.0 + 1.0 + 7.0 + 7.0) / 6) < 1e-12
