@@ -209,3 +209,15 @@ def readiness(long: DataFrame) -> DataFrame:
                      F.when(F.col(f"{c}_rev") == 0, "Channel present but revenue is zero").otherwise("Rows and revenue parsed")))
     arr = F.array(*[F.struct(F.lit(lbl).alias("label"), st.alias("status"), det.cast("string").alias("detail")) for lbl, st, det in rows])
     return one.select(F.explode(arr).alias("r")).select("r.*").where(F.col("status").isNotNull())
+
+
+def micros_reconciliation(raw_micros: DataFrame, long_with_key: DataFrame, key: str = "source_file") -> DataFrame:
+    """Q4: per source, Σ raw micros ÷ 1e6 against the parsed spend; ok when
+    within max(1, 0.1 %).  ``raw_micros`` has (key, micros) text or numbers."""
+    raw = raw_micros.groupBy(key).agg((F.sum(F.col("micros").try_cast("decimal(38,6)")) / F.lit(1000000)).alias("raw_spend"))
+    parsed = long_with_key.groupBy(key).agg(F.sum("spend").alias("parsed_spend"))
+    x = raw.join(parsed, key, "left")
+    diff = F.abs(F.coalesce(F.col("raw_spend"), F.lit(0)) - F.coalesce(F.col("parsed_spend"), F.lit(0)))
+    tol = F.greatest(F.lit(1.0), F.abs(F.coalesce(F.col("raw_spend"), F.lit(0)).cast("double")) * 0.001)
+    return x.select(key, F.col("raw_spend").cast("double").alias("raw_spend"), F.col("parsed_spend").cast("double").alias("parsed_spend"),
+                    diff.cast("double").alias("diff"), (diff.cast("double") <= tol).alias("ok"))

@@ -1005,3 +1005,32 @@ SQL["confidence_labels_x100"] = f"""WITH gfo AS ({SQL["guarded_forecast_x100"]})
 ga AS ({SQL["guard_assess_x100"]})
 SELECT level, channel, campaign_type, campaign, window_days,
   {_conf("(SELECT fallback_used = 1 AND confidence = 'Low' FROM ga)")} AS confidence FROM gfo WHERE level = 'channel'"""
+
+
+# ---------------------------------------------------------------------------
+# per-export parse report (A17) and micros reconciliation (Q4)
+# ---------------------------------------------------------------------------
+_EXPORT_OF = ("CASE channel WHEN 'google' THEN 'google_ads_campaign_stats' WHEN 'microsoft' THEN 'bing_campaign_stats' "
+              "ELSE 'meta_ads_campaign_stats' END")
+
+SQL["file_report"] = f"""
+WITH raw AS (SELECT 'google_ads_campaign_stats' AS source_file, COUNT(*) AS raw_rows FROM export_google
+             UNION ALL SELECT 'bing_campaign_stats', COUNT(*) FROM export_microsoft
+             UNION ALL SELECT 'meta_ads_campaign_stats', COUNT(*) FROM export_meta),
+p AS (SELECT {_EXPORT_OF} AS source_file, COUNT(*) AS parsed_rows,
+        AVG(CASE WHEN spend = 0 THEN 1.0 ELSE 0.0 END) AS zero_spend_share, AVG(CASE WHEN revenue = 0 THEN 1.0 ELSE 0.0 END) AS zero_revenue_share,
+        SUM(spend) AS spend, SUM(revenue) AS revenue,
+        array_to_string(list_sort(list_distinct(list(campaign_type))), ',') AS campaign_types,
+        array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels
+      FROM ads_long GROUP BY 1)
+SELECT raw.source_file, raw.raw_rows, COALESCE(p.parsed_rows, 0) AS parsed_rows, raw.raw_rows - COALESCE(p.parsed_rows, 0) AS invalid_rows,
+  p.zero_spend_share, p.zero_revenue_share, p.spend, p.revenue, p.campaign_types, p.channels
+FROM raw LEFT JOIN p ON p.source_file = raw.source_file"""
+
+SQL["parse_inspection"] = """
+WITH r AS (SELECT 'google_ads_campaign_stats' AS source_file, CAST(SUM(metrics_cost_micros) AS DECIMAL(38,6)) / 1000000 AS raw_spend FROM export_google),
+p AS (SELECT SUM(spend) AS parsed_spend FROM ads_long WHERE channel = 'google')
+SELECT source_file, CAST(raw_spend AS DOUBLE) AS raw_spend, CAST(parsed_spend AS DOUBLE) AS parsed_spend,
+  CAST(abs(raw_spend - parsed_spend) AS DOUBLE) AS diff,
+  CASE WHEN CAST(abs(raw_spend - parsed_spend) AS DOUBLE) <= GREATEST(1.0, abs(CAST(raw_spend AS DOUBLE)) * 0.001) THEN 1 ELSE 0 END AS ok
+FROM r, p"""

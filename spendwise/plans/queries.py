@@ -11,6 +11,7 @@ from .. import schema as S
 from ..operators import calendar as C
 from ..operators import daily as D
 from ..operators import features as FE
+from ..functions import normalize as N
 from ..sources import fixtures as X
 from . import forecast as P
 from .registry import register
@@ -401,44 +402,43 @@ def q_csv_ingest(spark, sf_dir):
     return EX.load_long(spark, _csv_dir(spark, sf_dir))
 
 
+def _export_name(path_col):
+    """Export name = the directory the part files were written to."""
+    return F.element_at(F.split(path_col, "/"), -2)
+
+
 @register("file_report", [("source_file", "str"), ("raw_rows", "int"), ("parsed_rows", "int"), ("invalid_rows", "int"),
                           ("zero_spend_share", "num"), ("zero_revenue_share", "num"), ("spend", "num"),
                           ("revenue", "num"), ("campaign_types", "str"), ("channels", "str")])
 def q_file_report(spark, sf_dir):
-    """Per-file parse report over the written exports."""
+    """Parse report per written export (its part files pooled)."""
     d = _csv_dir(spark, sf_dir)
-    long = EX.load_long(spark, d, with_file=True)
-    raw = spark.read.option("recursiveFileLookup", "true").text(d).where(~F.col("value").startswith(F.lit(""))
-                                                                         | F.lit(True))
-    raw = raw.select(F.col("_metadata.file_path").alias("source_file"), "value")
-    # header lines are not data rows
-    counts = raw.groupBy("source_file").agg((F.count("*") - 1).alias("raw_rows"))
+    long = EX.load_long(spark, d, with_file=True).withColumn(EX.FILE_COL, _export_name(F.col(EX.FILE_COL)))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(d)
+    # header lines are not data rows: one per part file
+    counts = raw.groupBy(F.col("_metadata.file_path").alias("f")).agg((F.count("*") - 1).alias("n")).groupBy(
+        _export_name(F.col("f")).alias(EX.FILE_COL)).agg(F.sum("n").alias("raw_rows"))
     return QA.file_report(long, counts)
 
 
-# ---------------------------------------------------------------------------
-# learned model: quantile regression forest
-# ---------------------------------------------------------------------------
-def _forest(spark, sf_dir):
-    ws = W(spark, sf_dir)
-    if "forest" not in ws.__dict__:
-        prof = cut_lineage(G.training_profile(ws.long))
-        out, camp, params, model = P.forest_forecast(ws.training_table, ws.prediction_table, prof)
-        ws.__dict__["forest"] = (cut_lineage(out), camp, params, model)
-    return ws.__dict__["forest"]
-
-
-@register("quantile_forest_forecast", OUT_SPEC)
-def q_quantile_forest_forecast(spark, sf_dir):
-    """End-to-end forecast with the learned quantile model (rows-only check:
-    a fitted forest has no SQL twin)."""
-    return _forest(spark, sf_dir)[0]
-
-
-@register("feature_drivers", [("feature", "str"), ("importance", "num")])
-def q_feature_drivers(spark, sf_dir):
-    """T5: top-8 feature importances of the full-data forest."""
-    return _forest(spark, sf_dir)[3].drivers(spark, 8)
+@register("parse_inspection", [("source_file", "str"), ("raw_spend", "num"), ("parsed_spend", "num"), ("diff", "num"),
+                               ("ok", "int")])
+def q_parse_inspection(spark, sf_dir):
+    """Q4: Σ micros ÷ 1e6 per export that carries a micros spend column
+    against its parsed spend."""
+    d = _csv_dir(spark, sf_dir)
+    long = EX.load_long(spark, d, with_file=True).withColumn(EX.FILE_COL, _export_name(F.col(EX.FILE_COL)))
+    raws = []
+    for header, paths in EX.group_by_signature(spark, EX.list_csv_files(spark, d)).items():
+        i = N.resolve(list(header), "spend")
+        if i is not None and S.MICROS_TOKEN in N.norm_name(header[i]):
+            g = EX.read_signature_group(spark, header, paths)
+            raws.append(g.select(_export_name(F.col(EX.FILE_COL)).alias(EX.FILE_COL), F.col(f"c{i}").alias("micros")))
+    raw = raws[0]
+    for r in raws[1:]:
+        raw = raw.unionByName(r)
+    out = QA.micros_reconciliation(raw, long)
+    return out.select(*[F.col(c).cast("int").alias(c) if c == "ok" else F.col(c) for c in out.columns])
 
 
 # ---------------------------------------------------------------------------
