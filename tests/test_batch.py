@@ -21,8 +21,10 @@ def test_batch_end_to_end(spark):
     out = os.path.join(d, "out")
     info = batch.run(spark, data, out, cut_step=28, numTrees=5, maxDepth=5)
     pred = SK.read_predictions(spark, os.path.join(out, "predictions"))
-    SK.write_csv(pred, os.path.join(out, "predictions"), single_file=True)  # rerun overwrites, never appends
-    pred = SK.read_predictions(spark, os.path.join(out, "predictions"))
+    copy = os.path.join(d, "copy")
+    for _ in range(2):  # a rerun overwrites, never appends
+        SK.write_csv(pred, copy, single_file=True)
+    assert SK.read_predictions(spark, copy).count() == info["rows"]
     assert pred.count() == info["rows"]
     assert pred.columns == S.OUTPUT_COLUMNS
     assert pred.where("level = 'blended' AND channel = ''").count() == 3  # blanks survive the round trip
