@@ -25,6 +25,31 @@ def register(name: str, spec: Spec):
     return deco
 
 
+# Numbers are quantised to 4 decimals below 1e4 and to 8 significant digits
+# above (bands by magnitude): far coarser than double summation-order noise at
+# any magnitude, and computed by the same IEEE operations in both engines.
+_BANDS = [(10.0 ** (4 + i), 4 - i) for i in range(12)]
+
+
+def _quantise(c):
+    a = F.abs(c)
+    out = None
+    for bound, digits in _BANDS:
+        scale = 10.0 ** digits
+        v = (F.round(c * scale, 0) / scale) if digits >= 0 else (F.round(c / (10.0 ** -digits), 0) * (10.0 ** -digits))
+        out = F.when(a < bound, v) if out is None else out.when(a < bound, v)
+    return out.otherwise(c)
+
+
+def _quantise_sql(q: str) -> str:
+    parts = []
+    for bound, digits in _BANDS:
+        scale = 10.0 ** digits
+        v = f"ROUND({q} * {scale!r}) / {scale!r}" if digits >= 0 else f"ROUND({q} / {10.0 ** -digits!r}) * {10.0 ** -digits!r}"
+        parts.append(f"WHEN abs({q}) < {bound!r} THEN {v}")
+    return f"(CASE {' '.join(parts)} ELSE {q} END)"
+
+
 def present(df: DataFrame, spec: Spec) -> DataFrame:
     cols = []
     for name, kind in spec:
@@ -33,7 +58,7 @@ def present(df: DataFrame, spec: Spec) -> DataFrame:
             # scale → round half away from zero → unscale: bit-identical in
             # Spark and DuckDB for the same input double (no decimal-expansion
             # tie differences)
-            c = F.round(c.cast("double") * 10000.0, 0) / 10000.0
+            c = _quantise(c.cast("double"))
         elif kind == "dollars":
             c = F.round(c.cast("double"), 0)
         elif kind == "int":
@@ -51,7 +76,7 @@ def present_sql(body: str, spec: Spec) -> str:
     for name, kind in spec:
         q = f'q."{name}"'
         if kind == "num":
-            e = f"ROUND(CAST({q} AS DOUBLE) * 10000.0) / 10000.0"
+            e = _quantise_sql(f"CAST({q} AS DOUBLE)")
         elif kind == "dollars":
             e = f"ROUND(CAST({q} AS DOUBLE))"
         elif kind == "int":
