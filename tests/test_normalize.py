@@ -115,3 +115,22 @@ def test_csv_directory_mixed_headers_and_duplicates(spark):
     # duplicate 'Spend'/'spend' headers: the last one wins
     assert rows == [("A", "2025-01-01", "google", 5.0, 20.0), ("A", "2025-01-02", "google", 1.0, 4.0),
                     ("B", "2025-01-01", "meta", 2.0, 9.0)]
+
+
+def test_compressed_csv_fallback(spark):
+    """With no plain *.csv files the scan falls back to *.csv* (gzip),
+    and the header is read through the codec."""
+    import gzip
+
+    d = tempfile.mkdtemp(prefix="sw-gz-")
+    with gzip.open(os.path.join(d, "bing_campaign_stats.csv.gz"), "wt") as f:
+        f.write("TimePeriod,CampaignName,CampaignType,Spend,Revenue\n2024-05-25,X,Search,4.7,99\n2024-05-26,X,Search,1.3,9\n")
+    rows = sorted((str(r.date), r.channel, r.campaign_type, float(r.spend)) for r in E.load_long(spark, d).collect())
+    assert rows == [("2024-05-25", "microsoft", "Search", 4.7), ("2024-05-26", "microsoft", "Search", 1.3)]
+
+
+def test_no_files_raises(spark):
+    import pytest
+
+    with pytest.raises(FileNotFoundError):
+        E.load_long(spark, tempfile.mkdtemp(prefix="sw-empty-"))
