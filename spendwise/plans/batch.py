@@ -14,7 +14,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import normalize as N
@@ -80,5 +79,3 @@ def main(argv=None):
 if __name__ == "__main__":
     main()
 
-
-__all__ = ["run", "F"]

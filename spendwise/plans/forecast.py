@@ -35,7 +35,7 @@ def contract_ok(out: DataFrame) -> DataFrame:
     return Q.output_contract(out)
 
 
-__all__ = ["baseline_forecast", "baseline_campaign_forecast", "contract_ok", "F"]
+__all__ = ["baseline_forecast", "baseline_campaign_forecast", "contract_ok", "forest_forecast"]
 
 
 def forest_forecast(training_table: DataFrame, prediction_table: DataFrame, training_profile: DataFrame | None = None,

@@ -81,8 +81,6 @@ def q_training_table(spark, sf_dir):
     return W(spark, sf_dir).training_table
 
 
-__all__ = ["F"]
-
 
 # ---------------------------------------------------------------------------
 # response curves and budget scenarios
