@@ -1,7 +1,66 @@
-"""Corpus pipeline (placeholder until its stages are in)."""
-STAGES = []
+"""Corpus pipeline: language ID, near-duplicate join, substring dedup, benchmark
+decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; stages are written as Parquet and reread in between.  All but the last
+return the columns of ``documents``.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendwise.llm import decontaminate, langid, ngram_join, packing, substring
+from spendwise.llm.common import stage, table
+
+#: a document whose language is undetermined or less likely than this goes
+MIN_LANG_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a determined language (no letter, or an unsure prediction)."""
+    model = langid.train(langid.train_rows(docs))
+    found = langid.identify(docs, model, lang_out="__lang", score_out="__score")
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANG_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group of linked documents."""
+    return ngram_join.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated windows of words; ``n_chars`` follows the text."""
+    found = substring.dedup(docs)
+    if "n_chars" not in docs.columns:
+        return found
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: SQL expresses neither the language model nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -91,29 +91,40 @@ def _power(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of documents (offsets relative to
-    ``data``).  Returns hashes, byte starts, byte ends, and the first word of each
-    document (with the total as last entry).  ``lower`` maps A-Z to a-z."""
+def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _WS):
+    """Maximal runs of non-separator bytes, never across documents: byte starts, byte
+    ends, and the first run of each document (with the total as last entry)."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, np.zeros(len(offsets), np.int64)
-    if lower:
-        data = _LOWER[data]
-    solid = ~_WS[data]
+        return z, z, np.zeros(len(offsets), np.int64)
+    solid = ~separator[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     edge[0] = edge[n] = True
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1] | edge[1:n]
     last[:-1] &= ~solid[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the byte spans from ``starts`` to each of ``ends``."""
+    n = len(data)
+    if n == 0:
+        return [np.zeros(0, np.uint64) for _ in ends]
     power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts])
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return [mix((total[e] - total[starts]) * inverse[starts]) for e in ends]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of documents (offsets relative to
+    ``data``): hashes, and :func:`spans`.  ``lower`` maps A-Z to a-z."""
+    starts, ends, first = spans(data, offsets)
+    return span_hashes(_LOWER[data] if lower else data, starts, ends)[0], starts, ends, first
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
