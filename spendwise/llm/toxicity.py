@@ -85,8 +85,14 @@ def texts(column: pa.Array):
             yield word[a:z], begin[a:z], upper > lower
 
 
+def distinct(word: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of a text, each with its beginning."""
+    own, at = np.unique(word, return_index=True)
+    return own, begin[at]
+
+
 def votes(word: np.ndarray, begin: np.ndarray, shouts: bool, seed: np.ndarray, model: Model) -> list[int]:
-    """One vote per voter: 1 toxic, -1 not, 0 abstains."""
+    """One vote per voter, from a text's distinct words: 1 toxic, -1 not, 0 abstains."""
     in_seed, in_words, in_prefix = _within(word, seed), _within(word, model.words), _within(begin, model.prefixes)
     half = (word & np.uint64(1)).astype(bool)
     hits = int((in_seed | in_words | in_prefix).sum())
@@ -101,7 +107,7 @@ def seed_hashes() -> np.ndarray:
 def _lexicon(rows: list[np.ndarray], groups: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Values that the toxic rows hold far more often; each group of copies counts once."""
     first = np.unique(groups * 2 + toxic, return_index=True)[1]
-    pos, neg = [rows[i] for i in first if toxic[i]], [rows[i] for i in first if not toxic[i]]
+    pos, neg = [np.unique(rows[i]) for i in first if toxic[i]], [np.unique(rows[i]) for i in first if not toxic[i]]
     if not pos or not neg:
         return np.zeros(0, np.uint64)
     value, p = np.unique(np.concatenate(pos), return_counts=True)
@@ -171,8 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             ids, word, begin, shout, group = b.column(0), [], [], [], []
             for w, p, s in texts(b.column(1)):
-                word.append(np.unique(w).view(np.int64))
-                begin.append(np.unique(p).view(np.int64))
+                own, start = distinct(w, p)
+                word.append(own.view(np.int64))
+                begin.append(start.view(np.int64))
                 shout.append(bool(s))
                 grams = shingles(w, min(4, len(w))) if len(w) else np.zeros(1, np.uint64)
                 group.append(int(mix(grams).min() >> np.uint64(2)))
@@ -216,6 +223,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             z = []
             for w, p, s in texts(b.column(1)):
+                w, p = distinct(w, p)
                 col, value = _entries(w, votes(w, p, s, seed, m))
                 z.append(float(m.weights[col] @ value) + m.bias)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -40, 40))), pa.float64())],
