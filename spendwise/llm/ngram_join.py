@@ -14,11 +14,11 @@ empty, and it emits them too.  So no link is lost.
 
 Identical sets are one class (fingerprint of 64 bits and size); only classes meet
 in signature buckets.  A bucket first proposes its members' links to its smallest
-member; what these exact checks join is done.  Only pairs in a bucket that are in
-different components by then are compared with each other, in blocks of bounded
-size, through an exact lower bound of the difference (parity bitmaps) and then
-the exact sets.  So a group of thousands of near copies costs a star, not all
-its pairs.
+member, then, in blocks of bounded size, a forest of pairs that would join what is
+still apart; what these exact checks join is done.  Only pairs in a bucket that
+are in different components by then are all compared, through an exact lower
+bound of the difference (parity bitmaps) and then the exact sets.  So a group of
+thousands of near copies costs a star and a forest, not all its pairs.
 
 Defined results: null text and text without words are empty sets, linked with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows keep
@@ -220,14 +220,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
                  .where(F.col("c") * (num + den) >= F.col("n") * num).select("a", "b").distinct(), f"{name}-links")
 
 
-def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int, name: str, forest: bool) -> DataFrame:
     """Pairs (a, b) that share a bucket, are in different components, and may link by
-    size and parity bitmap.  Large buckets are compared block by block."""
+    size and parity bitmap.  Large buckets are compared block by block; buckets of
+    the same members are compared once.  ``forest``: only pairs that would join
+    what the block's earlier pairs leave apart, fewer than the block has rows."""
     named = shared.join(labels, shared.fp == labels.node, "left").select(
         "sig", "fp", F.coalesce("component", "fp").alias("comp"))
-    named = stage(named, "join-named")
-    mixed = (named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"))
-             .where("lo < hi AND g > 2").select("sig", F.ceil(F.col("g") / BLOCK).alias("blocks")))
+    named = stage(named, f"{name}-named")
+    mixed = (named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"),
+                                      F.bit_xor(F.xxhash64("fp")).alias("h1"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("h2"))
+             .where("lo < hi AND g > 2").groupBy("g", "h1", "h2").agg(F.min("sig").alias("sig"))
+             .select("sig", F.ceil(F.col("g") / BLOCK).alias("blocks")))
     rows = named.join(mixed, "sig").join(classes.select("fp", "n", "bits"), "fp")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -252,7 +256,7 @@ def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, num: int, d
     def run(batches):
         for cell in cells(batches):
             x, y, own = cell["x"][0].as_py(), cell["y"][0].as_py(), cell["own"].to_numpy()
-            fp, comp, n = (cell[c].to_numpy() for c in ("fp", "comp", "n"))
+            fp, comp, n = (cell[c].to_numpy().copy() for c in ("fp", "comp", "n"))
             bits = np.frombuffer(b"".join(cell["bits"].to_pylist()), np.uint64).reshape(len(fp), -1)
             out = []
             for i in np.flatnonzero(own == x):
@@ -264,6 +268,10 @@ def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, num: int, d
                 if len(to):
                     apart = np.bitwise_count(bits[to] ^ bits[i]).sum(1, dtype=np.int64)
                     to = to[apart * (num + den) <= (n[to] + n[i]) * (den - num)]
+                    if forest:  # comp then tells what the pairs so far would join
+                        joined, at = np.unique(comp[to], return_index=True)
+                        to = to[at]
+                        comp[np.isin(comp, joined)] = comp[i]
                     out.append((np.minimum(fp[to], fp[i]), np.maximum(fp[to], fp[i])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])),
@@ -286,11 +294,14 @@ def component_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     star = stage(shared.where("hub < fp").groupBy(F.col("fp").alias("b")).agg(F.min("hub").alias("a")), "join-star")
     links = _verified(star.select("a", "b"), *check, "join-star")
-    labels = components(links, "join-star")
-    more = stage(_apart(shared, labels, classes, num, den).join(star.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
-    links2 = _verified(more, *check, "join-more")
-    if links2.limit(1).count():
-        labels = components(links.union(links2), "join-all")
+    labels, seen = components(links, "join-star"), star.select("a", "b")
+    for name, forest in (("join-forest", True), ("join-rest", False)):
+        more = stage(_apart(shared, labels, classes, num, den, name, forest).join(seen, ["a", "b"], "left_anti"), name)
+        found = _verified(more, *check, name)
+        seen = seen.union(more)
+        if found.limit(1).count():
+            links = links.union(found)
+            labels = components(links, f"{name}-all")
 
     reps = classes.join(labels, classes.fp == labels.node, "left").select(
         "fp", "rep", F.coalesce("component", "fp").alias("component"))
