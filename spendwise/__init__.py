@@ -10,7 +10,6 @@ subpackages are:
                  calibration, guard, roll-up, backtest, quality, insights
 * ``plans``      end-to-end plans (forecast, train, backtest) and the query
                  registry used by ``__spark_entry__``
-* ``streaming``  incremental ingest of new export files
 """
 
 __all__ = ["session", "schema"]

@@ -43,18 +43,3 @@ def bounds(frame: DataFrame, col: str = "date") -> DataFrame:
 
 def with_bounds(frame: DataFrame, b: DataFrame) -> DataFrame:
     return frame.crossJoin(F.broadcast(b))
-
-
-def densify(d: DataFrame) -> DataFrame:
-    """Every campaign over the global calendar, zero filled.  Offered for
-    completeness; the feature builders use range frames instead, so they never
-    materialise campaigns × days."""
-    b = bounds(d)
-    cal = b.select(F.explode(F.sequence("gmin", "gmax")).alias("date"))
-    camps = d.select("campaign").distinct()
-    grid = camps.crossJoin(cal)
-    out = grid.join(d, ["campaign", "date"], "left")
-    return out.select(
-        "campaign", "date",
-        *[F.coalesce(F.col(m), F.lit(0).cast(S.MONEY)).cast("decimal(28,6)").alias(m) for m in S.METRICS],
-    )

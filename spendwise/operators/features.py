@@ -146,7 +146,7 @@ def prediction_table(long: DataFrame, windows=S.WINDOWS, season: DataFrame | Non
 # ---------------------------------------------------------------------------
 
 
-def cut_bounds(b: DataFrame, windows=S.WINDOWS, cut_step: int = 7) -> DataFrame:
+def cut_bounds(b: DataFrame, windows=S.WINDOWS, cut_step: int = S.TRAIN_CUT_STEP) -> DataFrame:
     """first/last cut dates from the one-row bounds, with the
     short-history fallback; adds ``n_cuts``."""
     wmax, wmin = max(windows), min(windows)
@@ -159,13 +159,13 @@ def cut_bounds(b: DataFrame, windows=S.WINDOWS, cut_step: int = 7) -> DataFrame:
     return out.withColumn("k_max", F.floor(F.datediff("last_cut", "first_cut") / cut_step).cast("int"))
 
 
-def cut_dates(cb: DataFrame, cut_step: int = 7) -> DataFrame:
+def cut_dates(cb: DataFrame, cut_step: int = S.TRAIN_CUT_STEP) -> DataFrame:
     """Every cut date ``first_cut + k·step`` (k = 0..k_max) with the bounds."""
     ks = cb.select("gmin", "first_cut", F.explode(F.sequence(F.lit(0), F.col("k_max"))).alias("k"))
     return ks.select("gmin", F.date_add("first_cut", F.col("k") * cut_step).alias("ts"))
 
 
-def training_table(long: DataFrame, windows=S.WINDOWS, cut_step: int = 7, season: DataFrame | None = None) -> DataFrame:
+def training_table(long: DataFrame, windows=S.WINDOWS, cut_step: int = S.TRAIN_CUT_STEP, season: DataFrame | None = None) -> DataFrame:
     """Rows = active (campaign, cut) pairs × windows that fit in history.
 
     Columns: the prediction-table layout with ``budget_input`` = realised spend
@@ -188,8 +188,8 @@ def training_table(long: DataFrame, windows=S.WINDOWS, cut_step: int = 7, season
         .select("campaign", F.date_add("first_cut", F.col("k") * cut_step).alias("date"))
         .distinct()
     )
-    zero = F.lit(0).cast("decimal(28,6)")
-    u = d.select("campaign", "date", *[F.col(m).cast("decimal(28,6)").alias(m) for m in S.METRICS], F.lit(0).alias("is_cut")).unionByName(
+    zero = F.lit(0).cast(S.MONEY)
+    u = d.select("campaign", "date", *[F.col(m).cast(S.MONEY).alias(m) for m in S.METRICS], F.lit(0).alias("is_cut")).unionByName(
         spine.select("campaign", "date", *[zero.alias(m) for m in S.METRICS], F.lit(1).alias("is_cut"))
     )
     u = u.withColumn("day", F.unix_date("date"))

@@ -48,6 +48,7 @@ class QuantileForest:
         self.params = {**FOREST, **params}
         self.model = None
         self.sketches = None
+        self.fallback_roas = 1.0  # for campaigns without any trailing ROAS
 
     def fit(self, train: DataFrame, target: str = "target_revenue") -> "QuantileForest":
         x = design(train).withColumn("label", F.log1p(F.greatest(F.col(target).cast("double"), F.lit(0.0))))

@@ -92,11 +92,11 @@ def name_grounded(ref: Column, names: Column) -> Column:
 
 def validate_claims(claims: DataFrame, ctx: DataFrame) -> DataFrame:
     """N6 → N5 → N3 (→ N4 for watch items, channel membership for shifts):
-    first failing check is the rejection reason.  Adds ``accepted``,
+    first failing check is the rejection reason (a limitation needs no evidence).  Adds ``accepted``,
     ``reason``."""
     x = claims.join(F.broadcast(ctx.select("window_days", "numbers", "names")), "window_days", "left")
     reason = (
-        F.when(F.coalesce(F.size("evidence"), F.lit(-1)) <= 0, "dropped item without evidence references")
+        F.when((F.col("kind") != "limitation") & (F.coalesce(F.size("evidence"), F.lit(-1)) <= 0), "dropped item without evidence references")
         .when(~clean_language(F.col("text")), "dropped item with deterministic/unsupported-causality language")
         .when(~grounded(F.col("text"), F.coalesce("numbers", F.array().cast("array<double>"))),
               "dropped item citing a number not present in the context")

@@ -136,7 +136,7 @@ def validate_output(out: DataFrame, required_channels: DataFrame) -> DataFrame:
         ("no_nan_or_inf", F.col("non_finite") == 0, F.col("non_finite")),
         ("non_negative", F.col("negative") == 0, F.col("negative")),
         ("windows_exact", F.array_join(F.col("wins"), ",") == ",".join(str(w) for w in S.WINDOWS), F.array_join(F.col("wins"), ",")),
-        ("all_levels", F.size(F.array_except(F.array(*[F.lit(v) for v in S.LEVELS]), F.col("levels"))) == 0, F.array_join("levels", ",")),
+        ("all_levels", F.col("levels") == F.sort_array(F.array(*[F.lit(v) for v in S.LEVELS])), F.array_join("levels", ",")),
         ("revenue_ordered", F.col("crossing_revenue") == 0, F.col("crossing_revenue")),
         ("roas_ordered", F.col("crossing_roas") == 0, F.col("crossing_roas")),
         ("required_channels", F.col("missing") == 0, F.col("missing_list")),

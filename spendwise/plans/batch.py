@@ -26,11 +26,9 @@ from ..sources import exports as EX
 from ..sources import sinks as SK
 from . import forecast as P
 
-TRAIN_CUT_STEP = 7
-
 
 def run(spark: SparkSession, data_dir: str, out_dir: str, train_dir: str | None = None, strict: bool = True,
-        cut_step: int = TRAIN_CUT_STEP, **forest_params) -> dict:
+        cut_step: int = S.TRAIN_CUT_STEP, **forest_params) -> dict:
     long = EX.load_long(spark, data_dir)
     if strict:
         has_rev = any(N.has_revenue_column(h) for h in EX.group_by_signature(spark, EX.list_csv_files(spark, data_dir)))
@@ -53,7 +51,7 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, train_dir: str | None
     profile = SK.stage(spark, G.training_profile(train_long), "profile")
     SK.write_json(profile, f"{out_dir}/training_profile")
     _, camp, params, model = P.forest_forecast(tt, pt, None, **forest_params)
-    camp, assessment = G.run_guardrail(camp, profile)
+    camp, assessment = G.run_guardrail(camp, profile, model.fallback_roas)
     out = R.output_order(R.reconcile(camp))
     contract = QA.output_contract(out).first()
     if not contract.valid:

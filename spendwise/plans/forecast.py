@@ -45,7 +45,8 @@ def forest_forecast(training_table: DataFrame, prediction_table: DataFrame, trai
     budget), a refit on all rows (M3), post-processing (M5), the scale guard
     (G10) when a training profile is given, and the four-level roll-up (A9).
 
-    Returns (output, campaign predictions, calibration params, forest)."""
+    Returns (output, campaign predictions, calibration params, forest with the
+    ``fallback_roas`` of its training rows)."""
     from ..operators import calibrate as CA
     from ..operators import forest as QF
     from ..operators import predict as PR
@@ -70,9 +71,10 @@ def forest_forecast(training_table: DataFrame, prediction_table: DataFrame, trai
     params = cut_lineage(CA.calibrate(cal_rows))
     full = QF.QuantileForest(**forest_params).fit(training_table)
     groas = CA.global_median_roas(training_table).first()["global_median_roas"]  # one scalar
+    full.fallback_roas = float(groas) if groas is not None else 1.0
     raw = full.predict(prediction_table)
-    camp = PR.postprocess(raw, params, global_roas=float(groas) if groas is not None else 1.0).drop("q10", "q50", "q90")
+    camp = PR.postprocess(raw, params, global_roas=full.fallback_roas).drop("q10", "q50", "q90")
     camp = cut_lineage(camp)
     if training_profile is not None:
-        camp, _ = G.run_guardrail(camp, training_profile)
+        camp, _ = G.run_guardrail(camp, training_profile, full.fallback_roas)
     return R.reconcile(camp), camp, params, full

@@ -41,19 +41,20 @@ SELECT CAST(segments_date AS DATE) AS date, 'google' AS channel, campaign_name A
        CASE campaign_advertising_channel_type WHEN 'SEARCH' THEN 'Search' WHEN 'SHOPPING' THEN 'Shopping' WHEN 'PERFORMANCE_MAX' THEN 'PerformanceMax'
             WHEN 'DISPLAY' THEN 'Display' WHEN 'VIDEO' THEN 'Video' ELSE 'DemandGen' END AS campaign_type, 0 AS is_brand,
        metrics_impressions AS impressions, metrics_clicks AS clicks, CAST(metrics_cost_micros / 1000000 AS DECIMAL(18,4)) AS spend,
-       metrics_conversions AS conversions, CAST(metrics_conversions_value AS DECIMAL(18,4)) AS revenue FROM export_google
+       metrics_conversions AS conversions, CAST(metrics_conversions_value AS DECIMAL(18,4)) AS revenue,
+       CAST(campaign_budget_amount AS DECIMAL(18,4)) AS daily_budget FROM export_google
 UNION ALL
 SELECT CAST(TimePeriod AS DATE), 'microsoft', CampaignName,
        CASE CampaignType WHEN 'Search' THEN 'Search' WHEN 'DynamicSearchAds' THEN 'Search' WHEN 'Shopping' THEN 'Shopping'
             WHEN 'Performance max' THEN 'PerformanceMax' WHEN 'Audience' THEN 'Display' ELSE 'Other' END, 0,
-       Impressions, Clicks, CAST(Spend AS DECIMAL(18,4)), Conversions, CAST(Revenue AS DECIMAL(18,4)) FROM export_microsoft
+       Impressions, Clicks, CAST(Spend AS DECIMAL(18,4)), Conversions, CAST(Revenue AS DECIMAL(18,4)), CAST(DailyBudget AS DECIMAL(18,4)) FROM export_microsoft
 UNION ALL
 SELECT CAST(date_start AS DATE), 'meta', campaign_name,
        CASE WHEN campaign_name LIKE 'DPA%' THEN 'DPA' WHEN campaign_name LIKE 'Brand%' THEN 'Brand'
             WHEN campaign_name LIKE 'BOF%' OR campaign_name LIKE 'MOF%' THEN 'Retargeting'
             WHEN campaign_name LIKE 'TOF%' THEN 'Prospecting' ELSE 'Other' END,
        CASE WHEN campaign_name LIKE 'Brand%' THEN 1 ELSE 0 END,
-       impressions, clicks, CAST(spend AS DECIMAL(18,4)), 0, CAST(conversion AS DECIMAL(18,4)) FROM export_meta),
+       impressions, clicks, CAST(spend AS DECIMAL(18,4)), 0, CAST(conversion AS DECIMAL(18,4)), 0 FROM export_meta),
 daily AS (
 SELECT campaign, date, SUM(impressions) AS impressions, SUM(clicks) AS clicks, SUM(spend) AS spend,
        SUM(conversions) AS conversions, SUM(revenue) AS revenue
@@ -170,7 +171,7 @@ def _calendar(cuts: str) -> str:
 SQL: dict[str, str] = {}
 
 SQL["to_long"] = """
-SELECT date, channel, campaign, campaign_type, is_brand, impressions, clicks, spend, conversions, revenue FROM ads_long
+SELECT date, channel, campaign, campaign_type, is_brand, impressions, clicks, spend, conversions, revenue, daily_budget FROM ads_long
 """
 
 SQL["daily"] = "SELECT * FROM daily"
@@ -204,8 +205,8 @@ cb AS (
     CASE WHEN short THEN gmin + 28 ELSE gmin + 56 END AS first_cut,
     CASE WHEN short THEN GREATEST(gmin + 28, gmax - 30) ELSE gmax - 90 END AS last_cut FROM cb0),
 cuts AS (
-  SELECT gmin, gmax, first_cut + CAST(k * 28 AS INTEGER) AS ts FROM (
-    SELECT gmin, gmax, first_cut, unnest(range(0, CAST(floor(date_diff('day', first_cut, last_cut) / 28) AS BIGINT) + 1)) AS k FROM cb)),
+  SELECT gmin, gmax, first_cut + CAST(k * 7 AS INTEGER) AS ts FROM (
+    SELECT gmin, gmax, first_cut, unnest(range(0, CAST(floor(date_diff('day', first_cut, last_cut) / 7) AS BIGINT) + 1)) AS k FROM cb)),
 pairs AS (
   SELECT DISTINCT d.campaign, c.ts, c.gmin, c.gmax FROM daily d JOIN cuts c
   ON d.date BETWEEN c.ts - 27 AND c.ts WHERE d.spend > 0),
@@ -496,10 +497,8 @@ def _q3(expr: str, name: str) -> str:
                      for p in (0.1, 0.5, 0.9))
 
 
-_PROFILE_SRC = "(SELECT * FROM ads_long WHERE date <= DATE '1999-12-31')"
-
 SQL["training_profile"] = f"""
-WITH src AS {_PROFILE_SRC},
+WITH src AS (SELECT * FROM ads_long),
 mo AS (SELECT strftime(date, '%Y-%m') AS month, CAST(SUM(spend) AS DOUBLE) AS s, CAST(SUM(revenue) AS DOUBLE) AS r FROM src GROUP BY 1),
 cm AS (SELECT campaign, strftime(date, '%Y-%m') AS month, CAST(SUM(spend) AS DOUBLE) AS s, CAST(SUM(revenue) AS DOUBLE) AS r
        FROM src GROUP BY 1, 2 HAVING SUM(spend) > 0),
@@ -517,7 +516,7 @@ FROM o,
 """
 
 SQL["profile_by_channel"] = f"""
-WITH src AS {_PROFILE_SRC},
+WITH src AS (SELECT * FROM ads_long),
 chm AS (SELECT channel, strftime(date, '%Y-%m') AS month, CAST(SUM(spend) AS DOUBLE) AS s, CAST(SUM(revenue) AS DOUBLE) AS r
         FROM src GROUP BY 1, 2)
 SELECT channel, {_q3('s', 'monthly_spend')}, {_q3('r', 'monthly_revenue')},
@@ -946,8 +945,7 @@ UNION ALL SELECT 'no_empty_rows', CASE WHEN empty_rows = 0 THEN 1 ELSE 0 END, CA
 UNION ALL SELECT 'no_nan_or_inf', CASE WHEN non_finite = 0 THEN 1 ELSE 0 END, CAST(non_finite AS VARCHAR) FROM c
 UNION ALL SELECT 'non_negative', CASE WHEN negative = 0 THEN 1 ELSE 0 END, CAST(negative AS VARCHAR) FROM c
 UNION ALL SELECT 'windows_exact', CASE WHEN wins = '30,60,90' THEN 1 ELSE 0 END, wins FROM c
-UNION ALL SELECT 'all_levels', CASE WHEN len(list_filter(['blended', 'channel', 'campaign_type', 'campaign'],
-    lambda x: NOT list_contains(string_split(levels, ','), x))) = 0 THEN 1 ELSE 0 END, levels FROM c
+UNION ALL SELECT 'all_levels', CASE WHEN levels = 'blended,campaign,campaign_type,channel' THEN 1 ELSE 0 END, levels FROM c
 UNION ALL SELECT 'revenue_ordered', CASE WHEN crossing_revenue = 0 THEN 1 ELSE 0 END, CAST(crossing_revenue AS VARCHAR) FROM c
 UNION ALL SELECT 'roas_ordered', CASE WHEN crossing_roas = 0 THEN 1 ELSE 0 END, CAST(crossing_roas AS VARCHAR) FROM c
 UNION ALL SELECT 'required_channels', CASE WHEN missing = 0 THEN 1 ELSE 0 END, missing_list FROM miss

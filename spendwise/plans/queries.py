@@ -21,12 +21,10 @@ from ..session import cut_lineage
 OUT_SPEC = [("level", "str"), ("channel", "str"), ("campaign_type", "str"), ("campaign", "str"),
             ("window_days", "int")] + [(c, "num") for c in S.REVENUE_Q + S.ROAS_Q]
 LONG_SPEC = [("date", "date"), ("channel", "str"), ("campaign", "str"), ("campaign_type", "str"),
-             ("is_brand", "int")] + [(m, "num") for m in S.METRICS]
+             ("is_brand", "int")] + [(m, "num") for m in S.METRICS] + [("daily_budget", "num")]
 FEATURE_SPEC = [("channel", "str"), ("campaign_type", "str"), ("campaign", "str"), ("is_brand", "int"),
                 ("window_start", "date")] + [(n, "int" if n == "window_days" else "num") for n in S.NUMERIC_FEATURES]
 
-TRAIN_CUT_STEP = 28
-
 
 def W(spark, sf_dir):
     return workspace(spark, sf_dir)
@@ -137,7 +135,6 @@ def q_scenario_deltas(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from ..operators import guard as G  # noqa: E402
 
-PROFILE_CUTOFF = "1999-12-31"
 _Q3 = ("monthly_spend", "monthly_revenue", "campaign_monthly_spend", "campaign_monthly_revenue", "roas")
 PROFILE_SPEC = [("channels", "str"), ("campaign_types", "str"), ("n_campaigns", "int")] + [
     (f"{k}_{p}", "num") for k in _Q3 for p in ("p10", "p50", "p90")] + [("other_channel_share", "num")]
@@ -152,7 +149,7 @@ def _flat_profile(prof):
 
 
 def _training_profile(spark, sf_dir):
-    return G.training_profile(long_of(spark, sf_dir).where(F.col("date") <= F.lit(PROFILE_CUTOFF).cast("date")))
+    return G.training_profile(long_of(spark, sf_dir))
 
 
 @register("training_profile", [("date_min", "str"), ("date_max", "str")] + PROFILE_SPEC)
@@ -519,7 +516,7 @@ def q_backtest_forest(spark, sf_dir):
         origin = BT.origin_of(long, HOLDOUT)
         train = cut_lineage(BT.train_split(long, origin))
         season = cut_lineage(C.seasonal_index(train))
-        tt = cut_lineage(FE.training_table(train, S.WINDOWS, TRAIN_CUT_STEP, season))
+        tt = cut_lineage(FE.training_table(train, S.WINDOWS, S.TRAIN_CUT_STEP, season))
         pt = cut_lineage(FE.prediction_table(train, S.WINDOWS, season))
         _, camp, _, _ = P.forest_forecast(tt, pt, None)
         groas = CA.global_median_roas(tt).first()["global_median_roas"]

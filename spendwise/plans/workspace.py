@@ -23,8 +23,6 @@ from ..operators import rollup as R
 from ..session import cut_lineage
 from ..sources import fixtures as X
 
-TRAIN_CUT_STEP = 28
-
 _MEMO: dict = {}
 
 
@@ -51,7 +49,7 @@ class Workspace:
 
     @cached_property
     def training_table(self):
-        return cut_lineage(FE.training_table(self.long, S.WINDOWS, TRAIN_CUT_STEP, self.season))
+        return cut_lineage(FE.training_table(self.long, S.WINDOWS, S.TRAIN_CUT_STEP, self.season))
 
     @cached_property
     def baseline_campaign(self):

@@ -51,6 +51,27 @@ ALIASES = {
 
 MICROS_TOKEN = "micros"
 
+# Channel of a value and of a file name: pattern found in its key, first match wins.
+VALUE_CHANNELS = (
+    ("google", r"google|^(g|gads|googleads|adwords)$"),
+    ("meta", r"meta|facebook|fb|instagram|^ig$"),
+    ("microsoft", r"microsoft|bing|msft"),
+)
+FILE_CHANNELS = (
+    ("google", r"google|adwords"),
+    ("microsoft", r"bing|microsoft|msads"),
+    ("meta", r"meta|facebook|instagram"),
+)
+# Channel of a header: every pattern matches some whole header key, first match wins.
+HEADER_CHANNELS = (
+    ("google", (r"metrics_.*|segments_date",)),
+    ("microsoft", (r"timeperiod|time_period",)),
+    ("meta", (r"date_start", r"cpm|reach|daily_budget")),
+    ("meta", (r".*purchase.*|adset_name|ad_set_name",)),
+    ("microsoft", (r".*microsoft.*|bing",)),
+    ("google", (r"cost|conversion_value|advertising_channel_type",)),
+)
+
 BRAND_TOKENS = ("brand", "branded", "trademark")
 DPA_TOKENS = ("dpa", "catalog", "advantage_catalog", "product_set", "asc")
 RETARGET_TOKENS = ("retarget", "remarket", "rmkt", "rtg", "mof", "bof", "warm", "abandon",
@@ -86,13 +107,15 @@ TRAIL_LONG = 28
 LEVELS = ("blended", "channel", "campaign_type", "campaign")
 CURRENCY = "USD"
 ROAS_CAP = 100.0
+TRAIN_CUT_STEP = 7
 # ---------------------------------------------------------------------------
 
 METRICS = ("impressions", "clicks", "spend", "conversions", "revenue")
 
 # Money and counts are kept exact (decimal) in the long table so that sums do
 # not depend on partitioning or reduction order; ratios are computed in double.
-MONEY = T.DecimalType(18, 6)
+# The widest decimal: sums keep its type, and no parseable metric is cut.
+MONEY = T.DecimalType(38, 6)
 
 LONG_SCHEMA = T.StructType(
     [

@@ -46,8 +46,9 @@ def to_long(
     if ch is not None:
         channel = N.normalize_channel(ch)
     else:
-        signature = F.lit(N.detect_channel(cols, channel_hint))
-        channel = F.coalesce(hint_col, signature) if hint_col is not None and channel_hint is None else signature
+        channel = F.lit(N.header_channel(cols)) if channel_hint is None else N.normalize_channel(F.lit(channel_hint))
+        if hint_col is not None and channel_hint is None:
+            channel = F.coalesce(hint_col, channel)
 
     def text_or(c: Column | None, default: str) -> Column:
         # missing column → default; null cell → 'nan' (text rendering of a null)

@@ -134,3 +134,16 @@ def test_no_files_raises(spark):
 
     with pytest.raises(FileNotFoundError):
         E.load_long(spark, tempfile.mkdtemp(prefix="sw-empty-"))
+
+
+def test_large_metrics_survive(spark):
+    raw = _df(spark, [("2025-01-01", "x", "1000000000000", "1e13"), ("2025-01-01", "x", "1", "-5")],
+              ["date", "campaign", "spend", "revenue"])
+    rows = [(float(r.spend), float(r.revenue)) for r in E.to_long(raw).collect()]
+    assert sorted(rows) == [(1.0, 0.0), (1e12, 1e13)]
+
+
+def test_date_layouts(spark):
+    texts = ["Jan 5, 2024", "5 Jan 2024", "01-05-2024", "1/5/24", "2024-01-05 10:00:00", "january 5, 2024"]
+    raw = _df(spark, [(t, "x", 1) for t in [*texts, "25-01-2024", "2024", "Jan", None]], ["date", "campaign", "clicks"])
+    assert sorted(str(r.date) for r in E.to_long(raw).collect()) == ["2024-01-05"] * len(texts) + ["2024-01-25"]
