@@ -222,15 +222,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
 def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int, name: str, forest: bool) -> DataFrame:
     """Pairs (a, b) that share a bucket, are in different components, and may link by
-    size and parity bitmap.  Large buckets are compared block by block; buckets of
-    the same members are compared once.  ``forest``: only pairs that would join
+    size and parity bitmap.  Buckets of two count too: a star has checked a class
+    against one hub only.  Large buckets are compared block by block; buckets of the
+    same members are compared once.  ``forest``: only pairs that would join
     what the block's earlier pairs leave apart, fewer than the block has rows."""
     named = shared.join(labels, shared.fp == labels.node, "left").select(
         "sig", "fp", F.coalesce("component", "fp").alias("comp"))
     named = stage(named, f"{name}-named")
     mixed = (named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"),
                                       F.bit_xor(F.xxhash64("fp")).alias("h1"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("h2"))
-             .where("lo < hi AND g > 2").groupBy("g", "h1", "h2").agg(F.min("sig").alias("sig"))
+             .where("lo < hi").groupBy("g", "h1", "h2").agg(F.min("sig").alias("sig"))
              .select("sig", F.ceil(F.col("g") / BLOCK).alias("blocks")))
     rows = named.join(mixed, "sig").join(classes.select("fp", "n", "bits"), "fp")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))

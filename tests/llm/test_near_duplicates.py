@@ -58,6 +58,23 @@ def test_links_beyond_the_star(spark):
     assert got == {i: (len(sets[i]), least[i]) for i, _ in rows}
 
 
+def test_short_chains_whose_buckets_hold_two(spark):
+    """A < B < C by appended words: A-B and B-C link, A-C does not."""
+    rng = random.Random(17)
+    rows, expect = [], {}
+    for n in range(7, 61):  # shingles of A
+        for more in range(1, n):
+            if 100 * n >= 85 * (n + more) and 100 * n < 85 * (n + 2 * more):
+                for _ in range(12):
+                    words = [f"c{rng.randrange(10 ** 12)}" for _ in range(n + 3 + 2 * more)]
+                    first = len(rows)
+                    for k in rng.sample(range(3), 3):
+                        expect[len(rows)] = (n + k * more, first)
+                        rows.append((len(rows), " ".join(words[:n + 3 + k * more])))
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.component_of(frame(spark, rows)).collect()}
+    assert len(rows) > 3000 and got == expect
+
+
 @pytest.mark.parametrize("n", [1, 2, 6, 7, 9, 12, 13, 30, 77, 200, 900])
 def test_linked_sets_share_a_signature(n):
     rng = np.random.default_rng(n)
