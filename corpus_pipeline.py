@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from spendwise.llm import decontaminate, langid, ngram_join, packing, substring
 from spendwise.llm.common import stage, table
 
+#: near duplicates share this much of their shingles of so many words (the thin query
+#: op4_ngram_jaccard has other values)
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 #: a document whose language is undetermined or less likely than this goes
 MIN_LANG_SCORE = 0.5
 
@@ -26,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of linked documents."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, size=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
