@@ -29,14 +29,15 @@ from .common import stage, tokenizer_path
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.tiktoken"
-
+#: the added tokens of ``byte_bpe_50k.json``, which the ranks do not hold
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 class Encoder:
     """Text -> uint32 ids of the byte-level BPE.  ``ranks`` is the tiktoken form of
     the vocabulary in ``byte_bpe_50k.json``: the ids are those of ``tokenizers``
-    (tests compare them), at several times its speed.  Special-token strings in a
-    text are ordinary text."""
+    (tests compare them), at several times its speed.  As there, a special-token
+    string in a text is that token."""
 
     def __init__(self, ranks: str):
         import base64
@@ -46,10 +47,10 @@ class Encoder:
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.codec = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.codec = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
 
     def encode(self, text: str) -> np.ndarray:
-        return self.codec.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        return self.codec.encode_to_numpy(text, allowed_special="all")
 
 
 _ENCODER: dict[str, Encoder] = {}

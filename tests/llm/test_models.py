@@ -27,6 +27,23 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_special_token_strings_are_tokens(spark):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    with open(path) as f:
+        assert {t["content"]: t["id"] for t in json.load(f)["added_tokens"]} == packing.SPECIAL
+    codec, mark = Tokenizer.from_file(path), "<|endoftext|>"
+    texts = [f"a {mark} b", f"{mark}a b", mark, mark * 3, f"x{mark}{mark} y\n\n {mark}  ", f"<|{mark}|> {mark}'s é{mark}漢", "<|endoftext", mark.upper(),
+             f"{mark} word " * 300]
+    out = packing.pack_documents(frame(spark, list(enumerate(texts))), capacity=64, with_ids=True).collect()
+    for i, t in enumerate(texts):
+        own = sorted((r for r in out if r.doc_id == i), key=lambda r: r.piece)
+        assert [x for r in own for x in r.ids] == codec.encode(t, add_special_tokens=False).ids + [0], t
+
+
 def test_tokens_and_packing(spark):
     import numpy as np
     from tokenizers import Tokenizer
