@@ -1,8 +1,11 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (line ends, and full stops before white space), each
+A text is cut into pieces (line ends, and full stops before white space), each
 normalised (lower case; runs of other characters than letters, digits and inner
-dots are one space) and looked up among known licence sentences.  The sequence of
+dots are one space).  A known licence sentence is a whole piece or several that
+follow each other, as notices are wrapped over lines; a line without letters and
+digits (blank, or a bare comment mark) ends it.  Where a shorter and a longer one
+begin, the longer counts, and a piece belongs to one sentence.  The sequence of
 their identifiers, in text order, is matched against ordered licence rules, each a
 sequence of identifiers: a rule takes all its occurrences before the next rule is
 tried, so full notices win over single lines.  Identifiers that no rule takes are
@@ -15,6 +18,8 @@ and zero counts; repeated sentences count each time; other columns are ignored.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,17 +90,22 @@ def check_tables(sentences=None, rules=None, triggers=TRIGGERS) -> None:
                 raise ValueError(f"unknown sentence: {i}")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", "")
+def normalised(text: Column) -> Column:
+    """The pieces of a text, one per line, without marks at their beginnings."""
+    lines = F.regexp_replace(F.lower(text), r"\n[^a-z0-9\n]+", "\n")
+    pieces = F.regexp_replace(F.regexp_replace(lines, STOP, ".\n"), r"[^a-z0-9.\n]+", " ")
+    return F.regexp_replace(pieces, r"(?:^| *\n)[ .]*", "\n")
 
 
 def sentence_ids(text: Column, sentences=None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map([F.lit(x) for i, s in (sentences or SENTENCES).items() for x in (s, i)])
+    sentences = sentences or SENTENCES
+    known = F.create_map([F.lit(x) for i, s in sentences.items() for x in (s, i)])
     trigger = "(?i)" + "|".join(TRIGGERS)
-    parts = F.split(F.regexp_replace(text, STOP, ".\n"), "\n")
-    parts = F.filter(parts, lambda s: s.rlike(trigger))
-    ids = F.filter(F.transform(parts, lambda s: known[normalised(s)]), lambda i: i.isNotNull())
+    # a space of a sentence may be a line end; longer sentences are tried first
+    one_of = "|".join(re.escape(s).replace("\\ ", "[ \n]") for s in sorted(sentences.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(normalised(text), F.lit(rf"(?<=\n)({one_of})(?=[ .]*(?:\n|\z))"), F.lit(1))
+    ids = F.transform(found, lambda s: known[F.translate(s, "\n", " ")])
     return F.when(text.rlike(trigger), ids).otherwise(F.array().cast("array<string>"))
 
 

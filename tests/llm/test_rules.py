@@ -96,6 +96,62 @@ def test_license_rules(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+MIT = """The MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software, to deal in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD = """Copyright (c) 2001, The Regents. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_wrapped_license_notices(spark):
+    expect = {
+        MIT: (3, "mit-title mit-notice as-is", "MIT", 1, 0),
+        BSD: (1, "bsd-redistribution", "BSD", 1, 0),
+        GPL: (3, "gpl-redistribute gpl-no-warranty gpl-details", "GPL-3.0-or-later", 1, 0),
+        MPL: (1, "mpl-line", "MPL-2.0", 1, 0),
+        "Released under\nthe MIT License": (1, "mit-line", "MIT", 1, 0),
+        "Licensed under the Apache License, Version 2.0\n(the License);": (1, "apache-the-license", "Apache-2.0", 1, 0),
+        "Licensed under the Apache License, Version 2.0.\nThe License\nwas": (1, "apache-line", "Apache-2.0", 1, 0),
+        "Released under\n\nthe BSD License": (0, "", "", 0, 0),  # a blank line ends a sentence
+        "Released under the\nBSD License and others": (0, "", "", 0, 0),
+        "We released under the\nBSD License": (0, "", "", 0, 0),
+        "Released under the MIT License\nReleased under the\nBSD License. Released under\nthe ISC License.": (3, "mit-line bsd-line isc-line", "MIT,BSD,ISC", 3, 0),
+    }
+    texts = {}
+    for text, want in expect.items():
+        lines = text.split("\n")
+        marked = ["\n".join(mark + line for line in lines) for mark in ("# ", " * ", "// ", ";; ", ".. ", "\t")]
+        for t in [text, text.replace("\n", "\r\n"), "/*\n" + marked[1] + "\n */\nint main() {}", *marked]:
+            texts[len(texts)] = (t, want)
+    got = {r[0]: tuple(r)[1:] for r in licenses.scan(frame(spark, [(i, t) for i, (t, _) in texts.items()])).collect()}
+    for i, (t, want) in texts.items():
+        assert got[i] == want, t
+
+
 def brute_cost(roles):
     """Least cost over all choices of role, merge and insertions."""
     best = chat.INF
