@@ -202,7 +202,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
               size: int, lower: bool, num: int, den: int, name: str) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose sets link, by their exact sets."""
     need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    need = stage(need.join(classes.select("fp", "rep"), "fp").where("rep IS NOT NULL"), f"{name}-need")
+    need = stage(need.join(classes.select("fp", "rep"), "fp"), f"{name}-need")
 
     def run(batches):
         for b in batches:
@@ -211,8 +211,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
                                               pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "s"])
 
-    own = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")).join(small_side(need, 40), "rep")
-    sets = stage(own.select("fp", "t").mapInArrow(run, "fp long, s array<long>"), f"{name}-sets")
+    def nameless(batches):
+        seen: set[int] = set()  # a task emits a class once
+        for b in batches:
+            rows = []
+            for _, s in _sets(b.column(0), size, lower):
+                fp = fingerprint(s) if len(s) else None
+                if fp is not None and fp not in seen:
+                    seen.add(fp)
+                    rows.append((fp, s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
+                                              pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "s"])
+
+    schema = "fp long, s array<long>"
+    own = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")).join(small_side(need.where("rep IS NOT NULL"), 40), "rep")
+    # classes of documents without an id are found by their fingerprint
+    rest = need.where("rep IS NULL").select("fp")
+    sets = own.select("fp", "t").mapInArrow(run, schema)
+    if rest.limit(1).count():
+        sets = sets.union(docs.where(F.col(id_col).isNull()).select(text_col).mapInArrow(nameless, schema)
+                          .join(rest, "fp").dropDuplicates(["fp"]))
+    sets = stage(sets, f"{name}-sets")
     both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb"))

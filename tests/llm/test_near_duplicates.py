@@ -75,6 +75,16 @@ def test_short_chains_whose_buckets_hold_two(spark):
     assert len(rows) > 3000 and got == expect
 
 
+def test_documents_without_an_id_link(spark):
+    words = [f"a{i}" for i in range(60)]
+    rows = [(5, " ".join(words[:20])), (None, " ".join(words[:22])), (None, " ".join(words[:22])), (3, " ".join(words[:25])),
+            (None, " ".join(words[30:50])), (None, " ".join(words[30:51])), (9, "alone here with its words"), (None, None)]
+    got = sorted((tuple(r) for r in ngram_join.component_of(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, 17, 3), (None, 19, 3), (None, 19, 3), (3, 22, 3), (None, 17, None), (None, 18, None), (9, 2, 9), (None, 0, None)], key=str)
+    kept = sorted((r.doc_id for r in ngram_join.keep_one(frame(spark, rows)).collect()), key=str)
+    assert kept == sorted([3, 9] + [None] * 5, key=str)
+
+
 @pytest.mark.parametrize("n", [1, 2, 6, 7, 9, 12, 13, 30, 77, 200, 900])
 def test_linked_sets_share_a_signature(n):
     rng = np.random.default_rng(n)
