@@ -78,10 +78,10 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the elements in each of BITMAP cells: sets that differ in d elements
-    have bitmaps that differ in at most d bits."""
-    odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+def bitmap(s: np.ndarray, cells: int = BITMAP) -> bytes:
+    """Parity of the elements in each of ``cells`` cells (a power of two): sets that
+    differ in d elements have bitmaps that differ in at most d bits."""
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -198,6 +198,37 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig long, fp long, hub long")
 
 
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded to the other's cells."""
+    x, y = (np.frombuffer(z, np.uint64) for z in (x, y))
+    while len(x) != len(y):
+        x, y = (z if len(z) == min(len(x), len(y)) else z[:len(z) // 2] ^ z[len(z) // 2:] for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """``pairs`` without those that bitmaps of as many cells as the sets have elements
+    tell apart, so that few pairs carry whole sets."""
+
+    def widen(batches):
+        for b in batches:
+            rows = [s.values.to_numpy().view(np.uint64) for s in b.column(1)]
+            bits = [bitmap(s, max(BITMAP, 1 << (len(s) - 1).bit_length())) for s in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in rows], pa.int64()), pa.array(bits, pa.binary())], ["fp", "n", "bits"])
+
+    def run(batches):
+        for b in batches:
+            n = b.column("n").to_pylist()
+            d = [apart(x, y) for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist())]
+            keep = pa.array([u * (num + den) <= v * (den - num) for u, v in zip(d, n)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
+
+    wide = stage(sets.mapInArrow(widen, "fp long, n long, bits binary").dropDuplicates(["fp"]), f"{name}-wide")
+    both = (pairs.join(wide.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
+            .join(wide.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b"))
+    return stage(both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "xa", "xb").mapInArrow(run, "a long, b long"), f"{name}-near")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
               size: int, lower: bool, num: int, den: int, name: str) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose sets link, by their exact sets."""
@@ -232,7 +263,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
         sets = sets.union(docs.where(F.col(id_col).isNull()).select(text_col).mapInArrow(nameless, schema)
                           .join(rest, "fp").dropDuplicates(["fp"]))
     sets = stage(sets, f"{name}-sets")
-    both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
+    both = (_near(pairs, sets, num, den, name).join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     return stage(both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n"))
