@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, ngram_join, packing, substring, topk, toxicity, url_filter
+from . import (chat, cross_polytope, decontaminate, langid, licenses, merkle, ngram_join, packing, substring, topk, toxicity,
+               url_filter, vector_codes)
 from .common import stage, table
 
 
@@ -62,10 +63,28 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cross_polytope.usable(table(spark, sf_dir, "embeddings"))
+    return cross_polytope.nearest(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    tampered = {"n_chars": F.when(hit, more).otherwise(F.col("n_chars").cast("string"))}
+    return merkle.verify(merkle.manifest(docs, tampered))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_best_fit_packing, op3_toxicity, op4_ngram_jaccard, op5_url_filter, op6_substring_dedup,
-        op7_decontamination, op8_exact_top_k, op9_license_scan, op10_chat_format)
+        op7_decontamination, op8_exact_top_k, op9_license_scan, op10_chat_format,
+        op11_vector_codes, op12_cross_polytope, op13_merkle_manifest)
 }
 
 # Words as the contracts of op4 and op6 define them.
@@ -111,4 +130,6 @@ s AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""",
     "op9_license_scan": licenses.oracle_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(),
+    "op13_merkle_manifest": merkle.oracle_sql(),
 }
