@@ -12,23 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 # FIXED VALUES — blend-weight grid (searched in this order, strict improvement
 # only), factor bounds, thresholds.
 WEIGHT_GRID = (1.0, 0.85, 0.7, 0.5)
 F_MIN, F_MAX = 1.0, 8.0
 TARGET_COVERAGE = 0.8
 MIN_ROWS, MIN_CAL, MIN_FIT, MIN_WINDOW = 40, 10, 20, 15
-ORDER_STAT_ACCURACY = 1_000_000  # sketch is exact up to ~1e6 rows per group
 
 
-def global_median_roas(train: DataFrame, y: str = "target_revenue", budget: str = "budget_input",
-                       exact: bool = True) -> DataFrame:
-    """A10: median(clip(y / max(budget, 1e-9), 0, 100)) — one row.  The exact
-    median holds the distinct ratios in one task; ``exact=False`` uses a
-    bounded sketch for very large training tables."""
+def global_median_roas(train: DataFrame, y: str = "target_revenue", budget: str = "budget_input") -> DataFrame:
+    """A10: median(clip(y / max(budget, 1e-9), 0, 100)) — one row, by exact
+    distributed selection."""
     r = F.least(F.greatest(F.col(y) / F.greatest(F.col(budget), F.lit(1e-9)), F.lit(0.0)), F.lit(100.0))
-    m = F.percentile(r, 0.5) if exact else F.percentile_approx(r, 0.5, ORDER_STAT_ACCURACY)
-    return train.agg(m.alias("global_median_roas"))
+    return quantiles.select(train.select(r.alias("r")), [], "r", [0.5]).agg(F.max("value").alias("global_median_roas"))
 
 
 def time_split(rows: DataFrame, ts: str = "window_start") -> DataFrame:
@@ -85,7 +83,7 @@ def calibrate(rows: DataFrame, target: float = TARGET_COVERAGE, y="y", lo="lo",
     mid_b = F.col("bw") * F.col("mid") + (F.lit(1.0) - F.col("bw")) * F.col("base")
     g = g.withColumn("mid_b", mid_b).withColumn("lo_b", F.least("lo", "mid_b")).withColumn("hi_b", F.greatest("hi", "mid_b"))
     g = g.withColumn("f_req", required_factor(F.col("y"), F.col("lo_b"), F.col("mid_b"), F.col("hi_b")))
-    fac = g.groupBy("grp").agg(F.percentile_approx("f_req", target, ORDER_STAT_ACCURACY).alias("_f"))
+    fac = quantiles.select(g, ["grp"], "f_req", [target], how="order").select("grp", F.col("value").alias("_f"))
     f_c = F.when(F.col("_f") > F_MAX, F.lit(F_MAX)).otherwise(F.greatest(F.col("_f"), F.lit(F_MIN)))
     per = weights.join(fac, "grp").select("grp", "n_cal", F.col("bw").alias("blend_weight"), f_c.alias("width_factor"))
     pooled = per.where(F.col("grp") == 0).select(F.col("blend_weight").alias("_pw"), F.col("width_factor").alias("_pf"))

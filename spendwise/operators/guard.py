@@ -6,11 +6,13 @@ that row back with a broadcast — nothing is collected to the driver.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .rollup import roas as _roas
+from ..session import scratch_table
+from . import quantiles
 
 # FIXED VALUES — blend weights per confidence bucket (model, baseline), scale
 # trigger, signal weights, baseline band and the OOD warning text.
@@ -36,24 +38,17 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-# Exact percentiles keep a value→count map of the group's distinct values in
-# one task.  That is bounded for month- or date-keyed inputs, but campaign-month
-# sums and per-campaign ROAS grow with the data: set EXACT_QUANTILES = False to
-# use a bounded-memory sketch (relative rank error 1e-4) for very large
-# profiles.  The guard's thresholds (5× ratios) are insensitive to it.
-EXACT_QUANTILES = True
-SKETCH_ACCURACY = 10_000
+def _values(name: str, df: DataFrame, columns: dict[str, Column], channel: Column | None = None) -> DataFrame:
+    """(name, channel, v) rows: each of ``columns`` as a sample of its own."""
+    of = F.lit(None).cast("string") if channel is None else channel
+    pairs = [F.struct(F.lit(f"{name}{k}").alias("name"), of.alias("channel"), c.cast("double").alias("v")) for k, c in columns.items()]
+    return df.select(F.explode(F.array(*pairs)).alias("s")).select("s.*").where(finite(F.col("v")))
 
 
-def quantile3(c: Column, exact: bool | None = None) -> Column:
-    """A5: P10/P50/P90 (exact: linear interpolation) over finite values; an
-    empty group gives zeros."""
-    exact = EXACT_QUANTILES if exact is None else exact
-    v = c.cast("double")
-    probs = F.array(*[F.lit(p) for p in _PROBS])
-    arr = (F.percentile(F.when(finite(v), v), probs) if exact
-           else F.percentile_approx(F.when(finite(v), v), probs, SKETCH_ACCURACY))
-    return F.struct(*[F.coalesce(arr[i], F.lit(0.0)).alias(f"p{int(p * 100)}") for i, p in enumerate(_PROBS)])
+def _three(found: DataFrame, name: str) -> Column:
+    """A5: P10/P50/P90 of one sample among ``found`` as a struct; an empty one gives zeros."""
+    return F.struct(*[F.coalesce(F.max(F.when((F.col("name") == name) & (F.col("i") == i), F.col("value"))), F.lit(0.0)).alias(f"p{int(p * 100)}")
+                      for i, p in enumerate(_PROBS)]).alias(name.removeprefix("channel_"))
 
 
 # ---------------------------------------------------------------------------
@@ -62,45 +57,38 @@ def quantile3(c: Column, exact: bool | None = None) -> Column:
 
 
 def training_profile(long: DataFrame) -> DataFrame:
-    """G1: distribution profile of a long table, one row (PROFILE_SCHEMA)."""
-    d = long.withColumn("month", F.date_format("date", "yyyy-MM"))
-    monthly = d.groupBy("month").agg(F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue"))
-    m_q = monthly.agg(quantile3(F.col("spend")).alias("monthly_spend"), quantile3(F.col("revenue")).alias("monthly_revenue"))
-    cm = d.groupBy("campaign", "month").agg(F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue")).where(
-        F.col("spend") > 0
-    )
-    cm_q = cm.agg(
-        quantile3(F.col("spend")).alias("campaign_monthly_spend"),
-        quantile3(F.col("revenue")).alias("campaign_monthly_revenue"),
-    )
-    ct = d.groupBy("campaign").agg(F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue")).where(
-        F.col("spend") > 0
-    )
-    r_q = ct.agg(quantile3(F.least(F.greatest(_ratio_raw("revenue", "spend"), F.lit(0.0)), F.lit(S.ROAS_CAP))).alias("roas"))
-    chm = d.groupBy("channel", "month").agg(F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue"))
-    by_ch = chm.groupBy("channel").agg(
-        quantile3(F.col("spend")).alias("monthly_spend"),
-        quantile3(F.col("revenue")).alias("monthly_revenue"),
-        F.sum("spend").alias("spend"),
-        F.sum("revenue").alias("revenue"),
-    ).select(
-        "channel",
-        F.struct(
-            "monthly_spend", "monthly_revenue",
-            F.when(F.col("spend") > 0, F.least(F.greatest(_ratio_raw("revenue", "spend"), F.lit(0.0)), F.lit(S.ROAS_CAP)))
-            .otherwise(0.0).alias("roas"),
-        ).alias("v"),
-    ).agg(F.map_from_entries(F.collect_list(F.struct("channel", "v"))).alias("by_channel"))
-    overall = d.agg(
-        F.date_format(F.min("date"), "yyyy-MM-dd").alias("date_min"),
-        F.date_format(F.max("date"), "yyyy-MM-dd").alias("date_max"),
+    """G1: distribution profile of a long table, one row (PROFILE_SCHEMA).
+
+    The fact is read once, into sums by (channel, type, campaign, month); everything
+    else derives from those.  All quantiles are one exact selection (A5, A7)."""
+    spark = long.sparkSession
+    base = scratch_table(spark, long.withColumn("month", F.date_format("date", "yyyy-MM"))
+                         .groupBy("channel", "campaign_type", "campaign", "month").agg(
+                             F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue"), F.count("*").alias("rows"),
+                             F.min("date").alias("first"), F.max("date").alias("last")), "profile-base")
+    sums = lambda *keys: base.groupBy(*keys).agg(F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue"))
+    both = {"spend": F.col("spend"), "revenue": F.col("revenue")}
+    ratio = F.least(F.greatest(_ratio_raw("revenue", "spend"), F.lit(0.0)), F.lit(S.ROAS_CAP))
+    values = (_values("monthly_", sums("month"), both)
+              .unionByName(_values("campaign_monthly_", sums("campaign", "month").where("spend > 0"), both))
+              .unionByName(_values("", sums("campaign").where("spend > 0"), {"roas": ratio}))
+              .unionByName(_values("channel_monthly_", sums("channel", "month"), both, F.col("channel"))))
+    found = scratch_table(spark, quantiles.select(values, ["name", "channel"], "v", _PROBS), "profile-quantiles")
+    by_ch = (sums("channel").select("channel", F.when(F.col("spend") > 0, ratio).otherwise(0.0).alias("roas"))
+             .join(found.where(F.col("name").startswith("channel_")).groupBy("channel").agg(
+                 _three(found, "channel_monthly_spend"), _three(found, "channel_monthly_revenue")), "channel")
+             .agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("monthly_spend", "monthly_revenue", "roas")))).alias("by_channel")))
+    known = F.when(F.col("channel").isNotNull(), F.col("rows"))
+    overall = base.agg(
+        F.date_format(F.min("first"), "yyyy-MM-dd").alias("date_min"),
+        F.date_format(F.max("last"), "yyyy-MM-dd").alias("date_max"),
         F.sort_array(F.collect_set("channel")).alias("channels"),
         F.sort_array(F.collect_set("campaign_type")).alias("campaign_types"),
         F.count_distinct("campaign").alias("n_campaigns"),
-        F.avg((F.col("channel") == "other").cast("double")).alias("other_channel_share"),
+        F.try_divide(F.sum(F.when(F.col("channel") == "other", F.col("rows")).otherwise(0)).cast("double"), F.sum(known)).alias("other_channel_share"),
     )
-    one = overall.crossJoin(m_q).crossJoin(cm_q).crossJoin(r_q).crossJoin(by_ch)
-    return one.select(*[f.name for f in S.PROFILE_SCHEMA.fields])
+    q = found.agg(*[_three(found, n) for n in ("monthly_spend", "monthly_revenue", "campaign_monthly_spend", "campaign_monthly_revenue", "roas")])
+    return overall.crossJoin(q).crossJoin(by_ch).select(*[f.name for f in S.PROFILE_SCHEMA.fields])
 
 
 def _ratio_raw(num: str, den: str) -> Column:
@@ -114,15 +102,17 @@ def profile_from_table(table: DataFrame) -> DataFrame:
     wmin = table.agg(F.min("window_days").alias("_w"))
     t = table.crossJoin(F.broadcast(wmin)).where(F.col("window_days") == F.col("_w"))
     k = 30.0 / 28.0
-    t = t.select(
+    t = scratch_table(table.sparkSession, t.select(
         "channel", "campaign_type",
         (F.col("tr28_spend") * k).alias("s"),
         (F.col("tr28_revenue") * k).alias("r"),
-    )
-    act = F.col("s") > 0
+    ), "profile-rows")
     roas = F.least(F.greatest(F.coalesce(F.try_divide(F.col("r"), F.col("s")), F.lit(0.0)), F.lit(0.0)), F.lit(S.ROAS_CAP))
     zero = F.lit(0.0)
-    return t.agg(
+    values = _values("", t.where("s > 0"), {"campaign_monthly_spend": F.col("s"), "campaign_monthly_revenue": F.col("r"), "roas": roas})
+    found = quantiles.select(values, ["name", "channel"], "v", _PROBS)
+    q = found.agg(*[_three(found, n) for n in ("campaign_monthly_spend", "campaign_monthly_revenue", "roas")])
+    one = t.agg(
         F.lit(None).cast("string").alias("date_min"),
         F.lit(None).cast("string").alias("date_max"),
         F.sort_array(F.collect_set("channel")).alias("channels"),
@@ -130,21 +120,19 @@ def profile_from_table(table: DataFrame) -> DataFrame:
         F.count("*").alias("n_campaigns"),
         F.struct(zero.alias("p10"), F.sum("s").alias("p50"), zero.alias("p90")).alias("monthly_spend"),
         F.struct(zero.alias("p10"), F.sum("r").alias("p50"), zero.alias("p90")).alias("monthly_revenue"),
-        quantile3(F.when(act, F.col("s"))).alias("campaign_monthly_spend"),
-        quantile3(F.when(act, F.col("r"))).alias("campaign_monthly_revenue"),
-        quantile3(F.when(act, roas)).alias("roas"),
         F.avg((F.col("channel") == "other").cast("double")).alias("other_channel_share"),
         F.lit(None).cast(S.PROFILE_SCHEMA["by_channel"].dataType).alias("by_channel"),
     )
+    return one.crossJoin(q).select(*[f.name for f in S.PROFILE_SCHEMA.fields])
 
 
 def load_profile(spark, path: str) -> DataFrame | None:
     """Profile side-car; missing or corrupt → None (guard disabled)."""
     try:
         df = spark.read.schema(S.PROFILE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-        return df if df.head(1) else None
-    except Exception:
+    except AnalysisException:  # no such path
         return None
+    return df if df.where("n_campaigns IS NOT NULL").head(1) else None
 
 
 def save_profile(profile: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,6 +42,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+#: a side of a join is broadcast only up to this many bytes
+BROADCAST_BYTES = 32 << 20
+
+
+def size_checked(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows of at most ``row_bytes`` fit
+    ``BROADCAST_BYTES``; unchanged (a shuffled join) beyond that.  Call it on staged
+    tables, whose count comes from the file footers."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor
     loss, unlike a local checkpoint)."""
