@@ -1,79 +1,107 @@
-"""End-to-end batch job: export directory → validated forecast files.
+"""Batch jobs: train a model bundle, predict with it, or both.
 
-    python -m spendwise.plans.batch <data_dir> <out_dir> [--train-dir DIR]
+    python -m spendwise.plans.batch train   <data_dir> <model_dir>
+    python -m spendwise.plans.batch predict <data_dir> <model_dir> <out_dir> [--version N]
+    python -m spendwise.plans.batch run     <data_dir> <out_dir> [--train-dir DIR]
 
-Stages (one lazy plan between the marked boundaries):
-  ingest (S1–S3) → strict checks (Q1, raise) → seasonal index, feature tables
-  → Parquet stage tables (S4, partitioned by window) → calibrated quantile
-  forest (M3/M4/M5) → scale guard against the training profile (G10) →
-  roll-up (A9) → contract (Q2, raise) → predictions CSV (S5, overwrite),
-  guard report and profile JSON (S7/S8), model (S6).
+train:   ingest (S1–S3) → strict checks (Q1, raise) → seasonal index, training table
+         → Parquet stage table (S4, partitioned by window) → calibrated quantile
+         forest (M3/M4), curves, profile → versioned bundle (S6, S7)
+predict: ingest → strict checks → bundle → feature table under the model's season
+         → forecast (M5) → scale guard against the bundle's profile (G10; off if
+         the profile is lost) → roll-up (A9) → contract (Q2, raise) → predictions
+         CSV (S5, overwrite) and guard report JSON (S8)
 """
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema as S
 from ..functions import normalize as N
 from ..operators import calendar as C
 from ..operators import features as FE
-from ..operators import guard as G
 from ..operators import quality as QA
 from ..operators import rollup as R
 from ..sources import exports as EX
 from ..sources import sinks as SK
-from . import forecast as P
+from . import model as M
 
 
-def run(spark: SparkSession, data_dir: str, out_dir: str, train_dir: str | None = None, strict: bool = True,
-        cut_step: int = S.TRAIN_CUT_STEP, **forest_params) -> dict:
+def ingest(spark: SparkSession, data_dir: str, strict: bool = True) -> DataFrame:
+    """The staged long table of an export directory; ``strict`` raises on failed checks."""
     long = EX.load_long(spark, data_dir)
     if strict:
         has_rev = any(N.has_revenue_column(h) for h in EX.group_by_signature(spark, EX.list_csv_files(spark, data_dir)))
         bad = [r for r in QA.ingest_checks(long, has_rev).collect() if not r.ok]  # ≤ 4 check rows
         if bad:
             raise ValueError("ingest checks failed: " + "; ".join(f"{r.check}={r.detail}" for r in bad))
-    long = SK.stage(spark, long, "long")
-    train_long = long if train_dir is None else SK.stage(spark, EX.load_long(spark, train_dir), "train_long")
-
-    season = SK.stage(spark, C.seasonal_index(train_long), "season")
-    tt = FE.training_table(train_long, S.WINDOWS, cut_step, season)
-    SK.write_parquet(tt, f"{out_dir}/features/training", ["window_days"])
-    tt = spark.read.parquet(f"{out_dir}/features/training")
-    if not tt.head(1):
-        raise ValueError("No training samples produced — check the data span/history.")
-    pt = FE.prediction_table(long, S.WINDOWS, season)
-    SK.write_parquet(pt, f"{out_dir}/features/prediction", ["window_days"])
-    pt = spark.read.parquet(f"{out_dir}/features/prediction")
-
-    profile = SK.stage(spark, G.training_profile(train_long), "profile")
-    SK.write_json(profile, f"{out_dir}/training_profile")
-    _, camp, params, model = P.forest_forecast(tt, pt, None, **forest_params)
-    camp, assessment = G.run_guardrail(camp, profile, model.fallback_roas)
-    out = R.output_order(R.reconcile(camp))
+    return SK.stage(spark, long, "long")
+
+
+def train(spark: SparkSession, data_dir: str, model_dir: str, strict: bool = True, cut_step: int = S.TRAIN_CUT_STEP,
+          **forest_params) -> M.ForecastModel:
+    """Fits on the exports and saves the next model version under ``model_dir``."""
+    long = ingest(spark, data_dir, strict)
+    season = SK.stage(spark, C.seasonal_index(long), "season")
+    features = SK.scratch_dir(spark, "training")
+    SK.write_parquet(FE.training_table(long, S.WINDOWS, cut_step, season), features, ["window_days"])
+    model = M.train(long, S.WINDOWS, cut_step, season, spark.read.parquet(features), **forest_params)
+    model.save(model_dir)
+    return model
+
+
+def predict(spark: SparkSession, data_dir: str, model_dir: str, out_dir: str, strict: bool = True, version: int | None = None,
+            single_file: bool = False) -> dict:
+    """Forecasts the exports with a saved model."""
+    model = M.ForecastModel.load(spark, model_dir, version)
+    long = ingest(spark, data_dir, strict)
+    table = f"{out_dir}/features/prediction"
+    SK.write_parquet(model.prediction_table(long), table, ["window_days"])
+    out, _, assessment = model.predict(spark.read.parquet(table))
+    out = SK.stage(spark, out, "forecast")
     contract = QA.output_contract(out).first()
     if not contract.valid:
         raise ValueError(f"output contract violated: {contract.asDict()}")
-    SK.write_csv(out, f"{out_dir}/predictions", single_file=True)
-    SK.write_json(assessment, f"{out_dir}/scale_report")
-    SK.write_json(params, f"{out_dir}/calibration")
-    model.save(f"{out_dir}/model")
-    return {"rows": contract.rows, "confidence": assessment.first().confidence}
+    SK.write_csv(R.output_order(out), f"{out_dir}/predictions", single_file=single_file)
+    confidence = None
+    if assessment is not None:
+        SK.write_json(assessment, f"{out_dir}/scale_report")
+        confidence = assessment.first().confidence
+    return {"rows": contract.rows, "confidence": confidence, "version": model.version}
+
+
+def run(spark: SparkSession, data_dir: str, out_dir: str, train_dir: str | None = None, strict: bool = True,
+        cut_step: int = S.TRAIN_CUT_STEP, single_file: bool = False, **forest_params) -> dict:
+    """train on ``train_dir`` (else on the data itself), then predict."""
+    train(spark, train_dir or data_dir, f"{out_dir}/model", strict, cut_step, **forest_params)
+    return predict(spark, data_dir, f"{out_dir}/model", out_dir, strict, single_file=single_file)
 
 
 def main(argv=None):
     ap = argparse.ArgumentParser(description="Forecast 30/60/90-day revenue and ROAS from ad exports")
-    ap.add_argument("data_dir")
-    ap.add_argument("out_dir")
-    ap.add_argument("--train-dir", default=None)
-    ap.add_argument("--no-strict", action="store_true")
+    jobs = ap.add_subparsers(dest="job", required=True)
+    for name, dirs in (("train", ("data_dir", "model_dir")), ("predict", ("data_dir", "model_dir", "out_dir")), ("run", ("data_dir", "out_dir"))):
+        job = jobs.add_parser(name)
+        for d in dirs:
+            job.add_argument(d)
+        job.add_argument("--no-strict", action="store_true")
+        if name == "run":
+            job.add_argument("--train-dir", default=None)
+        if name == "predict":
+            job.add_argument("--version", type=int, default=None)
+        if name != "train":
+            job.add_argument("--single-file", action="store_true", help="one CSV file; all rows pass one task")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("spendwise-batch").getOrCreate()
-    print(run(spark, a.data_dir, a.out_dir, a.train_dir, strict=not a.no_strict))
+    if a.job == "train":
+        print(f"model version {train(spark, a.data_dir, a.model_dir, not a.no_strict).version} in {a.model_dir}")
+    elif a.job == "predict":
+        print(predict(spark, a.data_dir, a.model_dir, a.out_dir, not a.no_strict, a.version, a.single_file))
+    else:
+        print(run(spark, a.data_dir, a.out_dir, a.train_dir, not a.no_strict, single_file=a.single_file))
 
 
 if __name__ == "__main__":
     main()
-

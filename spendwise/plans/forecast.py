@@ -7,7 +7,6 @@ roll-up.  It needs no learner, so every step has an exact SQL twin.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import calendar as C
@@ -28,53 +27,20 @@ def baseline_forecast(long: DataFrame, windows=S.WINDOWS, fallback_roas: float =
     return R.reconcile(baseline_campaign_forecast(long, windows, fallback_roas))
 
 
-def contract_ok(out: DataFrame) -> DataFrame:
-    """Q2 as a one-row violation count frame (see operators.quality)."""
-    from ..operators import quality as Q
-
-    return Q.output_contract(out)
-
-
-__all__ = ["baseline_forecast", "baseline_campaign_forecast", "contract_ok", "forest_forecast"]
-
-
 def forest_forecast(training_table: DataFrame, prediction_table: DataFrame, training_profile: DataFrame | None = None,
                     **forest_params):
-    """M14 with the learned model: time-split calibration of a forest fitted
-    on the earlier 80 % (M4, predicting the later 20 % under the extrapolated
-    budget), a refit on all rows (M3), post-processing (M5), the scale guard
-    (G10) when a training profile is given, and the four-level roll-up (A9).
+    """M14 with the learned model: time-split calibration (M4), a refit on all rows
+    (M3), post-processing (M5), the scale guard (G10) when a training profile is given,
+    and the four-level roll-up (A9).
 
     Returns (output, campaign predictions, calibration params, forest with the
     ``fallback_roas`` of its training rows)."""
-    from ..operators import calibrate as CA
-    from ..operators import forest as QF
-    from ..operators import predict as PR
     from ..session import cut_lineage
+    from . import model as M
 
-    key_t = ("campaign", "window_start", "window_days")
-    split = CA.time_split(training_table)
-    fit_rows = split.where(~F.col("is_cal")).select(*training_table.columns)
-    early = QF.QuantileForest(**forest_params).fit(fit_rows)
-    # only the later slice is scored (under the extrapolated budget); the
-    # earlier rows enter the calibration frame for the split counts only
-    ex = split.drop("budget_input").withColumnRenamed("budget_input_ex", "budget_input")
-    pc = early.predict(ex.where(F.col("is_cal")).select(*[c for c in ex.columns if not c.startswith("_") and c != "is_cal"]),
-                       key=key_t)
-    lo, mid, hi = G.sort3(F.col("q10"), F.col("q50"), F.col("q90"))
-    scored = pc.select("window_days", "window_start", F.col("target_revenue").alias("y"), lo.alias("lo"),
-                       mid.alias("mid"), hi.alias("hi"), G.seasonal_roas_baseline(pc).alias("base"))
-    none = F.lit(None).cast("double")
-    unscored = ex.where(~F.col("is_cal")).select("window_days", "window_start", F.col("target_revenue").alias("y"),
-                                                  none.alias("lo"), none.alias("mid"), none.alias("hi"), none.alias("base"))
-    cal_rows = cut_lineage(scored.unionByName(unscored))  # scored once, read by several aggregates
-    params = cut_lineage(CA.calibrate(cal_rows))
-    full = QF.QuantileForest(**forest_params).fit(training_table)
-    groas = CA.global_median_roas(training_table).first()["global_median_roas"]  # one scalar
-    full.fallback_roas = float(groas) if groas is not None else 1.0
-    raw = full.predict(prediction_table)
-    camp = PR.postprocess(raw, params, global_roas=full.fallback_roas).drop("q10", "q50", "q90")
-    camp = cut_lineage(camp)
+    forest, params, fallback = M.fit(training_table, **forest_params)
+    forest.fallback_roas = fallback
+    camp = cut_lineage(M.campaign_forecast(forest, params, fallback, prediction_table))
     if training_profile is not None:
-        camp, _ = G.run_guardrail(camp, training_profile, full.fallback_roas)
-    return R.reconcile(camp), camp, params, full
+        camp, _ = G.run_guardrail(camp, training_profile, fallback)
+    return R.reconcile(camp), camp, params, forest

@@ -8,6 +8,8 @@ is aggregated.
 """
 from __future__ import annotations
 
+from .. import schema as S
+
 FIXTURES = """
 ads_base AS (
 SELECT CAST(l_shipdate AS DATE) AS d, c_mktsegment AS seg, p_type AS t, p_partkey % 4 AS v,
@@ -585,7 +587,7 @@ def _clean(x: str) -> str:
     return f"(CASE WHEN isfinite({x}) THEN GREATEST({x}, 0.0) ELSE 0.0 END)"
 
 
-def _m5(src: str, out: str, params: str | None) -> str:
+def _m5(src: str, out: str, params: str | None, fallback: str = "1.0") -> str:
     """CTEs for M5 post-processing of q10/q50/q90 in ``src`` (with m6 and
     budget_input); ``params`` = CTE (window_days, blend_weight, width_factor)
     with window 0 = pooled, or None."""
@@ -601,7 +603,7 @@ def _m5(src: str, out: str, params: str | None) -> str:
 {out}_b AS (SELECT *, CASE WHEN bw < 1.0 THEN bw * _s0[2] + (1.0 - bw) * m6 ELSE _s0[2] END AS _mid FROM {out}_s),
 {out}_c AS (SELECT *, LEAST(_s0[1], _mid) AS _lo, GREATEST(_s0[3], _mid) AS _hi FROM {out}_b),
 {out}_d AS (SELECT *, list_sort([{_clean('_mid - wf * (_mid - _lo)')}, {_clean('_mid')}, {_clean('_mid + wf * (_hi - _mid)')}]) AS _s1,
-        GREATEST(budget_input * 1.0, 0.0) AS _fb FROM {out}_c),
+        GREATEST(budget_input * {fallback}, 0.0) AS _fb FROM {out}_c),
 {out} AS (SELECT * EXCLUDE (_s0, _s1, _ok, _mid, _lo, _hi, _fb, bw, wf),
         CASE WHEN _ok THEN _s1[1] ELSE _fb * 0.6 END AS revenue_p10,
         CASE WHEN _ok THEN _s1[2] ELSE _fb * 1.0 END AS revenue_p50,
@@ -846,7 +848,7 @@ def _ratio(up: str, tr: str) -> str:
     return f"(CASE WHEN {t} <= 0 THEN (CASE WHEN {u} > 0 THEN CAST('inf' AS DOUBLE) ELSE 1.0 END) ELSE {u} / {t} END)"
 
 
-def _guard_ctes() -> list[str]:
+def _guard_ctes(fallback: str = "1.0", divergence: str | None = None) -> list[str]:
     tp = SQL["training_profile"].strip()
     upl = _upload_profile_sql().strip()
     sig = []
@@ -884,8 +886,8 @@ def _guard_ctes() -> list[str]:
         f"tp AS ({tp})",
         f"up AS ({upl})",
         _pt_cte(),
-        _g8("pt", "gp"),
-        "dv AS (SELECT CASE WHEN SUM(q50) > 0 THEN SUM(q50) / SUM(q50) END AS divergence FROM gp)",
+        _g8("pt", "gp", fallback=fallback),
+        "dv AS (" + (divergence or "SELECT CASE WHEN SUM(q50) > 0 THEN SUM(q50) / SUM(q50) END AS divergence FROM gp") + ")",
         f"""sc AS (SELECT LEAST(1.0, {total}) AS score,
                list_filter([{", ".join(reasons)}], lambda r: r IS NOT NULL) AS reasons FROM up u, tp t, dv d)""",
         """asmt AS (SELECT CASE WHEN score < 0.30 THEN 'High' WHEN score < 0.60 THEN 'Medium' ELSE 'Low' END AS confidence,
@@ -913,6 +915,99 @@ gw AS (SELECT *, list_sort([{_clean('b50 - (1.0 + ood_score) * (b50 - b10)')}, {
     final=", " + _rollup_tail("camp"))
 
 
+# ---------------------------------------------------------------------------
+# quantile forest over fixed splits (P21, P22, M3) and the loaded model
+# ---------------------------------------------------------------------------
+
+def _design_value(name: str) -> str:
+    if name.startswith("ch_"):
+        return f"CAST(channel = '{name[3:]}' AS DOUBLE)"
+    if name.startswith("ct_"):
+        return f"CAST(campaign_type = '{name[3:]}' AS DOUBLE)"
+    if name.endswith("is_brand"):
+        return "COALESCE(CAST(is_brand AS DOUBLE), 0.0)"
+    return f"(CASE WHEN isfinite(CAST({name} AS DOUBLE)) THEN CAST({name} AS DOUBLE) ELSE 0.0 END)"
+
+
+SQL["design_matrix"] = _with(_pt_cte(), final=f"""
+SELECT campaign, window_days, i, v[i + 1] AS value
+FROM (SELECT campaign, window_days, [{", ".join(_design_value(c) for c in S.DESIGN_COLUMNS)}] AS v FROM pt), range(0, {len(S.DESIGN_COLUMNS)}) t(i)""")
+
+
+def _leaf_sql(tree, first: int = 0) -> tuple[str, int]:
+    if tree is None:
+        return str(first), first + 1
+    feature, threshold, left, right = tree
+    a, middle = _leaf_sql(left, first)
+    b, end = _leaf_sql(right, middle)
+    return f"CASE WHEN {_design_value(feature)} <= {threshold!r} THEN {a} ELSE {b} END", end
+
+
+def _sketches(src: str, out: str) -> str:
+    """CTEs: leaf sketches of the rows of ``src``; result CTE ``out``(tree, leaf, sketch)."""
+    from ..operators.forest import SKETCH_PROBS
+    from .queries import SMALL_TREES
+
+    leaves = ", ".join(_leaf_sql(t)[0] for t in SMALL_TREES)
+    return f"""{out}_l AS (SELECT ln(1.0 + GREATEST(target_revenue, 0.0)) AS label, [{leaves}] AS leaves FROM {src}),
+{out} AS (SELECT tree, leaf, list_transform({SKETCH_PROBS!r}, lambda p: l[CAST(GREATEST(1, ceil(CAST(p AS DOUBLE) * len(l))) AS BIGINT)]) AS sketch FROM (
+  SELECT i AS tree, leaves[i + 1] AS leaf, list(label ORDER BY label) AS l FROM {out}_l, range(0, {len(SMALL_TREES)}) t(i) GROUP BY ALL))"""
+
+
+def _forest_quantiles(src: str, sketches: str, out: str) -> str:
+    """CTEs: ``src`` with q10/q50/q90 and the M6 baseline (m6); result CTE ``out``."""
+    from .queries import SMALL_TREES
+
+    leaves = ", ".join(_leaf_sql(t)[0] for t in SMALL_TREES)
+    q = ", ".join(f"exp(v[CAST(floor({p} * (len(v) - 1)) AS BIGINT) + 1] + ({p} * (len(v) - 1) - floor({p} * (len(v) - 1))) * "
+                  f"(COALESCE(v[CAST(floor({p} * (len(v) - 1)) AS BIGINT) + 2], v[len(v)]) - v[CAST(floor({p} * (len(v) - 1)) AS BIGINT) + 1])) - 1.0 AS q{int(p * 100)}"
+                  for p in (0.1, 0.5, 0.9))
+    return f"""{out}_n AS (SELECT *, row_number() OVER () AS rid, [{leaves}] AS leaves FROM {src}),
+{out}_v AS (SELECT rid, list_sort(flatten(list(k.sketch))) AS v FROM (
+  SELECT rid, i AS tree, leaves[i + 1] AS leaf FROM {out}_n, range(0, {len(SMALL_TREES)}) t(i)) x JOIN {sketches} k ON k.tree = x.tree AND k.leaf = x.leaf
+  GROUP BY rid),
+{out} AS (SELECT n.* EXCLUDE (rid, leaves), {q},
+  GREATEST((CASE WHEN tr28_roas > 0 THEN tr28_roas ELSE tr14_roas END) * GREATEST(budget_input, 0.0) * seasonal_index, 0.0) AS m6
+  FROM {out}_n n LEFT JOIN {out}_v v ON v.rid = n.rid)"""
+
+
+def _loaded_sql() -> str:
+    tail = _calibration_ctes()
+    start = next(i for i, c in enumerate(tail) if c.startswith("st AS"))
+    inner = f"list_sort([{_clean('q10')}, {_clean('q50')}, {_clean('q90')}])"
+    fallback = "(SELECT g FROM gr)"
+    return _with(
+        _train_cte(),
+        "ct0 AS (SELECT quantile_cont(CAST(date_diff('day', DATE '1970-01-01', window_start) AS DOUBLE), 0.8) AS cut FROM tt)",
+        "sp AS (SELECT tt.*, date_diff('day', DATE '1970-01-01', window_start) > ct0.cut AS is_late FROM tt, ct0)",
+        "early AS (SELECT * FROM sp WHERE NOT is_late)",
+        "late AS (SELECT * REPLACE (budget_input_ex AS budget_input) FROM sp WHERE is_late)",
+        _sketches("early", "ske"), _forest_quantiles("late", "ske", "lq"),
+        f"""cr AS (SELECT window_days, window_start, target_revenue AS y, {inner}[1] AS lo, {inner}[2] AS mid, {inner}[3] AS hi, m6 AS base FROM lq
+            UNION ALL SELECT window_days, window_start, target_revenue, NULL, NULL, NULL, NULL FROM early)""",
+        *tail[start:],
+        _sketches("tt", "skf"),
+        "gr AS (SELECT quantile_cont(LEAST(GREATEST(target_revenue / GREATEST(budget_input, 1e-9), 0.0), 100.0), 0.5) AS g FROM tt)",
+        _pt_cte(), _forest_quantiles("pt", "skf", "pf"), _m5("pf", "m5", "params", fallback),
+        *[c for c in _guard_ctes(fallback, "SELECT CASE WHEN SUM(gp.q50) > 0 THEN (SELECT SUM(revenue_p50) FROM m5) / SUM(gp.q50) END AS divergence FROM gp")
+          if c != _pt_cte()], """
+gb AS (SELECT m.*, a.model_weight AS wm, a.baseline_weight AS wb, a.ood_score, a.model_weight * m.revenue_p10 + a.baseline_weight * gp.q10 AS b10,
+         a.model_weight * m.revenue_p50 + a.baseline_weight * gp.q50 AS b50, a.model_weight * m.revenue_p90 + a.baseline_weight * gp.q90 AS b90
+       FROM m5 m JOIN gp ON gp.campaign = m.campaign AND gp.window_days = m.window_days CROSS JOIN asw a)""", f"""
+gw AS (SELECT *, list_sort([{_clean('b50 - (1.0 + ood_score) * (b50 - b10)')}, {_clean('b50')}, {_clean('b50 + (1.0 + ood_score) * (b90 - b50)')}]) AS s FROM gb)""",
+        """camp AS (SELECT channel, campaign_type, campaign, window_days, budget_input,
+         CASE WHEN wb > 0 THEN s[1] ELSE revenue_p10 END AS revenue_p10, CASE WHEN wb > 0 THEN s[2] ELSE revenue_p50 END AS revenue_p50,
+         CASE WHEN wb > 0 THEN s[3] ELSE revenue_p90 END AS revenue_p90 FROM gw)""",
+        final=", " + _rollup_tail("camp"))
+
+
+SQL["forest_sketches"] = _with(_train_cte(), _sketches("tt", "sk"),
+                               final="SELECT tree, leaf, i, sketch[i + 1] AS value FROM sk, range(0, 25) t(i)")
+SQL["forest_quantiles"] = _with(_train_cte(), _sketches("tt", "sk"), _pt_cte(), _forest_quantiles("pt", "sk", "pq"),
+                                final="SELECT campaign, window_days, q10, q50, q90 FROM pq")
+SQL["predict_loaded"] = _loaded_sql()
+
+
 # ---------------------------------------------------------------------------
 # Q3 validator and Q6 readiness
 # ---------------------------------------------------------------------------

@@ -439,12 +439,18 @@ def q_parse_inspection(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # learned model: quantile regression forest
 # ---------------------------------------------------------------------------
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from ..operators import forest as QF  # noqa: E402
+from . import model as MO  # noqa: E402
+
+
 def _forest(spark, sf_dir):
     ws = W(spark, sf_dir)
     if "forest" not in ws.__dict__:
         prof = cut_lineage(G.training_profile(ws.long))
-        out, camp, params, model = P.forest_forecast(ws.training_table, ws.prediction_table, prof)
-        ws.__dict__["forest"] = (cut_lineage(out), camp, params, model)
+        out, _, _, model = P.forest_forecast(ws.training_table, ws.prediction_table, prof)
+        ws.__dict__["forest"] = (cut_lineage(out), model)
     return ws.__dict__["forest"]
 
 
@@ -458,7 +464,50 @@ def q_quantile_forest_forecast(spark, sf_dir):
 @register("feature_drivers", [("feature", "str"), ("importance", "num")])
 def q_feature_drivers(spark, sf_dir):
     """T5: top-8 feature importances of the full-data forest."""
-    return _forest(spark, sf_dir)[3].drivers(spark, 8)
+    return _forest(spark, sf_dir)[1].drivers(spark, 8)
+
+
+#: fixed splits in place of learned ones, so that sketches, predictions and a saved model
+#: have SQL twins: (feature, threshold, left, right), None for a leaf
+SMALL_TREES = (
+    ("tr28_revenue", 20000.0, ("budget_input", 5000.0, None, None), ("seasonal_index", 1.0, None, None)),
+    ("window_days", 45.0, ("tr28_roas", 4.0, None, None), ("ch_google", 0.5, None, ("budget_input", 30000.0, None, None))),
+    ("rev_growth_mom", 0.0, None, ("x_is_brand", 0.5, ("ct_Shopping", 0.5, None, None), None)),
+)
+#: leaves hold many rows here, and the twins take exact ranks
+SMALL = dict(trees=SMALL_TREES, accuracy=1_000_000)
+
+
+@register("design_matrix", [("campaign", "str"), ("window_days", "int"), ("i", "int"), ("value", "num")])
+def q_design_matrix(spark, sf_dir):
+    """The learner's input vector of every prediction row, by position."""
+    x = QF.design(W(spark, sf_dir).prediction_table.withColumn("_days", F.col("window_days")))
+    return x.select("campaign", F.col("_days").alias("window_days"), F.posexplode(vector_to_array("features")).alias("i", "value"))
+
+
+@register("forest_sketches", [("tree", "int"), ("leaf", "int"), ("i", "int"), ("value", "num")])
+def q_forest_sketches(spark, sf_dir):
+    """M3: leaf sketches of the fixed splits over the training table."""
+    m = QF.QuantileForest(**SMALL).fit(W(spark, sf_dir).training_table)
+    return m.sketches.select("tree", "leaf", F.posexplode("sketch").alias("i", "value"))
+
+
+@register("forest_quantiles", [("campaign", "str"), ("window_days", "int"), ("q10", "num"), ("q50", "num"), ("q90", "num")])
+def q_forest_quantiles(spark, sf_dir):
+    """Per-row quantiles from the leaf sketches of the fixed splits."""
+    ws = W(spark, sf_dir)
+    return QF.QuantileForest(**SMALL).fit(ws.training_table).predict(ws.prediction_table).select("campaign", "window_days", "q10", "q50", "q90")
+
+
+@register("predict_loaded", OUT_SPEC)
+def q_predict_loaded(spark, sf_dir):
+    """Train, save a bundle, load it and forecast with what was loaded
+    (calibration, guard and roll-up included)."""
+    ws = W(spark, sf_dir)
+    path = SK.scratch_dir(spark, "model")
+    MO.train(ws.long, season=ws.season, training_table=ws.training_table, **SMALL).save(path)
+    loaded = MO.ForecastModel.load(spark, path)
+    return loaded.predict(loaded.prediction_table(ws.long))[0]
 
 
 # ---------------------------------------------------------------------------
@@ -518,9 +567,8 @@ def q_backtest_forest(spark, sf_dir):
         season = cut_lineage(C.seasonal_index(train))
         tt = cut_lineage(FE.training_table(train, S.WINDOWS, S.TRAIN_CUT_STEP, season))
         pt = cut_lineage(FE.prediction_table(train, S.WINDOWS, season))
-        _, camp, _, _ = P.forest_forecast(tt, pt, None)
-        groas = CA.global_median_roas(tt).first()["global_median_roas"]
-        based = G.with_baseline_quantiles(camp, float(groas) if groas is not None else 1.0)
+        _, camp, _, model = P.forest_forecast(tt, pt, None)
+        based = G.with_baseline_quantiles(camp, model.fallback_roas)
         wm, wb = G.BLEND_WEIGHTS["Low"]
         based = based.select("*", *[(F.lit(wm) * F.col(q) + F.lit(wb) * F.col(f"base_{q}")).alias(f"blend_{q}")
                                     for q in S.REVENUE_Q])

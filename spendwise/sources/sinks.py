@@ -51,11 +51,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def save_model(model, path: str) -> None:
-    """MLlib models via their own writer (no pickle)."""
-    model.write().overwrite().save(path)
-
-
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """S4 stage boundary: write ``df`` as Parquet under the shared checkpoint
     folder and read it back (survives executor loss, cuts lineage)."""
