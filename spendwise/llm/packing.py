@@ -28,18 +28,19 @@ from pyspark.sql import functions as F
 from .common import stage, tokenizer_path
 
 CAPACITY = 2048
-TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENIZER, EXACT = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: the added tokens of ``byte_bpe_50k.json``, which the ranks do not hold
 SPECIAL = {"<|endoftext|>": 50256}
 
 
 class Encoder:
-    """Text -> uint32 ids of the byte-level BPE.  ``ranks`` is the tiktoken form of
-    the vocabulary in ``byte_bpe_50k.json``: the ids are those of ``tokenizers``
-    (tests compare them), at several times its speed.  As there, a special-token
-    string in a text is that token."""
+    """Text -> uint32 ids of the byte-level BPE, those of ``tokenizers`` on the file
+    ``exact`` (tests compare them).  ``ranks`` is the tiktoken form of the same
+    vocabulary, which encodes at several times the speed; its pattern matcher gives up
+    on very long runs of one kind of character, and such a text goes to ``tokenizers``
+    itself.  As there, a special-token string in a text is that token."""
 
-    def __init__(self, ranks: str):
+    def __init__(self, ranks: str, exact: str):
         import base64
 
         import public_tokenizers
@@ -48,31 +49,39 @@ class Encoder:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.codec = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
+        self.exact, self.slow = exact, None
 
     def encode(self, text: str) -> np.ndarray:
-        return self.codec.encode_to_numpy(text, allowed_special="all")
+        try:
+            return self.codec.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            if self.slow is None:
+                from tokenizers import Tokenizer
 
+                self.slow = Tokenizer.from_file(self.exact)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
-_ENCODER: dict[str, Encoder] = {}
 
+_ENCODER: dict[tuple[str, str], Encoder] = {}
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODER:
-        _ENCODER[path] = Encoder(path)
-    return _ENCODER[path]
+
+def encoder(path: str, exact: str) -> Encoder:
+    if (path, exact) not in _ENCODER:
+        _ENCODER[path, exact] = Encoder(path, exact)
+    return _ENCODER[path, exact]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-           path: str | None = None, with_ids: bool = False) -> DataFrame:
+           path: str | None = None, with_ids: bool = False, exact: str | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 [, ids], and the
     task (``part``) with a running number (``rank``) among its pieces of that length."""
-    path = path or tokenizer_path(TOKENIZER)
+    path, exact = path or tokenizer_path(TOKENIZER), exact or tokenizer_path(EXACT)
 
     def cut(batches):
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        enc = encoder(path)
+        enc = encoder(path, exact)
         for b in batches:
             doc, rows, raw = [], [], []
             for k, text in enumerate(b.column(1)):
