@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_table
 
 #: bytes of text that are hashed at once; a longer document is a slice of its own
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: a side of a join is broadcast only up to this many bytes, by its counted rows
 BROADCAST_BYTES = 32 << 20
 
@@ -47,6 +47,12 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def small_arrays(df: DataFrame, array: str) -> DataFrame:
+    """As :func:`small_side`, by the summed sizes of the rows' arrays of longs."""
+    total = df.agg(F.sum(F.size(array) * 8 + 96)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def has_words(col):
     """True if the text holds anything but white space ``[\\x20\\x09-\\x0D]``."""
     return F.coalesce(col.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
@@ -78,10 +84,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > 4 * SLICE_BYTES:  # a very long document: not kept
+    if n > SLICE_BYTES + 1:  # a very long document: not kept
         return _power(_BASE, n), _power(pow(_BASE, -1, 1 << 64), n)
     if len(_POWERS[0]) < n:
-        _POWERS[:] = [_power(_BASE, 2 * n), _power(pow(_BASE, -1, 1 << 64), 2 * n)]
+        _POWERS[:] = [_power(_BASE, SLICE_BYTES + 1), _power(pow(_BASE, -1, 1 << 64), SLICE_BYTES + 1)]
     return _POWERS[0], _POWERS[1]
 
 
@@ -127,6 +133,14 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     return span_hashes(_LOWER[data] if lower else data, starts, ends)[0], starts, ends, first
 
 
+def run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words from ``begin`` to ``end``, by one prefix sum."""
+    power, inverse = _powers(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[:len(hashes)], out=total[1:])
+    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` consecutive words (order-sensitive)."""
     n = len(hashes) - size + 1

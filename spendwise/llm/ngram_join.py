@@ -42,6 +42,8 @@ WORDS, NUM, DEN = 4, 85, 100
 BITMAP = 1024
 #: rows of a block in the comparison of what the stars left apart
 BLOCK = 512
+#: shingles of the sets that are held at once before their rows are handed on
+SLICE_WORDS = 1 << 17
 
 
 @lru_cache(maxsize=None)
@@ -124,6 +126,19 @@ def _sets(column: pa.Array, size: int, lower: bool):
             yield k, shingle_set(hashes[first[k - i]:first[k - i + 1]], size)
 
 
+def _by_slice(column: pa.Array, size: int, lower: bool):
+    """The (row, sorted set) pairs of each slice of an Arrow column, as lists."""
+    held, total = [], 0
+    for k, s in _sets(column, size, lower):
+        held.append((k, s))
+        total += len(s)
+        if total >= SLICE_WORDS:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, lower: bool) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -139,19 +154,20 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, lower: bool
 
 def _signature_rows(docs: DataFrame, text_col: str, size: int, lower: bool, num: int, den: int) -> DataFrame:
     def run(batches):
-        seen: set[int] = set()  # a task emits a class once
         for b in batches:
-            sigs, owner = [], []
-            for _, s in _sets(b.column(0), size, lower):
-                fp = fingerprint(s) if len(s) else None
-                if fp is None or fp in seen:
-                    continue
-                seen.add(fp)
-                own = signatures(s, num, den)
-                sigs.append(own.view(np.int64))
-                owner.append(np.full(len(own), fp, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(owner))], ["sig", "fp"])
+            seen: set[int] = set()  # a batch emits a class once
+            for held in _by_slice(b.column(0), size, lower):
+                sigs, owner = [], []
+                for _, s in held:
+                    fp = fingerprint(s) if len(s) else None
+                    if fp is None or fp in seen:
+                        continue
+                    seen.add(fp)
+                    own = signatures(s, num, den)
+                    sigs.append(own.view(np.int64))
+                    owner.append(np.full(len(own), fp, np.int64))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(owner))], ["sig", "fp"])
 
     return docs.select(text_col).mapInArrow(run, "sig long, fp long")
 
@@ -238,21 +254,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     def run(batches):
         for b in batches:
             want = b.column(0).to_numpy()
-            rows = [(want[k], s.view(np.int64)) for k, s in _sets(b.column(1), size, lower) if len(s) and fingerprint(s) == want[k]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
-                                              pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "s"])
+            for held in _by_slice(b.column(1), size, lower):
+                rows = [(want[k], s.view(np.int64)) for k, s in held if len(s) and fingerprint(s) == want[k]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
+                                                  pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "s"])
 
     def nameless(batches):
-        seen: set[int] = set()  # a task emits a class once
         for b in batches:
-            rows = []
-            for _, s in _sets(b.column(0), size, lower):
-                fp = fingerprint(s) if len(s) else None
-                if fp is not None and fp not in seen:
-                    seen.add(fp)
-                    rows.append((fp, s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
-                                              pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "s"])
+            seen: set[int] = set()  # a batch emits a class once
+            for held in _by_slice(b.column(0), size, lower):
+                rows = []
+                for _, s in held:
+                    fp = fingerprint(s) if len(s) else None
+                    if fp is not None and fp not in seen:
+                        seen.add(fp)
+                        rows.append((fp, s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
+                                                  pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "s"])
 
     schema = "fp long, s array<long>"
     own = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")).join(small_side(need.where("rep IS NOT NULL"), 40), "rep")

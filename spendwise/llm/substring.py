@@ -6,13 +6,14 @@ that also starts in a document of smaller id is removed.
    has about one anchor in five words.  Anchors that lie in two documents
    (pre-aggregated min and max of the id) mark where repeats can be.
 2. Segments.  For each shared anchor in a document, the run of its windows is a
-   segment.  Equal segments are one content with its smallest id.  An anchor with
-   more than ``HOT`` contents (the edge of a passage that many documents hold) is
-   split into its windows, again one row per distinct window.
+   segment.  Equal segments are one content with its smallest id.
 3. Shards.  Contents are dealt to shards by anchor.  Each shard builds an FM-index
    of its contents (wavelet matrix over word ids) and streams the contents
    through it: backward search gives the matching statistics, and for each window
-   that matches in full the smallest id in its row interval.
+   that matches in full the smallest id in its row interval.  An anchor with more
+   words than a shard holds (the edge of a passage that very many documents hold)
+   is dealt over several shards of its own; its contents are streamed through each
+   of them, and the smallest id over the shards counts.
 4. Windows whose smallest id is below the document's go back to the documents,
    which drop the covered words.
 
@@ -31,38 +32,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, mix, shingles, slices, small_side, stage, words
+from .common import buffers, run_hashes, shingles, slices, small_arrays, small_side, stage, words
 from .fm_index import FMIndex
 
 WINDOW = 13
 GRAM = 4
 #: words of contents in a shard
 SHARD_WORDS = 400_000
-#: contents of an anchor beyond which it is split into windows
-HOT = 200
 
 
-def _anchors(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Smallest gram hash in each window of one document."""
+def _windows(hashes: np.ndarray, first: np.ndarray, window: int):
+    """Of a slice of documents: the first word of every window that lies in one document,
+    its document, and its anchor (the smallest gram hash in it)."""
     low = shingles(hashes, GRAM)
     span, want = 1, window - GRAM + 1
-    while span < want:
+    while span < want and len(low):
         step = min(span, want - span)
         low = np.minimum(low[:-step], low[step:])
         span += step
-    return low
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[:len(low)]
+    at = np.arange(len(low))
+    whole = at + window <= first[1:][doc] if len(low) else at.astype(bool)
+    return at[whole], doc[whole], low[whole]
 
 
-def _documents(column: pa.Array):
-    """(row, bytes, word hashes, starts, ends) for each text of an Arrow column."""
+def _slices(column: pa.Array, window: int):
+    """(first row, bytes, word hashes, starts, ends, first words, windows) of each slice of
+    documents of an Arrow column of texts."""
     data, offsets = buffers(column)
     for i, j in slices(offsets):
-        base = offsets[i]
-        part = data[base:offsets[j]]
-        hashes, starts, ends, first = words(part, offsets[i:j + 1] - base)
-        for k in range(i, j):
-            a, z = first[k - i], first[k - i + 1]
-            yield k, part, hashes[a:z], starts[a:z], ends[a:z]
+        part = data[offsets[i]:offsets[j]]
+        hashes, starts, ends, first = words(part, offsets[i:j + 1] - offsets[i])
+        yield i, part, hashes, starts, ends, first, _windows(hashes, first, window)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,141 +72,153 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchor_rows(docs: DataFrame, kind: str, window: int) -> DataFrame:
+    """(anchor, id), each once for a document."""
+
     def run(batches):
         for b in batches:
-            out, row = [], []
-            for k, _, hashes, _, _ in _documents(b.column(2)):
-                if len(hashes) >= window:
-                    own = np.unique(_anchors(hashes, window))
-                    out.append(own.view(np.int64))
-                    row.append(np.full(len(own), k))
-            if out:
-                row = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), b.column(0).take(row), b.column(1).take(row)],
-                                                 ["anchor", "id", "tkey"])
+            for i, *_, (_, doc, anchor) in _slices(b.column(1), window):
+                if len(anchor):
+                    fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+                    pair = np.unique(np.stack([doc[fresh].astype(np.uint64), anchor[fresh]], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64)),
+                                                      b.column(0).take(pa.array(pair[:, 0].astype(np.int64) + i))], ["anchor", "id"])
 
-    return docs.where("id IS NOT NULL").mapInArrow(run, f"anchor long, id {kind}, tkey long")
+    return docs.where("id IS NOT NULL").select("id", "t").mapInArrow(run, f"anchor long, id {kind}")
 
 
 def _segment_rows(docs: DataFrame, kind: str, window: int) -> DataFrame:
-    """Segments at shared anchors: (id, tkey, pos, anchor, h, content); a task writes a
+    """Segments at shared anchors: (id, tkey, pos, anchor, h, content); a slice writes a
     content once and null for its further copies."""
 
     def run(batches):
-        seen: set = set()
         for b in batches:
-            ids, keys, anchors = b.column(0), b.column(1), b.column(3)
-            row, pos, anch, hh, content = [], [], [], [], []
-            for k, part, hashes, starts, ends in _documents(b.column(2)):
-                if len(hashes) < window:
+            ids, keys = b.column(0), b.column(1)
+            lists = b.column(3)
+            shared = np.unique(lists.flatten().to_numpy()).view(np.uint64)  # shared by documents, so for each that has it
+            for i, part, hashes, starts, ends, first, (at, doc, anchor) in _slices(b.column(2), window):
+                if not len(at):
                     continue
-                low = _anchors(hashes, window)
-                shared = np.isin(low, anchors[k].values.to_numpy().view(np.uint64))
-                edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-                for p, q in zip(edge, np.append(edge[1:], len(low))):
-                    if not shared[p]:
-                        continue
-                    z = q - 1 + window
-                    h = int(shingles(hashes[p:z], int(z - p)).view(np.int64)[0])
-                    a = int(low[p:p + 1].view(np.int64)[0])
-                    text = None
-                    if (a, h) not in seen:
-                        seen.add((a, h))
-                        text = b" ".join(part[s:e].tobytes() for s, e in zip(starts[p:z], ends[p:z]))
-                    row.append(k)
-                    pos.append(p)
-                    anch.append(a)
-                    hh.append(h)
-                    content.append(text)
-            row = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(row), keys.take(row), pa.array(pos, pa.int64()), pa.array(anch, pa.int64()),
-                 pa.array(hh, pa.int64()), pa.array(content, pa.binary())], ["id", "tkey", "pos", "anchor", "h", "content"])
+                edge = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+                stop = np.append(edge[1:], len(at)) - 1
+                use = np.isin(anchor[edge], shared)
+                edge, stop = edge[use], stop[use]
+                begin, end, a, d = at[edge], at[stop] + window, anchor[edge], doc[edge]
+                h = run_hashes(hashes, begin, end)
+                text = np.full(len(h), None, object)
+                once = np.unique(np.stack([a, h], 1), axis=0, return_index=True)[1]
+                for k in once.tolist():
+                    text[k] = part[starts[begin[k]]:ends[end[k] - 1]].tobytes()
+                row = pa.array(d + i)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(row), keys.take(row), pa.array(begin - first[d]), pa.array(a.view(np.int64)), pa.array(h.view(np.int64)),
+                     pa.array(text, pa.binary())], ["id", "tkey", "pos", "anchor", "h", "content"])
 
     return docs.mapInArrow(run, f"id {kind}, tkey long, pos long, anchor long, h long, content binary")
 
 
-def _windows_of(contents: DataFrame, kind: str, window: int) -> DataFrame:
-    """Each window of the contents: (anchor, h, at, w, least, content)."""
-
-    def run(batches):
-        for b in batches:
-            row, at, w, text = [], [], [], []
-            for k, part, hashes, starts, ends in _documents(b.column(3).cast(pa.large_string())):
-                for i, x in enumerate(shingles(hashes, window).view(np.int64).tolist()):
-                    row.append(k)
-                    at.append(i)
-                    w.append(x)
-                    text.append(part[starts[i]:ends[i + window - 1]].tobytes())
-            row = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(row), b.column(1).take(row), pa.array(at, pa.int64()), pa.array(w, pa.int64()),
-                 b.column(2).take(row), pa.array(text, pa.binary())], ["anchor", "h", "at", "w", "least", "content"])
-
-    return contents.select("anchor", "h", "least", F.col("content").cast("string").alias("content")).mapInArrow(
-        run, f"anchor long, h long, at long, w long, least {kind}, content binary")
-
+class _Shard:
+    """FM-index of a shard's contents, and the smallest id rank in each row interval."""
 
-def _matched(units: DataFrame, kind: str, window: int, shards: int) -> DataFrame:
-    """FM-index of each shard of ``units(shard, anchor, key, least, content)``; for each
-    unit the smallest ``least`` that holds each of its windows."""
-
-    def match(unit: pa.Table):
-        data, offsets = buffers(unit["content"].combine_chunks().cast(pa.large_string()))
-        base = offsets[0] if len(offsets) else 0
-        hashes, _, _, first = words(data[base:], offsets - base)
-        n = unit.num_rows
-        count = np.diff(first)
-        symbol = np.unique(hashes, return_inverse=True)[1] + 1
+    def __init__(self, unit: pa.Table, window: int):
+        hashes, first = _words_of(unit)
+        n, count = unit.num_rows, np.diff(first)
+        self.window, self.vocabulary = window, np.unique(hashes)
         owner = np.repeat(np.arange(n), count)
-        place = np.arange(len(hashes)) + owner  # one separator (0) after each unit
+        place = np.arange(len(hashes)) + owner  # one separator (0) after each content
         text = np.zeros(len(hashes) + n, np.int64)
-        text[place] = symbol
-        index = FMIndex(text, window)
+        text[place] = np.searchsorted(self.vocabulary, hashes) + 1
+        self.index = FMIndex(text, window)
         whose = np.zeros(len(text), np.int64)
         whose[place] = owner
-        holder = whose[index.rows]
-        index.rows = None
-        order = unit["least"].combine_chunks()
-        rank_of = np.argsort(np.argsort(order.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-        by_rank = np.empty(n, np.int64)
-        by_rank[rank_of] = np.arange(n)
-        rank = np.append(rank_of[holder], 0)
-        many = count - window + 1  # windows of each unit
+        holder = whose[self.index.rows]
+        self.index.rows = None
+        self.order = unit["least"].combine_chunks()
+        rank_of = np.argsort(np.argsort(self.order.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        self.by_rank = np.empty(n, np.int64)
+        self.by_rank[rank_of] = np.arange(n)
+        self.rank = np.append(rank_of[holder], 0)
+
+    def smallest(self, unit: pa.Table) -> pa.RecordBatch:
+        """Per content of ``unit`` the smallest id that holds each of its windows here (null:
+        none does)."""
+        window = self.window
+        hashes, first = _words_of(unit)
+        n, count = unit.num_rows, np.diff(first)
+        place = np.arange(len(hashes)) + np.repeat(np.arange(n), count)
+        symbol = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = self.vocabulary[symbol] == hashes
+        text = np.zeros(len(hashes) + n, np.int64)
+        text[place] = np.where(known, symbol + 1, 0)
+        strange = np.zeros(len(text) + 1, np.int64)
+        np.cumsum(text == 0, out=strange[1:])
+        many = np.maximum(count - window + 1, 0)  # windows of each content
         ends = np.concatenate([[0], np.cumsum(many)])
         begin = np.repeat(first[:-1] + np.arange(n), many) + np.arange(ends[-1]) - np.repeat(ends[:-1], many)
-        best = np.empty(len(begin), np.int64)
-        for i in range(0, len(begin), 1 << 16):  # streamed in blocks
-            at = begin[i:i + (1 << 16)]
-            _, lo, hi = index.statistics(text, at + window, window)
+        best = np.full(len(begin), -1, np.int64)
+        asked = np.flatnonzero(strange[begin + window] == strange[begin])
+        for i in range(0, len(asked), 1 << 15):  # streamed in blocks
+            which = asked[i:i + (1 << 15)]
+            length, lo, hi = self.index.statistics(text, begin[which] + window, window)
+            which, lo, hi = which[length == window], lo[length == window], hi[length == window]
+            if not len(which):
+                continue
             low, back = np.unique(lo, return_inverse=True)
             high = np.zeros(len(low), np.int64)
             high[back] = hi
-            pairs = np.stack([low, high], 1).ravel()
-            best[i:i + (1 << 16)] = np.minimum.reduceat(rank, pairs)[::2][back]
-        smallest = order.take(pa.array(by_rank[best]))
-        return pa.record_batch([unit["anchor"].combine_chunks(), unit["key"].combine_chunks(),
-                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), smallest)], ["anchor", "key", "least"])
+            best[which] = np.minimum.reduceat(self.rank, np.stack([low, high], 1).ravel())[::2][back]
+        found = self.order.take(pa.array(self.by_rank[best], mask=best < 0))
+        return pa.record_batch([unit["anchor"].combine_chunks(), unit["h"].combine_chunks(),
+                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["anchor", "h", "least"])
+
+
+def _words_of(unit: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a table's contents, and the first of each content."""
+    data, offsets = buffers(unit["content"].combine_chunks().cast(pa.large_string()))
+    base = offsets[0] if len(offsets) else 0
+    hashes, _, _, first = words(data[base:offsets[-1]] if len(offsets) else data, offsets - base)
+    return hashes, first
+
+
+def _matched(units: DataFrame, kind: str, window: int, shards: int) -> DataFrame:
+    """FM-index of the contents ``indexed`` in each shard of ``units(shard, indexed, anchor,
+    h, least, content)``; for each content of the shard the smallest ``least`` that holds
+    each of its windows.  Only the indexed contents of one shard are held at a time."""
 
     def run(batches):
-        held = None
+        now, held, index = None, [], None
         for b in batches:
             t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            shard = held["shard"].to_numpy()
-            cut = np.flatnonzero(shard[1:] != shard[:-1]) + 1
-            edges = [0, *cut.tolist()]
+            shard, own = t["shard"].to_numpy(), t["indexed"].to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((shard[1:] != shard[:-1]) | (own[1:] != own[:-1])) + 1
+            edges = [0, *cut.tolist(), len(shard)]
             for i, j in zip(edges, edges[1:]):
-                yield match(held.slice(i, j - i))
-            held = held.slice(edges[-1])
-        if held is not None and held.num_rows:
-            yield match(held)
-
-    return (units.repartition(shards, "shard").sortWithinPartitions("shard")
-            .mapInArrow(run, f"anchor long, key long, least array<{kind}>"))
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+                if i == j:
+                    continue
+                if now is None or shard[i] != now:
+                    if held:
+                        full = pa.concat_tables(held)
+                        yield _Shard(full, window).smallest(full)
+                    now, held, index = shard[i], [], None
+                piece = t.slice(i, j - i)
+                if own[i]:  # indexed contents come first
+                    held.append(piece)
+                    continue
+                if held:
+                    full = pa.concat_tables(held)
+                    index, held = _Shard(full, window), []
+                    yield index.smallest(full)
+                if index is not None:
+                    yield index.smallest(piece)
+        if held:
+            full = pa.concat_tables(held)
+            yield _Shard(full, window).smallest(full)
+
+    return (units.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("indexed"))
+            .mapInArrow(run, f"anchor long, h long, least array<{kind}>"))
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                     shard_words: int = SHARD_WORDS) -> DataFrame:
     """(id, tkey, starts): the windows (first word numbers) of each row of ``docs``
     that also start in a document of smaller id.  Rows without any are left out."""
     if window < GRAM + 1:
@@ -214,34 +227,33 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     source = _keyed(docs, id_col, text_col)
     found = _anchor_rows(source, kind, window)
     shared = stage(found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor"), "sub-shared")
-    lists = stage(found.join(shared, "anchor").groupBy("id", "tkey").agg(F.collect_set("anchor").alias("anchors")), "sub-lists")
-    own = source.join(small_side(lists, 400), ["id", "tkey"])
+    lists = stage(found.join(small_side(shared, 16), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "sub-lists")
+    own = source.join(small_arrays(lists, "anchors"), "id")
     segments = stage(_segment_rows(own.select("id", "tkey", "t", "anchors"), kind, window), "sub-segments")
 
-    contents = stage(segments.groupBy("anchor", "h").agg(F.min("id").alias("least"), F.first("content", ignorenulls=True).alias("content")), "sub-contents")
-    hot = stage(contents.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "sub-hot")
-    calm = contents.join(small_side(hot, 16), "anchor", "left_anti")
-    split = stage(_windows_of(contents.join(small_side(hot, 16), "anchor", "left_semi"), kind, window), "sub-split")
-    units = calm.select(F.xxhash64("anchor").alias("deal"), "anchor", F.col("h").alias("key"), "least", "content", F.lit(False).alias("single")).union(
-        split.groupBy("anchor", "w").agg(F.min("least").alias("least"), F.first("content").alias("content"))
-        .select(F.xxhash64("w"), "anchor", "w", "least", "content", F.lit(True)))
-    size = contents.agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = max(1, int(size / 6 / SHARD_WORDS) + 1, min(units.sparkSession.sparkContext.defaultParallelism, int(size / 6 / 10_000) + 1))
-    units = units.withColumn("shard", F.pmod("deal", F.lit(shards))).select("shard", "anchor", "key", "least", "content")
-    matched = stage(_matched(units, kind, window, shards), "sub-matched")
-
-    whole = segments.select("id", "tkey", "pos", "anchor", "h").join(
-        matched.withColumnRenamed("key", "h").withColumnRenamed("least", "least_of"), ["anchor", "h"])
+    contents = segments.groupBy("anchor", "h").agg(F.min("id").alias("least"), F.first("content", ignorenulls=True).alias("content"))
+    contents = stage(contents.withColumn("size", F.length("content") / 6 + window), "sub-contents")
+    size = contents.agg(F.sum("size")).first()[0] or 0
+    shards = max(1, int(size / shard_words) + 1, min(docs.sparkSession.sparkContext.defaultParallelism, int(size / 10_000) + 1))
+    # an anchor with more words than a shard holds has several shards of its own
+    large = stage(contents.groupBy("anchor").agg(F.ceil(F.sum("size") / shard_words).alias("parts")).where("parts > 1"), "sub-large")
+    dealt = contents.join(small_side(large, 24), "anchor", "left")
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)))
+    calm = F.col("parts").isNull()
+    units = dealt.select(
+        F.when(calm, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(shards + F.pmod(F.xxhash64("anchor", "part"), F.lit(1 << 40))).alias("shard"),
+        (calm | (F.pmod(F.xxhash64("h"), "parts") == F.col("part"))).alias("indexed"), "anchor", "h", "least", "content")
+    matched = _matched(units, kind, window, shards)
+    if large.limit(1).count():
+        matched = stage(matched, "sub-parts")
+        several = matched.join(small_side(large, 24), "anchor", "left_semi").groupBy("anchor", "h").agg(F.collect_list("least").alias("each"))
+        several = several.select("anchor", "h", F.expr("aggregate(slice(each, 2, size(each)), each[0], (a, b) -> zip_with(a, b, (x, y) -> least(x, y)))").alias("least"))
+        matched = matched.join(small_side(large, 24), "anchor", "left_anti").union(several)
+    matched = stage(matched, "sub-matched")
+    whole = segments.select("id", "tkey", "pos", "anchor", "h").join(matched.withColumnRenamed("least", "least_of"), ["anchor", "h"])
     starts = F.expr("filter(transform(least_of, (x, i) -> if(x < id, pos + i, null)), x -> x IS NOT NULL)")
-    of_whole = whole.select("id", "tkey", starts.alias("starts")).where("size(starts) > 0")
-    # windows of split contents: back to the contents, then to the documents
-    single = split.select("anchor", "h", "at", "w").join(
-        matched.select("anchor", F.col("key").alias("w"), F.col("least")[0].alias("low")), ["anchor", "w"])
-    of_split = (segments.select("id", "tkey", "pos", "anchor", "h").join(small_side(hot, 16), "anchor", "left_semi")
-                .join(single.groupBy("anchor", "h").agg(F.collect_list(F.struct("at", "low")).alias("ws")), ["anchor", "h"])
-                .select("id", "tkey", F.expr("transform(filter(ws, x -> x.low < id), x -> pos + x.at)").alias("starts"))
-                .where("size(starts) > 0"))
-    return of_whole.union(of_split).groupBy("id", "tkey").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return (whole.select("id", "tkey", starts.alias("starts")).where("size(starts) > 0")
+            .groupBy("id", "tkey").agg(F.flatten(F.collect_list("starts")).alias("starts")))
 
 
 def _cover(n: int, starts, window: int) -> np.ndarray:
@@ -257,13 +269,14 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # bytes.split: exactly [\x20\x09-\x0D]+
 
 
-def _with_starts(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    starts = stage(repeated_windows(docs, id_col, text_col, window), "sub-starts")
+def _with_starts(docs: DataFrame, id_col: str, text_col: str, window: int, shard_words: int) -> DataFrame:
+    starts = stage(repeated_windows(docs, id_col, text_col, window, shard_words), "sub-starts")
     starts = starts.select(F.col("id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("starts").alias("__starts"))
-    return docs.join(small_side(starts, 1200), (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__tkey")), "left")
+    return docs.join(small_arrays(starts, "__starts"), (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__tkey")), "left")
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+           shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 of the kept words joined by one space."""
 
     def run(batches):
@@ -281,11 +294,12 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                                               pa.array(sha, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _with_starts(docs.select(id_col, text_col), id_col, text_col, window).select(id_col, text_col, "__starts").mapInArrow(
+    return _with_starts(docs.select(id_col, text_col), id_col, text_col, window, shard_words).select(id_col, text_col, "__starts").mapInArrow(
         run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+          shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` with the text of documents that lose words replaced by the kept words
     joined by one space; other texts and columns are unchanged."""
     names = docs.columns
@@ -305,5 +319,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return _with_starts(docs, id_col, text_col, window).select(*names, "__starts").mapInArrow(
+    return _with_starts(docs, id_col, text_col, window, shard_words).select(*names, "__starts").mapInArrow(
         run, T.StructType(docs.schema.fields))

@@ -44,6 +44,15 @@ def test_special_token_strings_are_tokens(spark):
         assert [x for r in own for x in r.ids] == codec.encode(t, add_special_tokens=False).ids + [0], t
 
 
+def test_very_long_runs_of_one_character(spark):
+    from tokenizers import Tokenizer
+
+    codec = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = [c * 2_000_000 for c in " \n\u3000a7."] + ["word " + " " * 1_000_000 + "<|endoftext|> word"]
+    out = packing.pack_documents(frame(spark, list(enumerate(texts)))).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] for r in out} == {i: len(codec.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_tokens_and_packing(spark):
     import numpy as np
     from tokenizers import Tokenizer

@@ -6,7 +6,7 @@ import pytest
 
 from spendwise.llm import ngram_join, substring
 
-from .helpers import WORD, corpus, frame
+from .helpers import WORD, corpus, frame, prose
 
 
 def shingle_set(text, size=4):
@@ -121,11 +121,23 @@ def brute_windows(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [200, 2])
-def test_substring_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
+@pytest.mark.parametrize("shard_words", [substring.SHARD_WORDS, 400, 30])
+def test_substring_matches_brute_force(spark, shard_words):
+    """With few words in a shard most anchors are dealt over several shards."""
     rows = corpus(11)
-    got = substring.digest(frame(spark, rows, "starts tkey"))
+    got = substring.digest(frame(spark, rows, "starts tkey"), shard_words=shard_words)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_windows(rows, 13))
+
+
+@pytest.mark.parametrize("shard_words", [substring.SHARD_WORDS, 5_000])
+def test_substring_with_thousands_of_contents_at_an_anchor(spark, shard_words):
+    """One passage in 3,000 documents, its surroundings different in each; one document of
+    60,000 equal words, twice, and one very long run of white space."""
+    rng = random.Random(3)
+    passage = prose(rng, 20, 5000)
+    rows = [(i, f"{prose(rng, rng.randint(1, 9), 40)} {passage} {prose(rng, rng.randint(1, 9), 40)}") for i in range(3000)]
+    rows += [(5000, "rep " * 60_000), (5001, "rep " * 60_000), (5002, f"{passage}{' ' * 500_000}end")]
+    got = substring.digest(frame(spark, rows).repartition(6), shard_words=shard_words)
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute_windows(rows, 13))
 
 
