@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +61,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCOPES: dict[str, list[str]] = {}
+_OPEN: list[str] = []
+
+
+@contextmanager
+def scratch_scope(name: str):
+    """Notes the scratch tables written within, for :func:`release`."""
+    _SCOPES.setdefault(name, [])
+    _OPEN.append(name)
+    try:
+        yield
+    finally:
+        _OPEN.remove(name)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Deletes the scratch tables of a scope, once nothing reads them any more."""
+    for path in _SCOPES.pop(name, ()):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: a stage boundary that also survives executor loss."""
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    for scope in _OPEN:
+        _SCOPES[scope].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
