@@ -4,14 +4,20 @@ decontamination, packing.
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; stages are written as Parquet and reread in between.  All but the last
 return the columns of ``documents``.
+
+A stage's scratch tables are deleted when a later stage of the same ``sf_dir`` is
+called, so its result must be written by then, as :func:`run` does.
 """
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendwise.llm import decontaminate, langid, ngram_join, packing, substring
 from spendwise.llm.common import stage, table
+from spendwise.session import release, scratch_scope
 
 #: near duplicates share this much of their shingles of so many words (the thin query
 #: op4_ngram_jaccard has other values)
@@ -50,13 +56,21 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs)
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("substring_dedup", substring_dedup),
-    ("decontamination", decontamination),
-    ("best_fit_packing", best_fit_packing),
-]
+def _tidy(place: int, function):
+    """``function`` in a scratch scope of its own, after the earlier stages' are released."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for earlier in range(place):
+            release(spark, f"pipeline-{sf_dir}-{earlier}")
+        with scratch_scope(f"pipeline-{sf_dir}-{place}"):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(f.__name__, _tidy(place, f)) for place, f in enumerate(
+    (language_id, near_duplicates, substring_dedup, decontamination, best_fit_packing))]
 
 #: SQL expresses neither the language model nor the tokenizer.
 ORACLE_SQL = None
