@@ -47,12 +47,6 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def small_arrays(df: DataFrame, array: str) -> DataFrame:
-    """As :func:`small_side`, by the summed sizes of the rows' arrays of longs."""
-    total = df.agg(F.sum(F.size(array) * 8 + 96)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
 def has_words(col):
     """True if the text holds anything but white space ``[\\x20\\x09-\\x0D]``."""
     return F.coalesce(col.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, run_hashes, shingles, slices, small_arrays, small_side, stage, words
+from .common import buffers, run_hashes, shingles, slices, small_side, stage, words
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -228,7 +228,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = _anchor_rows(source, kind, window)
     shared = stage(found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor"), "sub-shared")
     lists = stage(found.join(small_side(shared, 16), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "sub-lists")
-    own = source.join(small_arrays(lists, "anchors"), "id")
+    own = source.join(lists, "id")  # Spark sees the staged size
     segments = stage(_segment_rows(own.select("id", "tkey", "t", "anchors"), kind, window), "sub-segments")
 
     contents = segments.groupBy("anchor", "h").agg(F.min("id").alias("least"), F.first("content", ignorenulls=True).alias("content"))
@@ -272,7 +272,7 @@ def _split(text: str | None) -> list[bytes]:
 def _with_starts(docs: DataFrame, id_col: str, text_col: str, window: int, shard_words: int) -> DataFrame:
     starts = stage(repeated_windows(docs, id_col, text_col, window, shard_words), "sub-starts")
     starts = starts.select(F.col("id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("starts").alias("__starts"))
-    return docs.join(small_arrays(starts, "__starts"), (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__tkey")), "left")
+    return docs.join(starts, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__tkey")), "left")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
