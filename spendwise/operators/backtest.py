@@ -6,37 +6,42 @@ GROUPING SETS aggregation (overall / by window / by channel).
 """
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from . import daily as D
+from . import base as B
 
 QUANTILE_ALPHAS = ((10, 0.1), (50, 0.5), (90, 0.9))
 
 
-def origin_of(long: DataFrame, holdout: int = max(S.WINDOWS)) -> DataFrame:
-    """One row: gmax and origin = gmax − holdout."""
-    return long.agg(F.max("date").alias("gmax")).withColumn("origin", F.date_sub("gmax", holdout))
+def origin_of(long: DataFrame, holdout: int = max(S.WINDOWS)) -> tuple[dt.date, dt.date] | None:
+    """(gmax, origin = gmax − holdout) as two scalars, so that what follows filters by
+    literals; None for a table without dates."""
+    last = long.agg(F.max("date")).first()[0]
+    return None if last is None else (last, last - dt.timedelta(days=holdout))
 
 
-def train_split(long: DataFrame, origin: DataFrame) -> DataFrame:
-    """rows dated on or before the origin."""
-    return long.crossJoin(F.broadcast(origin.select("origin"))).where(F.col("date") <= F.col("origin")).drop("origin")
+def train_split(long: DataFrame, origin: dt.date) -> DataFrame:
+    """rows dated on or before the origin; on the base stage, its months only."""
+    return B.until(long, origin)
 
 
-def forward_actuals(long: DataFrame, origin: DataFrame, windows=S.WINDOWS) -> DataFrame:
+def forward_actuals(long: DataFrame, origin: dt.date, gmax: dt.date, windows=S.WINDOWS) -> DataFrame:
     """Realised revenue and spend per campaign over (origin, origin + w]
     for every window that fits before gmax; every campaign of the data."""
-    d = D.with_bounds(D.daily(long), origin.select("gmax", "origin")).withColumn("age", F.datediff("date", "origin"))
+    d = long.withColumn("age", F.datediff("date", F.lit(origin)))
     aggs = []
     for w in windows:
         inside = (F.col("age") >= 1) & (F.col("age") <= w)
         aggs += [F.sum(F.when(inside, F.col("revenue"))).alias(f"r{w}"), F.sum(F.when(inside, F.col("spend"))).alias(f"s{w}")]
-    per = d.groupBy("campaign", "gmax", "origin").agg(*aggs)
-    stack = ", ".join(f"{w}, r{w}, s{w}" for w in windows)
-    long_form = per.selectExpr("campaign", "gmax", "origin", f"stack({len(windows)}, {stack}) AS (window_days, r, s)")
-    return long_form.where(F.date_add("origin", F.col("window_days")) <= F.col("gmax")).select(
+    per = d.groupBy("campaign").agg(*aggs)
+    fits = [w for w in windows if origin + dt.timedelta(days=w) <= gmax]
+    long_form = per.select("campaign", F.explode(F.array(*[
+        F.struct(F.lit(w).alias("window_days"), F.col(f"r{w}").alias("r"), F.col(f"s{w}").alias("s")) for w in fits])).alias("x")).select("campaign", "x.*")
+    return long_form.select(
         "campaign", F.col("window_days").cast("int").alias("window_days"),
         F.greatest(F.coalesce(F.col("r").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("actual_revenue"),
         F.greatest(F.coalesce(F.col("s").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("actual_spend"),

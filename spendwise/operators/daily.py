@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from . import base as B
 
 
 def daily(long: DataFrame) -> DataFrame:
@@ -26,13 +27,23 @@ def channel_daily(long: DataFrame) -> DataFrame:
 
 def campaign_attrs(long: DataFrame) -> DataFrame:
     """A2: modal channel / type per campaign (ties → smallest value) and the
-    half-even rounded mean brand flag, over raw long rows.  ``mode`` keeps a
-    small value→count map per group and merges partial buffers."""
-    return long.groupBy("campaign").agg(
-        F.mode("channel", deterministic=True).alias("channel"),
-        F.mode("campaign_type", deterministic=True).alias("campaign_type"),
-        F.bround(F.avg("is_brand"), 0).cast("int").alias("is_brand"),
-    )
+    half-even rounded mean brand flag, over raw long rows.  Rows are counted by
+    (campaign, channel, type) first, which any table of sums allows too."""
+    brand, branded = (F.sum("brand"), F.sum("branded")) if B.is_summary(long) else (F.sum("is_brand"), F.count("is_brand"))
+    n = long.groupBy("campaign", "channel", "campaign_type").agg(
+        F.sum(B.row_count(long)).alias("n"), brand.alias("brand"), branded.alias("branded"))
+    n = n.groupBy("campaign").agg(
+        F.sum("brand").alias("brand"), F.sum("branded").alias("branded"),
+        *[F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value"), "n"))).alias(c) for c in ("channel", "campaign_type")])
+
+    def mode(column):  # a campaign has at most channels x types entries
+        values = F.array_distinct(F.transform(column, lambda e: e["value"]))
+        counted = F.transform(values, lambda v: F.struct(
+            F.aggregate(column, F.lit(0).cast("long"), lambda s, e: s - F.when(e["value"] == v, e["n"]).otherwise(0)).alias("less"), v.alias("value")))
+        return F.array_min(counted)["value"].alias(column)
+
+    return n.select("campaign", mode("channel"), mode("campaign_type"),
+                    F.bround(F.try_divide(F.col("brand").cast("double"), "branded"), 0).cast("int").alias("is_brand"))
 
 
 def bounds(frame: DataFrame, col: str = "date") -> DataFrame:

@@ -1,10 +1,13 @@
 """Feature tables: prediction rows at the origin (M2) and the time-aware
 training table (M1) built on a pruned spine (W1–W6, J3, J6, F1, F2).
 
-Trailing and forward sums are range frames over ``unix_date(date)`` on the
-daily series — no campaign × calendar densification.  A campaign has at most
-one daily row per day, so a window partition is bounded by the history length
-(plus its spine rows) however skewed the raw rows were.
+Trailing and forward sums are differences of running sums: one running window per
+campaign over its days and, for each cut, a probe row at every offset that some
+sum starts or ends at.  A probe reads the sums up to its day, so a row costs the
+same whatever the span, and nothing is densified.  A campaign has at most one
+daily row per day, so a window partition is bounded by the history length (plus
+its probes) however skewed the raw rows were.  Both tables read the staged base
+(operators.base), the fact once.
 """
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from . import base as B
 from . import calendar as C
 from . import daily as D
 
@@ -73,7 +77,7 @@ def trailing_features(c) -> list[Column]:
     return out
 
 
-# frames as (lo, hi) day offsets relative to the row's day
+# sums over (lo, hi) day offsets relative to the cut
 FRAMES = {
     "tr14": (-13, 0),
     "tr28": (-27, 0),
@@ -108,8 +112,9 @@ def prediction_table(long: DataFrame, windows=S.WINDOWS, season: DataFrame | Non
     """One row per (campaign, window) with features as of gmax; every campaign
     is kept.  A single conditional aggregation per campaign — no window."""
     spark = long.sparkSession
+    long = B.staged(long)
     d = D.daily(long)
-    b = D.bounds(d)
+    b = D.bounds(long)
     x = D.with_bounds(d, b).withColumn("age", F.datediff("gmax", "date"))
 
     def tsum(col, lo, hi):
@@ -165,6 +170,33 @@ def cut_dates(cb: DataFrame, cut_step: int = S.TRAIN_CUT_STEP) -> DataFrame:
     return ks.select("gmin", F.date_add("first_cut", F.col("k") * cut_step).alias("ts"))
 
 
+def spans(d: DataFrame, cuts: DataFrame, windows=S.WINDOWS) -> DataFrame:
+    """For every row of ``cuts(campaign, date)`` the sums over FRAMES and the
+    forward windows of the daily series ``d``: (campaign, ts, <frame>_<metric>...,
+    active28, fwd_revenue_<w>, fwd_spend_<w>).
+
+    A sum over offsets (lo, hi) is the running sum at hi less that at lo - 1."""
+    wanted = {f"{name}_{short}": (col, lo, hi) for name, (lo, hi) in FRAMES.items() for short, col in _SUMMED.items()
+              if name in ("tr14", "tr28") or short in ("revenue", "spend")}
+    wanted["active28"] = ("active", 1 - S.TRAIL_LONG, 0)
+    for w in windows:
+        wanted[f"fwd_revenue_{w}"] = ("revenue", 1, w)
+        wanted[f"fwd_spend_{w}"] = ("spend", 1, w)
+    points = sorted({(col, at) for col, lo, hi in wanted.values() for at in (lo - 1, hi)})
+    offsets = sorted({at for _, at in points})
+    summed = (*S.METRICS, "active")
+    days = d.select("campaign", F.unix_date("date").alias("day"), *[F.col(m).cast(S.MONEY).alias(m) for m in S.METRICS],
+                    (F.col("spend") > 0).cast("long").alias("active"), F.lit(None).cast("int").alias("cut"), F.lit(None).cast("int").alias("at"))
+    probes = cuts.select("campaign", F.unix_date("date").alias("cut"), F.explode(F.array(*[F.lit(o) for o in offsets])).alias("at"))
+    probes = probes.select("campaign", (F.col("cut") + F.col("at")).alias("day"), *[F.lit(0).cast(S.MONEY).alias(m) for m in S.METRICS],
+                           F.lit(0).cast("long").alias("active"), "cut", "at")
+    upto = Window.partitionBy("campaign").orderBy("day", F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    running = days.unionByName(probes).select("campaign", "cut", "at", *[F.sum(m).over(upto).alias(m) for m in summed]).where("at IS NOT NULL")
+    read = running.groupBy("campaign", "cut").agg(*[F.max(F.when(F.col("at") == at, F.col(m))).alias(f"{m}@{at}") for m, at in points])
+    return read.select("campaign", F.date_from_unix_date("cut").alias("ts"),
+                       *[(F.col(f"`{m}@{hi}`") - F.col(f"`{m}@{lo - 1}`")).alias(name) for name, (m, lo, hi) in wanted.items()])
+
+
 def training_table(long: DataFrame, windows=S.WINDOWS, cut_step: int = S.TRAIN_CUT_STEP, season: DataFrame | None = None) -> DataFrame:
     """Rows = active (campaign, cut) pairs × windows that fit in history.
 
@@ -173,8 +205,9 @@ def training_table(long: DataFrame, windows=S.WINDOWS, cut_step: int = S.TRAIN_C
     × window, the predict regime), ``target_revenue`` and ``target_spend``."""
     spark = long.sparkSession
     windows = tuple(int(w) for w in windows)
+    long = B.staged(long)
     d = D.daily(long)
-    b = D.bounds(d)
+    b = D.bounds(long)
     cb = cut_bounds(b, windows, cut_step)
 
     # spine: the cuts each positive-spend day falls into (ts in [date, date+27])
@@ -188,28 +221,11 @@ def training_table(long: DataFrame, windows=S.WINDOWS, cut_step: int = S.TRAIN_C
         .select("campaign", F.date_add("first_cut", F.col("k") * cut_step).alias("date"))
         .distinct()
     )
-    zero = F.lit(0).cast(S.MONEY)
-    u = d.select("campaign", "date", *[F.col(m).cast(S.MONEY).alias(m) for m in S.METRICS], F.lit(0).alias("is_cut")).unionByName(
-        spine.select("campaign", "date", *[zero.alias(m) for m in S.METRICS], F.lit(1).alias("is_cut"))
-    )
-    u = u.withColumn("day", F.unix_date("date"))
-    w = Window.partitionBy("campaign").orderBy("day")
-    cols = []
-    for name, (lo, hi) in FRAMES.items():
-        for short, col in _SUMMED.items():
-            if name in ("last7", "prev7", "prev28") and short not in ("revenue", "spend"):
-                continue
-            cols.append(F.sum(col).over(w.rangeBetween(lo, hi)).alias(f"{name}_{short}"))
-    cols.append(F.sum((F.col("spend") > 0).cast("int")).over(w.rangeBetween(-(S.TRAIL_LONG - 1), 0)).alias("active28"))
-    for wd in windows:
-        cols.append(F.sum("revenue").over(w.rangeBetween(1, wd)).alias(f"fwd_revenue_{wd}"))
-        cols.append(F.sum("spend").over(w.rangeBetween(1, wd)).alias(f"fwd_spend_{wd}"))
-    win = u.select("campaign", "date", "is_cut", *cols).where((F.col("is_cut") == 1) & (F.col("tr28_spend") > 0))
+    win = spans(d, spine, windows).where(F.col("tr28_spend") > 0)
     win = D.with_bounds(win, b)
     feats = win.select(
-        "campaign", "gmin", "gmax", F.col("date").alias("ts"),
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in win.columns
-          if c not in ("campaign", "gmin", "gmax", "date", "is_cut")],
+        "campaign", "gmin", "gmax", "ts",
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in win.columns if c not in ("campaign", "gmin", "gmax", "ts")],
     )
     wdf = _windows_df(spark, windows)
     rows = feats.crossJoin(F.broadcast(wdf)).where(F.date_add("ts", F.col("window_days")) <= F.col("gmax"))

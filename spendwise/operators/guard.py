@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..session import scratch_table
 from . import quantiles
+from .base import row_count
 
 # FIXED VALUES — blend weights per confidence bucket (model, baseline), scale
 # trigger, signal weights, baseline band and the OOD warning text.
@@ -64,7 +65,7 @@ def training_profile(long: DataFrame) -> DataFrame:
     spark = long.sparkSession
     base = scratch_table(spark, long.withColumn("month", F.date_format("date", "yyyy-MM"))
                          .groupBy("channel", "campaign_type", "campaign", "month").agg(
-                             F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue"), F.count("*").alias("rows"),
+                             F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue"), F.sum(row_count(long)).alias("rows"),
                              F.min("date").alias("first"), F.max("date").alias("last")), "profile-base")
     sums = lambda *keys: base.groupBy(*keys).agg(F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue"))
     both = {"spend": F.col("spend"), "revenue": F.col("revenue")}

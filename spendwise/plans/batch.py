@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema as S
 from ..functions import normalize as N
+from ..operators import base as B
 from ..operators import calendar as C
 from ..operators import features as FE
 from ..operators import quality as QA
@@ -43,7 +44,7 @@ def ingest(spark: SparkSession, data_dir: str, strict: bool = True) -> DataFrame
 def train(spark: SparkSession, data_dir: str, model_dir: str, strict: bool = True, cut_step: int = S.TRAIN_CUT_STEP,
           **forest_params) -> M.ForecastModel:
     """Fits on the exports and saves the next model version under ``model_dir``."""
-    long = ingest(spark, data_dir, strict)
+    long = B.staged(ingest(spark, data_dir, strict))
     season = SK.stage(spark, C.seasonal_index(long), "season")
     features = SK.scratch_dir(spark, "training")
     SK.write_parquet(FE.training_table(long, S.WINDOWS, cut_step, season), features, ["window_days"])

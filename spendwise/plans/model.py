@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators import base as B
 from ..operators import calendar as C
 from ..operators import calibrate as CA
 from ..operators import curves as CV
@@ -65,7 +66,7 @@ class ForecastModel:
 
     def prediction_table(self, long: DataFrame) -> DataFrame:
         """Features of new data, under the training season."""
-        return FE.prediction_table(long, self.windows, self.season)
+        return FE.prediction_table(B.staged(long), self.windows, self.season)
 
     def predict(self, table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """(output rows, campaign rows, guard assessment) of a prediction table.  Without a
@@ -93,8 +94,9 @@ class ForecastModel:
 
 def train(long: DataFrame, windows=S.WINDOWS, cut_step: int = S.TRAIN_CUT_STEP, season: DataFrame | None = None,
           training_table: DataFrame | None = None, **forest_params) -> ForecastModel:
-    """Everything a forecast needs, fitted on one long table.  Staged inputs may be
-    passed in."""
+    """Everything a forecast needs, fitted on one long table, which is read once (into
+    the base stage).  Staged inputs may be passed in."""
+    long = B.staged(long)
     season = cut_lineage(C.seasonal_index(long)) if season is None else season
     tt = cut_lineage(FE.training_table(long, windows, cut_step, season)) if training_table is None else training_table
     if not tt.head(1):

@@ -96,7 +96,7 @@ def q_channel_curves(spark, sf_dir):
 @register("curve_points", [("channel", "str"), ("i", "int"), ("spend", "num"), ("revenue", "num")])
 def q_curve_points(spark, sf_dir):
     ws = W(spark, sf_dir)
-    return CV.curve_points(ws.long, ws.curves)
+    return CV.curve_points(ws.base, ws.curves)
 
 
 def _scenarios(spark, sf_dir):
@@ -149,7 +149,7 @@ def _flat_profile(prof):
 
 
 def _training_profile(spark, sf_dir):
-    return G.training_profile(long_of(spark, sf_dir))
+    return G.training_profile(W(spark, sf_dir).base)
 
 
 @register("training_profile", [("date_min", "str"), ("date_max", "str")] + PROFILE_SPEC)
@@ -175,7 +175,7 @@ def _scaled_campaign_forecast(spark, sf_dir, factor):
     ws = W(spark, sf_dir)
     if factor == 1:
         return ws.baseline_campaign
-    long = ws.long.withColumn("spend", F.col("spend") * factor).withColumn("revenue", F.col("revenue") * factor)
+    long = ws.base.withColumn("spend", F.col("spend") * factor).withColumn("revenue", F.col("revenue") * factor)
     table = FE.prediction_table(long, S.WINDOWS, C.seasonal_index(long))
     return G.with_baseline_quantiles(table, 1.0, prefix="")
 
@@ -292,21 +292,22 @@ METRIC_SPEC = [("variant", "str"), ("grouping", "str"), ("key", "str"), ("n", "i
 @register("backtest_actuals", [("campaign", "str"), ("window_days", "int"), ("actual_revenue", "num"),
                                ("actual_spend", "num")])
 def q_backtest_actuals(spark, sf_dir):
-    long = long_of(spark, sf_dir)
-    return BT.forward_actuals(long, BT.origin_of(long, HOLDOUT))
+    base = W(spark, sf_dir).base
+    gmax, origin = BT.origin_of(base, HOLDOUT)
+    return BT.forward_actuals(base, origin, gmax)
 
 
 def _backtest_scored(spark, sf_dir):
-    long = long_of(spark, sf_dir)
-    origin = BT.origin_of(long, HOLDOUT)
-    train = BT.train_split(long, origin)
+    base = W(spark, sf_dir).base
+    gmax, origin = BT.origin_of(base, HOLDOUT)
+    train = BT.train_split(base, origin)
     table = cut_lineage(FE.prediction_table(train, S.WINDOWS, C.seasonal_index(train)))
     pred = G.with_baseline_quantiles(table, 1.0, prefix="")
-    base = G.seasonal_roas_baseline(pred)
-    pred = pred.select("*", *[(base * m).alias(f"base_{q}") for m, q in zip(G.BASELINE_BAND, S.REVENUE_Q)])
+    m6 = G.seasonal_roas_baseline(pred)
+    pred = pred.select("*", *[(m6 * m).alias(f"base_{q}") for m, q in zip(G.BASELINE_BAND, S.REVENUE_Q)])
     wm, wb = G.BLEND_WEIGHTS["Low"]
     pred = pred.select("*", *[(F.lit(wm) * F.col(q) + F.lit(wb) * F.col(f"base_{q}")).alias(f"blend_{q}") for q in S.REVENUE_Q])
-    return BT.scored_rows(pred, BT.forward_actuals(long, origin))
+    return BT.scored_rows(pred, BT.forward_actuals(base, origin, gmax))
 
 
 @register("backtest_metrics", METRIC_SPEC)
@@ -448,7 +449,7 @@ from . import model as MO  # noqa: E402
 def _forest(spark, sf_dir):
     ws = W(spark, sf_dir)
     if "forest" not in ws.__dict__:
-        prof = cut_lineage(G.training_profile(ws.long))
+        prof = cut_lineage(G.training_profile(ws.base))
         out, _, _, model = P.forest_forecast(ws.training_table, ws.prediction_table, prof)
         ws.__dict__["forest"] = (cut_lineage(out), model)
     return ws.__dict__["forest"]
@@ -505,9 +506,9 @@ def q_predict_loaded(spark, sf_dir):
     (calibration, guard and roll-up included)."""
     ws = W(spark, sf_dir)
     path = SK.scratch_dir(spark, "model")
-    MO.train(ws.long, season=ws.season, training_table=ws.training_table, **SMALL).save(path)
+    MO.train(ws.base, season=ws.season, training_table=ws.training_table, **SMALL).save(path)
     loaded = MO.ForecastModel.load(spark, path)
-    return loaded.predict(loaded.prediction_table(ws.long))[0]
+    return loaded.predict(loaded.prediction_table(ws.base))[0]
 
 
 # ---------------------------------------------------------------------------
@@ -561,9 +562,9 @@ def q_backtest_forest(spark, sf_dir):
     ROAS fallback) / Low-confidence blend (rows-only: depends on the fit)."""
     ws = W(spark, sf_dir)
     if "backtest_forest" not in ws.__dict__:
-        long = ws.long
-        origin = BT.origin_of(long, HOLDOUT)
-        train = cut_lineage(BT.train_split(long, origin))
+        base = ws.base
+        gmax, origin = BT.origin_of(base, HOLDOUT)
+        train = BT.train_split(base, origin)
         season = cut_lineage(C.seasonal_index(train))
         tt = cut_lineage(FE.training_table(train, S.WINDOWS, S.TRAIN_CUT_STEP, season))
         pt = cut_lineage(FE.prediction_table(train, S.WINDOWS, season))
@@ -572,7 +573,7 @@ def q_backtest_forest(spark, sf_dir):
         wm, wb = G.BLEND_WEIGHTS["Low"]
         based = based.select("*", *[(F.lit(wm) * F.col(q) + F.lit(wb) * F.col(f"base_{q}")).alias(f"blend_{q}")
                                     for q in S.REVENUE_Q])
-        merged = BT.scored_rows(based, BT.forward_actuals(long, origin))
+        merged = BT.scored_rows(based, BT.forward_actuals(base, origin, gmax))
         ws.__dict__["backtest_forest"] = cut_lineage(
             BT.metrics(merged, {"model": "revenue", "baseline": "base_revenue", "blend": "blend_revenue"}))
     return ws.__dict__["backtest_forest"]

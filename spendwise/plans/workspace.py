@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from .. import schema as S
+from ..operators import base as B
 from ..operators import calendar as C
 from ..operators import curves as CV
 from ..operators import features as FE
@@ -35,21 +36,26 @@ class Workspace:
     def long(self):
         return X.ads_long(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
+    @cached_property
+    def base(self):
+        """The fact summed by (campaign, channel, type, date): what most plans read."""
+        return B.staged(self.long)
+
     @cached_property
     def season(self):
-        return cut_lineage(C.seasonal_index(self.long))
+        return cut_lineage(C.seasonal_index(self.base))
 
     @cached_property
     def curves(self):
-        return cut_lineage(CV.channel_curves(self.long))
+        return cut_lineage(CV.channel_curves(self.base))
 
     @cached_property
     def prediction_table(self):
-        return cut_lineage(FE.prediction_table(self.long, S.WINDOWS, self.season))
+        return cut_lineage(FE.prediction_table(self.base, S.WINDOWS, self.season))
 
     @cached_property
     def training_table(self):
-        return cut_lineage(FE.training_table(self.long, S.WINDOWS, S.TRAIN_CUT_STEP, self.season))
+        return cut_lineage(FE.training_table(self.base, S.WINDOWS, S.TRAIN_CUT_STEP, self.season))
 
     @cached_property
     def baseline_campaign(self):
