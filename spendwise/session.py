@@ -76,11 +76,28 @@ def scratch_scope(name: str):
         _OPEN.remove(name)
 
 
-def release(spark: SparkSession, name: str) -> None:
-    """Deletes the scratch tables of a scope, once nothing reads them any more."""
-    for path in _SCOPES.pop(name, ()):
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def read_folders(df: DataFrame) -> list[str]:
+    """Root paths of the file tables that ``df`` reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out += [roots.apply(k).toString() for k in range(roots.size())]
+    return out
+
+
+def release(spark: SparkSession, name: str, in_use: DataFrame) -> bool:
+    """Deletes the scratch tables of a scope, unless ``in_use`` still reads one of them;
+    tells whether they are gone."""
+    folders = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path) for path in _SCOPES.get(name, ())]
+    read = {f.rsplit("/", 1)[-1] for f in read_folders(in_use)}
+    if any(f.getName() in read for f in folders):
+        return False
+    for folder in folders:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _SCOPES.pop(name, None)
+    return True
 
 
 def scratch_table(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
