@@ -6,7 +6,8 @@ kept; stages are written as Parquet and reread in between.  All but the last
 return the columns of ``documents``.
 
 A stage's scratch tables are deleted when a later stage of the same ``sf_dir`` is
-called, so its result must be written by then, as :func:`run` does.
+called with documents that no longer read them, as those of :func:`run`, written
+and reread in between.
 """
 from __future__ import annotations
 
@@ -62,7 +63,7 @@ def _tidy(place: int, function):
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for earlier in range(place):
-            release(spark, f"pipeline-{sf_dir}-{earlier}")
+            release(spark, f"pipeline-{sf_dir}-{earlier}", in_use=docs)
         with scratch_scope(f"pipeline-{sf_dir}-{place}"):
             return function(spark, docs, sf_dir)
 
