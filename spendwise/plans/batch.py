@@ -17,6 +17,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import normalize as N
@@ -30,15 +31,27 @@ from ..sources import sinks as SK
 from . import model as M
 
 
-def ingest(spark: SparkSession, data_dir: str, strict: bool = True) -> DataFrame:
-    """The staged long table of an export directory; ``strict`` raises on failed checks."""
-    long = EX.load_long(spark, data_dir)
+def ingest(spark: SparkSession, data_dir: str, strict: bool = True, report_dir: str | None = None) -> DataFrame:
+    """The staged long table of an export directory.  The files are parsed once, with the
+    parser's side output staged beside the rows; ``report_dir`` gets the outcome of every
+    file and the rejected cells as JSON.  ``strict`` raises on a recognised file of which
+    no row was parsed and on failed checks."""
+    files = EX.scan_files(spark, data_dir)
+    parsed = SK.stage(spark, EX.load_long(spark, data_dir, with_file=True, rejects=True, files=files), "parsed")
+    long = parsed.where(F.col("date").isNotNull()).select(*S.LONG_COLUMNS)
+    outcomes = EX.file_outcomes(spark, files, parsed)
+    if report_dir is not None:
+        SK.write_json(outcomes, f"{report_dir}/file_outcomes")
+        SK.write_json(EX.rejected_cells(parsed), f"{report_dir}/rejected_cells")
     if strict:
-        has_rev = any(N.has_revenue_column(h) for h in EX.group_by_signature(spark, EX.list_csv_files(spark, data_dir)))
+        broken = EX.broken_files(outcomes).select(EX.FILE_COL, "channel_hint").head(5)
+        if broken:
+            raise ValueError("recognised files of which no row was parsed: " + ", ".join(f"{r[0]} ({r[1]})" for r in broken))
+        has_rev = any(f.header is not None and N.has_revenue_column(f.header) for f in files)
         bad = [r for r in QA.ingest_checks(long, has_rev).collect() if not r.ok]  # ≤ 4 check rows
         if bad:
             raise ValueError("ingest checks failed: " + "; ".join(f"{r.check}={r.detail}" for r in bad))
-    return SK.stage(spark, long, "long")
+    return long
 
 
 def train(spark: SparkSession, data_dir: str, model_dir: str, strict: bool = True, cut_step: int = S.TRAIN_CUT_STEP,
@@ -57,7 +70,7 @@ def predict(spark: SparkSession, data_dir: str, model_dir: str, out_dir: str, st
             single_file: bool = False) -> dict:
     """Forecasts the exports with a saved model."""
     model = M.ForecastModel.load(spark, model_dir, version)
-    long = ingest(spark, data_dir, strict)
+    long = ingest(spark, data_dir, strict, out_dir)
     table = f"{out_dir}/features/prediction"
     SK.write_parquet(model.prediction_table(long), table, ["window_days"])
     out, _, assessment = model.predict(spark.read.parquet(table))

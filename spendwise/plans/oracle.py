@@ -1127,3 +1127,34 @@ SELECT source_file, CAST(raw_spend AS DOUBLE) AS raw_spend, CAST(parsed_spend AS
   CAST(abs(raw_spend - parsed_spend) AS DOUBLE) AS diff,
   CASE WHEN CAST(abs(raw_spend - parsed_spend) AS DOUBLE) <= GREATEST(1.0, abs(CAST(raw_spend AS DOUBLE)) * 0.001) THEN 1 ELSE 0 END AS ok
 FROM r, p"""
+
+
+# ---------------------------------------------------------------------------
+# outcomes of the mixed exports
+# ---------------------------------------------------------------------------
+_MIXED = """
+mixed AS (SELECT *, CASE WHEN ln IN (5, 6) THEN NULL ELSE d END AS date,
+  CASE seg WHEN 'AUTOMOBILE' THEN 'google' WHEN 'BUILDING' THEN 'google' WHEN 'MACHINERY' THEN 'microsoft'
+           WHEN 'FURNITURE' THEN 'meta' ELSE 'other' END AS channel,
+  concat(seg, '_', t, '_0', CAST(v AS VARCHAR)) AS campaign,
+  CASE WHEN qty % 10 IN (0, 1, 2) THEN 0 ELSE spend END AS paid FROM ads_base)"""
+
+SQL["mixed_ingest"] = _with(_MIXED, final="""
+SELECT date, channel, campaign, 'Other' AS campaign_type, 0 AS is_brand, 0 AS impressions, 0 AS clicks, paid AS spend, 0 AS conversions,
+  revenue, 0 AS daily_budget FROM mixed WHERE date IS NOT NULL""")
+
+SQL["file_outcomes"] = _with(_MIXED, final="""
+SELECT 'agency_export' AS source_file, 'read' AS status, NULL AS channel_hint, 1 AS has_revenue, COUNT(*) AS raw_rows, COUNT(date) AS parsed_rows,
+  COUNT(*) - COUNT(date) AS dropped_rows,
+  SUM(CASE WHEN qty % 10 IN (0, 2) OR (qty % 10 = 1 AND spend > 0) THEN 1 ELSE 0 END) AS zeroed_cells,
+  MIN(date) AS date_min, MAX(date) AS date_max, COUNT(DISTINCT CASE WHEN date IS NOT NULL THEN campaign END) AS campaigns,
+  SUM(CASE WHEN date IS NOT NULL THEN paid END) AS spend, SUM(CASE WHEN date IS NOT NULL THEN revenue END) AS revenue, 0 AS stops_strict_run FROM mixed
+UNION ALL SELECT 'bing_undated_stats', 'zero_rows', 'microsoft', 1, COUNT(*), 0, COUNT(*), 0, NULL, NULL, 0, 0, 0, 1 FROM export_microsoft
+UNION ALL SELECT 'google_ads_empty', 'skipped', 'google', 1, 0, 0, 0, 0, NULL, NULL, 0, 0, 0, 0""")
+
+SQL["rejected_cells"] = _with(_MIXED, final="""
+SELECT 'agency_export' AS source_file, 'date' AS "column", CASE ln WHEN 5 THEN 'not_a_date' ELSE 'blank' END AS reason, COUNT(*) AS cells
+FROM mixed WHERE ln IN (5, 6) GROUP BY ALL
+UNION ALL SELECT 'agency_export', 'spend', CASE qty % 10 WHEN 0 THEN 'not_a_number' WHEN 1 THEN 'negative' ELSE 'blank' END, COUNT(*)
+FROM mixed WHERE qty % 10 IN (0, 2) OR (qty % 10 = 1 AND spend > 0) GROUP BY ALL
+UNION ALL SELECT 'bing_undated_stats', 'date', 'not_a_date', COUNT(*) FROM export_microsoft""")

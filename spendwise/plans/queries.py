@@ -379,17 +379,25 @@ def q_readiness(spark, sf_dir):
     return QA.readiness(long_of(spark, sf_dir))
 
 
-def _csv_dir(spark, sf_dir):
-    """The three exports written as CSV with headers under the checkpoint
-    folder (one directory per platform file name)."""
+def _written(spark, sf_dir, key, exports):
+    """Exports written as CSV with headers under the checkpoint folder (one directory
+    per export name), once per session and data folder."""
     ws = W(spark, sf_dir)
-    if "csv_dir" not in ws.__dict__:
-        names = ("google_ads_campaign_stats", "bing_campaign_stats", "meta_ads_campaign_stats")
-        base = SK.scratch_dir(spark, "exports")
-        for name, df in zip(names, X.exports(spark, sf_dir)):
+    if key not in ws.__dict__:
+        base = SK.scratch_dir(spark, key)
+        for name, df in exports(spark, sf_dir).items():
             SK.write_csv(df, f"{base}/{name}")
-        ws.__dict__["csv_dir"] = base
-    return ws.__dict__["csv_dir"]
+        ws.__dict__[key] = base
+    return ws.__dict__[key]
+
+
+def _csv_dir(spark, sf_dir):
+    names = ("google_ads_campaign_stats", "bing_campaign_stats", "meta_ads_campaign_stats")
+    return _written(spark, sf_dir, "exports", lambda spark, sf_dir: dict(zip(names, X.exports(spark, sf_dir))))
+
+
+def _mixed_dir(spark, sf_dir):
+    return _written(spark, sf_dir, "mixed_exports", X.mixed_exports)
 
 
 @register("csv_ingest", LONG_SPEC)
@@ -425,7 +433,7 @@ def q_parse_inspection(spark, sf_dir):
     d = _csv_dir(spark, sf_dir)
     long = EX.load_long(spark, d, with_file=True).withColumn(EX.FILE_COL, _export_name(F.col(EX.FILE_COL)))
     raws = []
-    for header, paths in EX.group_by_signature(spark, EX.list_csv_files(spark, d)).items():
+    for header, paths in EX.group_by_signature(EX.scan_files(spark, d)).items():
         i = N.resolve(list(header), "spend")
         if i is not None and S.MICROS_TOKEN in N.norm_name(header[i]):
             g = EX.read_signature_group(spark, header, paths)
@@ -437,6 +445,36 @@ def q_parse_inspection(spark, sf_dir):
     return out.select(*[F.col(c).cast("int").alias(c) if c == "ok" else F.col(c) for c in out.columns])
 
 
+@register("mixed_ingest", LONG_SPEC)
+def q_mixed_ingest(spark, sf_dir):
+    """Dates in many layouts, a channel column, cells that are no numbers."""
+    return EX.load_long(spark, _mixed_dir(spark, sf_dir))
+
+
+@register("file_outcomes", [("source_file", "str"), ("status", "str"), ("channel_hint", "str"), ("has_revenue", "int"),
+                            ("raw_rows", "int"), ("parsed_rows", "int"), ("dropped_rows", "int"), ("zeroed_cells", "int"),
+                            ("date_min", "date"), ("date_max", "date"), ("campaigns", "int"), ("spend", "num"),
+                            ("revenue", "num"), ("stops_strict_run", "int")])
+def q_file_outcomes(spark, sf_dir):
+    """What became of every export (its part files pooled)."""
+    d = _mixed_dir(spark, sf_dir)
+    files = EX.scan_files(spark, d)
+    # the hint comes from the export's name; its part files have none of their own
+    files = [EX.ExportFile(f"{f.path.rsplit('/', 1)[0]}.csv", f.bytes, f.header) for f in files]
+    parsed = EX.load_long(spark, d, with_file=True, rejects=True).withColumn(
+        EX.FILE_COL, F.concat(F.regexp_extract(EX.FILE_COL, "^(.*)/[^/]*$", 1), F.lit(".csv")))
+    out = EX.file_outcomes(spark, files, parsed, lambda path: F.regexp_extract(path, r"([^/]*)\.csv$", 1))
+    stop = EX.broken_files(out).select("source_file", F.lit(1).alias("stops_strict_run"))
+    return out.join(stop, "source_file", "left").fillna(0, ["stops_strict_run"]).withColumn("has_revenue", F.col("has_revenue").cast("int"))
+
+
+@register("rejected_cells", [("source_file", "str"), ("column", "str"), ("reason", "str"), ("cells", "int")])
+def q_rejected_cells(spark, sf_dir):
+    """Q4: cells that the parser did not take as they are, by export, column and reason."""
+    parsed = EX.load_long(spark, _mixed_dir(spark, sf_dir), with_file=True, rejects=True)
+    return EX.rejected_cells(parsed, _export_name)
+
+
 # ---------------------------------------------------------------------------
 # learned model: quantile regression forest
 # ---------------------------------------------------------------------------

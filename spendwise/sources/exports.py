@@ -5,11 +5,20 @@ headers would apply one header positionally to every file, so files are grouped
 by header signature and each group becomes one scan with an explicit,
 positional all-string schema.  Each group is normalised by a single projection
 (:func:`to_long`) and the groups are unioned by name.
+
+Headers are read by tasks (one per file, stopped after its first lines), and every
+file has an outcome: read, skipped, failed or zero_rows (:func:`file_outcomes`).
 """
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
+from collections.abc import Callable
+from contextlib import contextmanager
+from dataclasses import dataclass
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +27,11 @@ from .. import schema as S
 from ..functions import normalize as N
 
 FILE_COL = "source_file"
+REJECTS = "rejects"
+REJECT_TYPE = "array<struct<column: string, reason: string>>"
+#: a reader that packs files by size gives each file (up to 4 TB of it) its own task
+ONE_FILE_A_TASK = {"spark.sql.files.maxPartitionBytes": str(1 << 42), "spark.sql.files.openCostInBytes": str(1 << 42),
+                   "spark.sql.files.maxPartitionNum": None}
 
 
 def to_long(
@@ -26,6 +40,7 @@ def to_long(
     columns: list[str] | None = None,
     hint_col: Column | None = None,
     keep: list[str] = (),
+    rejects: bool = False,
 ) -> DataFrame:
     """Map one export (any header layout) to ``LONG_SCHEMA``.
 
@@ -34,6 +49,12 @@ def to_long(
     hint (from the file name) that beats the header signature but loses to a
     per-row channel column.  Never raises on unknown input; rows without a
     parseable date are dropped.
+
+    ``rejects`` is the side output of the parser: undated rows stay (null date) and a
+    column ``rejects`` lists the cells of the row that were not taken as they are, as
+    (column, reason): a date that is ``absent`` (no such column), ``blank`` or
+    ``not_a_date``, a metric that counts as 0 for being ``blank``, ``not_a_number`` or
+    ``negative``.  A metric without a column is 0 and no reject.
     """
     cols = list(columns) if columns is not None else list(df.columns)
     phys = df.columns
@@ -67,6 +88,20 @@ def to_long(
         else:
             micros = m == "spend" and S.MICROS_TOKEN in N.norm_name(cols[i])
             metrics[m] = N.to_metric(F.col(f"`{phys[i]}`"), divide_micros=micros)
+    bad = []
+    if rejects:
+        def reject(column, cell, reason):
+            blank = cell.isNull() | (F.trim(cell.cast("string")) == "")
+            return F.when(blank, F.struct(F.lit(column).alias("column"), F.lit("blank").alias("reason"))).otherwise(
+                F.when(reason.isNotNull(), F.struct(F.lit(column).alias("column"), reason.alias("reason"))))
+
+        bad.append(F.struct(F.lit("date").alias("column"), F.lit("absent").alias("reason")) if date_c is None
+                   else reject("date", date_c, F.when(N.to_date(date_c).isNull(), "not_a_date")))
+        for m in S.METRICS:
+            cell = col_of(m)
+            if cell is not None:
+                number = cell.try_cast(S.MONEY)
+                bad.append(reject(m, cell, F.when(number.isNull(), "not_a_number").when(number < 0, "negative")))
     bud = col_of("budget")
     budget = F.lit(0).cast(S.MONEY) if bud is None else N.to_metric(bud)
 
@@ -82,10 +117,13 @@ def to_long(
         *[v.alias(k) for k, v in metrics.items()],
         budget.alias("daily_budget"),
         *[F.col(k) for k in keep],
-    ).where(F.col("date").isNotNull())
+        *([F.array_compact(F.array(*bad)).cast(REJECT_TYPE).alias(REJECTS)] if rejects else []),
+    )
+    if not rejects:
+        out = out.where(F.col("date").isNotNull())
     out = out.withColumn("campaign_type", N.campaign_type_from_keys(F.col("channel"), F.col("_t"), F.col("_nb")))
     out = out.withColumn("is_brand", N.is_brand_from_key(F.col("campaign_type"), F.col("_nb")))
-    return out.select(*S.LONG_COLUMNS, *keep)
+    return out.select(*S.LONG_COLUMNS, *keep, *([REJECTS] if rejects else []))
 
 
 def empty_long(spark: SparkSession) -> DataFrame:
@@ -111,62 +149,96 @@ def combine(spark: SparkSession, sources: list[tuple[DataFrame, str | None]]) ->
 # ---------------------------------------------------------------------------
 
 
-def list_csv_files(spark: SparkSession, data_dir: str) -> list[str]:
-    """Recursive listing: ``*.csv`` first, then ``*.csv*`` (compressed)."""
+@dataclass(frozen=True)
+class ExportFile:
+    """A listed file; ``header`` is None when no first line could be read."""
+
+    path: str
+    bytes: int
+    header: tuple[str, ...] | None
+
+    @property
+    def channel_hint(self) -> str | None:
+        return N.channel_from_filename(self.path)
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str | None]):
+    """Session settings for one scan (None: not set)."""
+    before = {k: spark.conf.get(k, None) for k in values}
+
+    def put(settings):
+        for k, v in settings.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+    put(values)
+    try:
+        yield
+    finally:
+        put(before)
+
+
+def list_csv_files(spark: SparkSession, data_dir: str) -> list[tuple[str, int]]:
+    """Recursive listing of (path, bytes): ``*.csv`` first, then ``*.csv*`` (compressed)."""
     for pattern in ("*.csv", "*.csv*"):
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         try:
-            listing = (
-                spark.read.format("binaryFile")
-                .option("recursiveFileLookup", "true")
-                .option("pathGlobFilter", pattern)
-                .load(data_dir)
-                .select("path", "length")
-                .collect()  # file metadata only (one row per file)
-            )
-        except Exception:  # missing directory
-            listing = []
-        paths = sorted(r.path for r in listing if r.length > 0)
-        if paths:
-            return paths
+            found = listing.load(data_dir).select("path", "length")
+            files = {f.path: f.length for f in found.collect()}  # file metadata only (one row per file)
+            # the reader yields no row for a file without bytes, but lists it
+            files = {re.sub("^file:/+", "file:/", unquote(path)): 0 for path in found.inputFiles()} | files
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            files = {}
+        if files:
+            return sorted(files.items())
     raise FileNotFoundError(f"No CSV files found under {data_dir!r}")
 
 
-def _header_line(spark: SparkSession, path: str) -> str | None:
-    """First line of a file via the Hadoop FileSystem API (handles
-    compression codecs); metadata-sized read on the driver."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    stream = fs.open(p)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
-        if codec is not None:
-            stream = codec.createInputStream(stream)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-        reader.close()
-        return line
-    except Exception:
-        stream.close()
-        return None
-
-
-def _split_header(line: str) -> list[str]:
+def _first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first line of every file that has a readable one.  Each file is a task of its
+    own that ends after the first batch of lines, whatever the size of the file; the
+    driver gets one line per file."""
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    with _settings(spark, ONE_FILE_A_TASK):
+        text = (
+            spark.read.option("ignoreCorruptFiles", "true").text(paths)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+            .where(F.col("start") == 0).select("path", "value")
+        )
+        return {unquote(r.path): r.value for r in text.mapInArrow(first, "path string, value string").collect()}
+
+
+def _split_header(line: str) -> tuple[str, ...]:
     import csv
     import io
 
-    row = next(csv.reader(io.StringIO(line.lstrip("﻿"))), [])
-    return [c.strip() for c in row]
+    row = next(csv.reader(io.StringIO(line.lstrip("\ufeff"))), [])
+    return tuple(c.strip() for c in row)
 
 
-def group_by_signature(spark: SparkSession, paths: list[str]) -> "OrderedDict[tuple, list[str]]":
+def scan_files(spark: SparkSession, data_dir: str) -> list[ExportFile]:
+    """Every listed file with its header (one small record per file)."""
+    listed = list_csv_files(spark, data_dir)
+    full = [path for path, size in listed if size > 0]
+    lines = _first_lines(spark, full) if full else {}
+    return [ExportFile(path, size, _split_header(lines[path]) if lines.get(path) else None) for path, size in listed]
+
+
+def group_by_signature(files: list[ExportFile]) -> "OrderedDict[tuple, list[str]]":
     groups: OrderedDict[tuple, list[str]] = OrderedDict()
-    for p in paths:
-        line = _header_line(spark, p)
-        if not line:
-            continue  # unreadable or empty: skipped
-        groups.setdefault(tuple(_split_header(line)), []).append(p)
+    for f in files:
+        if f.header is not None:
+            groups.setdefault(f.header, []).append(f.path)
     return groups
 
 
@@ -180,19 +252,22 @@ def read_signature_group(spark: SparkSession, header: tuple, paths: list[str]) -
         .option("mode", "PERMISSIVE")
         .option("multiLine", "false")
         .csv(paths)
-        .withColumn(FILE_COL, F.col("_metadata.file_path"))
+        # the path is given percent-encoded; url_decode would take a plus for a blank
+        .withColumn(FILE_COL, F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     )
 
 
-def load_long(spark: SparkSession, data_dir: str, with_file: bool = False) -> DataFrame:
+def load_long(spark: SparkSession, data_dir: str, with_file: bool = False, rejects: bool = False,
+              files: list[ExportFile] | None = None) -> DataFrame:
     """Every CSV under ``data_dir`` → one long frame.
 
     The channel hint comes from each row's file name (per row, so one scan
     covers all files of one signature).  ``with_file`` keeps the source path
-    for per-file reports."""
-    paths = list_csv_files(spark, data_dir)
+    for per-file reports, ``rejects`` the parser's side output (see
+    :func:`to_long`); ``files`` is an earlier :func:`scan_files`."""
+    files = scan_files(spark, data_dir) if files is None else files
     frames = []
-    for header, group in group_by_signature(spark, paths).items():
+    for header, group in group_by_signature(files).items():
         raw = read_signature_group(spark, header, group)
         frames.append(
             to_long(
@@ -200,9 +275,58 @@ def load_long(spark: SparkSession, data_dir: str, with_file: bool = False) -> Da
                 columns=list(header) + [FILE_COL],
                 hint_col=N.channel_from_path(F.col(FILE_COL)),
                 keep=[FILE_COL] if with_file else [],
+                rejects=rejects,
             )
         )
     if not frames:
         out = empty_long(spark)
-        return out.withColumn(FILE_COL, F.lit(None).cast("string")) if with_file else out
+        out = out.withColumn(FILE_COL, F.lit(None).cast("string")) if with_file else out
+        return out.withColumn(REJECTS, F.array().cast(REJECT_TYPE)) if rejects else out
     return union_long(frames)
+
+
+def file_outcomes(spark: SparkSession, files: list[ExportFile], parsed: DataFrame,
+                  name: Callable[[Column], Column] = lambda path: path) -> DataFrame:
+    """One row per file, or per ``name`` of its path (files of one name are
+    pooled), with what became of it:
+
+    ``failed``     bytes, but no first line could be read;
+    ``skipped``    no bytes, or a header without rows;
+    ``zero_rows``  rows, but none with a date;
+    ``read``       the rest.
+
+    ``parsed`` is :func:`load_long` of the same files with ``with_file`` and ``rejects``;
+    it is read once, into one partial aggregate per file."""
+    listed = spark.createDataFrame(
+        [(f.path, f.bytes, f.channel_hint, f.header is not None, f.header is not None and N.has_revenue_column(f.header)) for f in files],
+        f"{FILE_COL} string, bytes long, channel_hint string, has_header boolean, has_revenue boolean")
+    listed = listed.groupBy(name(F.col(FILE_COL)).alias(FILE_COL)).agg(
+        F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.min("channel_hint").alias("channel_hint"),
+        F.count_if(~F.col("has_header") & (F.col("bytes") > 0)).alias("unreadable"), F.max("has_revenue").alias("has_revenue"))
+    dated = F.col("date").isNotNull()
+    rows = parsed.withColumn(FILE_COL, name(F.col(FILE_COL))).groupBy(FILE_COL).agg(
+        F.count("*").alias("raw_rows"), F.count("date").alias("parsed_rows"),
+        F.min("date").alias("date_min"), F.max("date").alias("date_max"),
+        F.count_distinct(F.when(dated, F.col("campaign"))).alias("campaigns"),
+        F.sum(F.when(dated, F.col("spend"))).alias("spend"), F.sum(F.when(dated, F.col("revenue"))).alias("revenue"),
+        F.sum(F.size(F.filter(REJECTS, lambda r: r["column"] != "date"))).alias("zeroed_cells"),
+    )
+    none = F.lit(0).cast("long")
+    x = listed.join(rows, FILE_COL, "left").select(
+        *listed.columns, *[F.coalesce(c, none).alias(c) for c in ("raw_rows", "parsed_rows", "campaigns", "zeroed_cells")],
+        "date_min", "date_max", *[F.coalesce(c, F.lit(0).cast(S.MONEY)).alias(c) for c in ("spend", "revenue")])
+    status = (F.when(F.col("parsed_rows") > 0, "read").when(F.col("raw_rows") > 0, "zero_rows")
+              .when(F.col("unreadable") > 0, "failed").otherwise("skipped"))
+    return x.withColumn("status", status).withColumn("dropped_rows", F.col("raw_rows") - F.col("parsed_rows"))
+
+
+def rejected_cells(parsed: DataFrame, name: Callable[[Column], Column] = lambda path: path) -> DataFrame:
+    """Q4: cells that were not taken as they are, counted by (file, column, reason)."""
+    cells = parsed.where(F.size(REJECTS) > 0).select(name(F.col(FILE_COL)).alias(FILE_COL), F.explode(REJECTS).alias("r"))
+    return cells.groupBy(FILE_COL, F.col("r.column").alias("column"), F.col("r.reason").alias("reason")).agg(F.count("*").alias("cells"))
+
+
+def broken_files(outcomes: DataFrame) -> DataFrame:
+    """Q1: files that must stop a strict run: of a recognised platform, with rows, none
+    of them parsed."""
+    return outcomes.where((F.col("status") == "zero_rows") & F.col("channel_hint").isNotNull())

@@ -119,6 +119,30 @@ def export_meta(base: DataFrame) -> DataFrame:
     ))
 
 
+def export_mixed(base: DataFrame) -> DataFrame:
+    """An export with a channel column, a date layout for every line number (one of them
+    no date, one blank), and cost cells that are no numbers, negative or blank."""
+    d = F.col("d")
+    day = _case(F.col("ln"), {1: d.cast("string"), 2: F.date_format(d, "yyyy/MM/dd"), 3: F.date_format(d, "MM/dd/yyyy"),
+                              4: F.date_format(d, "MMM d, yyyy"), 5: "not a date", 6: F.lit(None).cast("string")},
+                F.date_format(d, "yyyyMMdd"))
+    platforms = {"AUTOMOBILE": "Google Ads", "BUILDING": "adwords", "MACHINERY": "Bing", "FURNITURE": "facebook"}
+    spend = F.col("spend").cast("string")
+    cost = _case(F.col("qty") % 10, {0: "n/a", 1: F.concat(F.lit("-"), spend), 2: F.lit(None).cast("string")}, spend)
+    return base.select(day.alias("Day"), _case(F.col("seg"), platforms, "TikTok").alias("Platform"),
+                       _name(F.col("seg"), F.col("t"), F.col("v")).alias("Campaign"), F.col("t").alias("Campaign type"),
+                       cost.alias("Cost"), F.col("revenue").cast("string").alias("Conversion value"))
+
+
+def mixed_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Exports of every outcome by name: the mixed one, a recognised one without any
+    date, and a header without rows."""
+    base = ads_base(spark, sf_dir)
+    return {"agency_export": export_mixed(base),
+            "bing_undated_stats": export_microsoft(base).withColumn("TimePeriod", F.lit("n/a")),
+            "google_ads_empty": export_google(base).where(F.lit(False))}
+
+
 def exports(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     base = ads_base(spark, sf_dir)
     return [export_google(base), export_microsoft(base), export_meta(base)]
