@@ -27,6 +27,16 @@ NUMBER_TOKEN = r"-?\$?\d[\d,]*\.?\d*"
 FIXED_NAMES = ("google", "meta", "microsoft", "bing", "microsoft/bing", "blended")
 REL_TOL, ABS_TOL = 0.015, 0.51
 TOP_CAMPAIGNS, WATCH_LIST, WIDE_RANGE = 8, 3, 4.0
+# texts of the contract: actions, headings and lines of empty sections
+RISK_ACTIONS = {"medium": "Review pacing weekly and re-forecast as new data arrives.",
+                "low": "Maintain current allocation; re-evaluate as data arrives."}
+HEADINGS = {"forecast_summary": "**Forecast Summary**", "risks": "**Anomalies & Risks**",
+            "budget_recommendations": "**Budget Recommendation**", "campaigns_to_watch": "**Campaigns to Watch**",
+            "suggested_budget_shift": "**Suggested Budget Shift**", "limitations": "**Limitations**"}
+NONE_LINES = {"risks": "- None flagged.", "budget_recommendations": "- Maintain current allocation."}
+NO_SUMMARY = "no grounded forecast_summary claims survived validation"
+MALFORMED = "response is not a JSON object"
+LOG_HEAD = 3
 LIMITATIONS = (
     "Forecast assumes budgets and attribution remain as observed in the input data.",
     "P10-P90 intervals are calibrated on historical backtests (~80% target coverage).",
@@ -93,12 +103,15 @@ def name_grounded(ref: Column, names: Column) -> Column:
 def validate_claims(claims: DataFrame, ctx: DataFrame) -> DataFrame:
     """N6 → N5 → N3 (→ N4 for watch items, channel membership for shifts):
     first failing check is the rejection reason (a limitation needs no evidence).  Adds ``accepted``,
-    ``reason``."""
+    ``reason``.  A claim's ``action``, if there is such a column, is checked with its text
+    (N7); a claim of no kind stands for an answer that could not be read."""
+    said = F.concat_ws("\n", "text", "action") if "action" in claims.columns else F.col("text")
     x = claims.join(F.broadcast(ctx.select("window_days", "numbers", "names")), "window_days", "left")
     reason = (
-        F.when((F.col("kind") != "limitation") & (F.coalesce(F.size("evidence"), F.lit(-1)) <= 0), "dropped item without evidence references")
-        .when(~clean_language(F.col("text")), "dropped item with deterministic/unsupported-causality language")
-        .when(~grounded(F.col("text"), F.coalesce("numbers", F.array().cast("array<double>"))),
+        F.when(F.col("kind").isNull(), MALFORMED)
+        .when((F.col("kind") != "limitation") & (F.coalesce(F.size("evidence"), F.lit(-1)) <= 0), "dropped item without evidence references")
+        .when(~clean_language(said), "dropped item with deterministic/unsupported-causality language")
+        .when(~grounded(said, F.coalesce("numbers", F.array().cast("array<double>"))),
               "dropped item citing a number not present in the context")
         .when((F.col("kind") == "watch") & ~name_grounded(F.coalesce(F.col("ref_name"), F.lit("")), F.col("names")),
               "dropped watch item: unknown campaign or group")
@@ -210,15 +223,43 @@ def rule_insights(out: DataFrame) -> DataFrame:
     return res
 
 
-SECTION_ORDER = ("forecast_summary", "risks", "budget_recommendations", "campaigns_to_watch", "suggested_budget_shift", "limitations")
+SECTION_OF = {"summary": "forecast_summary", "risk": "risks", "recommendation": "budget_recommendations",
+              "watch": "campaigns_to_watch", "shift": "suggested_budget_shift", "limitation": "limitations"}
+
+
+def _lookup(key: Column, table: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
+
+
+def with_fields(rules: DataFrame) -> DataFrame:
+    """Severity and recommended action of risks, confidence of summaries and of the
+    shift, expected direction of recommendations (null where a section has none)."""
+    of = {s: F.col("section") == s for s in HEADINGS}
+    found = F.col("ordinal") > 0  # a risk found in a channel; 0 says that there is none
+    grounds = F.size("evidence") > 1  # a shift between two channels
+    severity = F.when(of["risks"], F.when(found, "medium").otherwise("low"))
+    confidence = F.when(of["forecast_summary"], "high").when(of["suggested_budget_shift"], F.when(grounds, "medium").otherwise("low"))
+    return rules.withColumn("severity", severity).withColumn("action", _lookup(F.col("severity"), RISK_ACTIONS)).withColumn(
+        "confidence", confidence).withColumn("direction", F.when(of["budget_recommendations"], "increase_revenue"))
 
 
 def narrative(items: DataFrame) -> DataFrame:
-    """One markdown text per window, sections in a fixed order."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in SECTION_ORDER]), F.col("section"))
-    lines = items.select("window_days", rank.alias("r"), "ordinal", F.concat(F.lit("- "), F.col("text")).alias("line"))
-    return lines.groupBy("window_days").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "ordinal", "line"))), lambda s: s["line"]), "\n").alias("narrative"))
+    """One markdown text per window: headed sections in a fixed order, a risk with
+    its action.  Risks and recommendations have a line when there are none, other empty
+    sections are left out."""
+    line = F.concat(F.lit("- "), F.col("text"),
+                    F.when(F.col("section") == "risks", F.concat(F.lit(" _Action: "), F.coalesce("action", F.lit("n/a")), F.lit("_"))).otherwise(""))
+    lines = items.select("window_days", "section", "ordinal", line.alias("line"))
+    listed = lines.groupBy("window_days").agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("ordinal", "line")))), lambda x: x["line"]).alias(s)
+        for s in HEADINGS])
+    none = F.array().cast("array<string>")
+    parts = []
+    for i, (s, heading) in enumerate(HEADINGS.items()):
+        full = F.concat(F.array(F.lit(("\n" if i else "") + heading)),
+                        F.when(F.size(s) > 0, F.col(s)).otherwise(F.array(F.lit(NONE_LINES[s])) if s in NONE_LINES else none))
+        parts.append(full if i == 0 or s in NONE_LINES else F.when(F.size(s) > 0, full).otherwise(none))
+    return listed.select("window_days", F.array_join(F.concat(*parts), "\n").alias("narrative"))
 
 
 def extract_json(raw: Column, schema) -> Column:
@@ -245,3 +286,47 @@ def choose(validated: DataFrame, rules: DataFrame) -> DataFrame:
         F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("rejected", F.lit(0)).alias("rejected"),
         F.when(F.col("status") == "passed", F.col("summaries")).otherwise(F.col("rule_items")).alias("items_used"),
     )
+
+
+ITEM_COLUMNS = ["window_days", "provider", "guardrail", "section", "key", "text", "action"]
+
+
+def _chosen(validated: DataFrame) -> DataFrame:
+    """Per window the first provider of which a summary claim survived."""
+    return validated.where(F.col("accepted") & (F.col("kind") == "summary")).groupBy("window_days").agg(
+        F.min_by("provider", "provider_rank").alias("provider"))
+
+
+def chosen_items(validated: DataFrame, rules: DataFrame) -> DataFrame:
+    """The insights of every window.  ``validated`` holds the claims of several
+    providers (``provider``, ``provider_rank``, ``key``: its order within the section);
+    the accepted ones of the first provider with a surviving summary are the items, of
+    which only the first shift counts.  A window without such a provider gets the rule
+    items (:func:`with_fields`)."""
+    chosen = _chosen(validated)
+    passed = validated.where("accepted").join(chosen, ["window_days", "provider"]).withColumn("section", _lookup(F.col("kind"), SECTION_OF))
+    shift = F.col("kind") == "shift"
+    first = passed.where(shift).groupBy("window_days").agg(F.min("key").alias("_first"))
+    passed = passed.join(first, "window_days", "left").where(~shift | (F.col("key") == F.col("_first")))
+    template = rules.join(chosen, "window_days", "left_anti").withColumn("provider", F.lit("template")).withColumn(
+        "key", F.lpad(F.col("ordinal").cast("string"), 9, "0"))
+    return passed.withColumn("guardrail", F.lit("passed")).select(*ITEM_COLUMNS).unionByName(
+        template.withColumn("guardrail", F.lit("fallback")).select(*ITEM_COLUMNS))
+
+
+def rejection_log(validated: DataFrame) -> DataFrame:
+    """Why claims were dropped.  A window that took a provider has all reasons of
+    that provider; a fallback window has, for every provider, the first three, the last of
+    which is the missing summary when fewer claims were dropped.  Limitations are dropped
+    silently.  One row per reason: no list grows with an answer."""
+    chosen = _chosen(validated)
+    order = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in SECTION_OF]), F.col("kind")).cast("int"), F.lit(0))
+    dropped = validated.where(~F.col("accepted") & (F.coalesce("kind", F.lit("")) != "limitation")).select(
+        "window_days", "provider", order.alias("section_rank"), "key", "reason")
+    passed = dropped.join(chosen, ["window_days", "provider"], "left_semi").withColumn("guardrail", F.lit("passed"))
+    asked = validated.select("window_days", "provider").distinct().select(
+        "*", F.lit(len(SECTION_OF) + 1).alias("section_rank"), F.lit("").alias("key"), F.lit(NO_SUMMARY).alias("reason"))
+    w = Window.partitionBy("window_days", "provider").orderBy("section_rank", "key", "reason")
+    head = dropped.unionByName(asked).join(chosen, "window_days", "left_anti").withColumn("_n", F.row_number().over(w)).where(
+        F.col("_n") <= LOG_HEAD).drop("_n")
+    return passed.unionByName(head.withColumn("guardrail", F.lit("fallback")).select(*passed.columns))

@@ -74,7 +74,8 @@ def isotonic_sweep(pred: DataFrame, entity=("campaign", "window_days"), budget:
     return out
 
 
-def budget_grid(table: DataFrame, multipliers: DataFrame) -> DataFrame:
-    """M7 input: each entity row repeated at scaled budgets (broadcast list)."""
-    return table.crossJoin(F.broadcast(multipliers)).withColumn(
-        "budget_input", F.col("budget_input") * F.col("multiplier")).drop("multiplier")
+def budget_grid(table: DataFrame, multipliers: DataFrame, keep: bool = False) -> DataFrame:
+    """M7 input: each entity row repeated at scaled budgets (broadcast list); ``keep``
+    leaves the multiplier in, which tells the rows of a campaign without budget apart."""
+    grid = table.crossJoin(F.broadcast(multipliers)).withColumn("budget_input", F.col("budget_input") * F.col("multiplier"))
+    return grid if keep else grid.drop("multiplier")

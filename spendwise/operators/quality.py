@@ -101,14 +101,18 @@ def output_contract(out: DataFrame) -> DataFrame:
 
 
 def validate_output(out: DataFrame, required_channels: DataFrame) -> DataFrame:
-    """Q3: the output validator as (check, ok, detail) rows — schema, row
+    """Q3: the output validator as 14 (check, ok, detail) rows — not empty, schema, row
     count, empty rows, NaN/inf, non-negative, exact windows and levels,
     quantile order, required channels (J14), duplicates (A22), coherence."""
     cols_ok = list(out.columns) == S.OUTPUT_COLUMNS
     c = output_contract(out)
     keys = ["level", "window_days", "channel", "campaign_type", "campaign"]
     dup = out.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("dupes"))
-    levels = out.agg(F.sort_array(F.collect_set("level")).alias("levels"), F.sort_array(F.collect_set("window_days")).alias("wins"),
+    nan, inf = F.lit(False), F.lit(False)
+    for col in S.REVENUE_Q + S.ROAS_Q:
+        v = F.col(col).cast("double")
+        nan, inf = nan | v.isNull() | F.isnan(v), inf | (F.abs(v) == float("inf"))
+    levels = out.agg(F.coalesce(F.count_if(nan), F.lit(0)).alias("nan_rows"), F.coalesce(F.count_if(inf), F.lit(0)).alias("inf_rows"), F.sort_array(F.collect_set("level")).alias("levels"), F.sort_array(F.collect_set("window_days")).alias("wins"),
                      F.sum(F.when((F.col("channel") == "") & (F.col("campaign_type") == "") & (F.col("campaign") == "")
                                   & (F.col("level") == ""), 1).otherwise(0)).alias("empty_rows"))
     got = out.where(F.col("level") == "channel").select("channel").distinct()
@@ -130,10 +134,12 @@ def validate_output(out: DataFrame, required_channels: DataFrame) -> DataFrame:
     coh = per_w.agg(F.sum(incoherent.cast("int")).alias("incoherent_windows"))
     one = c.crossJoin(dup).crossJoin(levels).crossJoin(missing).crossJoin(coh)
     return _checks(one, [
+        ("not_empty", F.col("rows") > 0, F.col("rows")),
         ("columns_exact", F.lit(cols_ok), F.lit(",".join(out.columns))),
         ("more_than_one_row", F.col("rows") > 1, F.col("rows")),
         ("no_empty_rows", F.col("empty_rows") == 0, F.col("empty_rows")),
-        ("no_nan_or_inf", F.col("non_finite") == 0, F.col("non_finite")),
+        ("no_nan", F.col("nan_rows") == 0, F.col("nan_rows")),
+        ("no_infinite", F.col("inf_rows") == 0, F.col("inf_rows")),
         ("non_negative", F.col("negative") == 0, F.col("negative")),
         ("windows_exact", F.array_join(F.col("wins"), ",") == ",".join(str(w) for w in S.WINDOWS), F.array_join(F.col("wins"), ",")),
         ("all_levels", F.col("levels") == F.sort_array(F.array(*[F.lit(v) for v in S.LEVELS])), F.array_join("levels", ",")),
@@ -182,6 +188,13 @@ def campaign_consistency(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     return campaigns, issues.unionByName(drift).unionByName(sparse)
 
 
+def scale_issues(assessment: DataFrame) -> DataFrame:
+    """Q5: one issue for every reason of the guard's assessment against the training
+    profile (a bounded list)."""
+    return assessment.select(F.lit("warning").alias("severity"), F.lit("scale_mismatch").alias("code"), F.lit("").alias("entity"),
+                             F.explode("reasons").alias("message"))
+
+
 def readiness(long: DataFrame) -> DataFrame:
     """Q6: dataset readiness checklist → (label, status, detail)."""
     by = channel_summary(long)

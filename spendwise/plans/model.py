@@ -48,9 +48,10 @@ def fit(training_table: DataFrame, **forest_params) -> tuple[QF.QuantileForest,
     return full, params, float(groas) if groas is not None else 1.0
 
 
-def campaign_forecast(forest: QF.QuantileForest, params: DataFrame, fallback_roas: float, table: DataFrame) -> DataFrame:
+def campaign_forecast(forest: QF.QuantileForest, params: DataFrame, fallback_roas: float, table: DataFrame,
+                      key=("campaign", "window_days")) -> DataFrame:
     """M3 + M5: calibrated campaign x window rows of a prediction table."""
-    return PR.postprocess(forest.predict(table), params, global_roas=fallback_roas).drop("q10", "q50", "q90")
+    return PR.postprocess(forest.predict(table, key=key), params, global_roas=fallback_roas).drop("q10", "q50", "q90")
 
 
 @dataclass
@@ -77,6 +78,13 @@ class ForecastModel:
             camp, assessment = G.run_guardrail(camp, self.profile, self.fallback_roas)
         return R.reconcile(camp), camp, assessment
 
+    def sweep(self, table: DataFrame, multipliers: DataFrame) -> DataFrame:
+        """Campaign rows rescored at multiples of their budget in one batch, with
+        the budget feature replaced, calibrated, and never falling as budget grows."""
+        grid = PR.budget_grid(table, multipliers, keep=True)
+        return PR.isotonic_sweep(campaign_forecast(self.forest, self.calibration, self.fallback_roas, grid,
+                                                   key=("campaign", "window_days", "multiplier")))
+
     def save(self, path: str) -> int:
         """The next version under ``path``."""
         spark = self.calibration.sparkSession

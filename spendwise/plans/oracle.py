@@ -441,6 +441,11 @@ SQL["backtest_metrics"] = _backtest_metrics_sql()
 
 SQL["csv_ingest"] = SQL["to_long"]
 
+SQL["dataset_summary"] = """
+SELECT COUNT(*) AS rows, COUNT(DISTINCT campaign) AS campaigns, array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels,
+  MIN(date) AS date_min, MAX(date) AS date_max, SUM(spend) AS total_spend, SUM(revenue) AS total_revenue,
+  AVG(CASE WHEN channel = 'other' THEN 1.0 ELSE 0.0 END) AS other_share FROM ads_long"""
+
 SQL["channel_summary"] = """
 SELECT channel, SUM(spend) AS spend, SUM(revenue) AS revenue, COUNT(DISTINCT campaign) AS campaigns, COUNT(*) AS rows
 FROM ads_long GROUP BY channel"""
@@ -822,10 +827,79 @@ UNION ALL SELECT window_days, 'limitations', t.i - 1, t.txt, '' FROM b CROSS JOI
   (2, 'P10-P90 intervals are calibrated on historical backtests (~80% target coverage).'),
   (3, 'Not enough evidence in the provided data to attribute changes to external market events.')) t(i, txt)""")
 
-SQL["insight_narrative"] = f"""WITH rl AS ({SQL["rule_insights"]})
-SELECT window_days, string_agg('- ' || text, chr(10) ORDER BY list_position(['forecast_summary', 'risks', 'budget_recommendations',
-  'campaigns_to_watch', 'suggested_budget_shift', 'limitations'], section), ordinal, '- ' || text) AS narrative
-FROM rl GROUP BY window_days"""
+SQL["insight_fields"] = f"""WITH rl AS ({SQL["rule_insights"]})
+SELECT window_days, section, ordinal, text,
+  CASE WHEN section = 'risks' THEN CASE WHEN ordinal = 0 THEN 'low' ELSE 'medium' END END AS severity,
+  CASE WHEN section = 'risks' THEN CASE WHEN ordinal = 0 THEN 'Maintain current allocation; re-evaluate as data arrives.'
+       ELSE 'Review pacing weekly and re-forecast as new data arrives.' END END AS action,
+  CASE WHEN section = 'forecast_summary' THEN 'high'
+       WHEN section = 'suggested_budget_shift' THEN CASE WHEN evidence = 'channels' THEN 'low' ELSE 'medium' END END AS confidence,
+  CASE WHEN section = 'budget_recommendations' THEN 'increase_revenue' END AS direction FROM rl"""
+
+
+def _section(name: str) -> str:
+    return f"string_agg(line, chr(10) ORDER BY ordinal, line) FILTER (WHERE section = '{name}')"
+
+
+SQL["insight_narrative"] = f"""WITH rf AS ({SQL["insight_fields"]}),
+ln AS (SELECT window_days, section, ordinal, '- ' || text || CASE WHEN section = 'risks' THEN ' _Action: ' || action || '_' ELSE '' END AS line FROM rf)
+SELECT window_days, '**Forecast Summary**' || COALESCE(chr(10) || {_section('forecast_summary')}, '')
+  || chr(10) || chr(10) || '**Anomalies & Risks**' || chr(10) || COALESCE({_section('risks')}, '- None flagged.')
+  || chr(10) || chr(10) || '**Budget Recommendation**' || chr(10) || COALESCE({_section('budget_recommendations')}, '- Maintain current allocation.')
+  || COALESCE(chr(10) || chr(10) || '**Campaigns to Watch**' || chr(10) || {_section('campaigns_to_watch')}, '')
+  || COALESCE(chr(10) || chr(10) || '**Suggested Budget Shift**' || chr(10) || {_section('suggested_budget_shift')}, '')
+  || COALESCE(chr(10) || chr(10) || '**Limitations**' || chr(10) || {_section('limitations')}, '') AS narrative
+FROM ln GROUP BY window_days"""
+
+
+def _answer_ctes() -> list[str]:
+    """Claims of two providers (pc), their verdicts (pv) and the provider of a window (ch)."""
+    who = "CASE WHEN level = 'blended' THEN 'Blended revenue' ELSE channel END"
+    banned = " OR ".join(f"contains(lower(said), '{b}')" for b in _BANNED)
+    usd = lambda x: f"('$' || format('{{:,.0f}}', {x}))"
+    return [
+        *_insight_ctes()[:4],
+        "pr AS (SELECT * FROM fo, (VALUES ('first', 0), ('second', 1)) p(provider, provider_rank) WHERE level IN ('blended', 'channel', 'campaign'))",
+        f"""pc AS (SELECT *, text || COALESCE(chr(10) || action, '') AS said, concat(level, '/', channel, '/', campaign) AS key,
+              NOT (provider = 'first' AND window_days = 90) AS has_evidence FROM (
+          SELECT *, 'summary' AS kind, 1 AS section_rank, 'forecast_summary' AS section,
+            {who} || ' is forecast at ' || {usd("CASE WHEN provider = 'first' AND window_days = 30 THEN revenue_p50 * 1.1 ELSE revenue_p50 END")}
+            || ' over the next ' || CAST(window_days AS VARCHAR) || ' days' || CASE WHEN provider = 'second' AND window_days = 90 THEN ', guaranteed.' ELSE '.' END AS text,
+            NULL AS action FROM pr WHERE level IN ('blended', 'channel')
+          UNION ALL SELECT *, 'risk', 2, 'risks', channel || ' may fall to ' || {usd('revenue_p10')} || '.',
+            CASE WHEN window_days = 60 THEN 'Move $777,777,777 to other channels.' ELSE 'Hold budgets.' END FROM pr WHERE level = 'channel'
+          UNION ALL SELECT *, 'watch', 4, 'campaigns_to_watch', 'Forecast at ' || {usd('revenue_p50')} || ' (P50).', NULL FROM pr WHERE level = 'campaign'
+          UNION ALL SELECT *, 'shift', 5, 'suggested_budget_shift', 'Shift budget to where it pays more.', NULL FROM pr WHERE level = 'blended'))""",
+        f"""pv AS (SELECT pc.*, CASE WHEN NOT has_evidence THEN 'dropped item without evidence references'
+            WHEN {banned} THEN 'dropped item with deterministic/unsupported-causality language'
+            WHEN len(list_filter(list_transform(regexp_extract_all(said, '-?\\$?\\d[\\d,]*\\.?\\d*'),
+                     lambda t: TRY_CAST(replace(replace(t, ',', ''), '$', '') AS DOUBLE)),
+                     lambda v: NOT (v IS NULL OR v IN (10.0, 50.0, 90.0, 30.0, 60.0, 80.0) OR abs(v) <= 12.0
+                               OR len(list_filter(ctx.numbers, lambda a: a <> 0 AND abs(v - a) <= GREATEST(0.015 * abs(a), 0.51))) > 0))) > 0
+              THEN 'dropped item citing a number not present in the context'
+            WHEN kind = 'watch' AND len(list_filter(ctx.names, lambda n: contains(n, lower(campaign)) OR contains(lower(campaign), n))) = 0
+              THEN 'dropped watch item: unknown campaign or group'
+            WHEN kind = 'shift' AND NOT list_contains(ctx.names, CASE provider WHEN 'first' THEN 'tiktok' ELSE 'google' END)
+              THEN 'dropped budget shift: unknown channel' END AS reason
+          FROM pc LEFT JOIN ctx ON ctx.window_days = pc.window_days)""",
+        "ch AS (SELECT window_days, arg_min(provider, provider_rank) AS provider FROM pv WHERE reason IS NULL AND kind = 'summary' GROUP BY window_days)",
+    ]
+
+
+SQL["insight_items"] = _with(*_answer_ctes(), f"rf AS ({SQL['insight_fields']})", final="""
+SELECT pv.window_days, pv.provider, 'passed' AS guardrail, section, key, text, action FROM pv
+JOIN ch ON ch.window_days = pv.window_days AND ch.provider = pv.provider WHERE reason IS NULL
+UNION ALL SELECT window_days, 'template', 'fallback', section, lpad(CAST(ordinal AS VARCHAR), 9, '0'), text, action FROM rf
+WHERE window_days NOT IN (SELECT window_days FROM ch)""")
+
+SQL["insight_log"] = _with(*_answer_ctes(), final="""
+SELECT pv.window_days, 'passed' AS guardrail, pv.provider, section_rank, key, reason FROM pv
+JOIN ch ON ch.window_days = pv.window_days AND ch.provider = pv.provider WHERE reason IS NOT NULL
+UNION ALL SELECT window_days, 'fallback', provider, section_rank, key, reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY window_days, provider ORDER BY section_rank, key, reason) AS n FROM (
+    SELECT window_days, provider, section_rank, key, reason FROM pv WHERE reason IS NOT NULL
+    UNION ALL SELECT DISTINCT window_days, provider, 7, '', 'no grounded forecast_summary claims survived validation' FROM pv)
+  WHERE window_days NOT IN (SELECT window_days FROM ch)) WHERE n <= 3""")
 
 
 # ---------------------------------------------------------------------------
@@ -919,6 +993,11 @@ gw AS (SELECT *, list_sort([{_clean('b50 - (1.0 + ood_score) * (b50 - b10)')}, {
 # quantile forest over fixed splits (P21, P22, M3) and the loaded model
 # ---------------------------------------------------------------------------
 
+WRAPPERS["scale_issues"] = with_scaled_fixtures
+SQL["scale_issues"] = _with(*_guard_ctes(), final="""SELECT 'warning' AS severity, 'scale_mismatch' AS code, '' AS entity,
+  unnest(string_split(reasons, ' | ')) AS message FROM asmt WHERE reasons <> ''""")
+
+
 def _design_value(name: str) -> str:
     if name.startswith("ch_"):
         return f"CAST(channel = '{name[3:]}' AS DOUBLE)"
@@ -971,12 +1050,12 @@ def _forest_quantiles(src: str, sketches: str, out: str) -> str:
   FROM {out}_n n LEFT JOIN {out}_v v ON v.rid = n.rid)"""
 
 
-def _loaded_sql() -> str:
+def _fitted_ctes() -> list[str]:
+    """The model on the fixed splits: calibration (params), sketches (skf) and fallback ROAS (gr)."""
     tail = _calibration_ctes()
     start = next(i for i, c in enumerate(tail) if c.startswith("st AS"))
     inner = f"list_sort([{_clean('q10')}, {_clean('q50')}, {_clean('q90')}])"
-    fallback = "(SELECT g FROM gr)"
-    return _with(
+    return [
         _train_cte(),
         "ct0 AS (SELECT quantile_cont(CAST(date_diff('day', DATE '1970-01-01', window_start) AS DOUBLE), 0.8) AS cut FROM tt)",
         "sp AS (SELECT tt.*, date_diff('day', DATE '1970-01-01', window_start) > ct0.cut AS is_late FROM tt, ct0)",
@@ -988,6 +1067,16 @@ def _loaded_sql() -> str:
         *tail[start:],
         _sketches("tt", "skf"),
         "gr AS (SELECT quantile_cont(LEAST(GREATEST(target_revenue / GREATEST(budget_input, 1e-9), 0.0), 100.0), 0.5) AS g FROM tt)",
+    ]
+
+
+_FALLBACK = "(SELECT g FROM gr)"
+
+
+def _loaded_sql() -> str:
+    fallback = _FALLBACK
+    return _with(
+        *_fitted_ctes(),
         _pt_cte(), _forest_quantiles("pt", "skf", "pf"), _m5("pf", "m5", "params", fallback),
         *[c for c in _guard_ctes(fallback, "SELECT CASE WHEN SUM(gp.q50) > 0 THEN (SELECT SUM(revenue_p50) FROM m5) / SUM(gp.q50) END AS divergence FROM gp")
           if c != _pt_cte()], """
@@ -1001,6 +1090,13 @@ gw AS (SELECT *, list_sort([{_clean('b50 - (1.0 + ood_score) * (b50 - b10)')}, {
         final=", " + _rollup_tail("camp"))
 
 
+SQL["budget_sweep_model"] = _with(*_fitted_ctes(), _pt_cte(), """
+grid AS (SELECT pt.* REPLACE (pt.budget_input * m.multiplier AS budget_input), m.multiplier FROM pt
+         CROSS JOIN (VALUES (0.5), (0.75), (1.0), (1.5), (2.0)) m(multiplier))""",
+    _forest_quantiles("grid", "skf", "pf"), _m5("pf", "m5", "params", _FALLBACK),
+    final="""SELECT campaign, window_days, multiplier, budget_input,
+  MAX(revenue_p10) OVER w AS revenue_p10, MAX(revenue_p50) OVER w AS revenue_p50, MAX(revenue_p90) OVER w AS revenue_p90
+FROM m5 WINDOW w AS (PARTITION BY campaign, window_days ORDER BY budget_input ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 SQL["forest_sketches"] = _with(_train_cte(), _sketches("tt", "sk"),
                                final="SELECT tree, leaf, i, sketch[i + 1] AS value FROM sk, range(0, 25) t(i)")
 SQL["forest_quantiles"] = _with(_train_cte(), _sketches("tt", "sk"), _pt_cte(), _forest_quantiles("pt", "sk", "pq"),
@@ -1015,6 +1111,8 @@ SQL["data_quality"] = _with(_fo_cte(), """
 c AS (SELECT COUNT(*) AS rows,
   SUM(CASE WHEN NOT (isfinite(revenue_p10) AND isfinite(revenue_p50) AND isfinite(revenue_p90) AND isfinite(roas_p10)
                      AND isfinite(roas_p50) AND isfinite(roas_p90)) THEN 1 ELSE 0 END) AS non_finite,
+  SUM(CASE WHEN len(list_filter([revenue_p10, revenue_p50, revenue_p90, roas_p10, roas_p50, roas_p90], lambda x: x IS NULL OR isnan(x))) > 0 THEN 1 ELSE 0 END) AS nans,
+  SUM(CASE WHEN len(list_filter([revenue_p10, revenue_p50, revenue_p90, roas_p10, roas_p50, roas_p90], lambda x: isinf(x))) > 0 THEN 1 ELSE 0 END) AS infs,
   SUM(CASE WHEN LEAST(revenue_p10, revenue_p50, revenue_p90, roas_p10, roas_p50, roas_p90) < 0 THEN 1 ELSE 0 END) AS negative,
   SUM(CASE WHEN revenue_p10 > revenue_p50 + 1e-9 OR revenue_p50 > revenue_p90 + 1e-9 THEN 1 ELSE 0 END) AS crossing_revenue,
   SUM(CASE WHEN roas_p10 > roas_p50 + 1e-9 OR roas_p50 > roas_p90 + 1e-9 THEN 1 ELSE 0 END) AS crossing_roas,
@@ -1037,7 +1135,9 @@ coh AS (SELECT SUM(CASE WHEN nb = 0 OR ch IS NULL OR abs(ch - bl) > 1e-3 * GREAT
 SELECT 'columns_exact' AS "check", 1 AS ok, 'level,channel,campaign_type,campaign,window_days,revenue_p10,revenue_p50,revenue_p90,roas_p10,roas_p50,roas_p90' AS detail
 UNION ALL SELECT 'more_than_one_row', CASE WHEN rows > 1 THEN 1 ELSE 0 END, CAST(rows AS VARCHAR) FROM c
 UNION ALL SELECT 'no_empty_rows', CASE WHEN empty_rows = 0 THEN 1 ELSE 0 END, CAST(empty_rows AS VARCHAR) FROM c
-UNION ALL SELECT 'no_nan_or_inf', CASE WHEN non_finite = 0 THEN 1 ELSE 0 END, CAST(non_finite AS VARCHAR) FROM c
+UNION ALL SELECT 'not_empty', CASE WHEN rows > 0 THEN 1 ELSE 0 END, CAST(rows AS VARCHAR) FROM c
+UNION ALL SELECT 'no_nan', CASE WHEN nans = 0 THEN 1 ELSE 0 END, CAST(nans AS VARCHAR) FROM c
+UNION ALL SELECT 'no_infinite', CASE WHEN infs = 0 THEN 1 ELSE 0 END, CAST(infs AS VARCHAR) FROM c
 UNION ALL SELECT 'non_negative', CASE WHEN negative = 0 THEN 1 ELSE 0 END, CAST(negative AS VARCHAR) FROM c
 UNION ALL SELECT 'windows_exact', CASE WHEN wins = '30,60,90' THEN 1 ELSE 0 END, wins FROM c
 UNION ALL SELECT 'all_levels', CASE WHEN levels = 'blended,campaign,campaign_type,channel' THEN 1 ELSE 0 END, levels FROM c

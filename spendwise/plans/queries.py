@@ -264,13 +264,17 @@ def q_forecast_override(spark, sf_dir):
     return R.reconcile(G.with_baseline_quantiles(t, 1.0, prefix=""))
 
 
+def _sweep_multipliers(spark):
+    return spark.createDataFrame([(m,) for m in (0.5, 0.75, 1.0, 1.5, 2.0)], "multiplier double")
+
+
 @register("budget_sweep", [("campaign", "str"), ("window_days", "int"), ("budget_input", "num")]
           + [(q, "num") for q in S.REVENUE_Q])
 def q_budget_sweep(spark, sf_dir):
     """M7 + W9: each campaign's row at 0.5×…2× its planned budget through the
     calibrated post-processing, made monotone by a cumulative max."""
     ws = W(spark, sf_dir)
-    mult = spark.createDataFrame([(m,) for m in (0.5, 0.75, 1.0, 1.5, 2.0)], "multiplier double")
+    mult = _sweep_multipliers(spark)
     grid = PR.budget_grid(ws.prediction_table, mult)
     q = G.with_baseline_quantiles(grid, 1.0, prefix="m_")
     q = q.withColumnRenamed("m_revenue_p10", "q10").withColumnRenamed("m_revenue_p50", "q50").withColumnRenamed("m_revenue_p90", "q90")
@@ -331,6 +335,20 @@ def q_channel_summary(spark, sf_dir):
     return QA.channel_summary(long_of(spark, sf_dir))
 
 
+@register("dataset_summary", [("rows", "int"), ("campaigns", "int"), ("channels", "str"), ("date_min", "date"), ("date_max", "date"),
+                              ("total_spend", "num"), ("total_revenue", "num"), ("other_share", "num")])
+def q_dataset_summary(spark, sf_dir):
+    """Totals of the whole data set."""
+    return QA.dataset_summary(long_of(spark, sf_dir)).withColumn("channels", F.array_join("channels", ","))
+
+
+@register("scale_issues", [("severity", "str"), ("code", "str"), ("entity", "str"), ("message", "str")])
+def q_scale_issues(spark, sf_dir):
+    """Q5: scale mismatch issues of the 100 x upload."""
+    pred = cut_lineage(_scaled_campaign_forecast(spark, sf_dir, 100))
+    return QA.scale_issues(G.run_guardrail(pred, cut_lineage(_training_profile(spark, sf_dir)))[1])
+
+
 @register("ingest_checks", [("check", "str"), ("ok", "int"), ("detail", "str")])
 def q_ingest_checks(spark, sf_dir):
     return QA.ingest_checks(long_of(spark, sf_dir), True).select("check", F.col("ok").cast("int").alias("ok"), "detail")
@@ -549,6 +567,17 @@ def q_predict_loaded(spark, sf_dir):
     return loaded.predict(loaded.prediction_table(ws.base))[0]
 
 
+@register("budget_sweep_model", [("campaign", "str"), ("window_days", "int"), ("multiplier", "num"), ("budget_input", "num")]
+          + [(q, "num") for q in S.REVENUE_Q])
+def q_budget_sweep_model(spark, sf_dir):
+    """M7 + W9 through the fitted model: forest of the fixed splits, its calibration and
+    fallback ROAS, rescored at every budget."""
+    ws = W(spark, sf_dir)
+    model = MO.train(ws.base, season=ws.season, training_table=ws.training_table, **SMALL)
+    out = model.sweep(ws.prediction_table, _sweep_multipliers(spark))
+    return out.select("campaign", "window_days", "multiplier", "budget_input", *S.REVENUE_Q)
+
+
 # ---------------------------------------------------------------------------
 # grounded insights
 # ---------------------------------------------------------------------------
@@ -589,7 +618,32 @@ def q_insight_status(spark, sf_dir):
 
 @register("insight_narrative", [("window_days", "int"), ("narrative", "str")])
 def q_insight_narrative(spark, sf_dir):
-    return IN.narrative(IN.rule_insights(W(spark, sf_dir).forecast))
+    return IN.narrative(IN.with_fields(IN.rule_insights(W(spark, sf_dir).forecast)))
+
+
+@register("insight_fields", [("window_days", "int"), ("section", "str"), ("ordinal", "int"), ("text", "str"), ("severity", "str"),
+                             ("action", "str"), ("confidence", "str"), ("direction", "str")])
+def q_insight_fields(spark, sf_dir):
+    """The rule items with severity, action, confidence and direction."""
+    return IN.with_fields(IN.rule_insights(W(spark, sf_dir).forecast))
+
+
+def _answers(spark, sf_dir):
+    out = W(spark, sf_dir).forecast
+    return cut_lineage(IN.validate_claims(X.provider_claims(out), IN.context(out)))
+
+
+@register("insight_items", [(c, "int" if c == "window_days" else "str") for c in IN.ITEM_COLUMNS])
+def q_insight_items(spark, sf_dir):
+    """The chosen items of every window, from a provider's answer or the rules."""
+    return IN.chosen_items(_answers(spark, sf_dir), IN.with_fields(IN.rule_insights(W(spark, sf_dir).forecast)))
+
+
+@register("insight_log", [("window_days", "int"), ("guardrail", "str"), ("provider", "str"), ("section_rank", "int"), ("key", "str"),
+                          ("reason", "str")])
+def q_insight_log(spark, sf_dir):
+    """Why claims were dropped."""
+    return IN.rejection_log(_answers(spark, sf_dir))
 
 
 @register("backtest_forest", METRIC_SPEC)

@@ -170,3 +170,36 @@ def short_history_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value").cast("decimal(12,2)") * 3).alias("conversion_value"),
     )
     return to_long(ev)
+
+
+def provider_claims(out: DataFrame) -> DataFrame:
+    """Answers of two providers on a forecast, one claim for every one of its blended,
+    channel and campaign rows and provider: summaries (wrong by 10 % for ``first`` at 30
+    days, without evidence at 90; ``second`` promises at 90), channel risks (an action with
+    a number of its own at 60 days), campaigns to watch and a shift to an unknown channel."""
+    providers = F.explode(F.array(*[F.struct(F.lit(n).alias("provider"), F.lit(r).alias("provider_rank")) for r, n in enumerate(("first", "second"))]))
+    x = out.where(F.col("level").isin("blended", "channel", "campaign")).withColumn("_p", providers).select("*", "_p.*")
+    is_first, w = F.col("provider") == "first", F.col("window_days")
+    who = F.when(F.col("level") == "blended", "Blended revenue").otherwise(F.col("channel"))
+    p50 = F.col("revenue_p50") * F.when(is_first & (w == 30), 1.1).otherwise(1.0)
+
+    def money(c):
+        return F.concat(F.lit("$"), F.format_number(c, 0))
+
+    def claim(kind, text, action=None, ref=None, target=None):
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), (none if action is None else action).alias("action"),
+                        (none if ref is None else ref).alias("ref_name"), (none if target is None else target).alias("target_channel"))
+
+    summary = claim("summary", F.concat(who, F.lit(" is forecast at "), money(p50), F.lit(" over the next "), w.cast("string"), F.lit(" days"),
+                                        F.when(~is_first & (w == 90), ", guaranteed.").otherwise(".")))
+    risk = claim("risk", F.concat(F.col("channel"), F.lit(" may fall to "), money(F.col("revenue_p10")), F.lit(".")),
+                 F.when(w == 60, "Move $777,777,777 to other channels.").otherwise("Hold budgets."))
+    watch = claim("watch", F.concat(F.lit("Forecast at "), money(F.col("revenue_p50")), F.lit(" (P50).")), ref=F.col("campaign"))
+    shift = claim("shift", F.lit("Shift budget to where it pays more."), target=F.when(is_first, "tiktok").otherwise("google"))
+    made = (F.when(F.col("level") == "blended", F.array(summary, shift)).when(F.col("level") == "channel", F.array(summary, risk))
+            .otherwise(F.array(watch)))
+    evidence = F.when(is_first & (w == 90), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.col("level"), F.lit(".revenue_p50"))))
+    return x.withColumn("_c", F.explode(made)).select(
+        "window_days", "provider", "provider_rank", "_c.*", evidence.alias("evidence"),
+        F.concat_ws("/", "level", "channel", "campaign").alias("key"), F.lit(None).cast("string").alias("source_channel"))
