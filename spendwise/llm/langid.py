@@ -5,7 +5,8 @@ run of non-letters is one space) of every labelled document in the tasks; per
 task a dense vector per language is reduced to its non-zero buckets, and Spark
 sums them.  The log-probability matrix has (languages x 2**bits) entries, a
 bound that does not depend on the corpus, and is broadcast.  Scoring adds matrix
-columns for each document's n-grams in numpy, a slice of text at a time.
+columns for each document's n-grams in numpy, a slice of text at a time; n-grams
+across a cut count like all others.
 
 Defined results: null text or text without a letter gives ``und`` and score 0;
 empty training data gives ``und`` everywhere; ties go to the language that sorts
@@ -47,15 +48,22 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all texts and the text each belongs to."""
-    low = [t.lower() for t in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.repeat(np.arange(len(low)), [len(t) for t in low])
+def buckets(texts: list[str], carried: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of all (lower-cased) texts and the text each belongs to.  The first
+    ``carried`` characters of a text were seen before: n-grams that end in them do not
+    count again."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(t) for t in texts], np.int64)
+    doc = np.repeat(np.arange(len(texts)), size)
     letter = _letters()[np.minimum(codes, 0x10FFFF)]
     keep = letter.copy()  # a letter, or the first non-letter after one in the same text
     keep[1:] |= letter[:-1] & (doc[1:] == doc[:-1])
-    codes, doc = np.where(letter, codes, 32).astype(np.uint32)[keep], doc[keep]
+    codes = np.where(letter, codes, 32).astype(np.uint32)[keep]
+    if carried is None:
+        new = np.ones(len(codes), bool)
+    else:
+        new = (np.arange(len(doc)) >= np.repeat(np.cumsum(size) - size + carried, size))[keep]
+    doc = doc[keep]
     out, where = [], []
     for n in ORDERS:
         if len(codes) < n:
@@ -64,7 +72,7 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for j in range(n):
             h = (h ^ codes[j:len(codes) - n + 1 + j]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
-        same = doc[:len(h)] == doc[n - 1:]
+        same = (doc[:len(h)] == doc[n - 1:]) & new[n - 1:]
         out.append((h[same] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))
         where.append(doc[:len(h)][same])
     if not out:
@@ -72,21 +80,36 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(where)
 
 
+def _tail(text: str) -> str:
+    """The last kept characters of a piece: enough for the n-grams that begin in it and
+    end behind it.  One more than needed is taken, as a blank counts only after a letter."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[np.minimum(codes, 0x10FFFF)]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    return "".join(chr(c) if ok else " " for c, ok in zip(codes[keep][-max(ORDERS):], letter[keep][-max(ORDERS):]))
+
+
 def _pieces(texts: list):
-    """Slices of (row numbers, texts) of bounded length; a long text is cut into
-    several slices, whose n-grams add up to the text's (bar those across a cut)."""
-    rows, part, size = [], [], 0
+    """Slices of (row numbers, lower-cased texts, carried characters) of bounded length.  A
+    long text is cut into several pieces, each led by the end of the piece before, so that
+    the n-grams of its pieces are exactly those of the whole text."""
+    rows, part, led, size = [], [], [], 0
     for i, t in enumerate(texts):
-        for a in range(0, len(t or ""), SLICE_CHARS):
-            cut = t[a:a + SLICE_CHARS]
+        low, lead = (t or "").lower(), ""
+        for a in range(0, len(low), SLICE_CHARS):
+            cut = lead + low[a:a + SLICE_CHARS]
             rows.append(i)
             part.append(cut)
+            led.append(len(lead))
             size += len(cut)
+            if a + SLICE_CHARS < len(low):
+                lead = _tail(cut)
             if size >= SLICE_CHARS:
-                yield np.array(rows), part
-                rows, part, size = [], [], 0
+                yield np.array(rows), part, led
+                rows, part, led, size = [], [], [], 0
     if part:
-        yield np.array(rows), part
+        yield np.array(rows), part, led
 
 
 def train_rows(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
@@ -105,8 +128,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                 acc = sums.setdefault(lang, np.zeros((1 << BITS) + 1, np.int64))
                 own = [t for t, x in zip(texts, langs) if x == lang]
                 acc[-1] += len(own)
-                for _, part in _pieces(own):
-                    acc[:-1] += np.bincount(buckets(part)[0], minlength=1 << BITS)
+                for _, part, led in _pieces(own):
+                    acc[:-1] += np.bincount(buckets(part, led)[0], minlength=1 << BITS)
         for lang, acc in sums.items():
             at = np.flatnonzero(acc)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()),
@@ -143,8 +166,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text",
         for b in batches:
             texts = [t if ok else None for t, ok in zip(b.column(at).to_pylist(), b.column(len(keep)).to_pylist())]
             sums = np.tile(m.prior, (len(texts), 1))
-            for rows, part in _pieces(texts if m.langs else []):
-                gram, doc = buckets(part)
+            for rows, part, led in _pieces(texts if m.langs else []):
+                gram, doc = buckets(part, led)
                 for k in range(len(m.langs)):
                     np.add.at(sums[:, k], rows, np.bincount(doc, weights=m.matrix[k][gram], minlength=len(part)))
             known = np.array([t is not None for t in texts], bool) & bool(m.langs)

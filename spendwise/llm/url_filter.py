@@ -68,6 +68,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name = F.when(fits, h + p) if name is None else name.when(fits, h + p)
         verdict = F.when(fits, v) if verdict is None else verdict.when(fits, v)
+    if name is None:  # no rules at all
+        name = verdict = F.lit(None).cast("string")
     return name, verdict
 
 
