@@ -13,7 +13,9 @@ merged per query.
 Defined results: null ids, null vectors and vectors with a null or non-finite
 component take no part; a shorter vector counts as padded with zeros; repeated
 rows count once, and rows with the query's id are not its candidates; ties go to
-the smaller id.  Products must fit 53 bits (components below about 2**15).
+the smaller id.  Where a shard's scores of a query could pass 53 bits (components beyond
+about 2**23), accumulators are not exact: all its rows are then rescored in whole numbers,
+and a score beyond 64 bits is held at the limit.
 """
 from __future__ import annotations
 
@@ -27,6 +29,7 @@ SHARD, QUERIES = 2048, 128
 LEVELS = 16
 #: segments processed between two looks at the bound
 BATCH = 160
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 class ImpactIndex:
@@ -42,11 +45,16 @@ class ImpactIndex:
         self.begin = (np.arange(dims)[:, None] * n + cut[None, :-1]).ravel()
         self.end = (np.arange(dims)[:, None] * n + cut[None, 1:]).ravel()
         self.dim = np.repeat(np.arange(dims), len(cut) - 1)
+        self.largest = max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0))))
         self.high, self.low = self.values[self.begin], self.values[self.end - 1]
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and scores of vectors that hold the k best outside ``skip``
         (and possibly more)."""
+        if self.largest * sum(abs(int(c)) for c in query) >= 1 << 53:  # bounds are sums in doubles
+            maybe = np.flatnonzero(~skip)
+            score = self.vectors[maybe].astype(object) @ query.astype(object)
+            return maybe, np.array([min(max(s, LONG[0]), LONG[1]) for s in score], np.int64)
         q = query.astype(np.float64)
         ends = np.stack([self.high * q[self.dim], self.low * q[self.dim]])
         top = ends.max(0)
@@ -107,7 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
             ids, index = own["id"].to_numpy(), ImpactIndex(matrix(own["v"]))
             for qid, q in zip(asked["id"].to_numpy(), matrix(asked["v"])):
                 row, score = index.search(q, k, ids == qid)
-                best = np.lexsort((ids[row], -score))[:k]
+                best = np.lexsort((ids[row], ~score))[:k]
                 out += [(qid, ids[row[i]], int(score[i])) for i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

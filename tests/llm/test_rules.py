@@ -81,6 +81,21 @@ def test_top_k_matches_brute_force(spark, shard, block):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_and_unequal_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-9, 10, 3) * 10.0 ** rng.integers(0, 12, 3)]) for i in range(60)]
+    rows += [(100, [3e10, 1.0, 0.0]), (101, [3e10, 2.0, 0.0]), (102, [1e17, 1e17, 0.0]), (103, [-1e17, -1e17, 0.0]), (104, [1e17]), (105, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = topk.quantised(df).cache()
+    own = {r.id: r.v for r in v.collect()}
+    got = sorted(tuple(r) for r in topk.top_k(v, v, 5, 16, 16).collect())
+    expect = []
+    for q in own:
+        score = {c: min(max(sum(a * b for a, b in zip(own[q], own[c])), topk.LONG[0]), topk.LONG[1]) for c in own if c != q}
+        expect += [(q, n + 1, c, score[c]) for n, c in enumerate(sorted(score, key=lambda c: (-score[c], c))[:5])]
+    assert got == sorted(expect)
+
+
 def test_license_rules(spark):
     licenses.check_tables()
     s = licenses.SENTENCES
