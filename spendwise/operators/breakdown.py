@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import numbered
+
 # FIXED VALUES — risk and confidence thresholds.
 RISK_MIN_ROAS, RISK_SPREAD = 1.0, 5.0
 CONF_HIGH, CONF_MEDIUM = 1.5, 3.5
@@ -49,8 +51,9 @@ def search(rows: DataFrame, query: str) -> DataFrame:
 
 
 def breakdown_order(rows: DataFrame) -> DataFrame:
-    """Level, then P50 descending (at the sink)."""
-    return rows.orderBy("level", F.col("revenue_p50").desc())
+    """The view with every row's ``position`` from 1, by level, then P50 descending
+    (ties: channel, type, campaign, window)."""
+    return numbered(rows, ["level", F.col("revenue_p50").desc(), "channel", "campaign_type", "campaign", "window_days"])
 
 
 def confidence_label(out: DataFrame, assessment: DataFrame | None = None) -> DataFrame:

@@ -27,6 +27,8 @@ NUMBER_TOKEN = r"-?\$?\d[\d,]*\.?\d*"
 FIXED_NAMES = ("google", "meta", "microsoft", "bing", "microsoft/bing", "blended")
 REL_TOL, ABS_TOL = 0.015, 0.51
 TOP_CAMPAIGNS, WATCH_LIST, WIDE_RANGE = 8, 3, 4.0
+TOP_DRIVERS = 6
+ALLOWED_METRICS = ("revenue_p10", "revenue_p50", "revenue_p90", "roas_p10", "roas_p50", "roas_p90", "spend", "budget")
 # texts of the contract: actions, headings and lines of empty sections
 RISK_ACTIONS = {"medium": "Review pacing weekly and re-forecast as new data arrives.",
                 "low": "Maintain current allocation; re-evaluate as data arrives."}
@@ -54,6 +56,82 @@ def top_campaigns(out: DataFrame, k: int = TOP_CAMPAIGNS) -> DataFrame:
     return out.where(F.col("level") == "campaign").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def ranked_channels(out: DataFrame) -> DataFrame:
+    """Channel rows by P50 per window (tie → channel name), with their ``rank`` and
+    ``share`` of the window's blended P50 (null without one).  A window partition holds a
+    row per channel of the vocabulary."""
+    w = Window.partitionBy("window_days").orderBy(F.col("revenue_p50").desc(), "channel")
+    whole = out.where(F.col("level") == "blended").select("window_days", F.col("revenue_p50").alias("_all"))  # a row per window
+    return out.where(F.col("level") == "channel").withColumn("rank", F.row_number().over(w)).join(
+        F.broadcast(whole), "window_days", "left").withColumn("share", F.try_divide("revenue_p50", "_all")).drop("_all")
+
+
+FACT_COLUMNS = ["window_days", "part", "rank", "entity", "metric", "value"]
+_FACT_CHOICE = ("blended", "channels", "campaign_types", "top_campaigns", "top_drivers", "historical_summary", "budget_simulation")
+
+
+def facts(out: DataFrame, drivers: DataFrame | None = None, history: DataFrame | None = None,
+          simulation: DataFrame | None = None) -> DataFrame:
+    """N1 in long form: every number that a claim may cite, by window, part of the context,
+    rank in that part, entity and metric.
+
+    ``drivers(feature, importance)`` gives the first ``TOP_DRIVERS`` (all importances are
+    of a fixed design, so a bounded table); ``history`` is a one-row summary whose numeric
+    columns all count; ``simulation(scenario_id, channel, budget, revenue, roas)`` are
+    scored budgets.  The last three hold for every window."""
+    levels = {"blended": out.where(F.col("level") == "blended").withColumn("rank", F.lit(1)),
+              "channels": ranked_channels(out).drop("share"),
+              "campaign_types": out.where(F.col("level") == "campaign_type").withColumn("rank", F.lit(0)),
+              "top_campaigns": top_campaigns(out)}
+    values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in S.REVENUE_Q + S.ROAS_Q])
+    parts = []
+    for part, rows in levels.items():
+        entity = F.concat_ws("/", *[F.when(F.col(c) != "", F.col(c)) for c in ("channel", "campaign_type", "campaign")])
+        parts.append(rows.select("window_days", F.lit(part).alias("part"), F.col("rank").cast("int").alias("rank"), entity.alias("entity"),
+                                 F.inline(values)))
+    anywhere = []
+    if drivers is not None:
+        w = Window.orderBy(F.col("importance").desc(), "feature")
+        anywhere.append(drivers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP_DRIVERS).select(
+            F.lit("top_drivers").alias("part"), "rank", F.col("feature").alias("entity"), F.lit("importance").alias("metric"),
+            F.col("importance").cast("double").alias("value")))
+    if history is not None:
+        numeric = [f.name for f in history.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte", "decimal")]
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numeric])
+        anywhere.append(history.select(F.lit("historical_summary").alias("part"), F.lit(1).alias("rank"), F.lit("").alias("entity"), F.inline(cells)))
+    if simulation is not None:
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("budget", "revenue", "roas")])
+        anywhere.append(simulation.select(F.lit("budget_simulation").alias("part"), F.lit(0).alias("rank"),
+                                          F.concat_ws("/", "scenario_id", "channel").alias("entity"), F.inline(cells)))
+    windows = out.select("window_days").distinct()
+    for rows in anywhere:  # bounded tables, repeated for the few windows
+        parts.append(windows.crossJoin(F.broadcast(rows)).select(*FACT_COLUMNS))
+    found = parts[0]
+    for rows in parts[1:]:
+        found = found.unionByName(rows)
+    return found
+
+
+def full_context(out: DataFrame, drivers: DataFrame | None = None, history: DataFrame | None = None,
+                 simulation: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """One context per window: a list of facts for each part (by rank and entity), the
+    ``validation_warnings`` (from ``warnings(message)``, in the order of the text), the
+    allow-lists, and the ``numbers`` and ``names`` that :func:`validate_claims` takes."""
+    one = facts(out, drivers, history, simulation)
+    fact = F.struct("rank", "entity", "metric", "value")
+    parts = one.groupBy("window_days").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("part") == p, fact))).alias(p) for p in _FACT_CHOICE],
+        F.collect_set("value").alias("_cited"))
+    known = context(out)
+    found = parts.join(F.broadcast(known), "window_days").withColumn("numbers", F.array_union("numbers", "_cited")).drop("_cited")
+    said = F.array().cast("array<string>")
+    if warnings is not None:
+        found = found.crossJoin(F.broadcast(warnings.agg(F.sort_array(F.collect_set("message")).alias("validation_warnings"))))
+    else:
+        found = found.withColumn("validation_warnings", said)
+    return found.withColumn("allowed_metrics", F.array(*[F.lit(m) for m in ALLOWED_METRICS]))
+
+
 def context(out: DataFrame) -> DataFrame:
     """Per window the allowed numbers, names and allow-lists."""
     rows = out.where(F.col("level").isin("blended", "channel", "campaign_type")).withColumn("rank", F.lit(None).cast("int"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .ordinals import numbered
 
 LEVEL_RANK = {"blended": 0, "channel": 1, "campaign_type": 2, "campaign": 3}
 
@@ -56,6 +57,15 @@ def level_rank(level: Column) -> Column:
     return out
 
 
+def output_keys() -> list[Column | str]:
+    return ["window_days", level_rank(F.col("level")), "channel", "campaign_type", "campaign"]
+
+
 def output_order(df: DataFrame) -> DataFrame:
     """Window, level rank, channel, type, campaign — at the sink only."""
-    return df.orderBy("window_days", level_rank(F.col("level")), "channel", "campaign_type", "campaign")
+    return df.orderBy(*output_keys())
+
+
+def output_positions(df: DataFrame) -> DataFrame:
+    """T1 as a column: every row's ``position`` in the output order, from 1."""
+    return numbered(df, output_keys())

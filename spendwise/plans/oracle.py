@@ -1258,3 +1258,103 @@ FROM mixed WHERE ln IN (5, 6) GROUP BY ALL
 UNION ALL SELECT 'agency_export', 'spend', CASE qty % 10 WHEN 0 THEN 'not_a_number' WHEN 1 THEN 'negative' ELSE 'blank' END, COUNT(*)
 FROM mixed WHERE qty % 10 IN (0, 2) OR (qty % 10 = 1 AND spend > 0) GROUP BY ALL
 UNION ALL SELECT 'bing_undated_stats', 'date', 'not_a_date', COUNT(*) FROM export_microsoft""")
+
+
+# ---------------------------------------------------------------------------
+# positions
+# ---------------------------------------------------------------------------
+SQL["output_order"] = _with(_fo_cte(), final="""SELECT *, row_number() OVER (ORDER BY window_days,
+  CASE level WHEN 'blended' THEN 0 WHEN 'channel' THEN 1 WHEN 'campaign_type' THEN 2 ELSE 3 END, channel, campaign_type, campaign) AS position FROM fo""")
+SQL["breakdown_order"] = _with(_fo_cte(), _BREAKDOWN, final="""SELECT *, row_number() OVER (ORDER BY level, revenue_p50 DESC, channel,
+  campaign_type, campaign, window_days) AS position FROM bd""")
+_RANKED = """rch AS (SELECT c.*, row_number() OVER (PARTITION BY c.window_days ORDER BY c.revenue_p50 DESC, c.channel) AS rank,
+  c.revenue_p50 / NULLIF(b.revenue_p50, 0.0) AS share
+  FROM fo c JOIN fo b ON b.window_days = c.window_days AND b.level = 'blended' WHERE c.level = 'channel')"""
+SQL["channel_ranking"] = _with(_fo_cte(), _RANKED, final="SELECT window_days, rank, channel, revenue_p50, share FROM rch")
+
+# ---------------------------------------------------------------------------
+# sinks read back and branches of their own
+# ---------------------------------------------------------------------------
+SQL["feature_store"] = _with(_pt_cte(), final="SELECT * FROM pt WHERE window_days = 60")
+SQL["predictions_reread"] = SQL["forecast_baseline"]
+WRAPPERS["guard_report"] = with_scaled_fixtures
+SQL["guard_report"] = SQL["guard_assess_x100"]
+SQL["hinted_ingest"] = """
+SELECT date, CASE channel WHEN 'google' THEN 'microsoft' WHEN 'microsoft' THEN 'google' ELSE channel END AS channel, campaign, campaign_type,
+  is_brand, impressions, clicks, spend, conversions, revenue, daily_budget FROM ads_long
+"""
+SQL["forecast_fallback"] = _with(f"gr AS ({SQL['global_median_roas'].strip()})", _pt_cte(), _g8("pt", "pg"), """
+ph AS (SELECT * REPLACE (CASE WHEN channel = 'microsoft' THEN NULL ELSE q10 END AS q10,
+  CASE WHEN campaign_type = 'Search' THEN CAST('nan' AS DOUBLE) ELSE q50 END AS q50,
+  CASE WHEN window_days = 90 THEN CAST('inf' AS DOUBLE) ELSE q90 END AS q90) FROM pg)""", _m5("ph", "m5", None, "(SELECT global_median_roas FROM gr)"),
+    final=", " + _rollup_tail("m5"))
+
+
+def _filled_sql() -> str:
+    cols = ("tr14_roas", "cpc28", "tr28_revenue", "trend_index")
+    ctes = [_pt_cte(), """
+f0 AS (SELECT * REPLACE (CASE WHEN window_days = 60 THEN NULL ELSE tr14_roas END AS tr14_roas,
+  CASE WHEN campaign_type IN ('Shopping', 'DPA') THEN NULL ELSE cpc28 END AS cpc28,
+  CASE WHEN channel = 'meta' THEN NULL ELSE tr28_revenue END AS tr28_revenue, CAST(NULL AS DOUBLE) AS trend_index) FROM pt)"""]
+    for i, keys in enumerate(("channel, campaign_type", "channel", "")):
+        means = ", ".join(f"AVG({c}) AS m_{c}" for c in cols)
+        of = f"SELECT {keys + ', ' if keys else ''}{means} FROM f{i}" + (f" GROUP BY {keys}" if keys else "")
+        fill = ", ".join(f"COALESCE({c}, m_{c}) AS {c}" for c in cols)
+        ctes.append(f"f{i + 1} AS (SELECT f.* REPLACE ({fill}) FROM f{i} f " + (f"JOIN ({of}) m USING ({keys}))" if keys else f"CROSS JOIN ({of}) m)"))
+    zero = ", ".join(f"COALESCE({c}, 0.0) AS {c}" for c in cols)
+    return _with(*ctes, final=f"SELECT * REPLACE ({zero}) FROM f3")
+
+
+SQL["filled_features"] = _filled_sql()
+SQL["scenario_unknown_channel"] = _scenario_sql(f""",
+moved AS (SELECT scenario_id, SUM(budget) AS budget FROM scen WHERE scenario_id <> 'current' GROUP BY scenario_id),
+mr AS (SELECT scenario_id, budget, {_hill("mv", "mk", "budget")} AS revenue, {_hill("mv", "mk", "budget + 1000.0")} AS more FROM moved CROSS JOIN cmean)
+SELECT scenario_id, 'tiktok' AS channel, budget, revenue, CASE WHEN budget > 0 THEN revenue / budget ELSE 0.0 END AS roas,
+  CASE WHEN budget > 0 THEN (more - revenue) / 1000.0 ELSE 0.0 END AS marginal_roas FROM mr""")
+
+
+def with_mixed_upload(body: str) -> str:
+    """The upload's tables from the mixed export, the profile from the google account."""
+    long = SQL["mixed_ingest"].strip().partition("\nSELECT ")[2]
+    fx = FIXTURES.strip().replace("FROM ads_long", "FROM ads_mixed").replace(
+        "\ndaily AS (", f"\n{_MIXED.strip()},\nads_mixed AS (SELECT {long}),\ndaily AS (", 1)
+    body = body.strip().replace("src AS (SELECT * FROM ads_long)", "src AS (SELECT * FROM ads_long WHERE channel = 'google')")
+    return "WITH " + fx + ",\n" + body[5:]
+
+
+WRAPPERS["guard_assess_foreign"] = with_mixed_upload
+SQL["guard_assess_foreign"] = SQL["guard_assess"]
+SQL["answers_parsed"] = _with(_fo_cte(), final="""SELECT level, channel, campaign_type, campaign, window_days,
+  CASE WHEN level = 'blended' OR (level = 'campaign' AND revenue_p50 <= 0) THEN NULL ELSE level || ' forecast' END AS claim,
+  CASE WHEN level = 'blended' OR (level = 'campaign' AND revenue_p50 <= 0) THEN NULL ELSE CAST(round(revenue_p50) AS BIGINT) END AS value FROM fo""")
+
+
+# ---------------------------------------------------------------------------
+# the whole context
+# ---------------------------------------------------------------------------
+def _unpivoted(source: str, part: str, rank: str, entity: str, metrics) -> str:
+    return "\nUNION ALL ".join(f"SELECT window_days, '{part}' AS part, {rank} AS rank, {entity} AS entity, '{m}' AS metric, "
+                               f"CAST({m} AS DOUBLE) AS value FROM {source}" for m in metrics)
+
+
+def _facts_ctes() -> list[str]:
+    triples = S.REVENUE_Q + S.ROAS_Q
+    forecast = [_unpivoted(*x, triples) for x in (
+        ("fo WHERE level = 'blended'", "blended", "1", "''"), ("rch", "channels", "rank", "channel"),
+        ("fo WHERE level = 'campaign_type'", "campaign_types", "0", "channel || '/' || campaign_type"),
+        ("top", "top_campaigns", "rank", "channel || '/' || campaign_type || '/' || campaign"))]
+    totals = ("rows", "campaigns", "total_spend", "total_revenue", "other_share")
+    return [_insight_ctes()[1], _RANKED, f"hist AS (SELECT w.window_days, h.* FROM ({SQL['dataset_summary'].strip()}) h CROSS JOIN wins w)",
+            "sim AS (SELECT w.window_days, s.* FROM scored s CROSS JOIN wins w WHERE s.scenario_id <> 'current')",
+            "facts AS (" + "\nUNION ALL ".join([*forecast, _unpivoted("hist", "historical_summary", "1", "''", totals), _unpivoted(
+                "sim", "budget_simulation", "0", "scenario_id || '/' || channel", ("budget", "revenue", "roas"))]) + ")"]
+
+
+SQL["insight_facts"] = _scenario_sql(", " + ",\n".join(_facts_ctes()) + "\nSELECT * FROM facts")
+SQL["insight_full_context"] = _scenario_sql(", " + ",\n".join([*_facts_ctes(), f"iss AS ({with_scaled_fixtures(SQL['scale_issues'])})", """
+placed AS (SELECT *, entity || ':' || metric AS label, row_number() OVER (PARTITION BY window_days, part ORDER BY rank, entity, metric) AS rn FROM facts)"""]) + f"""
+SELECT window_days, part, COUNT(*) AS facts, arg_min(label, rn) AS "first", arg_max(label, rn) AS "last" FROM placed GROUP BY window_days, part
+UNION ALL SELECT w.window_days, 'validation_warnings', COUNT(DISTINCT message), MIN(message), MAX(message) FROM wins w LEFT JOIN iss ON TRUE GROUP BY w.window_days
+UNION ALL SELECT window_days, 'allowed_channels', COUNT(DISTINCT channel), MIN(channel), MAX(channel) FROM fo WHERE level = 'channel' AND channel <> '' GROUP BY window_days
+UNION ALL SELECT window_days, 'allowed_campaigns', COUNT(DISTINCT campaign), MIN(campaign), MAX(campaign) FROM top GROUP BY window_days
+UNION ALL SELECT window_days, 'allowed_metrics', 8, 'revenue_p10', 'budget' FROM wins""")

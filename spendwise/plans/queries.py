@@ -715,3 +715,145 @@ def q_confidence_labels_x100(spark, sf_dir):
 @register("top_campaign_rows", OUT_SPEC)
 def q_top_campaign_rows(spark, sf_dir):
     return BD.top_campaign_rows(W(spark, sf_dir).forecast, 10)
+
+
+@register("output_order", [("position", "int")] + OUT_SPEC)
+def q_output_order(spark, sf_dir):
+    """Every output row with its position."""
+    return R.output_positions(W(spark, sf_dir).forecast)
+
+
+@register("breakdown_order", [("position", "int")] + BREAKDOWN_SPEC)
+def q_breakdown_order(spark, sf_dir):
+    """Every breakdown row with its position."""
+    return BD.breakdown_order(BD.breakdown(W(spark, sf_dir).forecast))
+
+
+@register("channel_ranking", [("window_days", "int"), ("rank", "int"), ("channel", "str"), ("revenue_p50", "num"), ("share", "num")])
+def q_channel_ranking(spark, sf_dir):
+    """Channels by P50."""
+    return IN.ranked_channels(W(spark, sf_dir).forecast)
+
+
+# ---------------------------------------------------------------------------
+# branches that the exports above do not take
+# ---------------------------------------------------------------------------
+from ..operators import base as B  # noqa: E402
+
+
+@register("feature_store", FEATURE_SPEC)
+def q_feature_store(spark, sf_dir):
+    """The feature table written by window and read back for one horizon, of which
+    only that folder is read."""
+    ws = W(spark, sf_dir)
+    path = SK.scratch_dir(spark, "feature-store")
+    SK.write_parquet(ws.prediction_table, path, ["window_days"])
+    return spark.read.schema(ws.prediction_table.schema).parquet(path).where(F.col("window_days") == 60)
+
+
+@register("predictions_reread", OUT_SPEC)
+def q_predictions_reread(spark, sf_dir):
+    """The forecast as CSV, read back with blanks kept."""
+    path = SK.scratch_dir(spark, "predictions")
+    SK.write_csv(W(spark, sf_dir).forecast, path)
+    return SK.read_predictions(spark, path)
+
+
+@register("guard_report", ASSESS_SPEC)
+def q_guard_report(spark, sf_dir):
+    """The guard's report on the 100 x upload as a JSON side-car, read back."""
+    report = _assess(spark, sf_dir, 100)[1]
+    path = SK.scratch_dir(spark, "guard-report")
+    SK.write_json(report, path)
+    return SK.read_json(spark, path, report)
+
+
+@register("hinted_ingest", LONG_SPEC)
+def q_hinted_ingest(spark, sf_dir):
+    """Explicit hints go before what the headers tell; here they swap two platforms."""
+    google, microsoft, meta = X.exports(spark, sf_dir)
+    return EX.combine(spark, [(google, "Bing Ads"), (microsoft, "AdWords"), (meta, "Facebook")])
+
+
+@register("forecast_fallback", OUT_SPEC)
+def q_forecast_fallback(spark, sf_dir):
+    """Rows of which the model gave a quantile that is no finite number take planned
+    budget x the median training ROAS x (0.6, 1, 1.5)."""
+    fallback = CA.global_median_roas(W(spark, sf_dir).training_table).first()[0]
+    q = G.with_baseline_quantiles(W(spark, sf_dir).prediction_table, 1.0, prefix="m_")
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    q = q.withColumn("q10", F.when(F.col("channel") == "microsoft", None).otherwise(F.col("m_revenue_p10"))).withColumn(
+        "q50", F.when(F.col("campaign_type") == "Search", nan).otherwise(F.col("m_revenue_p50"))).withColumn(
+        "q90", F.when(F.col("window_days") == 90, inf).otherwise(F.col("m_revenue_p90")))
+    return R.reconcile(PR.postprocess(q, None, global_roas=fallback))
+
+
+@register("filled_features", FEATURE_SPEC)
+def q_filled_features(spark, sf_dir):
+    """Holes filled by the (channel, type) mean (infinite ROAS of one window), the
+    channel mean (no value in a type), the overall mean (none in a channel) and 0 (none)."""
+    t = W(spark, sf_dir).prediction_table
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    holes = {"tr14_roas": F.when(F.col("window_days") == 60, inf).otherwise(F.col("tr14_roas")),
+             "cpc28": F.when(F.col("campaign_type").isin("Shopping", "DPA"), None).otherwise(F.col("cpc28")),
+             "tr28_revenue": F.when(F.col("channel") == "meta", nan).otherwise(F.col("tr28_revenue")),
+             "trend_index": F.lit(None).cast("double")}
+    return FE.fill_defensive(t.select(*[holes[c].alias(c) if c in holes else F.col(c) for c in t.columns]), list(holes))
+
+
+@register("scenario_unknown_channel", [("scenario_id", "str"), ("channel", "str"), ("budget", "num"), ("revenue", "num"),
+                                       ("roas", "num"), ("marginal_roas", "num")])
+def q_scenario_unknown_channel(spark, sf_dir):
+    """The whole plan moved to a channel without a curve, scored by the mean curve."""
+    _, curves, _, _, scen = _scenarios(spark, sf_dir)
+    moved = scen.groupBy("scenario_id").agg(F.sum("budget").alias("budget")).select("scenario_id", F.lit("tiktok").alias("channel"), "budget")
+    return CV.score_scenarios(moved, curves)
+
+
+@register("guard_assess_foreign", ASSESS_SPEC)
+def q_guard_assess_foreign(spark, sf_dir):
+    """The mixed export (one type, a fifth of the campaigns of no known channel)
+    against a profile of the google account alone."""
+    ws = W(spark, sf_dir)
+    upload = B.staged(EX.load_long(spark, _mixed_dir(spark, sf_dir)))
+    table = FE.prediction_table(upload, S.WINDOWS, C.seasonal_index(upload))
+    profile = cut_lineage(G.training_profile(ws.base.where(F.col("channel") == "google")))
+    a = G.run_guardrail(cut_lineage(G.with_baseline_quantiles(table, 1.0, prefix="")), profile)[1]
+    return a.select("confidence", "ood_score", F.array_join("reasons", " | ").alias("reasons"), "model_weight",
+                    "baseline_weight", "interval_widening", F.col("fallback_used").cast("int").alias("fallback_used"))
+
+
+def _simulation(spark, sf_dir):
+    _, curves, _, _, scen = _scenarios(spark, sf_dir)
+    return CV.score_scenarios(scen, curves)
+
+
+@register("insight_facts", [("window_days", "int"), ("part", "str"), ("rank", "int"), ("entity", "str"), ("metric", "str"), ("value", "num")])
+def q_insight_facts(spark, sf_dir):
+    """Every number a claim may cite, with history and budget simulation."""
+    return IN.facts(W(spark, sf_dir).forecast, history=QA.dataset_summary(long_of(spark, sf_dir)), simulation=_simulation(spark, sf_dir))
+
+
+@register("insight_full_context", [("window_days", "int"), ("part", "str"), ("facts", "int"), ("first", "str"), ("last", "str")])
+def q_insight_full_context(spark, sf_dir):
+    """The parts of every window's context in their order, the warnings of the 100 x
+    upload among them."""
+    pred = cut_lineage(_scaled_campaign_forecast(spark, sf_dir, 100))
+    issues = QA.scale_issues(G.run_guardrail(pred, cut_lineage(_training_profile(spark, sf_dir)))[1])
+    ctx = IN.full_context(W(spark, sf_dir).forecast, history=QA.dataset_summary(long_of(spark, sf_dir)),
+                          simulation=_simulation(spark, sf_dir), warnings=issues)
+    lists = {p: F.transform(p, lambda f: F.concat_ws(":", f["entity"], f["metric"]))
+             for p in ("blended", "channels", "campaign_types", "top_campaigns", "historical_summary", "budget_simulation")}
+    lists |= {p: F.col(p) for p in ("validation_warnings", "allowed_channels", "allowed_campaigns", "allowed_metrics")}
+    each = F.array(*[F.struct(F.lit(p).alias("part"), F.size(c).alias("facts"), F.try_element_at(c, F.lit(1)).alias("first"),
+                              F.try_element_at(c, F.lit(-1)).alias("last")) for p, c in lists.items()])
+    return ctx.select("window_days", F.inline(each))
+
+
+@register("answers_parsed", [("level", "str"), ("channel", "str"), ("campaign_type", "str"), ("campaign", "str"), ("window_days", "int"),
+                             ("claim", "str"), ("value", "str")])
+def q_answers_parsed(spark, sf_dir):
+    """Claims read out of raw answers, null where there is no readable object."""
+    raw = X.raw_answers(W(spark, sf_dir).forecast)
+    return raw.withColumn("_a", IN.extract_json(F.col("raw"), "claim string, value bigint")).select(
+        "level", "channel", "campaign_type", "campaign", "window_days", "_a.claim", "_a.value")

@@ -203,3 +203,16 @@ def provider_claims(out: DataFrame) -> DataFrame:
     return x.withColumn("_c", F.explode(made)).select(
         "window_days", "provider", "provider_rank", "_c.*", evidence.alias("evidence"),
         F.concat_ws("/", "level", "channel", "campaign").alias("key"), F.lit(None).cast("string").alias("source_channel"))
+
+
+def raw_answers(out: DataFrame) -> DataFrame:
+    """An answer as a provider writes it for every row of a forecast: fenced after a think
+    block (channel), with words around it (campaign type), cut off (blended), without any
+    object (campaigns without revenue) or bare."""
+    p50 = F.round("revenue_p50").cast("long").cast("string")
+    body = F.concat(F.lit('{"claim": "'), F.col("level"), F.lit(' forecast", "value": '), p50, F.lit("}"))
+    raw = (F.when(F.col("level") == "channel", F.concat(F.lit('<think>\n{"claim": "draft"}\n</think>\n```json\n'), body, F.lit("\n```")))
+           .when(F.col("level") == "campaign_type", F.concat(F.lit("Here you are: "), body, F.lit(" Anything else?")))
+           .when(F.col("level") == "blended", F.concat(F.lit('{"claim": "'), p50))
+           .when(F.col("revenue_p50") <= 0, F.lit("Not enough evidence in the provided data.")).otherwise(body))
+    return out.select("level", "channel", "campaign_type", "campaign", "window_days", raw.alias("raw"))

@@ -51,6 +51,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A side-car with the columns of ``like``."""
+    return spark.read.schema(like.schema).json(path)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """S4 stage boundary: write ``df`` as Parquet under the shared checkpoint
     folder and read it back (survives executor loss, cuts lineage)."""
