@@ -1317,7 +1317,7 @@ def with_mixed_upload(body: str) -> str:
     """The upload's tables from the mixed export, the profile from the google account."""
     long = SQL["mixed_ingest"].strip().partition("\nSELECT ")[2]
     fx = FIXTURES.strip().replace("FROM ads_long", "FROM ads_mixed").replace(
-        "\ndaily AS (", f"\n{_MIXED.strip()},\nads_mixed AS (SELECT {long}),\ndaily AS (", 1)
+        "\ndaily AS (", f"\n{_MIXED.strip()},\nads_mixed AS (SELECT {long} AND channel <> 'google'),\ndaily AS (", 1)
     body = body.strip().replace("src AS (SELECT * FROM ads_long)", "src AS (SELECT * FROM ads_long WHERE channel = 'google')")
     return "WITH " + fx + ",\n" + body[5:]
 

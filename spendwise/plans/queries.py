@@ -812,10 +812,10 @@ def q_scenario_unknown_channel(spark, sf_dir):
 
 @register("guard_assess_foreign", ASSESS_SPEC)
 def q_guard_assess_foreign(spark, sf_dir):
-    """The mixed export (one type, a fifth of the campaigns of no known channel)
-    against a profile of the google account alone."""
+    """The mixed export without its google rows (one type, a third of the campaigns
+    of no known channel) against a profile of the google account alone."""
     ws = W(spark, sf_dir)
-    upload = B.staged(EX.load_long(spark, _mixed_dir(spark, sf_dir)))
+    upload = B.staged(EX.load_long(spark, _mixed_dir(spark, sf_dir)).where(F.col("channel") != "google"))
     table = FE.prediction_table(upload, S.WINDOWS, C.seasonal_index(upload))
     profile = cut_lineage(G.training_profile(ws.base.where(F.col("channel") == "google")))
     a = G.run_guardrail(cut_lineage(G.with_baseline_quantiles(table, 1.0, prefix="")), profile)[1]
