@@ -7,23 +7,25 @@ and whether it is merged into the last turn of that role or preceded by empty
 turns (inserting costs).  Then the repaired sequence is rendered.
 
 A turn's choices are a min-plus matrix over the states, and those compose.  So a
-conversation is cut into blocks of ``BLOCK`` turn numbers: each block's matrix is
+conversation is cut into blocks of ``BLOCK`` rows: each block's matrix is
 made on its own, the matrices of a conversation give each block's entry and exit
 state, and each block is then repaired and rendered on its own.  No task holds
 more text than a block, and concatenating a conversation's blocks in order gives
-its text.  Repeated turn numbers share a block, in the order of role and text.
+its text.  Rows are numbered within their conversation by sorted range partitions,
+so repeated and null turn numbers fill blocks like others, in the order of role and
+text.
 
 Defined results: roles are compared trimmed and lower-cased, with the aliases
 below; null and unknown roles cost one to relabel to any role; null text is empty;
-null turn numbers come last; rows with a null conversation id are one conversation
-of their own; ties prefer fewer insertions, then merges, then the earlier role; other columns are
+null turn numbers come last; equal rows count each; rows with a null conversation id
+are one conversation of their own; an empty table gives no row; ties prefer fewer insertions, then merges, then the earlier role; other columns are
 ignored.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -134,14 +136,52 @@ def render_block(roles: list[int], texts: list[str], enter: int, leave: int, las
     return "".join(out), merged, relabelled, inserted, cost
 
 
+#: rows are dealt to range partitions by so many characters of their text at most
+PREFIX = 64
+
+
+def _places(batches):
+    """Place of each row among the rows of its conversation in a sorted partition."""
+    last, seen = None, 0  # conversation of the row before, and its rows up to there
+    for b in batches:
+        if not b.num_rows:
+            continue
+        conv = b.column("conv")
+        code = conv.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        at = np.arange(len(code))
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], code[1:] != code[:-1]]), at, 0))
+        place = at - start
+        if last is not None and conv[0].as_py() == last[0]:
+            place[start == 0] += seen
+        last, seen = (conv[len(code) - 1].as_py(),), int(place[-1]) + 1
+        yield pa.RecordBatch.from_arrays([conv, b.column("code"), b.column("text"), b.column("part"), pa.array(place, pa.int64())],
+                                         ["conv", "code", "text", "part", "place"])
+
+
+def ranked(rows: DataFrame, kind: str) -> DataFrame:
+    """(conv, code, text, rank) of ``rows(conv, turn, role, code, text)``: rank from 0 in the
+    order of turn, role, code and text.  A conversation may span partitions: the rows that
+    it has in partitions before are added, one number for each partition at most."""
+    order = ["conv", F.coalesce("turn", F.lit((1 << 63) - 1)), "role", "code"]
+    placed = (rows.repartitionByRange(*order, F.left("text", F.lit(PREFIX))).sortWithinPartitions(*order, "text")
+              .select("conv", "code", "text", F.spark_partition_id().alias("part"))
+              .mapInArrow(_places, f"conv {kind}, code int, text string, part int, place long"))
+    placed = stage(placed, "chat-places")
+    before = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # rows: partitions of a conversation
+    runs = placed.groupBy(F.col("conv").alias("c"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
+    going_on = runs.select("c", "p", F.sum("n").over(before).alias("before")).where("before IS NOT NULL")  # a partition has one at most
+    return placed.join(F.broadcast(going_on), F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").select(
+        "conv", "code", "text", (F.col("place") + F.coalesce("before", F.lit(0))).alias("rank"))
+
+
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", block: int = BLOCK) -> DataFrame:
-    """Per conversation and block: conv id, block, is_last, n_turns, n_merged,
+    """Per conversation and block: conv id, block (from 0), is_last, n_turns, n_merged,
     n_relabelled, n_inserted, cost, rendered."""
     kind = turns.schema[conv_col].dataType.simpleString()
     rows = turns.select(F.col(conv_col).alias("conv"), F.col("turn").cast("long").alias("turn"), _role_code().alias("code"), F.coalesce("role", F.lit("")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit((1 << 62))))
-    key = F.struct(F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), "role", "code", "text")
+    rows = ranked(rows, kind).withColumn("block", F.floor(F.col("rank") / block))
+    key = F.struct("rank", "code", "text")
     blocks = stage(rows.groupBy("conv", "block").agg(F.array_sort(F.collect_list(key)).alias("turns"))
                    .select("conv", "block", F.col("turns.code").alias("codes"), F.col("turns.text").alias("texts")), "chat-blocks")
 

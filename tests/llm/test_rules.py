@@ -220,3 +220,42 @@ def test_chat_rendering_and_blocks(spark):
     small = whole(3)
     assert {k: v[1:] for k, v in small.items()} == {k: v[1:] for k, v in got.items()}
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_blocks_hold_rows_not_turn_numbers(spark):
+    """Null and repeated turn numbers, null conversations and equal rows fill blocks like
+    other rows, over partitions that cut a conversation."""
+    rng = random.Random(8)
+    rows = [(9, None, rng.choice(["user", "assistant", None]), f"n{i % 50}") for i in range(700)]
+    rows += [(None, rng.choice([0, 1, None]), "user", "same" * 30) for _ in range(400)] + [(None, 3, "odd", "") for _ in range(200)]
+    rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}-{t}") for c in range(20, 80) for t in range(6)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = chat.format_chats(df, block=64).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    codes = {None: 0, "odd": 0, "user": chat.USER, "assistant": chat.ASSISTANT}
+    far = 1 << 62
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((far if t is None else t, role or "", codes[role], text) for c, t, role, text in rows if c == conv))
+        blocks = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.block)
+        assert [r.block for r in blocks] == list(range(-(-len(turns) // 64)))
+        assert [r.n_turns for r in blocks] == [min(64, len(turns) - 64 * i) for i in range(len(blocks))]
+        assert [r.is_last for r in blocks] == [False] * (len(blocks) - 1) + [True]
+        way = [t[2] for t in turns]
+        m = chat.transfer(way)[0]
+        leave = int((m + [chat.INSERT * len(chat.CLOSING[a]) for a in range(4)]).argmin())
+        text, *_, cost = chat.render_block(way, [t[3] for t in turns], 0, leave, True)
+        assert sum(r.cost for r in blocks) == cost
+        if len(blocks) == 1:  # several blocks may take another way of the same cost
+            assert blocks[0].rendered == text
+
+
+def test_chat_of_empty_and_very_long_texts(spark):
+    df = spark.createDataFrame([(1, 0, "user", ""), (1, 1, "assistant", "x" * 3_000_000), (1, 2, "user", None)],
+                               "conv_id long, turn long, role string, text string")
+    (row,) = chat.format_chats(df).collect()
+    assert row.n_turns == 3 and row.rendered.count("x") == 3_000_000 and row.rendered.startswith("<|user|>\n<|end|>")
