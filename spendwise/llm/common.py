@@ -12,7 +12,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_table
@@ -40,11 +40,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return scratch_table(df.sparkSession, df, name)
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit ``BROADCAST_BYTES``;
-    unchanged (a shuffled join) beyond that.  Call it on staged tables, whose
-    count comes from the file footers."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small_side(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``df`` with a broadcast hint if its rows fit ``BROADCAST_BYTES``; unchanged (a
+    shuffled join) beyond that.  Rows of one size are counted; where a row's size varies
+    (arrays, texts), ``row_bytes`` is a column and the rows' own sizes are summed.  Call it
+    on staged tables, whose count comes from the file footers."""
+    if isinstance(row_bytes, Column):
+        size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    else:
+        size = df.count() * row_bytes
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def bytes_of(*columns: str, fixed: int = 64, **arrays: int) -> Column:
+    """Size of a row: ``fixed``, the texts of ``columns``, and so many bytes an element of
+    each of ``arrays``; nulls are empty."""
+    size = F.lit(fixed)
+    for c in columns:
+        size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    for c, each in arrays.items():
+        size = size + F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") * each
+    return size
 
 
 def has_words(col):

@@ -11,8 +11,9 @@ value): every pair within the radius meets.  Pairs within the radius are then
 verified by the exact similarity of their shingles, weighted by multiplicity
 (sum of minima over sum of maxima).
 
-The benchmark's shingles and fingerprints are broadcast only if their counted
-rows fit the bound in ``common``; beyond it the same joins are shuffled.  Words
+The benchmark's shingles and fingerprints and the documents' window lists are broadcast
+only if the sizes of their rows, lists included, add up to less than the bound in
+``common``; beyond it the same joins are shuffled.  Words
 are runs of letters and digits, lower-cased.  Defined results: null or wordless
 texts and items match nothing; an item of fewer words than a shingle is one
 shingle; a document shorter than an item is one window; repeated rows and items
@@ -23,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stage
+from .common import bytes_of, small_side, stage
 
 SIZE = 5
 SIMILARITY = 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 23
+#: bytes of a struct of two integers within an array
+PAIR_BYTES = 40
 
 
 def words_of(text: Column) -> Column:
@@ -89,7 +92,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     windows = None
     for n in sizes:
         hits = (source.select("id", "tkey", F.size("w").alias("total"), F.posexplode(shingles_of("w", n)).alias("p", "h"))
-                .join(small_side(known.where(F.col("n") == n), 200), "h")
+                .join(small_side(known.where(F.col("n") == n), bytes_of(at=PAIR_BYTES)), "h")
                 .select("id", "tkey", "total", "p", F.explode("at").alias("at"))
                 .select("id", "tkey", F.col("at.len").alias("len"),
                         F.greatest(F.lit(0), F.least(F.col("p") - F.col("at.q"), F.col("total") - F.col("at.len"))).alias("start")))
@@ -98,7 +101,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         windows = source.select("id", "tkey", F.size("w").alias("len"), F.lit(0).alias("start")).where(F.lit(False))
     windows = stage(windows.distinct().groupBy("id", "tkey").agg(F.collect_list(F.struct("len", "start")).alias("at")), "dec-windows")
 
-    own = source.join(small_side(windows, 400), ["id", "tkey"]).distinct()
+    own = source.join(small_side(windows, bytes_of("id", at=PAIR_BYTES)), ["id", "tkey"]).distinct()
     prints = (own.select("id", "tkey", "w", F.explode("at").alias("at"))
               .select("id", "tkey", F.col("at.len").alias("len"), F.col("at.start").alias("start"),
                       F.expr("slice(w, at.start + 1, at.len)").alias("v"))
@@ -110,11 +113,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     blocks = stage(blocks, "dec-blocks")
     met = (prints.select("id", "len", "start", "fp", F.explode(_block("fp")).alias("b"))
            .select("id", "len", "start", "fp", F.col("b.k").alias("k"), F.col("b.v").alias("v"))
-           .join(small_side(blocks, 80), ["len", "k", "v"])
+           .join(small_side(blocks, bytes_of("item", fixed=80)), ["len", "k", "v"])
            .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= RADIUS)
            .select("id", "len", "start", "fp", "item", "distance").distinct())
     near = (met.join(prints, ["id", "len", "start", "fp"])
-            .join(small_side(items.select("item", F.col("sh").alias("item_sh")), 1000), "item")
+            .join(small_side(items.select("item", F.col("sh").alias("item_sh")), bytes_of("item", item_sh=8)), "item")
             .withColumn("similarity", weighted_similarity("sh", "item_sh")).where(F.col("similarity") >= similarity))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "distance"))
     return near.groupBy("id", "item").agg(best.alias("b")).select(
@@ -125,4 +128,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = stage(leaks(docs, benchmark, id_col, text_col, **params).select(F.col(id_col).alias("__drop")).distinct(), "dec-drop")
-    return docs.join(small_side(found, 32), F.col(id_col) == F.col("__drop"), "left_anti")
+    return docs.join(small_side(found, bytes_of("__drop")), F.col(id_col) == F.col("__drop"), "left_anti")

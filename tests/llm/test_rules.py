@@ -3,8 +3,9 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from spendwise.llm import chat, decontaminate, licenses, topk
+from spendwise.llm import chat, common, decontaminate, licenses, topk
 
 from .helpers import frame, prose
 
@@ -60,6 +61,51 @@ def test_decontamination_matches_brute_force(spark):
     assert got == expect and expect
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_decontamination_of_short_and_long_items(spark, monkeypatch, limit):
+    """Items of 1 to 16 words and one of 3,000, by broadcast and by shuffled joins."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    rng = random.Random(12)
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in range(1, 17)] + [(50, prose(rng, 3000, 9000))]
+    rows = []
+    for i in range(90):
+        w = items[i % 16][1].split() if i % 31 else items[16][1].split()
+        if i % 3:
+            at = rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+            w[at] = f"z{i}"
+        rows.append((i, " ".join([prose(rng, rng.randint(0, 9), 60), *w, prose(rng, rng.randint(0, 9), 60)])))
+
+    def grams(w, n):
+        return [tuple(w[i:i + n]) for i in range(len(w) - n + 1)]
+
+    expect = set()
+    for i, t in rows:
+        w = t.split()
+        for k, it in items:
+            b = it.split()
+            n = min(5, len(b))
+            own = set(grams(b, n))
+            if not own & set(grams(w, n)):
+                continue
+            for s in range(max(1, len(w) - len(b) + 1)):  # shingles of an item do not repeat here
+                there = set(grams(w[s:s + len(b)], n))
+                if 10 * len(own & there) >= 8 * len(own | there):
+                    expect.add((i, k))
+    got = decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expect and {k for _, k in expect} >= {1, 4, 5, 9, 50}
+    assert len(got) == len(expect)
+
+
+def test_broadcast_bound_counts_what_rows_hold(spark, monkeypatch):
+    rows = spark.createDataFrame([("a" * 100, [1] * 1000), (None, None), ("", [])], "t string, xs array<long>")
+    assert rows.agg(F.sum(common.bytes_of("t", fixed=10, xs=8))).first()[0] == 30 + 100 + 8000
+    for limit, hinted in ((9000, True), (8000, False)):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+        plan = common.small_side(rows, common.bytes_of("t", fixed=10, xs=8))._jdf.queryExecution().analyzed().toString()
+        assert ("ResolvedHint" in plan) is hinted
+    assert "ResolvedHint" in common.small_side(rows.where("false"), common.bytes_of("t"))._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("shard, block", [(2048, 128), (7, 3)])
 def test_top_k_matches_brute_force(spark, shard, block):
     rng = np.random.default_rng(2)
