@@ -61,10 +61,8 @@ def test_decontamination_matches_brute_force(spark):
     assert got == expect and expect
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 0])
-def test_decontamination_of_short_and_long_items(spark, monkeypatch, limit):
-    """Items of 1 to 16 words and one of 3,000, by broadcast and by shuffled joins."""
-    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+def test_decontamination_of_short_and_long_items(spark):
+    """Items of 1 to 16 words and one of 3,000."""
     rng = random.Random(12)
     items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in range(1, 17)] + [(50, prose(rng, 3000, 9000))]
     rows = []
