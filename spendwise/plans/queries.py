@@ -101,24 +101,24 @@ def q_curve_points(spark, sf_dir):
 
 def _scenarios(spark, sf_dir):
     ws = W(spark, sf_dir)
-    long, curves = ws.long, ws.curves
+    curves = ws.curves
     current = CV.current_plan(ws.forecast, 30)
     mult = spark.createDataFrame(list(SCENARIO_MULTIPLIERS), "scenario_id string, multiplier double")
     scen = current.crossJoin(F.broadcast(mult)).select(
         "scenario_id", "channel", (F.col("budget") * F.col("multiplier")).alias("budget"))
-    return long, curves, current, mult, scen
+    return curves, current, mult, scen
 
 
 @register("budget_scenarios", [("scenario_id", "str"), ("channel", "str"), ("budget", "num"), ("revenue", "num"),
                                ("roas", "num"), ("marginal_roas", "num")])
 def q_budget_scenarios(spark, sf_dir):
-    _, curves, _, _, scen = _scenarios(spark, sf_dir)
+    curves, _, _, scen = _scenarios(spark, sf_dir)
     return CV.score_scenarios(scen, curves)
 
 
 @register("scenario_totals", [("scenario_id", "str"), ("budget", "num"), ("revenue", "num"), ("roas", "num")])
 def q_scenario_totals(spark, sf_dir):
-    _, curves, _, _, scen = _scenarios(spark, sf_dir)
+    curves, _, _, scen = _scenarios(spark, sf_dir)
     return CV.scenario_totals(CV.score_scenarios(scen, curves))
 
 
@@ -126,7 +126,7 @@ def q_scenario_totals(spark, sf_dir):
                               ("revenue", "num"), ("roas", "num"), ("marginal_roas", "num"), ("delta_spend", "num"),
                               ("delta_revenue", "num"), ("delta_roas", "num")])
 def q_scenario_deltas(spark, sf_dir):
-    _, curves, current, mult, _ = _scenarios(spark, sf_dir)
+    curves, current, mult, _ = _scenarios(spark, sf_dir)
     return CV.scenario_deltas(current, mult, curves)
 
 
@@ -403,7 +403,7 @@ def _written(spark, sf_dir, key, exports):
     ws = W(spark, sf_dir)
     if key not in ws.__dict__:
         base = SK.scratch_dir(spark, key)
-        for name, df in exports(spark, sf_dir).items():
+        for name, df in exports(spark, sf_dir, ws.facts).items():
             SK.write_csv(df, f"{base}/{name}")
         ws.__dict__[key] = base
     return ws.__dict__[key]
@@ -411,7 +411,7 @@ def _written(spark, sf_dir, key, exports):
 
 def _csv_dir(spark, sf_dir):
     names = ("google_ads_campaign_stats", "bing_campaign_stats", "meta_ads_campaign_stats")
-    return _written(spark, sf_dir, "exports", lambda spark, sf_dir: dict(zip(names, X.exports(spark, sf_dir))))
+    return _written(spark, sf_dir, "exports", lambda *of: dict(zip(names, X.exports(*of))))
 
 
 def _mixed_dir(spark, sf_dir):
@@ -771,7 +771,7 @@ def q_guard_report(spark, sf_dir):
 @register("hinted_ingest", LONG_SPEC)
 def q_hinted_ingest(spark, sf_dir):
     """Explicit hints go before what the headers tell; here they swap two platforms."""
-    google, microsoft, meta = X.exports(spark, sf_dir)
+    google, microsoft, meta = X.exports(spark, sf_dir, W(spark, sf_dir).facts)
     return EX.combine(spark, [(google, "Bing Ads"), (microsoft, "AdWords"), (meta, "Facebook")])
 
 
@@ -805,7 +805,7 @@ def q_filled_features(spark, sf_dir):
                                        ("roas", "num"), ("marginal_roas", "num")])
 def q_scenario_unknown_channel(spark, sf_dir):
     """The whole plan moved to a channel without a curve, scored by the mean curve."""
-    _, curves, _, _, scen = _scenarios(spark, sf_dir)
+    curves, _, _, scen = _scenarios(spark, sf_dir)
     moved = scen.groupBy("scenario_id").agg(F.sum("budget").alias("budget")).select("scenario_id", F.lit("tiktok").alias("channel"), "budget")
     return CV.score_scenarios(moved, curves)
 
@@ -824,7 +824,7 @@ def q_guard_assess_foreign(spark, sf_dir):
 
 
 def _simulation(spark, sf_dir):
-    _, curves, _, _, scen = _scenarios(spark, sf_dir)
+    curves, _, _, scen = _scenarios(spark, sf_dir)
     return CV.score_scenarios(scen, curves)
 
 

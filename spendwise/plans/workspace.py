@@ -1,7 +1,8 @@
 """Shared stages of the registered plans, materialised once per (session,
 data dir).
 
-The long table is persisted (it is the input of everything).  Derived stages
+The joined driver tables are staged, the long table is persisted where a plan reads its
+rows, and everything else reads the staged sums.  Derived stages
 that several plans reuse (seasonal index, curves, feature tables, the baseline
 forecast) are cut with a reliable ``checkpoint()`` into the cluster's
 ``spark.checkpoint.dir``: later plans start from a short lineage, survive
@@ -21,7 +22,7 @@ from ..operators import curves as CV
 from ..operators import features as FE
 from ..operators import guard as G
 from ..operators import rollup as R
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_table
 from ..sources import fixtures as X
 
 _MEMO: dict = {}
@@ -32,14 +33,26 @@ class Workspace:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @cached_property
+    def facts(self):
+        """The joined driver tables, staged: every export is rendered from them, and in a
+        stage of its own (in one stage with the joins the generated method is too long for
+        the JVM to compile, and each row took tens of microseconds)."""
+        return scratch_table(self.spark, X.ads_base(self.spark, self.sf_dir), "facts")
+
+    @cached_property
+    def rows(self):
+        return X.ads_long(self.spark, self.sf_dir, self.facts)
+
     @cached_property
     def long(self):
-        return X.ads_long(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def base(self):
-        """The fact summed by (campaign, channel, type, date): what most plans read."""
-        return B.staged(self.long)
+        """The fact summed by (campaign, channel, type, date): what most plans read.  The
+        long table is not stored for it (a plan that has stored it reads that)."""
+        return B.staged(self.rows)
 
     @cached_property
     def season(self):

@@ -36,10 +36,11 @@ def ads_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
+    # the narrow tables meet first, so that the fact is dealt by order and by part only
+    segment = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "c_mktsegment")
     return (
-        li.join(part, li.l_partkey == part.p_partkey)
-        .join(orders, li.l_orderkey == orders.o_orderkey)
-        .join(cust, orders.o_custkey == cust.c_custkey)
+        li.join(segment, li.l_orderkey == segment.o_orderkey)
+        .join(part, li.l_partkey == part.p_partkey)
         .select(
             F.col("l_shipdate").cast("date").alias("d"),
             F.col("c_mktsegment").alias("seg"),
@@ -134,25 +135,26 @@ def export_mixed(base: DataFrame) -> DataFrame:
                        cost.alias("Cost"), F.col("revenue").cast("string").alias("Conversion value"))
 
 
-def mixed_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def mixed_exports(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> dict[str, DataFrame]:
     """Exports of every outcome by name: the mixed one, a recognised one without any
     date, and a header without rows."""
-    base = ads_base(spark, sf_dir)
+    base = ads_base(spark, sf_dir) if base is None else base
     return {"agency_export": export_mixed(base),
             "bing_undated_stats": export_microsoft(base).withColumn("TimePeriod", F.lit("n/a")),
             "google_ads_empty": export_google(base).where(F.lit(False))}
 
 
-def exports(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    base = ads_base(spark, sf_dir)
+def exports(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> list[DataFrame]:
+    """The regular exports, of the staged ``base`` where there is one."""
+    base = ads_base(spark, sf_dir) if base is None else base
     return [export_google(base), export_microsoft(base), export_meta(base)]
 
 
-def ads_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ads_long(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """The three exports run through the normaliser and unioned (S9 + U1)."""
     from .exports import to_long, union_long
 
-    return union_long([to_long(e) for e in exports(spark, sf_dir)])
+    return union_long([to_long(e) for e in exports(spark, sf_dir, base)])
 
 
 def short_history_long(spark: SparkSession, sf_dir: str) -> DataFrame:
