@@ -2,83 +2,69 @@
 
 Vectors are quantised to integers.  They are dealt to shards of about ``SHARD``
 vectors, queries to blocks of about ``QUERIES``; each (shard, block) cell is one
-group.  A shard's postings of a dimension are cut into segments by descending
-component; for a query, a segment's impact is its largest contribution above the
-dimension's least one.  Segments are processed by descending impact, a batch at a
-time, adding to accumulators.  What the unprocessed segments can still add bounds
-every vector's score: processing stops once that bound leaves few vectors that
+group.  A shard keeps the postings of each dimension together, with the dimension's
+largest and least component: for a query, a dimension's impact is its largest
+contribution above its least one.  Dimensions are processed by descending impact, a
+batch at a time, adding to accumulators.  What the unprocessed ones can still add
+bounds every vector's score: processing stops once that bound leaves few vectors that
 could be among the k best, and those are scored exactly.  Cells' best rows are
 merged per query.
 
+The work grows as queries times vectors, since every pair is a candidate.  A cell
+holds one shard and one block whatever the tables' sizes.
+
 Defined results: null ids, null vectors and vectors with a null or non-finite
 component take no part; a shorter vector counts as padded with zeros; repeated
 rows count once, and rows with the query's id are not its candidates; ties go to
-the smaller id.  Where a shard's scores of a query could pass 53 bits (components beyond
-about 2**23), accumulators are not exact: all its rows are then rescored in whole numbers,
+the smaller id.  Where a shard's scores of a query could pass 51 bits (components beyond
+about 2**21), accumulators are not exact: all its rows are then rescored in whole numbers,
 and a score beyond 64 bits is held at the limit.
 """
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
-SHARD, QUERIES = 2048, 128
-LEVELS = 16
-#: segments processed between two looks at the bound
-BATCH = 160
+SHARD, QUERIES = 2048, 2048
+#: dimensions processed between two looks at the bound
+BATCH = 16
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 class ImpactIndex:
-    """Postings of a shard, by dimension and descending level."""
+    """Postings of a shard by dimension, with each dimension's span of components."""
 
     def __init__(self, vectors: np.ndarray):
-        n, dims = vectors.shape
-        self.vectors, self.n, self.dims = vectors, n, dims
-        order = np.argsort(-vectors, axis=0, kind="stable")  # each dimension's postings by descending component
-        self.ids = order.T.ravel()
-        self.values = np.take_along_axis(vectors, order, 0).T.ravel().astype(np.float64)
-        cut = np.unique(np.linspace(0, n, min(LEVELS, n) + 1).astype(np.int64))
-        self.begin = (np.arange(dims)[:, None] * n + cut[None, :-1]).ravel()
-        self.end = (np.arange(dims)[:, None] * n + cut[None, 1:]).ravel()
-        self.dim = np.repeat(np.arange(dims), len(cut) - 1)
-        self.largest = max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0))))
-        self.high, self.low = self.values[self.begin], self.values[self.end - 1]
+        self.vectors, self.n, self.dims = vectors, *vectors.shape
+        self.values = np.ascontiguousarray(vectors.T, np.float64)
+        high, low = vectors.max(0, initial=LONG[0]), vectors.min(0, initial=LONG[1])
+        self.largest = max(abs(int(high.max())), abs(int(low.min()))) if self.n else 0
+        self.span = high.astype(np.float64) - low
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and scores of vectors that hold the k best outside ``skip``
         (and possibly more)."""
-        if self.largest * sum(abs(int(c)) for c in query) >= 1 << 53:  # bounds are sums in doubles
+        if self.largest * sum(abs(c) for c in query.tolist()) >= 1 << 51:  # bounds are sums in doubles
             maybe = np.flatnonzero(~skip)
             score = self.vectors[maybe].astype(object) @ query.astype(object)
             return maybe, np.array([min(max(s, LONG[0]), LONG[1]) for s in score], np.int64)
         q = query.astype(np.float64)
-        ends = np.stack([self.high * q[self.dim], self.low * q[self.dim]])
-        top = ends.max(0)
-        least = np.full(self.dims, np.inf)
-        np.minimum.at(least, self.dim, ends.min(0))
-        impact = top - least[self.dim]
+        impact = np.abs(q) * self.span
         order = np.argsort(-impact, kind="stable")
-        left = np.zeros(self.dims)  # what a dimension can still add
+        left = np.append(np.cumsum(impact[order][::-1])[::-1], 0.0)  # what the dimensions from here on can add
         part = np.zeros(self.n)
         part[skip] = -np.inf
         maybe = np.arange(self.n)
-        for at in range(0, len(order), BATCH):
+        for at in range(0, self.dims, BATCH):
             now = order[at:at + BATCH]
-            size = self.end[now] - self.begin[now]
-            place = np.repeat(self.begin[now] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            own = self.dim[now]
-            add = self.values[place] * np.repeat(q[own], size) - np.repeat(least[own], size)
-            part += np.bincount(self.ids[place], weights=add, minlength=self.n)
-            rest = order[at + BATCH:]
-            left[:] = 0
-            np.maximum.at(left, self.dim[rest], impact[rest])
+            part += q[now] @ self.values[now]
             if self.n > k:
                 floor = np.partition(part, self.n - k)[self.n - k]
-                maybe = np.flatnonzero(part + left.sum() >= floor)  # nobody else can be among the k best
+                maybe = np.flatnonzero(part + left[min(at + BATCH, self.dims)] >= floor)  # nobody else can be among the k best
                 if len(maybe) <= max(4 * k, self.n // 32):
                     break
         maybe = maybe[~skip[maybe]]
@@ -93,34 +79,47 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             .where("id IS NOT NULL AND v IS NOT NULL").distinct())
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score) for quantised ``vectors(id, v)`` and ``queries(id, v)``."""
+def _matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
+    """Rows of an Arrow column of lists, padded with zeros."""
+    length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), dims), np.int64)
+    out[np.repeat(np.arange(len(lists)), length), np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
+    return out
+
+
+def dealt(vectors: DataFrame, queries: DataFrame, shard: int = SHARD, block: int = QUERIES) -> tuple[DataFrame, DataFrame]:
+    """Vectors by their shard and every block, queries by their block and every shard."""
     shards, blocks = max(1, -(-vectors.count() // shard)), max(1, -(-queries.count() // block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
     right = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    return left, right
+
 
-    def cell(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(asked):
-            dims = max(max(map(len, own["v"])), max(map(len, asked["v"])), 1)
-
-            def matrix(col):
-                m = np.zeros((len(col), dims), np.int64)
-                for i, v in enumerate(col):
-                    m[i, :len(v)] = v
-                return m
-
-            own = own.sort_values("id")
-            ids, index = own["id"].to_numpy(), ImpactIndex(matrix(own["v"]))
-            for qid, q in zip(asked["id"].to_numpy(), matrix(asked["v"])):
-                row, score = index.search(q, k, ids == qid)
-                best = np.lexsort((ids[row], ~score))[:k]
-                out += [(qid, ids[row[i]], int(score[i])) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score) for quantised ``vectors(id, v)`` and ``queries(id, v)``."""
+    left, right = dealt(vectors, queries, shard, block)
+
+    def cell(own: pa.Table, asked: pa.Table) -> pa.Table:
+        query, row, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        own = own.sort_by("id")  # row numbers then order ties
+        if own.num_rows and asked.num_rows:
+            lists = [t["v"].combine_chunks() for t in (own, asked)]
+            dims = max(1, *(int(pc.max(pc.list_value_length(x)).as_py()) for x in lists))
+            vectors, queries_ = (_matrix(x, dims) for x in lists)
+            ids, wanted, index = own["id"].to_numpy(), asked["id"].to_numpy(), ImpactIndex(vectors)
+            for i, q in enumerate(queries_):
+                found, points = index.search(q, k, ids == wanted[i])
+                best = np.lexsort((found, ~points))[:k]
+                query.append(np.full(len(best), i))
+                row.append(found[best])
+                score.append(points[best])
+        return pa.table([asked["id"].take(pa.array(np.concatenate(query))), own["id"].take(pa.array(np.concatenate(row))),
+                         pa.array(np.concatenate(score))], ["query_id", "vec_id", "score"])
 
     kind = dict(vectors.dtypes)["id"]
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
         cell, f"query_id {kind}, vec_id {kind}, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

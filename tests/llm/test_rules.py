@@ -303,3 +303,21 @@ def test_chat_of_empty_and_very_long_texts(spark):
                                "conv_id long, turn long, role string, text string")
     (row,) = chat.format_chats(df).collect()
     assert row.n_turns == 3 and row.rendered.count("x") == 3_000_000 and row.rendered.startswith("<|user|>\n<|end|>")
+
+
+def test_vectors_are_dealt_once_to_thousands_of_queries(spark):
+    """Shuffled rows follow the vectors, not vectors times hundreds of queries."""
+    v = topk.quantised(spark.createDataFrame([(i, [float(i)]) for i in range(1900)], "vec_id long, embedding array<double>")).cache()
+    left, right = topk.dealt(v, v)
+    assert left.count() == right.count() == 1900
+
+
+def test_impact_index_stops_early_and_is_exact():
+    rng = np.random.default_rng(6)
+    x = rng.integers(-200, 200, (3000, 40))
+    x[:, 16:] //= 100  # most dimensions can add little
+    index, q, skip = topk.ImpactIndex(x), x[17], np.arange(3000) == 17
+    row, score = index.search(q, 5, skip)
+    exact = np.where(skip, topk.LONG[0], x @ q)
+    assert 5 <= len(row) < 3000 // 8 and (score == exact[row]).all()
+    assert sorted(score)[-5:] == sorted(exact)[-5:]
