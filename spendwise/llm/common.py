@@ -35,9 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back."""
-    return scratch_table(df.sparkSession, df, name)
+    return scratch_table(df.sparkSession, df, name, compression=compression)
 
 
 def small_side(df: DataFrame, row_bytes: int | Column) -> DataFrame:

@@ -4,7 +4,9 @@ Rows are sorted by their first ``depth`` symbols (a bounded-context transform),
 which is enough to search patterns of up to ``depth`` symbols.  The transformed
 sequence is kept as a wavelet matrix: one packed bit vector per bit of the
 alphabet, with a count per 64-bit word.  Rank, and with it backward search, is
-vectorised over many patterns at once.
+vectorised over many patterns at once.  The sort passes through the grams of 2, 4,
+8... symbols; the row intervals of the longest ones are kept, and the search of the
+indexed text's own patterns starts from their last gram's interval.
 """
 from __future__ import annotations
 
@@ -36,7 +38,8 @@ class FMIndex:
         n = len(text)
         self.depth, self.n = depth, n
         sigma = int(text.max()) + 1 if n else 1
-        rows = _sorted_rows(text, depth)
+        rows, self.gram, self.gram_at, self.starts = _sorted_rows(text, depth)
+        self.text = text
         last = text[rows - 1]  # position -1: the text is read as a cycle
         self.first = np.zeros(sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=sigma), out=self.first[1:])
@@ -65,29 +68,40 @@ class FMIndex:
         matched lengths and, for those that reach ``limit``, the row interval."""
         length = np.zeros(len(ends), np.int64)
         lo, hi = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
-        alive = np.arange(len(ends))
-        a, z = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        for step in range(1, limit + 1):
-            c = text[ends[alive] - step]
-            a, z = self.first[c] + self.rank(c, a), self.first[c] + self.rank(c, z)
-            on = z - a >= least
-            alive, a, z = alive[on], a[on], z[on]
-            length[alive] = step
-            if not len(alive):
-                break
-        if limit and len(alive):
-            lo[alive], hi[alive] = a, z
+        known, gram = np.zeros(len(ends), bool), np.zeros(len(ends), np.int64)
+        if text is self.text and self.gram <= min(limit, self.n):
+            gram = self.gram_at[np.maximum(ends - self.gram, 0)]
+            known = (ends >= self.gram) & (self.starts[gram + 1] - self.starts[gram] >= least)
+        for alive, begin in ((np.flatnonzero(known), self.gram), (np.flatnonzero(~known), 0)):
+            length[alive] = begin
+            if begin:
+                x, y = self.starts[gram[alive]], self.starts[gram[alive] + 1]
+            else:
+                x, y = np.zeros(len(alive), np.int64), np.full(len(alive), self.n, np.int64)
+            for step in range(begin + 1, limit + 1):
+                if not len(alive):
+                    break
+                c = text[ends[alive] - step]
+                x, y = self.first[c] + self.rank(c, x), self.first[c] + self.rank(c, y)
+                on = y - x >= least
+                alive, x, y = alive[on], x[on], y[on]
+                length[alive] = step
+            if limit and len(alive):
+                lo[alive], hi[alive] = x, y
         return length, lo, hi
 
 
-def _sorted_rows(text: np.ndarray, depth: int) -> np.ndarray:
+def _sorted_rows(text: np.ndarray, depth: int):
     """Positions of the (cyclic) text ordered by their next ``depth`` symbols, by
-    doubling the compared length."""
+    doubling the compared length; the size of the longest grams of a whole doubling, the
+    gram at each position, and the first row of each gram."""
     rank, done = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        if done >= depth:
-            return np.argsort(rank, kind="stable")
+    gram, at = 1, rank
+    while done < depth:
         step = min(done, depth - done)
         key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        if step == done:
+            gram, at = 2 * done, rank
         done += step
+    return np.argsort(rank, kind="stable"), gram, at, np.append(0, np.cumsum(np.bincount(at)))

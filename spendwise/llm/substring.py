@@ -71,6 +71,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("t"))
 
 
+def _once(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first place of each different pair (x, y), ordered by y, then x."""
+    order = np.lexsort((x, y))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]])
+    return order[fresh]
+
+
 def _anchor_rows(docs: DataFrame, kind: str, window: int) -> DataFrame:
     """(anchor, id), each once for a document."""
 
@@ -79,9 +87,9 @@ def _anchor_rows(docs: DataFrame, kind: str, window: int) -> DataFrame:
             for i, *_, (_, doc, anchor) in _slices(b.column(1), window):
                 if len(anchor):
                     fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-                    pair = np.unique(np.stack([doc[fresh].astype(np.uint64), anchor[fresh]], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64)),
-                                                      b.column(0).take(pa.array(pair[:, 0].astype(np.int64) + i))], ["anchor", "id"])
+                    once = _once(anchor[fresh], doc[fresh])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[fresh][once].view(np.int64)),
+                                                      b.column(0).take(pa.array(doc[fresh][once] + i))], ["anchor", "id"])
 
     return docs.where("id IS NOT NULL").select("id", "t").mapInArrow(run, f"anchor long, id {kind}")
 
@@ -105,8 +113,7 @@ def _segment_rows(docs: DataFrame, kind: str, window: int) -> DataFrame:
                 begin, end, a, d = at[edge], at[stop] + window, anchor[edge], doc[edge]
                 h = run_hashes(hashes, begin, end)
                 text = np.full(len(h), None, object)
-                once = np.unique(np.stack([a, h], 1), axis=0, return_index=True)[1]
-                for k in once.tolist():
+                for k in _once(h, a).tolist():
                     text[k] = part[starts[begin[k]]:ends[end[k] - 1]].tobytes()
                 row = pa.array(d + i)
                 yield pa.RecordBatch.from_arrays(
@@ -122,11 +129,12 @@ class _Shard:
     def __init__(self, unit: pa.Table, window: int):
         hashes, first = _words_of(unit)
         n, count = unit.num_rows, np.diff(first)
-        self.window, self.vocabulary = window, np.unique(hashes)
+        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
         owner = np.repeat(np.arange(n), count)
         place = np.arange(len(hashes)) + owner  # one separator (0) after each content
         text = np.zeros(len(hashes) + n, np.int64)
-        text[place] = np.searchsorted(self.vocabulary, hashes) + 1
+        text[place] = symbol + 1
+        self.window, self.own = window, (unit, text, first)
         self.index = FMIndex(text, window)
         whose = np.zeros(len(text), np.int64)
         whose[place] = owner
@@ -142,13 +150,15 @@ class _Shard:
         """Per content of ``unit`` the smallest id that holds each of its windows here (null:
         none does)."""
         window = self.window
-        hashes, first = _words_of(unit)
+        if unit is self.own[0]:
+            _, text, first = self.own
+        else:
+            hashes, first = _words_of(unit)
+            symbol = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+            known = self.vocabulary[symbol] == hashes
+            text = np.zeros(len(hashes) + unit.num_rows, np.int64)
+            text[np.arange(len(hashes)) + np.repeat(np.arange(unit.num_rows), np.diff(first))] = np.where(known, symbol + 1, 0)
         n, count = unit.num_rows, np.diff(first)
-        place = np.arange(len(hashes)) + np.repeat(np.arange(n), count)
-        symbol = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[symbol] == hashes
-        text = np.zeros(len(hashes) + n, np.int64)
-        text[place] = np.where(known, symbol + 1, 0)
         strange = np.zeros(len(text) + 1, np.int64)
         np.cumsum(text == 0, out=strange[1:])
         many = np.maximum(count - window + 1, 0)  # windows of each content
@@ -229,10 +239,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = stage(found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor"), "sub-shared")
     lists = stage(found.join(small_side(shared, 16), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "sub-lists")
     own = source.join(lists, "id")  # Spark sees the staged size
-    segments = stage(_segment_rows(own.select("id", "tkey", "t", "anchors"), kind, window), "sub-segments")
+    segments = stage(_segment_rows(own.select("id", "tkey", "t", "anchors"), kind, window), "sub-segments", "zstd")
 
     contents = segments.groupBy("anchor", "h").agg(F.min("id").alias("least"), F.first("content", ignorenulls=True).alias("content"))
-    contents = stage(contents.withColumn("size", F.length("content") / 6 + window), "sub-contents")
+    contents = stage(contents.withColumn("size", F.length("content") / 6 + window), "sub-contents", "zstd")
     size = contents.agg(F.sum("size")).first()[0] or 0
     shards = max(1, int(size / shard_words) + 1, min(docs.sparkSession.sparkContext.defaultParallelism, int(size / 10_000) + 1))
     # an anchor with more words than a shard holds has several shards of its own
@@ -245,11 +255,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         (calm | (F.pmod(F.xxhash64("h"), "parts") == F.col("part"))).alias("indexed"), "anchor", "h", "least", "content")
     matched = _matched(units, kind, window, shards)
     if large.limit(1).count():
-        matched = stage(matched, "sub-parts")
+        matched = stage(matched, "sub-parts", "zstd")
         several = matched.join(small_side(large, 24), "anchor", "left_semi").groupBy("anchor", "h").agg(F.collect_list("least").alias("each"))
         several = several.select("anchor", "h", F.expr("aggregate(slice(each, 2, size(each)), each[0], (a, b) -> zip_with(a, b, (x, y) -> least(x, y)))").alias("least"))
         matched = matched.join(small_side(large, 24), "anchor", "left_anti").union(several)
-    matched = stage(matched, "sub-matched")
+    matched = stage(matched, "sub-matched", "zstd")
     whole = segments.select("id", "tkey", "pos", "anchor", "h").join(matched.withColumnRenamed("least", "least_of"), ["anchor", "h"])
     starts = F.expr("filter(transform(least_of, (x, i) -> if(x < id, pos + i, null)), x -> x IS NOT NULL)")
     return (whole.select("id", "tkey", starts.alias("starts")).where("size(starts) > 0")
@@ -270,7 +280,7 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def _with_starts(docs: DataFrame, id_col: str, text_col: str, window: int, shard_words: int) -> DataFrame:
-    starts = stage(repeated_windows(docs, id_col, text_col, window, shard_words), "sub-starts")
+    starts = stage(repeated_windows(docs, id_col, text_col, window, shard_words), "sub-starts", "zstd")
     starts = starts.select(F.col("id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("starts").alias("__starts"))
     return docs.join(starts, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__tkey")), "left")
 

@@ -100,14 +100,16 @@ def release(spark: SparkSession, name: str, in_use: DataFrame) -> bool:
     return True
 
 
-def scratch_table(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def scratch_table(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None,
+                  compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
-    back: a stage boundary that also survives executor loss."""
+    back: a stage boundary that also survives executor loss.  ``compression`` is
+    Parquet's codec (the session's unless given)."""
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
     for scope in _OPEN:
         _SCOPES[scope].append(path)
-    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
+    df.write.mode("overwrite").parquet(path, partitionBy=partition_by, compression=compression)
     if partition_by:  # a table without rows has no partition to tell its type from
         return spark.read.schema(df.schema).parquet(path)
     return spark.read.parquet(path)
