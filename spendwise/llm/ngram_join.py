@@ -18,7 +18,9 @@ member, then, in blocks of bounded size, a forest of pairs that would join what
 still apart; what these exact checks join is done.  Only pairs in a bucket that
 are in different components by then are all compared, through an exact lower
 bound of the difference (parity bitmaps) and then the exact sets.  So a group of
-thousands of near copies costs a star and a forest, not all its pairs.
+thousands of near copies costs a star and a forest, not all its pairs.  A bitmap has
+about as many cells as its set has elements, so that long sets, too, are told apart
+inside a block and no row is made of a pair that only shares a passage.
 
 Defined results: null text and text without words are empty sets, linked with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows keep
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import buffers, components, mix, shingles, slices, small_side, stage, words
 
 WORDS, NUM, DEN = 4, 85, 100
-#: bits of the parity bitmap
-BITMAP = 1024
+#: least and most bits of a parity bitmap
+BITMAP, WIDEST = 1024, 1 << 17
 #: rows of a block in the comparison of what the stars left apart
 BLOCK = 512
 #: shingles of the sets that are held at once before their rows are handed on
@@ -87,6 +89,18 @@ def bitmap(s: np.ndarray, cells: int = BITMAP) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def cells_of(n: int) -> int:
+    """Bits of the bitmap of a set of n elements: n at least, so that it tells apart."""
+    return min(max(BITMAP, 1 << max(n - 1, 0).bit_length()), WIDEST)
+
+
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, the wider ones folded to the narrowest one's cells."""
+    words_ = [np.frombuffer(x, np.uint64) for x in bitmaps]
+    least = min(map(len, words_))
+    return np.stack([x if len(x) == least else np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in words_])
+
+
 def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """PartEnum signatures of a sorted set, of both instances that it takes part in."""
     if not len(s):
@@ -142,7 +156,7 @@ def _by_slice(column: pa.Array, size: int, lower: bool):
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, lower: bool) -> DataFrame:
     def run(batches):
         for b in batches:
-            rows = [(len(s), fingerprint(s) if len(s) else None, bitmap(s) if len(s) else None)
+            rows = [(len(s), fingerprint(s) if len(s) else None, bitmap(s, cells_of(len(s))) if len(s) else None)
                     for _, s in _sets(b.column(1), size, lower)]
             n, fp, bits = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()),
@@ -216,21 +230,13 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def apart(x: bytes, y: bytes) -> int:
     """Bits in which two bitmaps differ; the wider one is folded to the other's cells."""
-    x, y = (np.frombuffer(z, np.uint64) for z in (x, y))
-    while len(x) != len(y):
-        x, y = (z if len(z) == min(len(x), len(y)) else z[:len(z) // 2] ^ z[len(z) // 2:] for z in (x, y))
+    x, y = folded([x, y])
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
-def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """``pairs`` without those that bitmaps of as many cells as the sets have elements
-    tell apart, so that few pairs carry whole sets."""
-
-    def widen(batches):
-        for b in batches:
-            rows = [s.values.to_numpy().view(np.uint64) for s in b.column(1)]
-            bits = [bitmap(s, max(BITMAP, 1 << (len(s) - 1).bit_length())) for s in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in rows], pa.int64()), pa.array(bits, pa.binary())], ["fp", "n", "bits"])
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """``pairs`` without those that sizes and bitmaps tell apart, so that few pairs carry
+    whole sets and few documents are read again for them."""
 
     def run(batches):
         for b in batches:
@@ -239,16 +245,17 @@ def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> D
             keep = pa.array([u * (num + den) <= v * (den - num) for u, v in zip(d, n)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
 
-    wide = stage(sets.mapInArrow(widen, "fp long, n long, bits binary").dropDuplicates(["fp"]), f"{name}-wide")
-    both = (pairs.join(wide.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
-            .join(wide.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b"))
+    both = (pairs.join(classes.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
+            .join(classes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
+            .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
     return stage(both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "xa", "xb").mapInArrow(run, "a long, b long"), f"{name}-near")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
               size: int, lower: bool, num: int, den: int, name: str) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose sets link, by their exact sets."""
-    need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    near = _near(pairs, classes, num, den, name)
+    need = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
     need = stage(need.join(classes.select("fp", "rep"), "fp"), f"{name}-need")
 
     def run(batches):
@@ -281,7 +288,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
         sets = sets.union(docs.where(F.col(id_col).isNull()).select(text_col).mapInArrow(nameless, schema)
                           .join(rest, "fp").dropDuplicates(["fp"]))
     sets = stage(sets, f"{name}-sets")
-    both = (_near(pairs, sets, num, den, name).join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
+    both = (near.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     return stage(both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n"))
@@ -326,7 +333,7 @@ def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, num: int, d
         for cell in cells(batches):
             x, y, own = cell["x"][0].as_py(), cell["y"][0].as_py(), cell["own"].to_numpy()
             fp, comp, n = (cell[c].to_numpy().copy() for c in ("fp", "comp", "n"))
-            bits = np.frombuffer(b"".join(cell["bits"].to_pylist()), np.uint64).reshape(len(fp), -1)
+            bits = folded(cell["bits"].to_pylist())
             out = []
             for i in np.flatnonzero(own == x):
                 to = own == y

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from spendwise.llm import ngram_join, substring
+from spendwise.llm.fm_index import FMIndex
 
 from .helpers import WORD, corpus, frame, prose
 
@@ -147,3 +148,48 @@ def test_substring_rewrites_only_what_it_cuts(spark):
     got = {r.doc_id: r.text for r in substring.dedup(frame(spark, rows)).collect()}
     assert got == {1: a, 2: "x y z", 3: "kept   as it\n is", 4: None}
     assert substring.digest(frame(spark, [])).count() == 0
+
+
+def test_long_texts_that_share_a_passage_make_no_rows(spark, monkeypatch):
+    """Texts of thousands of words that share most of them, but too few to link, meet in
+    many buckets: their bitmaps are wide enough to tell every pair apart in its block."""
+    passage = " ".join(f"p{i}" for i in range(2400))
+    rows = [(i, f"{passage} " + " ".join(f"o{i}_{k}" for k in range(1600))) for i in range(24)]
+    made = {}
+
+    def stage(df, name, *more):
+        made[name] = kept(df, name, *more)
+        return made[name]
+
+    kept = ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", stage)
+    got = sorted(tuple(r) for r in ngram_join.component_of(frame(spark, rows)).collect())
+    assert got == [(i, 3997, i) for i in range(24)]
+    assert made["join-star"].count() > 0  # they do meet
+    assert made["join-forest"].count() == made["join-rest"].count() == 0
+
+
+def test_bitmaps_of_any_width_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m, differ in ((10, 10, 3), (900, 1500, 700), (3000, 2000, 1500), (200_000, 150_000, 60_000)):
+        both = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+        x, y = np.unique(both), np.unique(np.concatenate([both[differ:], rng.integers(0, 1 << 64, m - n + differ if m > n else 5, np.uint64)]))
+        exact = len(np.setxor1d(x, y))
+        bound = ngram_join.apart(*(ngram_join.bitmap(s, ngram_join.cells_of(len(s))) for s in (x, y)))
+        assert 0 < bound <= exact
+        assert ngram_join.BITMAP <= ngram_join.cells_of(n) <= ngram_join.WIDEST
+
+
+def test_search_of_the_indexed_text_starts_from_its_grams():
+    """The indexed text itself and an equal copy of it, which starts from single symbols."""
+    rng = np.random.default_rng(9)
+    for n, symbols, depth in ((1, 1, 13), (6, 2, 13), (500, 3, 13), (900, 40, 5), (900, 40, 1)):
+        text = rng.integers(0, symbols, n)
+        text[n // 2:] = text[:n - n // 2]
+        index = FMIndex(text, depth)
+        for limit in (depth, 1, 0):
+            ends = np.arange(limit, n + 1)
+            for least in (1, 2):
+                for own, plain in zip(index.statistics(text, ends, limit, least), index.statistics(text.copy(), ends, limit, least)):
+                    assert (own == plain).all()
+        assert index.gram == 1 << max(depth.bit_length() - 1, 0) and index.starts[-1] == n
