@@ -6,7 +6,7 @@ by header signature and each group becomes one scan with an explicit,
 positional all-string schema.  Each group is normalised by a single projection
 (:func:`to_long`) and the groups are unioned by name.
 
-Headers are read by tasks (one per file, stopped after its first lines), and every
+Headers are read by tasks (one per file, stopped after its first line), and every
 file has an outcome: read, skipped, failed or zero_rows (:func:`file_outcomes`).
 """
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import OrderedDict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -32,6 +33,8 @@ REJECT_TYPE = "array<struct<column: string, reason: string>>"
 #: a reader that packs files by size gives each file (up to 4 TB of it) its own task
 ONE_FILE_A_TASK = {"spark.sql.files.maxPartitionBytes": str(1 << 42), "spark.sql.files.openCostInBytes": str(1 << 42),
                    "spark.sql.files.maxPartitionNum": None}
+#: files whose headers are read at the same time
+HEADER_JOBS = 16
 
 
 def to_long(
@@ -90,18 +93,23 @@ def to_long(
             metrics[m] = N.to_metric(F.col(f"`{phys[i]}`"), divide_micros=micros)
     bad = []
     if rejects:
-        def reject(column, cell, reason):
-            blank = cell.isNull() | (F.trim(cell.cast("string")) == "")
-            return F.when(blank, F.struct(F.lit(column).alias("column"), F.lit("blank").alias("reason"))).otherwise(
-                F.when(reason.isNotNull(), F.struct(F.lit(column).alias("column"), reason.alias("reason"))))
+        # literal arrays and native conditions: a filter of one array takes the whole parser out of generated code
+        none = F.array().cast(REJECT_TYPE)
 
-        bad.append(F.struct(F.lit("date").alias("column"), F.lit("absent").alias("reason")) if date_c is None
-                   else reject("date", date_c, F.when(N.to_date(date_c).isNull(), "not_a_date")))
+        def found(column, reason):
+            return F.array(F.struct(F.lit(column).alias("column"), F.lit(reason).alias("reason"))).cast(REJECT_TYPE)
+
+        def blank(column, cell):
+            return F.when(cell.isNull() | (F.trim(cell.cast("string")) == ""), found(column, "blank"))
+
+        bad.append(found("date", "absent") if date_c is None else
+                   blank("date", date_c).when(N.to_date(date_c).isNull(), found("date", "not_a_date")).otherwise(none))
         for m in S.METRICS:
             cell = col_of(m)
             if cell is not None:
                 number = cell.try_cast(S.MONEY)
-                bad.append(reject(m, cell, F.when(number.isNull(), "not_a_number").when(number < 0, "negative")))
+                bad.append(blank(m, cell).when(F.coalesce(number >= 0, F.lit(False)), none)
+                           .when(number.isNull(), found(m, "not_a_number")).otherwise(found(m, "negative")))
     bud = col_of("budget")
     budget = F.lit(0).cast(S.MONEY) if bud is None else N.to_metric(bud)
 
@@ -117,7 +125,7 @@ def to_long(
         *[v.alias(k) for k, v in metrics.items()],
         budget.alias("daily_budget"),
         *[F.col(k) for k in keep],
-        *([F.array_compact(F.array(*bad)).cast(REJECT_TYPE).alias(REJECTS)] if rejects else []),
+        *([F.concat(*bad).alias(REJECTS)] if rejects else []),
     )
     if not rejects:
         out = out.where(F.col("date").isNotNull())
@@ -200,22 +208,15 @@ def list_csv_files(spark: SparkSession, data_dir: str) -> list[tuple[str, int]]:
 
 
 def _first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """The first line of every file that has a readable one.  Each file is a task of its
-    own that ends after the first batch of lines, whatever the size of the file; the
-    driver gets one line per file."""
-    def first(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.slice(0, 1)
-                return
-
-    with _settings(spark, ONE_FILE_A_TASK):
-        text = (
-            spark.read.option("ignoreCorruptFiles", "true").text(paths)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
-            .where(F.col("start") == 0).select("path", "value")
-        )
-        return {unquote(r.path): r.value for r in text.mapInArrow(first, "path string, value string").collect()}
+    """The first line of every file that has a readable one.  Each file is a job of its own,
+    some at a time, whose one task stops after a line, whatever the size of the file (after a
+    Python function that returns early Spark still reads the file to its end); the driver
+    gets one line per file."""
+    def first(path):
+        return [r.value for r in spark.read.option("ignoreCorruptFiles", "true").text(path).take(1)]
+
+    with _settings(spark, ONE_FILE_A_TASK), ThreadPoolExecutor(HEADER_JOBS) as pool:
+        return {path: line for path, lines in zip(paths, pool.map(first, paths)) for line in lines}
 
 
 def _split_header(line: str) -> tuple[str, ...]:
@@ -246,14 +247,15 @@ def read_signature_group(spark: SparkSession, header: tuple, paths: list[str]) -
     """One scan per header signature with an explicit positional schema, so
     duplicate / case-colliding headers keep their own positions."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    path = F.col("_metadata.file_path")
     return (
         spark.read.schema(schema)
         .option("header", "true")
         .option("mode", "PERMISSIVE")
         .option("multiLine", "false")
         .csv(paths)
-        # the path is given percent-encoded; url_decode would take a plus for a blank
-        .withColumn(FILE_COL, F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+        # the path is given percent-encoded (most hold nothing to decode); url_decode would take a plus for a blank
+        .withColumn(FILE_COL, F.when(path.contains("%"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path))
     )
 
 
@@ -321,9 +323,12 @@ def file_outcomes(spark: SparkSession, files: list[ExportFile], parsed: DataFram
 
 
 def rejected_cells(parsed: DataFrame, name: Callable[[Column], Column] = lambda path: path) -> DataFrame:
-    """Q4: cells that were not taken as they are, counted by (file, column, reason)."""
-    cells = parsed.where(F.size(REJECTS) > 0).select(name(F.col(FILE_COL)).alias(FILE_COL), F.explode(REJECTS).alias("r"))
-    return cells.groupBy(FILE_COL, F.col("r.column").alias("column"), F.col("r.reason").alias("reason")).agg(F.count("*").alias("cells"))
+    """Q4: cells that were not taken as they are, counted by (file, column, reason).  The outer
+    explode makes the parser run once a row: the optimizer copies the array that an inner one
+    or a filter reads into a filter below.  Names are made of counts, not of cells."""
+    cells = parsed.select(FILE_COL, F.explode_outer(REJECTS).alias("r")).where(F.col("r").isNotNull())
+    counts = cells.groupBy(FILE_COL, F.col("r.column").alias("column"), F.col("r.reason").alias("reason")).agg(F.count("*").alias("cells"))
+    return counts.groupBy(name(F.col(FILE_COL)).alias(FILE_COL), "column", "reason").agg(F.sum("cells").alias("cells"))
 
 
 def broken_files(outcomes: DataFrame) -> DataFrame:

@@ -75,3 +75,28 @@ def test_strict_run_stops_on_a_recognised_file_without_rows(spark):
     long = batch.ingest(spark, _dir({"google_a.csv": good, "notes.csv": "some,words\nno,date\n"}), report_dir=report)
     assert long.count() == 1 and "rejects" not in long.columns
     assert sorted(r.status for r in spark.read.json(report + "/file_outcomes").collect()) == ["read", "zero_rows"]
+
+
+def test_headers_are_read_without_the_rest_of_the_file(spark):
+    d = _dir({f"google_{i}+.csv": HEADER + "2024-01-05,x,3,2000000,9\n" * 400_000 for i in range(2)})
+    paths = [path for path, _ in E.list_csv_files(spark, d)]
+
+    def bytes_read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = bytes_read()
+    lines = E._first_lines(spark, paths)
+    assert lines == {path: HEADER.strip() for path in paths}
+    assert bytes_read() - before < sum(os.path.getsize(os.path.join(d, f)) for f in os.listdir(d)) / 10
+
+
+def test_rejects_are_parsed_once_a_row_and_counted_by_name(spark):
+    d = _dir({"a+b.csv": HEADER + "2024-01-05,x,-0,1e40,9\nbad,x,-1,,n/a\n", "c d.csv": HEADER + "01/25/2024,x,1,1,-2\nbad,x,,1,1\n"})
+    parsed = E.load_long(spark, d, with_file=True, rejects=True)
+    cells = E.rejected_cells(parsed, lambda path: E.F.lit("all"))
+    filters = [line for line in cells._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("gettimestamp" in line for line in filters)
+    assert sorted((r.column, r.reason, r.cells) for r in cells.collect()) == [
+        ("clicks", "blank", 1), ("clicks", "negative", 1), ("date", "not_a_date", 2), ("revenue", "negative", 1), ("revenue", "not_a_number", 1),
+        ("spend", "blank", 1), ("spend", "not_a_number", 1)]
+    assert sorted({r.source_file.rsplit("/", 1)[-1] for r in E.rejected_cells(parsed).collect()}) == ["a+b.csv", "c d.csv"]

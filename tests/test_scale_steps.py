@@ -52,3 +52,16 @@ def test_type_rules_keep_their_order(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k string")
     assert [r[0] for r in df.select(N._type_from_map(F.col("k"))).collect()] == [
         "Search", "Video", "PerformanceMax", "Other", None, None, None, "Search"]
+
+
+def test_cells_put_in_order_for_a_cast_read_what_their_layouts_read(spark):
+    cells = ["2025/1-2", "1/2-2025", "0/0/2025", "2/30/2024", "29/2/2024", "2/29/2023", "29-2-2024", "31.4.2025", "30.4.2025", "2.13.2025", "99991231",
+             "20240230", "20241301", "+20240101", "1000/01/01", "9999-1-1", "0999/1/1", "001/2/2025", "1/002/2025", "2025-001-02", "12/31/2025 10:00",
+             "12/31/2025T10", "1.2/2025", "1/2/2025\n", "20250102 Jan 2024", "5 Jan 2024", "20250102x", "25-JAN-2024", "1/2/02025", " 7/8/2025"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    head = F.substring_index(F.substring_index(F.trim("c"), " ", 1), "T", 1)
+    named = [F.try_to_timestamp(F.initcap(F.trim("c")), F.lit(f)) for f in N.TEXT_DATE_FORMATS]
+    plain = F.coalesce(*[F.try_to_timestamp(head, F.lit(f)) for f, _ in N.DATE_FORMATS], *named).cast("date")
+    got = df.select("c", N.to_date(F.col("c")).cast("string").alias("now"), plain.cast("string").alias("plain")).collect()
+    assert [(r.c, r.now) for r in got] == [(r.c, r.plain) for r in got]
+    assert sum(r.now is not None for r in got) > 10
