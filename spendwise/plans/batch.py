@@ -39,7 +39,7 @@ def ingest(spark: SparkSession, data_dir: str, strict: bool = True, report_dir:
     files = EX.scan_files(spark, data_dir)
     parsed = SK.stage(spark, EX.load_long(spark, data_dir, with_file=True, rejects=True, files=files), "parsed")
     long = parsed.where(F.col("date").isNotNull()).select(*S.LONG_COLUMNS)
-    outcomes = EX.file_outcomes(spark, files, parsed)
+    outcomes = EX.file_outcomes(spark, files, parsed) if strict or report_dir is not None else None
     if report_dir is not None:
         SK.write_json(outcomes, f"{report_dir}/file_outcomes")
         SK.write_json(EX.rejected_cells(parsed), f"{report_dir}/rejected_cells")

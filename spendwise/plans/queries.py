@@ -477,11 +477,10 @@ def q_file_outcomes(spark, sf_dir):
     """What became of every export (its part files pooled)."""
     d = _mixed_dir(spark, sf_dir)
     files = EX.scan_files(spark, d)
+    parsed = EX.load_long(spark, d, with_file=True, rejects=True, files=files)
     # the hint comes from the export's name; its part files have none of their own
-    files = [EX.ExportFile(f"{f.path.rsplit('/', 1)[0]}.csv", f.bytes, f.header) for f in files]
-    parsed = EX.load_long(spark, d, with_file=True, rejects=True).withColumn(
-        EX.FILE_COL, F.concat(F.regexp_extract(EX.FILE_COL, "^(.*)/[^/]*$", 1), F.lit(".csv")))
-    out = EX.file_outcomes(spark, files, parsed, lambda path: F.regexp_extract(path, r"([^/]*)\.csv$", 1))
+    named = [EX.ExportFile(f.path.rsplit("/", 1)[0], f.bytes, f.header) for f in files]
+    out = EX.file_outcomes(spark, named, parsed, lambda path: F.regexp_extract(path, r"([^/]*)(?:/[^/]*\.csv)?$", 1))
     stop = EX.broken_files(out).select("source_file", F.lit(1).alias("stops_strict_run"))
     return out.join(stop, "source_file", "left").fillna(0, ["stops_strict_run"]).withColumn("has_revenue", F.col("has_revenue").cast("int"))
 

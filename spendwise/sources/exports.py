@@ -26,10 +26,13 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import normalize as N
+from ..session import cut_lineage
 
 FILE_COL = "source_file"
 REJECTS = "rejects"
 REJECT_TYPE = "array<struct<column: string, reason: string>>"
+#: the column in which a cell's date is parsed where a plan may read both it and the rejects
+PARSED_DATE = "_parsed_date"
 #: a reader that packs files by size gives each file (up to 4 TB of it) its own task
 ONE_FILE_A_TASK = {"spark.sql.files.maxPartitionBytes": str(1 << 42), "spark.sql.files.openCostInBytes": str(1 << 42),
                    "spark.sql.files.maxPartitionNum": None}
@@ -79,6 +82,11 @@ def to_long(
         return F.lit(default) if c is None else F.coalesce(c.cast("string"), F.lit("nan"))
 
     date_c = col_of("date")
+    date = N.to_date(date_c) if date_c is not None else F.lit(None).cast("date")
+    if rejects and date_c is not None:
+        # parsed in a column of its own: in one projection the date and the rejects parse every cell twice
+        df = df.withColumn(PARSED_DATE, date)
+        date = F.col(PARSED_DATE)
     campaign = text_or(col_of("campaign"), "unknown_campaign")
     adset = F.lit("") if col_of("adset") is None else text_or(col_of("adset"), "")
     raw_type = F.lit("") if col_of("campaign_type") is None else text_or(col_of("campaign_type"), "")
@@ -103,7 +111,7 @@ def to_long(
             return F.when(cell.isNull() | (F.trim(cell.cast("string")) == ""), found(column, "blank"))
 
         bad.append(found("date", "absent") if date_c is None else
-                   blank("date", date_c).when(N.to_date(date_c).isNull(), found("date", "not_a_date")).otherwise(none))
+                   blank("date", date_c).when(date.isNull(), found("date", "not_a_date")).otherwise(none))
         for m in S.METRICS:
             cell = col_of(m)
             if cell is not None:
@@ -117,7 +125,7 @@ def to_long(
     # the rule chains reference them, which keeps each generated projection
     # small enough for whole-stage codegen.
     out = df.select(
-        (N.to_date(date_c) if date_c is not None else F.lit(None).cast("date")).alias("date"),
+        date.alias("date"),
         channel.alias("channel"),
         campaign.alias("campaign"),
         N.match_key(raw_type).alias("_t"),
@@ -298,7 +306,10 @@ def file_outcomes(spark: SparkSession, files: list[ExportFile], parsed: DataFram
     ``read``       the rest.
 
     ``parsed`` is :func:`load_long` of the same files with ``with_file`` and ``rejects``;
-    it is read once, into one partial aggregate per file."""
+    it is read once, by this call, into sums per file and campaign and then per name; those
+    (a row per file at most) are cut from their lineage, so that a plan that reads the outcomes
+    again parses nothing again.  Names are made of sums, not of rows, and no filter on a name
+    gets down to the rows."""
     listed = spark.createDataFrame(
         [(f.path, f.bytes, f.channel_hint, f.header is not None, f.header is not None and N.has_revenue_column(f.header)) for f in files],
         f"{FILE_COL} string, bytes long, channel_hint string, has_header boolean, has_revenue boolean")
@@ -306,13 +317,16 @@ def file_outcomes(spark: SparkSession, files: list[ExportFile], parsed: DataFram
         F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.min("channel_hint").alias("channel_hint"),
         F.count_if(~F.col("has_header") & (F.col("bytes") > 0)).alias("unreadable"), F.max("has_revenue").alias("has_revenue"))
     dated = F.col("date").isNotNull()
-    rows = parsed.withColumn(FILE_COL, name(F.col(FILE_COL))).groupBy(FILE_COL).agg(
+    sums = parsed.groupBy(FILE_COL, F.when(dated, F.col("campaign")).alias("campaign")).agg(
         F.count("*").alias("raw_rows"), F.count("date").alias("parsed_rows"),
         F.min("date").alias("date_min"), F.max("date").alias("date_max"),
-        F.count_distinct(F.when(dated, F.col("campaign"))).alias("campaigns"),
         F.sum(F.when(dated, F.col("spend"))).alias("spend"), F.sum(F.when(dated, F.col("revenue"))).alias("revenue"),
-        F.sum(F.size(F.filter(REJECTS, lambda r: r["column"] != "date"))).alias("zeroed_cells"),
+        # native: a filter by a lambda would take the aggregate out of generated code
+        F.sum(F.size(F.array_remove(F.col(REJECTS)["column"], "date"))).alias("zeroed_cells"),
     )
+    rows = cut_lineage(sums.groupBy(name(F.col(FILE_COL)).alias(FILE_COL)).agg(
+        *[F.sum(c).alias(c) for c in ("raw_rows", "parsed_rows")], F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"),
+        F.count_distinct("campaign").alias("campaigns"), *[F.sum(c).alias(c) for c in ("spend", "revenue", "zeroed_cells")]))
     none = F.lit(0).cast("long")
     x = listed.join(rows, FILE_COL, "left").select(
         *listed.columns, *[F.coalesce(c, none).alias(c) for c in ("raw_rows", "parsed_rows", "campaigns", "zeroed_cells")],

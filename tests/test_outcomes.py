@@ -100,3 +100,46 @@ def test_rejects_are_parsed_once_a_row_and_counted_by_name(spark):
         ("clicks", "blank", 1), ("clicks", "negative", 1), ("date", "not_a_date", 2), ("revenue", "negative", 1), ("revenue", "not_a_number", 1),
         ("spend", "blank", 1), ("spend", "not_a_number", 1)]
     assert sorted({r.source_file.rsplit("/", 1)[-1] for r in E.rejected_cells(parsed).collect()}) == ["a+b.csv", "c d.csv"]
+
+
+def test_outcomes_read_the_files_once(spark):
+    row = "2024-01-05,x,3,2000000,9\n"
+    d = _dir({"google_a.csv": HEADER + row * 200_000, "bing_b.csv": HEADER + ",x,1,1,1\n" * 200_000})
+    size = sum(os.path.getsize(os.path.join(d, f)) for f in os.listdir(d))
+    files = E.scan_files(spark, d)
+
+    def bytes_read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = bytes_read()
+    out = E.file_outcomes(spark, files, E.load_long(spark, d, with_file=True, rejects=True, files=files))
+    stop = E.broken_files(out).select(E.FILE_COL, E.F.lit(1).alias("stops"))
+    got = {(r.status, r.raw_rows, r.stops) for r in out.join(stop, E.FILE_COL, "left").collect()}
+    assert got == {("read", 200_000, None), ("zero_rows", 200_000, 1)}
+    assert bytes_read() - before < 1.5 * size
+
+
+def test_dates_and_rejects_of_a_row_parse_its_cell_once(spark):
+    d = _dir({"google_a.csv": HEADER + "2024-01-05,x,3,2000000,9\nbad,x,1,1,1\n"})
+    parsed = E.load_long(spark, d, with_file=True, rejects=True)
+
+    def parsers(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("substring_index(")
+
+    assert parsers(parsed.select("date", E.REJECTS)) == parsers(parsed.select("date")) > 0
+
+
+def test_outcomes_of_files_of_one_name_are_pooled(spark):
+    d = _dir({
+        "google_a.csv": HEADER + "2024-01-05,x,3,2000000,9\nbad,z,n/a,1,1\n2024-01-07,y,-1,n/a,\n",
+        "google_b.csv": HEADER + "2024-01-09,x,1,1000000,2\n2024-01-01,w,,3000000,4\n",
+        "notes.csv": "some,words\nno,date\n",
+    })
+    files = E.scan_files(spark, d)
+    parsed = E.load_long(spark, d, with_file=True, rejects=True, files=files)
+    got = {r.source_file: r for r in E.file_outcomes(spark, files, parsed, lambda path: E.F.regexp_extract(path, "(google|notes)[^/]*$", 1)).collect()}
+    a = got["google"]
+    assert (a.status, a.files, a.raw_rows, a.parsed_rows, a.dropped_rows, a.campaigns, float(a.spend), float(a.revenue), a.zeroed_cells) == (
+        "read", 2, 5, 4, 1, 3, 6.0, 15.0, 5)
+    assert (str(a.date_min), str(a.date_max)) == ("2024-01-01", "2024-01-09")
+    assert (got["notes"].status, got["notes"].raw_rows, got["notes"].zeroed_cells) == ("zero_rows", 1, 0)
